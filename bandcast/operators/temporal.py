@@ -44,11 +44,12 @@ def lag_lead(df: DataFrame, key: str, ts: str, col: str,
     ``n * strict_step`` seconds away.
 
     ``chunk_seconds`` splits each key's series into time chunks so a hot key
-    is spread over many tasks.  Rows more than ``k`` positions inside a chunk
-    are computed in the chunk; the first/last ``k`` rows of every chunk (the
-    boundary set, k = largest offset) are recomputed in one per-key window
-    over the boundary set alone, which holds every row they can reach.  The
-    two parts are disjoint and are unioned, so the result is exact.
+    is spread over many tasks.  Offsets are first computed inside each chunk.
+    The first/last ``k`` rows of every chunk (the boundary set, k = largest
+    offset) then get their edge-crossing values (lags of head rows, leads of
+    tail rows) from one per-key window over the boundary set alone, which is
+    small and holds every row those offsets can reach.  Exact, and only the
+    boundary set is shuffled by the bare key.
     """
     lags, leads = dict(lags or {}), dict(leads or {})
     if not chunk_seconds:
@@ -62,11 +63,19 @@ def lag_lead(df: DataFrame, key: str, ts: str, col: str,
     chunked = chunked.withColumns({
         "_pos": F.row_number().over(wc),
         "_cnt": F.count(F.lit(1)).over(wn),
-    })
-    boundary = (F.col("_pos") <= k) | (F.col("_pos") > F.col("_cnt") - k)
-    inner = chunked.filter(~boundary).withColumns(_offset_cols(ts, col, lags, leads, wc, strict_step))
+    }).withColumns(_offset_cols(ts, col, lags, leads, wc, strict_step))
+    head = F.col("_pos") <= k
+    tail = F.col("_pos") > F.col("_cnt") - k
+    inner = chunked.filter(~(head | tail))
+    # Boundary rows: a head row's lags and a tail row's leads may cross the
+    # chunk edge; every row they can reach is itself a boundary row.
     wb = Window.partitionBy(key).orderBy(ts)
-    edge = chunked.filter(boundary).withColumns(_offset_cols(ts, col, lags, leads, wb, strict_step))
+    edge = chunked.filter(head | tail)
+    edge = edge.withColumns({f"_b_{n}": v for n, v in _offset_cols(ts, col, lags, leads, wb, strict_step).items()})
+    edge = edge.withColumns({
+        **{n: F.when(head, F.col(f"_b_{n}")).otherwise(F.col(n)) for n in lags},
+        **{n: F.when(tail, F.col(f"_b_{n}")).otherwise(F.col(n)) for n in leads},
+    }).drop(*[f"_b_{n}" for n in list(lags) + list(leads)])
     return inner.unionByName(edge).drop("_chunk", "_pos", "_cnt")
 
 

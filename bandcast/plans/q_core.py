@@ -86,7 +86,7 @@ def chunked_lags(spark, d):
     from bandcast.operators.temporal import lag_lead
     s = fx.speedbands(spark, d).select("link_id", "snapshot_ts", F.col("speed_band").alias("sb"))
     return lag_lead(s, "link_id", "snapshot_ts", "sb", {"sb_tm5": 1, "sb_tm10": 2, "sb_tm15": 3},
-                    {"y_tp15": 3}, chunk_seconds=3600)
+                    {"y_tp15": 3}, chunk_seconds=86400)
 
 
 # Safe int, str() parity ------------------------------------------

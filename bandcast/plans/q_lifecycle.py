@@ -1 +1,30 @@
-"""Registered queries."""
+"""Registered queries: incident lifecycles.
+
+No SQL oracle: the greedy sessionisation is order-dependent and stateful;
+the driver records a rows-only check and ``tests/test_lifecycle.py``
+compares against a brute-force Python twin of the global algorithm.
+"""
+
+from __future__ import annotations
+
+from bandcast.operators.aggregates import value_counts
+from bandcast.operators.lifecycle import incident_lifecycles
+from bandcast.plans import fixtures as fx
+from bandcast.plans.registry import register
+
+
+@register("incident_lifecycles_15m")
+def q_lifecycles_15(spark, d):
+    return incident_lifecycles(fx.incident_snapshots(spark, d), 15.0, 200.0)
+
+
+@register("incident_lifecycles_120m")
+def q_lifecycles_120(spark, d):
+    """Wide gap: few, large (type, session) groups — the skew case."""
+    return incident_lifecycles(fx.incident_snapshots(spark, d), 120.0, 200.0)
+
+
+@register("lifecycle_type_counts")
+def q_lifecycle_type_counts(spark, d):
+    lc = incident_lifecycles(fx.incident_snapshots(spark, d), 15.0, 200.0)
+    return value_counts(lc, "type")

@@ -68,6 +68,9 @@ def fanout_stats(pairs: DataFrame, n_sources: Column | int, label: str = "anchor
         (F.col(f"total_{label}") / F.greatest(n.cast("double"), F.lit(1.0))).alias(f"avg_{label}_per_source"))
 
 
+_FIXED_WIDTH = {"int", "bigint", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp"}
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], desc: bool = False) -> DataFrame:
     """One row per key, the first (or last) by an explicit order.
 
@@ -78,6 +81,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], desc
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if desc else F.min_by
+    types = dict(df.dtypes)
+    if len(order) == 1 and all(types[c] in _FIXED_WIDTH for c in rest + list(order)):
+        # Fixed-width buffers: plans as a HashAggregate (no sort).  Exact
+        # because the single order column is unique within a key.
+        o = F.col(order[0])
+        return df.groupBy(*keys).agg(*[pick(F.col(c), o).alias(c) for c in rest])
     ordering = F.struct(*[F.col(c) for c in order])
     agg = df.groupBy(*keys).agg(pick(F.struct(*[F.col(c) for c in rest]), ordering).alias("_row"))
     return agg.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandcast.functions.geo import M_PER_DEG, haversine_m
-from bandcast.session import cut_lineage
+from pyspark import StorageLevel
 
 _NEIGHBOURHOOD = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 _MARGIN = 1.001   # covers chord-vs-arc for separations up to ~1 radian
@@ -65,34 +65,36 @@ def grid_pairs(left: DataFrame, right: DataFrame, cell_m: float, lat_bound: floa
     return j.withColumn(dist, haversine_m(F.col(l_lat), F.col(l_lon), F.col(r_lat), F.col(r_lon)))
 
 
-def _prefixed(df: DataFrame, id_col: str, lat: str, lon: str, p: str) -> DataFrame:
-    return df.select(F.col(id_col).alias(f"{p}id"), F.col(lat).alias(f"{p}lat"), F.col(lon).alias(f"{p}lon"))
+def _prefixed(df: DataFrame, id_col: str, lat: str, lon: str, p: str, carry=()) -> DataFrame:
+    return df.select(F.col(id_col).alias(f"{p}id"), F.col(lat).alias(f"{p}lat"), F.col(lon).alias(f"{p}lon"),
+                     *[F.col(c) for c in carry])
 
 
-def _knn(L: DataFrame, R: DataFrame, k: int, max_m: float, lat_bound: float | None) -> DataFrame:
+def _knn(L: DataFrame, R: DataFrame, k: int, max_m: float, lat_bound: float | None, carry=()) -> DataFrame:
     if lat_bound is None:
         lat_bound = max_abs_lat((L, "l_lat"), (R, "r_lat"))
     pairs = grid_pairs(L, R, max_m, lat_bound, "l_lat", "l_lon", "r_lat", "r_lon")
     pairs = pairs.filter(F.col("dist_m") <= F.lit(float(max_m)))
     w = Window.partitionBy("l_id").orderBy("dist_m", "r_id")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
-        .select("l_id", "r_id", "dist_m", "rank")
+        .select("l_id", "r_id", "dist_m", "rank", *carry)
 
 
 def knn_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 5,
                max_m: float = 200.0, l_lat: str = "lat", l_lon: str = "lon",
                r_lat: str = "lat", r_lon: str = "lon", lat_bound: float | None = None,
-               out_right: str | None = None) -> DataFrame:
+               out_right: str | None = None, carry=()) -> DataFrame:
     """The k nearest right points within ``max_m`` of each left point.
 
-    Returns (left_id, right id, dist_m, rank); ties broken by right id.  A left
-    point with nothing in range yields no rows.  Cutting at the radius before
-    ranking equals ranking then cutting.
+    Returns (left_id, right id, dist_m, rank, *carry); ties broken by right
+    id; ``carry`` left columns ride along (no join back afterwards).  A left
+    point with nothing in range yields no rows.  Cutting at the radius
+    before ranking equals ranking then cutting.
     """
-    L = _prefixed(left, left_id, l_lat, l_lon, "l_")
+    L = _prefixed(left, left_id, l_lat, l_lon, "l_", carry)
     R = _prefixed(right, right_id, r_lat, r_lon, "r_")
-    return _knn(L, R, k, max_m, lat_bound).select(
-        F.col("l_id").alias(left_id), F.col("r_id").alias(out_right or right_id), "dist_m", "rank")
+    return _knn(L, R, k, max_m, lat_bound, carry).select(
+        F.col("l_id").alias(left_id), F.col("r_id").alias(out_right or right_id), "dist_m", "rank", *carry)
 
 
 def neighbors_within(points: DataFrame, id_col: str = "link_id", max_m: float = 200.0,
@@ -130,8 +132,9 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     ``start_m * growth**i``; a left point is settled once its best candidate
     is no farther than the cell width (anything outside the neighbourhood is
     farther).  Only unsettled points go on to the next, coarser level, so the
-    pairs formed per point stay near the local density.  Each level ends in a
-    reliable checkpoint; the loop runs at most ``max_levels`` small actions.
+    pairs formed per point stay near the local density.  Each level's result
+    is persisted (lineage depth is bounded by ``max_levels``; a lost block is
+    recomputed); the loop runs at most ``max_levels`` small actions.
     Returns (left_id, right_id, dist_m); ties go to the smaller right id.
     """
     L = _prefixed(left, left_id, l_lat, l_lon, "l_")
@@ -143,10 +146,11 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         pairs = grid_pairs(remaining, R, cell, lat_bound, "l_lat", "l_lon", "r_lat", "r_lon")
         best = pairs.groupBy("l_id").agg(
             F.min_by(F.struct("r_id", "dist_m"), F.struct("dist_m", "r_id")).alias("b"))
-        settled = cut_lineage(best.filter(F.col("b.dist_m") <= F.lit(cell))
-                              .select("l_id", F.col("b.r_id").alias("r_id"), F.col("b.dist_m").alias("dist_m")))
+        settled = best.filter(F.col("b.dist_m") <= F.lit(cell)) \
+            .select("l_id", F.col("b.r_id").alias("r_id"), F.col("b.dist_m").alias("dist_m")) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
         parts.append(settled)
-        remaining = cut_lineage(remaining.join(settled.select("l_id"), "l_id", "left_anti"))
+        remaining = remaining.join(settled.select("l_id"), "l_id", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
         if remaining.isEmpty():
             break
         cell *= growth
@@ -157,11 +161,20 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 
 def expand_one_hop(anchors: DataFrame, edges: DataFrame, group: str = "incident_id",
-                   link: str = "link_id", neighbor: str = "neighbor_link_id") -> DataFrame:
-    """Anchors plus their neighbours, distinct per group (not across)."""
-    a = anchors.select(group, link)
-    hop = a.join(edges.select(F.col(link), F.col(neighbor)), link).select(group, F.col(neighbor).alias(link))
-    return a.unionByName(hop).distinct()
+                   link: str = "link_id", neighbor: str = "neighbor_link_id", carry=()) -> DataFrame:
+    """Anchors plus their neighbours, distinct per group (not across).
+
+    One pass over the anchors: the edge list becomes an adjacency table (A7,
+    one bounded row per link, broadcast behind a size check), each anchor
+    row explodes ``[link] + neighbours``, then a distinct per group.
+    ``carry`` columns are functions of the group and ride along.
+    """
+    from bandcast.operators.joins import broadcast_if_small
+    adj = edges.groupBy(F.col(link)).agg(F.collect_set(F.col(neighbor)).alias("_nbrs"))
+    j = anchors.select(group, link, *carry).join(broadcast_if_small(adj), link, "left")
+    own = F.array(F.col(link))
+    out = j.select(group, *carry, F.explode(F.array_union(own, F.coalesce(F.col("_nbrs"), own))).alias(link))
+    return out.distinct()
 
 
 def mapping_check(dim: DataFrame, mapping: DataFrame, key: str = "link_id") -> DataFrame:

@@ -114,11 +114,13 @@ def bucket_rollup(buckets: DataFrame, keys: Sequence[str] = ("link_id", "snapsho
 
     ``mins_since_nearby_start`` uses the most recent start; in parity mode it
     can be in (-5, 0] for the first bucket (floored below the start), else it
-    is clipped at 0.
+    is clipped at 0.  Flag columns already present (see
+    ``interval_bucket_rollup``) are reused instead of re-deriving them.
     """
     keys = list(keys)
     aggs = [F.lit(1).alias("incident_nearby")]
-    aggs += [F.max(flag(F.col(type_col) == v)).alias(n) for n, v in INCIDENT_FLAGS.items()]
+    aggs += [F.max(F.col(n) if n in buckets.columns else flag(F.col(type_col) == v)).cast("int").alias(n)
+             for n, v in INCIDENT_FLAGS.items()]
     aggs += [F.max(start).alias("_last_start")]
     out = buckets.groupBy(*keys).agg(*aggs)
     mins = minutes_between(F.col(keys[-1]), F.col("_last_start"))
@@ -127,6 +129,17 @@ def bucket_rollup(buckets: DataFrame, keys: Sequence[str] = ("link_id", "snapsho
     return out.withColumn("mins_since_nearby_start", mins).drop("_last_start")
 
 
+def interval_bucket_rollup(intervals: DataFrame, key: str = "link_id", start: str = "start_ts",
+                           end: str = "end_ts", type_col: str = "type", step: int = TICK,
+                           parity: bool = True) -> DataFrame:
+    """W7 + A3 fused: the category flags are computed once per interval
+    (tinyint) before the explode, so the exploded rows carry only integers
+    into the partial aggregation."""
+    slim = intervals.select(key, start, end, *[flag(F.col(type_col) == v).cast("tinyint").alias(n)
+                                                for n, v in INCIDENT_FLAGS.items()])
+    return bucket_rollup(expand_buckets(slim, start, end, step), (key, "snapshot_ts"), type_col, start, parity)
+
+
 # J3 ------------------------------------------------------------------------
 def interval_join(points: DataFrame, intervals: DataFrame, key: str = "link_id", ts: str = "snapshot_ts",
                   start: str = "start_ts", end: str = "end_ts", how: str = "left",

@@ -10,7 +10,7 @@ from bandcast.functions import scalars as S
 from bandcast.operators import aggregates as A
 from bandcast.operators import spatial as SP
 from bandcast.operators.joins import join_readings
-from bandcast.operators.temporal import asof_join, bucket_rollup, expand_buckets
+from bandcast.operators.temporal import asof_join, interval_bucket_rollup
 from bandcast.plans import fixtures as fx
 from bandcast.plans.fixtures import with_views
 from bandcast.plans.registry import register
@@ -76,15 +76,16 @@ def anchors(spark, d):
 
 
 def impacted(spark, d):
-    inc = incidents(spark, d)
-    a = anchors(spark, d).select("incident_id", F.col("anchor_link_id").alias("link_id"))
-    hop = SP.expand_one_hop(a, neighbors(spark, d).select("link_id", "neighbor_link_id"), "incident_id")
-    return hop.join(inc.select("incident_id", "start_ts", "end_ts", "type"), "incident_id")
+    carry = ["start_ts", "end_ts", "type"]
+    a = SP.knn_within(incidents(spark, d), link_mids(spark, d), "incident_id", "link_id", k=5, max_m=200.0,
+                      r_lat="mid_lat", r_lon="mid_lon", carry=carry)
+    return SP.expand_one_hop(a, neighbors(spark, d).select("link_id", "neighbor_link_id"), "incident_id",
+                             carry=carry)
 
 
 def station_mapping(spark, d):
     return SP.nearest(link_mids(spark, d), fx.rain_stations(spark, d), "link_id", "station_id",
-                      l_lat="mid_lat", l_lon="mid_lon", start_m=250.0) \
+                      l_lat="mid_lat", l_lon="mid_lon") \
         .withColumnRenamed("station_id", "nearest_station_id")
 
 
@@ -152,7 +153,7 @@ def q_impacted_links(spark, d):
           FROM impacted)
     GROUP BY link_id, snapshot_ts""", "links", "incident_snapshots", extra={**SPATIAL_CTES, "impacted": IMPACTED_SQL}))
 def q_incident_nearby_buckets(spark, d):
-    return bucket_rollup(expand_buckets(impacted(spark, d)))
+    return interval_bucket_rollup(impacted(spark, d))
 
 
 @register("link_station_mapping", with_views(

@@ -16,7 +16,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from bandcast.functions.scalars import flag
+from bandcast.functions.scalars import flag, require_columns
 from bandcast.operators import cascade as C
 from bandcast.operators import evaluation as E
 from bandcast.operators import training as M
@@ -47,7 +47,9 @@ def master_frame(spark, d):
 
 
 def split(spark, d):
-    m, feats = M.impute(master_frame(spark, d), FEATURES)
+    m = master_frame(spark, d)
+    require_columns(m, FEATURES, strict=True)          # P27: fail before any action
+    m, feats = M.impute(m, FEATURES)
     m = m.cache()
     t = chrono_split(m)
     return split_side(m, t, "train"), split_side(m, t, "test"), feats

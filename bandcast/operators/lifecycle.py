@@ -13,9 +13,17 @@ Distribution, exact by construction:
   (type, session) partitions it too.  Sessions are found natively from the
   distinct (type, ts) pairs — one row per poll and type, small — with a
   lag + running sum, and joined back;
-* each (type, session) group runs the greedy pass in ``applyInPandas``, with
-  a grid of cells at least ``max_dist_m`` wide so a sighting is compared
-  only with open incidents in its 3x3 neighbourhood.
+* inside a (type, session), sightings farther than ``max_dist_m`` apart never
+  interact directly: an incident only takes sightings within the distance
+  of its first position, and the nearest-incident choice is among those.
+  So connected components of the distance graph over distinct sighting
+  positions ("sites") partition it exactly as well.  When a (type, session)
+  holds more than ``max_group_rows`` rows, the sites of those groups are
+  linked by a grid-blocked distance join and split into components
+  (``spatial.connected_components``), and each component is its own group;
+* each group runs the greedy pass in ``applyInPandas``, with a grid of cells
+  at least ``max_dist_m`` wide so a sighting is compared only with open
+  incidents in its 3x3 neighbourhood.
 
 ``incident_id`` is the source id of an incident's first sighting: unique,
 stable across re-runs and ordered like the creation order, with no global
@@ -107,21 +115,55 @@ def type_sessions(snapshots: DataFrame, type_col: str = "type", ts: str = "ts",
         "session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def site_components(rows: DataFrame, max_dist_m: float, groups: DataFrame | None = None) -> DataFrame:
+    """(type, session, lat, lon) -> component id (smallest site id) within
+    the (type, session).  ``groups`` limits the work to listed sessions."""
+    from bandcast.operators.spatial import connected_components, grid_pairs, max_abs_lat
+    sites = rows.select("type", "session", "lat", "lon", "src_id")
+    if groups is not None:
+        sites = sites.join(groups, ["type", "session"], "left_semi")
+    sites = sites.groupBy("type", "session", "lat", "lon").agg(F.min("src_id").alias("site"))
+    L = sites.select(F.col("type").alias("l_type"), F.col("session").alias("l_session"),
+                     F.col("site").alias("l_site"), F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))
+    R = sites.select(F.col("type").alias("r_type"), F.col("session").alias("r_session"),
+                     F.col("site").alias("r_site"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    bound = max_abs_lat((L, "l_lat"))
+    pairs = grid_pairs(L, R, max_dist_m, bound, "l_lat", "l_lon", "r_lat", "r_lon",
+                       keys=(("l_type", "r_type"), ("l_session", "r_session")))
+    edges = pairs.filter((F.col("dist_m") <= F.lit(float(max_dist_m))) & (F.col("l_site") < F.col("r_site"))) \
+        .select(F.col("l_site").alias("src"), F.col("r_site").alias("dst"))
+    comp = connected_components(sites.select(F.col("site").alias("id")), edges)
+    return sites.join(comp.withColumnRenamed("id", "site"), "site").select("type", "session", "lat", "lon", "component")
+
+
 def incident_lifecycles(snapshots: DataFrame, max_gap_min: float = 15.0, max_dist_m: float = 200.0,
-                        type_col: str = "type", ts: str = "ts", src: str = "src_id") -> DataFrame:
+                        type_col: str = "type", ts: str = "ts", src: str = "src_id",
+                        max_group_rows: int | None = 2_000_000) -> DataFrame:
     """Snapshots (src_id, type, lat, lon, message, ts epoch seconds) ->
     lifecycles (incident_id, type, lat, lon, start/end epoch and ISO text,
-    duration_min, message, sightings)."""
+    duration_min, message, sightings).
+
+    ``max_group_rows``: (type, session) groups above it are split into
+    distance components (0 splits every group; None never splits)."""
     rows = snapshots.select(F.col(src).alias("src_id"), F.col(type_col).alias("type"), "lat", "lon",
                             F.col("message").cast("string").alias("message"), F.col(ts).alias("ts"))
     sess = type_sessions(rows, "type", "ts", max_gap_min)
     rows = rows.join(broadcast_if_small(sess), ["type", "ts"])
+    keys = ["type", "session"]
+    if max_group_rows is not None:
+        sizes = rows.groupBy("type", "session").count()
+        big = sizes.filter(F.col("count") > F.lit(max_group_rows)).select("type", "session")
+        if not big.isEmpty():
+            comp = site_components(rows, max_dist_m, big)
+            rows = rows.join(comp, ["type", "session", "lat", "lon"], "left") \
+                .withColumn("component", F.coalesce(F.col("component"), F.lit(-1).cast("long")))
+            keys = ["type", "session", "component"]
     gap, dist = float(max_gap_min), float(max_dist_m)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return greedy_lifecycles(pdf, gap, dist)
 
-    out = rows.groupBy("type", "session").applyInPandas(run, LIFECYCLE_SCHEMA)
+    out = rows.groupBy(*keys).applyInPandas(run, LIFECYCLE_SCHEMA)
     return out.select(
         "incident_id", "type", "lat", "lon", "start_ts", "end_ts",
         to_iso(F.timestamp_seconds("start_ts")).alias("start_time_utc"),

@@ -28,3 +28,11 @@ def q_lifecycles_120(spark, d):
 def q_lifecycle_type_counts(spark, d):
     lc = incident_lifecycles(fx.incident_snapshots(spark, d), 15.0, 200.0)
     return value_counts(lc, "type")
+
+
+@register("incident_lifecycles_360m_split")
+def q_lifecycles_360_split(spark, d):
+    """Gap 360 min leaves a handful of (type, session) groups holding almost
+    every row; groups above 1,000 rows are split into exact distance
+    components before the greedy pass."""
+    return incident_lifecycles(fx.incident_snapshots(spark, d), 360.0, 200.0, max_group_rows=1000)

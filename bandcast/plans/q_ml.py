@@ -4,7 +4,7 @@ rain), chronological split, sampling, the three cascade stages, the
 8-class alternative, importances, save/load — evaluated with E and C.
 
 Rows-only checks (model outputs have no SQL oracle); determinism and
-"beats the constant baseline" are asserted in ``tests/test_training.py``.
+"beats the constant baseline" are asserted in ``tests/test_streaming_training.py``.
 Rounds are reduced from the reference's 465 (local test scale); the
 parameters are arguments of the trainers.
 """

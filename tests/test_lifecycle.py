@@ -46,17 +46,18 @@ def twin(rows, gap_min, max_m):
     return sorted((i["id"], i["type"], i["start"], i["last"], i["n"], i["msg"]) for i in done)
 
 
-def spark_result(df, gap, max_m):
-    out = incident_lifecycles(df, gap, max_m).toPandas()
+def spark_result(df, gap, max_m, split=None):
+    out = incident_lifecycles(df, gap, max_m, max_group_rows=split).toPandas()
     return sorted((int(r.incident_id), r.type, int(r.start_ts), int(r.end_ts), int(r.sightings), r.message)
                   for r in out.itertuples())
 
 
-@pytest.mark.parametrize("gap", [15.0, 120.0])
-def test_fixture_matches_twin(spark, gap):
+@pytest.mark.parametrize("gap,split", [(15.0, None), (120.0, None), (120.0, 0), (360.0, 50)])
+def test_fixture_matches_twin(spark, gap, split):
+    """``split`` forces the distance-component split of large groups."""
     snaps = fx.incident_snapshots(spark, SF001)
     rows = [tuple(r) for r in snaps.select("src_id", "type", "lat", "lon", "message", "ts").collect()]
-    assert spark_result(snaps, gap, 200.0) == twin(rows, gap, 200.0)
+    assert spark_result(snaps, gap, 200.0, split) == twin(rows, gap, 200.0)
 
 
 def test_random_matches_twin(spark):
@@ -67,6 +68,7 @@ def test_random_matches_twin(spark):
                      103.80 + rnd.random() * 0.01, f"m{i}", 1_700_000_000 + rnd.randrange(0, 6 * 3600, 60)))
     df = spark.createDataFrame(pd.DataFrame(rows, columns=["src_id", "type", "lat", "lon", "message", "ts"]))
     assert spark_result(df, 15.0, 300.0) == twin(rows, 15.0, 300.0)
+    assert spark_result(df, 15.0, 300.0, split=0) == twin(rows, 15.0, 300.0)
 
 
 def test_equal_distance_goes_to_earlier_incident(spark):

@@ -1,6 +1,6 @@
 """Aggregations.
 
-All use hash aggregation with partial (map-side) combine, so a hot key is
+All are aggregates with partial (map-side) combine, so a hot key is
 pre-aggregated on every executor before the shuffle.
 """
 
@@ -74,9 +74,12 @@ _FIXED_WIDTH = {"int", "bigint", "smallint", "tinyint", "double", "float", "bool
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], desc: bool = False) -> DataFrame:
     """One row per key, the first (or last) by an explicit order.
 
-    ``min_by(struct(rest), struct(order))`` is a hash aggregate with partial
-    combine: no sort of the whole key group, and a hot key is reduced on each
-    map task before the shuffle.
+    An aggregate, not a window: a hot key is reduced on each map task
+    (partial combine) before the shuffle.  With one order column and
+    fixed-width values it is one ``min_by`` per column (a HashAggregate);
+    otherwise ``min_by(struct(rest), struct(order))``, whose struct buffer
+    plans as a sort-based aggregate.  ``order`` must be unique within a key
+    (add a tie-breaker column) for the result to be deterministic.
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]

@@ -19,9 +19,16 @@ from bandcast.functions.scalars import fill_defaults
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only when the side is proven small."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, persist: bool = False) -> DataFrame:
+    """Hint a broadcast only when the side is proven small.
+
+    The check counts at most ``max_rows + 1`` rows (a scan stops early, so a
+    large side costs little to reject).  ``persist`` keeps a derived side
+    that the caller expects to be small, so the check and the join do not
+    compute it twice."""
+    if persist:
+        df = df.persist()
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def enrich(df: DataFrame, dim: DataFrame, key="link_id", how: str = "inner",

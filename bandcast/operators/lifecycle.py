@@ -23,7 +23,8 @@ Distribution, exact by construction:
   (``spatial.connected_components``), and each component is its own group;
 * each group runs the greedy pass in ``applyInPandas``, with a grid of cells
   at least ``max_dist_m`` wide so a sighting is compared only with open
-  incidents in its 3x3 neighbourhood.
+  incidents in its 3x3 neighbourhood; small consecutive sessions of a type
+  share one pandas call (bin-packed by their row counts).
 
 ``incident_id`` is the source id of an incident's first sighting: unique,
 stable across re-runs and ordered like the creation order, with no global
@@ -53,61 +54,75 @@ def _hav(lat1, lon1, lat2, lon2):
     return 2 * EARTH_R_M * math.atan2(math.sqrt(a), math.sqrt(1 - a))
 
 
-def greedy_lifecycles(pdf: pd.DataFrame, max_gap_min: float, max_dist_m: float) -> pd.DataFrame:
-    """The greedy pass over one independent group (pandas in, pandas out)."""
+def greedy_lifecycles(pdf: pd.DataFrame, max_gap_min: float, max_dist_m: float,
+                      segment_cols: tuple[str, ...] = ()) -> pd.DataFrame:
+    """The greedy pass (pandas in, pandas out).  With ``segment_cols`` the
+    frame holds several independent groups: it is sorted once and each
+    contiguous segment starts from an empty state."""
     cols = ["incident_id", "type", "lat", "lon", "start_ts", "end_ts", "sightings", "message"]
     if pdf.empty:
         return pd.DataFrame(columns=cols)
-    pdf = pdf.sort_values(["ts", "src_id"], kind="mergesort")
+    pdf = pdf.sort_values(list(segment_cols) + ["ts", "src_id"], kind="mergesort")
     lat = pdf["lat"].to_numpy(dtype=float)
     lon = pdf["lon"].to_numpy(dtype=float)
     ts = pdf["ts"].to_numpy()
     sid = pdf["src_id"].to_numpy()
     typ = pdf["type"].to_numpy()
     msg = pdf["message"].to_numpy()
-    bound = min(89.0, float(np.nanmax(np.abs(lat)))) if len(lat) else 0.0
+    if segment_cols:
+        keys = pdf[list(segment_cols)].to_numpy()
+        change = np.any(keys[1:] != keys[:-1], axis=1)
+        starts = np.concatenate([[0], np.nonzero(change)[0] + 1, [len(ts)]])
+    else:
+        starts = np.array([0, len(ts)])
+    bound = min(89.0, float(np.nanmax(np.abs(lat))))
     dlat = max_dist_m * 1.001 / M_PER_DEG
     dlon = dlat / math.cos(math.radians(bound))
     gap_s = max_gap_min * 60.0
 
-    inc_lat, inc_lon, start, last, count, first_id, first_msg, inc_type = [], [], [], [], [], [], [], []
-    grid: dict[tuple[int, int], list[int]] = {}
-    for i in range(len(ts)):
-        cy, cx = math.floor(lat[i] / dlat), math.floor(lon[i] / dlon)
-        best, best_d = -1, None
-        cands = []
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                cell = grid.get((cy + dy, cx + dx))
-                if cell:
-                    # drop incidents closed for good (time only moves forward)
-                    cell[:] = [k for k in cell if (ts[i] - last[k]) <= gap_s]
-                    cands.extend(cell)
-        for k in sorted(cands):                       # creation order: ties go to the earlier
-            d = _hav(lat[i], lon[i], inc_lat[k], inc_lon[k])
-            if d <= max_dist_m and (best_d is None or d < best_d):
-                best, best_d = k, d
-        if best < 0:
-            k = len(start)
-            inc_lat.append(lat[i]); inc_lon.append(lon[i]); start.append(ts[i]); last.append(ts[i])
-            count.append(1); first_id.append(sid[i]); inc_type.append(typ[i])
-            first_msg.append(msg[i] if isinstance(msg[i], str) else None)
-            grid.setdefault((cy, cx), []).append(k)
-        else:
-            last[best] = ts[i]
-            count[best] += 1
+    out_id, out_type, out_lat, out_lon, out_start, out_end, out_n, out_msg = [], [], [], [], [], [], [], []
+    for s0, s1 in zip(starts[:-1], starts[1:]):
+        inc_lat, inc_lon, start, last, count, first_id, first_msg, inc_type = [], [], [], [], [], [], [], []
+        grid: dict[tuple[int, int], list[int]] = {}
+        for i in range(s0, s1):
+            cy, cx = math.floor(lat[i] / dlat), math.floor(lon[i] / dlon)
+            best, best_d = -1, None
+            cands = []
+            for dy in (-1, 0, 1):
+                for dx in (-1, 0, 1):
+                    cell = grid.get((cy + dy, cx + dx))
+                    if cell:
+                        # drop incidents closed for good (time only moves forward)
+                        cell[:] = [k for k in cell if (ts[i] - last[k]) <= gap_s]
+                        cands.extend(cell)
+            for k in sorted(cands):                   # creation order: ties go to the earlier
+                d = _hav(lat[i], lon[i], inc_lat[k], inc_lon[k])
+                if d <= max_dist_m and (best_d is None or d < best_d):
+                    best, best_d = k, d
+            if best < 0:
+                k = len(start)
+                inc_lat.append(lat[i]); inc_lon.append(lon[i]); start.append(ts[i]); last.append(ts[i])
+                count.append(1); first_id.append(sid[i]); inc_type.append(typ[i])
+                first_msg.append(msg[i] if isinstance(msg[i], str) else None)
+                grid.setdefault((cy, cx), []).append(k)
+            else:
+                last[best] = ts[i]
+                count[best] += 1
+        out_id += first_id; out_type += inc_type; out_lat += inc_lat; out_lon += inc_lon
+        out_start += start; out_end += last; out_n += count; out_msg += first_msg
     return pd.DataFrame({
-        "incident_id": np.asarray(first_id, dtype="int64"), "type": inc_type,
-        "lat": np.asarray(inc_lat, dtype=float), "lon": np.asarray(inc_lon, dtype=float),
-        "start_ts": np.asarray(start, dtype="int64"), "end_ts": np.asarray(last, dtype="int64"),
-        "sightings": np.asarray(count, dtype="int64"), "message": first_msg,
+        "incident_id": np.asarray(out_id, dtype="int64"), "type": out_type,
+        "lat": np.asarray(out_lat, dtype=float), "lon": np.asarray(out_lon, dtype=float),
+        "start_ts": np.asarray(out_start, dtype="int64"), "end_ts": np.asarray(out_end, dtype="int64"),
+        "sightings": np.asarray(out_n, dtype="int64"), "message": out_msg,
     }, columns=cols)
 
 
 def type_sessions(snapshots: DataFrame, type_col: str = "type", ts: str = "ts",
                   max_gap_min: float = 15.0) -> DataFrame:
-    """(type, ts) -> session number; a new session after a silence > gap."""
-    d = snapshots.select(type_col, ts).distinct()
+    """(type, ts, rows) -> session number; a new session after a silence >
+    gap.  One row per poll and type: small, and carries the row counts."""
+    d = snapshots.groupBy(type_col, ts).agg(F.count(F.lit(1)).alias("rows"))
     w = Window.partitionBy(type_col).orderBy(ts)
     new = F.when(F.lag(ts).over(w).isNull() |
                  ((F.col(ts) - F.lag(ts).over(w)) / F.lit(60.0) > F.lit(float(max_gap_min))), 1).otherwise(0)
@@ -138,32 +153,41 @@ def site_components(rows: DataFrame, max_dist_m: float, groups: DataFrame | None
 
 def incident_lifecycles(snapshots: DataFrame, max_gap_min: float = 15.0, max_dist_m: float = 200.0,
                         type_col: str = "type", ts: str = "ts", src: str = "src_id",
-                        max_group_rows: int | None = 2_000_000) -> DataFrame:
+                        max_group_rows: int | None = 2_000_000, rows_per_call: int = 200_000) -> DataFrame:
     """Snapshots (src_id, type, lat, lon, message, ts epoch seconds) ->
     lifecycles (incident_id, type, lat, lon, start/end epoch and ISO text,
     duration_min, message, sightings).
 
     ``max_group_rows``: (type, session) groups above it are split into
-    distance components (0 splits every group; None never splits)."""
+    distance components (0 splits every group; None never splits).
+    ``rows_per_call``: consecutive sessions of a type are packed into one
+    pandas call of about this many rows (from the small per-session size
+    table), so thousands of tiny sessions do not pay a call each."""
     rows = snapshots.select(F.col(src).alias("src_id"), F.col(type_col).alias("type"), "lat", "lon",
                             F.col("message").cast("string").alias("message"), F.col(ts).alias("ts"))
     sess = type_sessions(rows, "type", "ts", max_gap_min)
-    rows = rows.join(broadcast_if_small(sess), ["type", "ts"])
-    keys = ["type", "session"]
+    sizes = sess.groupBy("type", "session").agg(F.sum("rows").alias("rows"))
+    w = Window.partitionBy("type").orderBy("session")
+    sizes = sizes.withColumn("bin", F.floor((F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, 0))
+                                             - F.col("rows")) / F.lit(int(rows_per_call))))
+    sess = broadcast_if_small(sess.join(sizes.select("type", "session", "bin", F.col("rows").alias("session_rows")),
+                                        ["type", "session"]), persist=True)
+    rows = rows.join(sess.select("type", "ts", "session", "bin", "session_rows"), ["type", "ts"])
+    rows = rows.withColumn("component", F.lit(-1).cast("long"))
     if max_group_rows is not None:
-        sizes = rows.groupBy("type", "session").count()
-        big = sizes.filter(F.col("count") > F.lit(max_group_rows)).select("type", "session")
+        big = sizes.filter(F.col("rows") > F.lit(max_group_rows)).select("type", "session")
         if not big.isEmpty():
             comp = site_components(rows, max_dist_m, big)
-            rows = rows.join(comp, ["type", "session", "lat", "lon"], "left") \
+            rows = rows.drop("component").join(comp, ["type", "session", "lat", "lon"], "left") \
                 .withColumn("component", F.coalesce(F.col("component"), F.lit(-1).cast("long")))
-            keys = ["type", "session", "component"]
+            # a split session's components are groups of their own
+            rows = rows.withColumn("bin", F.when(F.col("component") >= 0, -1 - F.col("session")).otherwise(F.col("bin")))
     gap, dist = float(max_gap_min), float(max_dist_m)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return greedy_lifecycles(pdf, gap, dist)
+        return greedy_lifecycles(pdf, gap, dist, ("session", "component"))
 
-    out = rows.groupBy(*keys).applyInPandas(run, LIFECYCLE_SCHEMA)
+    out = rows.drop("session_rows").groupBy("type", "bin", "component").applyInPandas(run, LIFECYCLE_SCHEMA)
     return out.select(
         "incident_id", "type", "lat", "lon", "start_ts", "end_ts",
         to_iso(F.timestamp_seconds("start_ts")).alias("start_time_utc"),

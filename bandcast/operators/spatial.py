@@ -175,7 +175,7 @@ def expand_one_hop(anchors: DataFrame, edges: DataFrame, group: str = "incident_
     """
     from bandcast.operators.joins import broadcast_if_small
     adj = edges.groupBy(F.col(link)).agg(F.collect_set(F.col(neighbor)).alias("_nbrs"))
-    j = anchors.select(group, link, *carry).join(broadcast_if_small(adj), link, "left")
+    j = anchors.select(group, link, *carry).join(broadcast_if_small(adj, persist=True), link, "left")
     own = F.array(F.col(link))
     out = j.select(group, *carry, F.explode(F.array_union(own, F.coalesce(F.col("_nbrs"), own))).alias(link))
     return out.distinct()

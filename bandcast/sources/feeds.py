@@ -236,7 +236,7 @@ def isolate_batches(raw: DataFrame, strict: Mapping[str, str], batch: Sequence[s
     keys = list(batch)
     flagged = raw.withColumn("_bad", strict_violations(raw, strict))
     bad = flagged.filter("_bad").select(*keys).distinct()
-    b = broadcast_if_small(bad)
+    b = broadcast_if_small(bad, persist=True)
     good = flagged.join(b, keys, "left_anti").drop("_bad")
     quarantined = flagged.join(b, keys, "left_semi").drop("_bad")
     return good, quarantined

@@ -249,16 +249,18 @@ def q_feed_rainfall_readings(spark, d):
 
 
 def rain_poll_docs(spark, d):
+    """Rainfall documents: readings of a poll in pages of at most ``PAGE``
+    source rows (a reading appears again, +1000, in the next poll)."""
     e = _events(spark, d)
     v = F.struct(F.concat(F.lit("S"), _s(F.col("event_id") % 25)).alias("stationId"), _s(F.col("value")).alias("value"))
     v2 = F.struct(F.concat(F.lit("S"), _s(F.col("event_id") % 25)).alias("stationId"),
                   _s(F.col("value") + 1000).alias("value"))
-    both = e.select(F.col("_bucket").alias("_poll"), "_bucket", v.alias("v")).unionByName(
-        e.select((F.col("_bucket") + 300).alias("_poll"), "_bucket", v2.alias("v")))
-    readings = both.groupBy("_poll", "_bucket").agg(F.collect_list("v").alias("data")).select(
-        "_poll", F.struct(_iso(F.col("_bucket")).alias("timestamp"), "data").alias("r"))
-    per_poll = readings.groupBy("_poll").agg(F.collect_list("r").alias("readings"))
-    return per_poll.select(_iso(F.col("_poll")).alias("snapshot_time"),
+    both = e.select(F.col("_bucket").alias("_poll"), "_bucket", "_page", v.alias("v")).unionByName(
+        e.select((F.col("_bucket") + 300).alias("_poll"), "_bucket", "_page", v2.alias("v")))
+    readings = both.groupBy("_poll", "_page", "_bucket").agg(F.collect_list("v").alias("data")).select(
+        "_poll", "_page", F.struct(_iso(F.col("_bucket")).alias("timestamp"), "data").alias("r"))
+    per_page = readings.groupBy("_poll", "_page").agg(F.collect_list("r").alias("readings"))
+    return per_page.select(_iso(F.col("_poll")).alias("snapshot_time"),
                            F.to_json(F.struct(F.struct("readings").alias("data"))).alias("json"))
 
 

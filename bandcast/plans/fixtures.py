@@ -191,3 +191,26 @@ def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> s
     ctes = [f"{n} AS ({SQL_VIEWS[n]})" for n in names]
     ctes += [f"{k} AS ({v})" for k, v in (extra or {}).items()]
     return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
+
+
+def _iso_seconds(epoch_col):
+    return F.concat(F.date_format(F.timestamp_seconds(epoch_col), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+def traffic_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The reference's own table shapes (FIXTURES.md §1), derived from the
+    driver tables: text ids and ISO snapshot times as the feeds store them."""
+    l = links(spark, d).withColumn("link_id", F.col("link_id").cast("string"))
+    e = read_table(spark, d, "events")
+    t = F.floor(F.unix_timestamp("ts")).cast("bigint")
+    speed = e.select(F.col("user_id").cast("string").alias("link_id"),
+                     (F.floor(F.col("value")).cast("int") % 10).alias("speed_band"),
+                     F.floor(F.col("value")).cast("int").alias("min_speed"),
+                     (F.floor(F.col("value")).cast("int") + 10).alias("max_speed"),
+                     _iso_seconds(t).alias("snapshot_time"))
+    inc = incident_snapshots(spark, d).select("type", "lat", "lon", "message", _iso_seconds(F.col("ts")).alias("snapshot_time"))
+    r = rain(spark, d).join(e.select(F.col("event_id").alias("src_id"), t.alias("_t")), "src_id")
+    rainfall = r.select("station_id", "value_mm", _iso_seconds(F.col("reading_ts")).alias("reading_time"),
+                        _iso_seconds(F.col("_t")).alias("snapshot_time"))
+    return {"road_links": l, "speedbands": speed, "traffic_incidents": inc,
+            "rainfall_stations": rain_stations(spark, d), "rainfall": rainfall}

@@ -177,3 +177,15 @@ def q_model_save_load(spark, d):
     return j.agg(F.count(F.lit(1)).alias("rows"),
                  F.sum(flag(F.abs(F.col("p_saved") - F.col("p_loaded")) < 1e-12)).cast("bigint").alias("identical"),
                  F.avg("p_loaded").alias("mean_prob"))
+
+
+@register("reference_chain_cascade_report")
+def q_reference_chain(spark, d):
+    """Every artifact of the reference's script chain built by ``bandcast.jobs``
+    from the traffic-shaped tables, each written and re-read, ending in the
+    cascade funnel report (rows-only)."""
+    from bandcast import jobs
+    out = os.path.join(checkpoint_dir(spark), "chain", uuid.uuid4().hex[:8])
+    res = jobs.run_all(spark, fx.traffic_tables(spark, d), out, start_ts=1704067200, days=21,
+                       maxIter=10, maxDepth=5)
+    return res["cascade_reports"]

@@ -66,9 +66,39 @@ def run_available_now(df: DataFrame, out: str, checkpoint: str, mode: str = "app
     q.awaitTermination()
 
 
+def start_every(df: DataFrame, out: str, checkpoint: str, interval: str = "5 minutes", mode: str = "append"):
+    """T1 in production: a micro-batch every poll interval; returns the query."""
+    return (df.writeStream.format("parquet").outputMode(mode).option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(processingTime=interval).start())
+
+
+def stream_ingest(raw: DataFrame, normalize, strict: dict[str, str], fact_path: str, quarantine_path: str,
+                  checkpoint: str, batch: Sequence[str] = ("snapshot_time",), entity: str | None = None,
+                  available_now: bool = True, interval: str = "5 minutes"):
+    """S14 + S15 as one streaming query per feed: every micro-batch is split
+    into polls that pass the strict casts (normalised and appended to the
+    fact table) and polls that fail (kept raw in the quarantine table).
+    A failing feed never stops the other feeds' queries."""
+    from bandcast.sources.feeds import isolate_batches
+    from bandcast.sources.tables import append_fact, write_table
+
+    def each(batch_df: DataFrame, batch_id: int) -> None:
+        good, bad = isolate_batches(batch_df, strict, batch)
+        append_fact(normalize(good), fact_path, entity=entity)
+        write_table(bad.withColumn("batch_id", F.lit(batch_id)), quarantine_path, mode="append")
+
+    w = raw.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+    q = w.start()
+    if available_now:
+        q.awaitTermination()
+    return q
+
+
 # T1 ---------------------------------------------------------------------------------
 def stream_feed(spark: SparkSession, path: str, item: T.StructType, partition: T.StructField | None = None,
-                max_files_per_trigger: int | None = None, stamp: T.StructField | None = None) -> DataFrame:
+                max_files_per_trigger: int | None = None, stamp: T.StructField | None = None,
+                multi_line: bool = False) -> DataFrame:
     """Landed page lines ``{"value": [...]}`` -> one streaming row per item.
 
     The poll stamp comes from the folder (``partition``, e.g. ``poll=<epoch>``)
@@ -79,6 +109,8 @@ def stream_feed(spark: SparkSession, path: str, item: T.StructType, partition: T
     if partition is not None:
         schema = schema.add(partition)
     r = spark.readStream.schema(schema)
+    if multi_line:                      # one pretty-printed document per file
+        r = r.option("multiLine", True)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     df = r.json(path)

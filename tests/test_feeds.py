@@ -107,3 +107,21 @@ def test_sinks_append_compact_view(spark, tmp_path):
     assert spark.sql("SELECT SUM(speed_band) AS s FROM slim_v").first().s == 14
     TB.write_table(slim, str(tmp_path / "snappy"), codec=None)
     assert spark.read.parquet(str(tmp_path / "snappy")).count() == 4
+
+
+def test_stream_ingest_quarantines_failing_poll(spark, tmp_path):
+    from pyspark.sql import types as T
+    from bandcast.streaming import streams as ST
+    root = tmp_path / "incidents"
+    good = {"Type": "Accident", "Latitude": "1.30", "Longitude": "103.8", "Message": "m"}
+    write(str(root / "snapshot=100" / "p1.json"), {"value": [good, {**good, "Message": "n"}]})
+    write(str(root / "snapshot=200" / "p1.json"), {"value": [good, {**good, "Latitude": "north"}]})
+    write(str(root / "snapshot=300" / "p1.json"), {"value": [good]})
+    raw = ST.stream_feed(spark, str(root), FD.INCIDENT_ITEM, partition=T.StructField("snapshot", T.LongType()))
+    raw = raw.withColumn("snapshot_time", F.to_timestamp(F.col("snapshot").cast("timestamp")))
+    ST.stream_ingest(raw, FD.normalize_incidents, {"Latitude": "double", "Longitude": "double"},
+                     str(tmp_path / "fact"), str(tmp_path / "quarantine"), str(tmp_path / "ckpt"))
+    fact = spark.read.parquet(str(tmp_path / "fact"))
+    assert fact.count() == 3 and fact.filter(F.col("lat").isNull()).count() == 0
+    q = spark.read.parquet(str(tmp_path / "quarantine"))
+    assert q.count() == 2 and {r.snapshot for r in q.collect()} == {200}

@@ -43,9 +43,10 @@ MULTICLASS_FEATURES = [
 
 def traffic_windows(speed: DataFrame, lo=None, hi=None, key: str = "link_id", ts: str = "snapshot_ts",
                     band: str = "speed_band", strict_step: int | None = None,
-                    chunk_seconds: int | None = None) -> DataFrame:
+                    chunk_seconds: int | str | None = "auto") -> DataFrame:
     """The ``traffic`` stage: time range first (F1, pushed to the scan), then
-    lags 1-3 and lead 3 over one window, local hour and day of week."""
+    lags 1-3 and lead 3 over one window, local hour and day of week.  By
+    default a measured hot link switches the window to the day-chunked path."""
     if lo is not None and hi is not None:
         speed = between_ts(speed, lo, hi, ts)
     base = speed.select(key, ts, F.col(band).alias("sb"))
@@ -76,7 +77,7 @@ FEATURE_KEYS = ["link_id", "snapshot_ts", "sb", "sb_tm5", "sb_tm10", "sb_tm15",
 
 
 def feature_table(speed: DataFrame, links: DataFrame, incidents: DataFrame, lo=None, hi=None,
-                  interval_strategy: str = "merge", chunk_seconds: int | None = None) -> DataFrame:
+                  interval_strategy: str = "merge", chunk_seconds: int | str | None = "auto") -> DataFrame:
     """The 21-day feature table.
 
     ``incidents`` carries (link_id, start_ts, end_ts, type); rows with a null

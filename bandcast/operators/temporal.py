@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 from bandcast.functions.scalars import flag, minutes_between, time_bucket
 
 TICK = 300
+# A key with more rows than this is processed on the time-chunked path.
+HOT_KEY_ROWS = 5_000_000
+DAY = 86400
+
+
+def hot_key_rows(df: DataFrame, key: str) -> int:
+    """Rows of the largest key (pruned scan + partial aggregate; one row back)."""
+    v = df.select(key).groupBy(key).count().agg(F.max("count")).first()[0]
+    return int(v or 0)
 
 
 # W1-W4 ---------------------------------------------------------------------
@@ -36,7 +45,8 @@ def _offset_cols(ts: str, col: str, lags: Mapping[str, int], leads: Mapping[str,
 
 def lag_lead(df: DataFrame, key: str, ts: str, col: str,
              lags: Mapping[str, int] | None = None, leads: Mapping[str, int] | None = None,
-             strict_step: int | None = None, chunk_seconds: int | None = None) -> DataFrame:
+             strict_step: int | None = None, chunk_seconds: int | str | None = None,
+             hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Row-offset LAG/LEAD per key ordered by time (W1, W2, one shared window W3).
 
     Offsets are rows, not time: an overnight gap is bridged.  With
@@ -49,9 +59,12 @@ def lag_lead(df: DataFrame, key: str, ts: str, col: str,
     offset) then get their edge-crossing values (lags of head rows, leads of
     tail rows) from one per-key window over the boundary set alone, which is
     small and holds every row those offsets can reach.  Exact, and only the
-    boundary set is shuffled by the bare key.
+    boundary set is shuffled by the bare key.  ``"auto"`` measures the
+    largest key first and chunks by day only when it exceeds ``hot_rows``.
     """
     lags, leads = dict(lags or {}), dict(leads or {})
+    if chunk_seconds == "auto":
+        chunk_seconds = DAY if hot_key_rows(df, key) > hot_rows else None
     if not chunk_seconds:
         w = Window.partitionBy(key).orderBy(ts)
         return df.withColumns(_offset_cols(ts, col, lags, leads, w, strict_step))
@@ -81,13 +94,13 @@ def lag_lead(df: DataFrame, key: str, ts: str, col: str,
 
 def lag_features(df: DataFrame, key: str = "link_id", ts: str = "snapshot_ts", col: str = "speed_band",
                  lags: Sequence[int] = (1, 2, 3), names: Sequence[str] = ("sb_tm5", "sb_tm10", "sb_tm15"),
-                 strict_step: int | None = None, chunk_seconds: int | None = None) -> DataFrame:
+                 strict_step: int | None = None, chunk_seconds: int | str | None = "auto") -> DataFrame:
     return lag_lead(df, key, ts, col, dict(zip(names, lags)), None, strict_step, chunk_seconds)
 
 
 def lead_target(df: DataFrame, key: str = "link_id", ts: str = "snapshot_ts", col: str = "speed_band",
                 n: int = 3, name: str = "y_tp15", strict_step: int | None = None,
-                chunk_seconds: int | None = None) -> DataFrame:
+                chunk_seconds: int | str | None = "auto") -> DataFrame:
     return lag_lead(df, key, ts, col, None, {name: n}, strict_step, chunk_seconds)
 
 

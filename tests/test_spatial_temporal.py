@@ -117,3 +117,14 @@ def test_first_per_key_struct_and_hash_paths(spark):
     a = {r.k: (r.s, r.v) for r in first_per_key(df, ["k"], ["o"]).collect()}
     b = {r.k: r.v for r in first_per_key(df.drop("s"), ["k"], ["o"]).collect()}
     assert a == {1: ("a", 1.0), 2: ("z", 3.0)} and b == {1: 1.0, 2: 3.0}
+
+
+def test_auto_chunking_switches_on_a_hot_key(spark):
+    rows = [(0, t, (t // 300) % 8 + 1) for t in range(0, 300 * 500, 300)] + [(1, 0, 3), (1, 300, 4)]
+    df = spark.createDataFrame(rows, "link_id long, snapshot_ts long, sb int")
+    assert TM.hot_key_rows(df, "link_id") == 500
+    spec = ({"a": 1, "b": 3}, {"y": 3})
+    plain = TM.lag_lead(df, "link_id", "snapshot_ts", "sb", *spec, chunk_seconds=None).collect()
+    auto = TM.lag_lead(df, "link_id", "snapshot_ts", "sb", *spec, chunk_seconds="auto", hot_rows=100).collect()
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(tuple, plain), key=key) == sorted(map(tuple, auto), key=key)

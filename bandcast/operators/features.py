@@ -77,7 +77,7 @@ FEATURE_KEYS = ["link_id", "snapshot_ts", "sb", "sb_tm5", "sb_tm10", "sb_tm15",
 
 
 def feature_table(speed: DataFrame, links: DataFrame, incidents: DataFrame, lo=None, hi=None,
-                  interval_strategy: str = "merge", chunk_seconds: int | str | None = "auto") -> DataFrame:
+                  interval_strategy: str = "auto", chunk_seconds: int | str | None = "auto") -> DataFrame:
     """The 21-day feature table.
 
     ``incidents`` carries (link_id, start_ts, end_ts, type); rows with a null

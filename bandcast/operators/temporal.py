@@ -156,7 +156,7 @@ def interval_bucket_rollup(intervals: DataFrame, key: str = "link_id", start: st
 # J3 ------------------------------------------------------------------------
 def interval_join(points: DataFrame, intervals: DataFrame, key: str = "link_id", ts: str = "snapshot_ts",
                   start: str = "start_ts", end: str = "end_ts", how: str = "left",
-                  strategy: str = "merge", bucket_seconds: int = 3600) -> DataFrame:
+                  strategy: str = "merge", bucket_seconds: int = 3600, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Key equality and start <= ts <= end (inclusive).
 
     ``merge``: equi-join on the key with the range as a residual predicate

@@ -189,3 +189,34 @@ def run_all(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str, sta
     out = {k: keep(k, v) for k, v in scored.items()}
     out["cascade_reports"] = keep("cascade_reports", cascade_reports(out["cascade"]))
     return out
+
+
+TABLE_NAMES = ("road_links", "speedbands", "traffic_incidents", "rainfall_stations", "rainfall")
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m bandcast.jobs --input DIR --output DIR --start EPOCH [--days 21]``
+
+    Reads ``DIR/<table>.parquet`` (or a folder / glob of that name) for the
+    five traffic tables and builds every artifact under ``--output`` (a
+    shared path on a cluster).  The session comes from the launcher."""
+    import argparse
+
+    from bandcast.session import get_session
+    from bandcast.sources.tables import read_table
+
+    p = argparse.ArgumentParser(prog="bandcast.jobs")
+    p.add_argument("--input", required=True)
+    p.add_argument("--output", required=True)
+    p.add_argument("--start", type=int, required=True, help="first snapshot epoch of the feature window")
+    p.add_argument("--days", type=int, default=21)
+    p.add_argument("--rounds", type=int, default=465, help="boosting rounds")
+    a = p.parse_args(argv)
+    spark = get_session()
+    tables = {n: read_table(spark, a.input, n) for n in TABLE_NAMES}
+    out = run_all(spark, tables, a.output, a.start, a.days, maxIter=a.rounds)
+    out["cascade_reports"].show(truncate=False)
+
+
+if __name__ == "__main__":
+    main()

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from bandcast.functions.scalars import flag, midpoint, parse_utc, time_bucket, to_epoch
 from bandcast.operators import cascade as C
-from bandcast.operators import evaluation as E
 from bandcast.operators import spatial as SP
 from bandcast.operators import training as M
 from bandcast.operators.aggregates import first_per_key

@@ -21,6 +21,8 @@ Distribution, exact by construction:
   holds more than ``max_group_rows`` rows, the sites of those groups are
   linked by a grid-blocked distance join and split into components
   (``spatial.connected_components``), and each component is its own group;
+  inside a component a silence longer than the gap closes all of its
+  incidents, so components are cut again at their own time gaps;
 * each group runs the greedy pass in ``applyInPandas``, with a grid of cells
   at least ``max_dist_m`` wide so a sighting is compared only with open
   incidents in its 3x3 neighbourhood; small consecutive sessions of a type
@@ -130,6 +132,18 @@ def type_sessions(snapshots: DataFrame, type_col: str = "type", ts: str = "ts",
         "session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def component_sessions(rows: DataFrame, max_gap_min: float) -> DataFrame:
+    """(type, session, component, ts) -> ``sub``: a time session of the
+    component (new after a silence > gap), numbered from one distinct
+    (component, ts) row per poll — small."""
+    d = rows.select("type", "session", "component", "ts").distinct()
+    w = Window.partitionBy("type", "session", "component").orderBy("ts")
+    new = F.when(F.lag("ts").over(w).isNull() |
+                 ((F.col("ts") - F.lag("ts").over(w)) / F.lit(60.0) > F.lit(float(max_gap_min))), 1).otherwise(0)
+    return d.withColumn("_new", new).withColumn(
+        "sub", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 def site_components(rows: DataFrame, max_dist_m: float, groups: DataFrame | None = None) -> DataFrame:
     """(type, session, lat, lon) -> component id (smallest site id) within
     the (type, session).  ``groups`` limits the work to listed sessions."""
@@ -180,12 +194,17 @@ def incident_lifecycles(snapshots: DataFrame, max_gap_min: float = 15.0, max_dis
             comp = site_components(rows, max_dist_m, big)
             rows = rows.drop("component").join(comp, ["type", "session", "lat", "lon"], "left") \
                 .withColumn("component", F.coalesce(F.col("component"), F.lit(-1).cast("long")))
-            # a split session's components are groups of their own
-            rows = rows.withColumn("bin", F.when(F.col("component") >= 0, -1 - F.col("session")).otherwise(F.col("bin")))
+            # Inside a component a silence longer than the gap closes all of its
+            # incidents too: split each component by its own time sessions.
+            sub = component_sessions(rows.filter(F.col("component") >= 0), max_gap_min)
+            rows = rows.join(broadcast_if_small(sub, persist=True), ["type", "session", "component", "ts"], "left")
+            # a split session's (component, sub-session) pieces are groups of their own
+            rows = rows.withColumn("bin", F.when(F.col("component") >= 0, -1 - F.col("sub")).otherwise(F.col("bin"))) \
+                .drop("sub")
     gap, dist = float(max_gap_min), float(max_dist_m)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return greedy_lifecycles(pdf, gap, dist, ("session", "component"))
+        return greedy_lifecycles(pdf, gap, dist, ("session", "component", "bin"))
 
     out = rows.drop("session_rows").groupBy("type", "bin", "component").applyInPandas(run, LIFECYCLE_SCHEMA)
     return out.select(

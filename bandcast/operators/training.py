@@ -62,12 +62,16 @@ def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler
 # for tests; depth 8 and the learning rates kept).
 GATE_PARAMS = {"stepSize": 0.08, "maxDepth": 8, "maxIter": 465, "subsamplingRate": 0.84}
 SPECIALIST_PARAMS = {"stepSize": 0.05, "maxDepth": 8, "maxIter": 465, "subsamplingRate": 0.84}
+# Hundreds of boosting rounds grow a long lineage: checkpoint every 10
+# rounds into the shared checkpoint folder, and cache node ids between
+# rounds so deep trees are not re-traversed.
+SCALE_PARAMS = {"checkpointInterval": 10, "cacheNodeIds": True}
 
 
 def fit_classifier(df: DataFrame, features: Sequence[str], label_col: str = "label", weight: str | None = None,
                    seed: int = 42, **params) -> PipelineModel:
     """M7: boosted binary classifier (GBT, logistic loss)."""
-    p = {**GATE_PARAMS, **params}
+    p = {**GATE_PARAMS, **SCALE_PARAMS, **params}
     gbt = GBTClassifier(featuresCol="features", labelCol=label_col, seed=seed, featureSubsetStrategy="0.64",
                         maxBins=64, **p)
     if weight:
@@ -78,7 +82,7 @@ def fit_classifier(df: DataFrame, features: Sequence[str], label_col: str = "lab
 def fit_regressor(df: DataFrame, features: Sequence[str], label_col: str = "label", weight: str | None = None,
                   seed: int = 42, **params) -> PipelineModel:
     """M8: boosted regressor, squared error."""
-    p = {**SPECIALIST_PARAMS, **params}
+    p = {**SPECIALIST_PARAMS, **SCALE_PARAMS, **params}
     gbt = GBTRegressor(featuresCol="features", labelCol=label_col, seed=seed, lossType="squared",
                        featureSubsetStrategy="0.64", maxBins=64, **p)
     if weight:
@@ -91,12 +95,12 @@ def fit_multiclass(df: DataFrame, features: Sequence[str], label_col: str = "lab
     """M9: 8-class model; random forest by default, one-vs-rest GBT optional."""
     if method == "ovr":
         gbt = GBTClassifier(featuresCol="features", labelCol=label_col, seed=seed,
-                            **{**GATE_PARAMS, **params})
+                            **{**GATE_PARAMS, **SCALE_PARAMS, **params})
         est = OneVsRest(classifier=gbt, featuresCol="features", labelCol=label_col)
         if weight:
             est.setWeightCol(weight)
     else:
-        p = {"numTrees": 50, "maxDepth": 8, "subsamplingRate": 0.84, **params}
+        p = {"numTrees": 50, "maxDepth": 8, "subsamplingRate": 0.84, **SCALE_PARAMS, **params}
         est = RandomForestClassifier(featuresCol="features", labelCol=label_col, seed=seed, maxBins=64, **p)
         if weight:
             est.setWeightCol(weight)

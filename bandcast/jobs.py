@@ -22,7 +22,7 @@ from bandcast.functions.scalars import flag, midpoint, parse_utc, time_bucket, t
 from bandcast.operators import cascade as C
 from bandcast.operators import spatial as SP
 from bandcast.operators import training as M
-from bandcast.operators.aggregates import first_per_key
+from bandcast.operators.aggregates import dense_ids, first_per_key
 from bandcast.operators.features import FEATURES, feature_table, model_frame
 from bandcast.operators.filters import row_class, split_side
 from bandcast.operators.joins import broadcast_if_small
@@ -59,7 +59,9 @@ def incidents_cleaned(traffic_incidents: DataFrame, max_gap_min: float = 15.0, m
     t = traffic_incidents.withColumn("ts", to_epoch(parse_utc("snapshot_time")))
     w = Window.partitionBy("ts").orderBy("type", "lat", "lon", "message")
     t = t.withColumn("src_id", F.col("ts") * 100000 + F.row_number().over(w))
-    return incident_lifecycles(t, max_gap_min, max_dist_m, **kw)
+    lc = incident_lifecycles(t, max_gap_min, max_dist_m, **kw)
+    # 1..N in creation order (first sighting time, then source order)
+    return dense_ids(lc, ["start_ts", "incident_id"], out="incident_seq")
 
 
 def link_neighbors(links: DataFrame, max_m: float = 200.0) -> DataFrame:

@@ -100,3 +100,24 @@ def row_count(df: DataFrame, cond: Column | None = None, name: str = "rows") ->
     if cond is None:
         return df.agg(F.count(F.lit(1)).alias(name))
     return df.agg(F.sum(F.when(cond, 1).otherwise(0)).cast("bigint").alias(name))
+
+
+def dense_ids(df: DataFrame, order: Sequence[str], out: str = "seq") -> DataFrame:
+    """Dense 1..N numbering in a total ``order`` without a global window.
+
+    ``orderBy`` range-partitions and sorts; ``monotonically_increasing_id``
+    then increases within each partition; one row per partition (first id
+    and row count) comes back to build offsets, which join back by
+    broadcast.  No single task sees all rows.  ``order`` must be total.
+    """
+    s = df.orderBy(*order).withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
+    s = s.persist()
+    parts = s.groupBy("_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n")).collect()
+    rows, offset = [], 0
+    for pid, first, n in sorted((r["_pid"], r["_first"], r["_n"]) for r in parts):
+        rows.append((pid, first, offset))
+        offset += n
+    offs = df.sparkSession.createDataFrame(rows, "_pid int, _first long, _off long")
+    out_df = s.join(F.broadcast(offs), "_pid")          # one row per partition: bounded by the partition count
+    return out_df.withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1) \
+        .drop("_pid", "_mid", "_first", "_off")

@@ -132,3 +132,12 @@ def q_top_k(spark, d):
     SELECT link_id, road_name FROM links ORDER BY ({R.portable_hash_sql(['link_id'])}), link_id LIMIT 5""", "links"))
 def q_hash_take(spark, d):
     return R.hash_take(fx.links(spark, d).select("link_id", "road_name"), 5, ["link_id"])
+
+
+@register("dense_creation_order", with_views("""
+    SELECT src_id, ts, CAST(ROW_NUMBER() OVER (ORDER BY ts, src_id) AS BIGINT) AS seq FROM incident_snapshots""",
+                                             "incident_snapshots"))
+def q_dense_creation_order(spark, d):
+    """Dense ids in time order over the whole table, distributed."""
+    from bandcast.operators.aggregates import dense_ids
+    return dense_ids(fx.incident_snapshots(spark, d).select("src_id", "ts"), ["ts", "src_id"])

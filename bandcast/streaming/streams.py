@@ -213,6 +213,8 @@ def _lifecycle_step(max_gap_min: float, max_dist_m: float):
             state.setTimeoutTimestamp(int(max(min(nxt), wm) * 1000) + 1)
         else:
             state.remove()
+        if not closed:
+            return
         yield pd.DataFrame({
             "incident_id": [i[0] for i in closed], "type": [typ] * len(closed),
             "lat": [i[1] for i in closed], "lon": [i[2] for i in closed],

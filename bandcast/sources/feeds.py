@@ -204,17 +204,19 @@ def normalize_rainfall(text: DataFrame, col: str = "json", ts: str = "snapshot_t
 def update_by_key(dim: DataFrame, upd: DataFrame, key: str, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """UPDATE dim SET cols WHERE key matches, only for update rows whose
     listed values are all truthy (0.0 and '' are skipped, as the reference's
-    ``if lat and lon``).  Returns (new dim, one-row count of updated keys)."""
+    ``if lat and lon``).  Returns (new dim, one-row count of the updates
+    that hit an existing row)."""
     cols = list(cols)
     truthy = F.lit(True)
     for c in cols:
         truthy = truthy & F.col(c).isNotNull() & (F.col(c).cast("string") != "") & (F.col(c).cast("double") != 0.0)
-    u = upd.filter(truthy).select(F.col(key), *[F.col(c).alias(f"_u_{c}") for c in cols])
-    u = first_per_key(u, [key], [f"_u_{c}" for c in cols], desc=True)   # last update of a key wins
+    ok = upd.filter(truthy).select(F.col(key), *[F.col(c).alias(f"_u_{c}") for c in cols])
+    u = first_per_key(ok, [key], [f"_u_{c}" for c in cols], desc=True)   # a key updated twice: one version kept
     j = dim.join(u, key, "left")
     new = j.select(*[F.coalesce(F.col(f"_u_{c}").cast(t), F.col(c)).alias(c) if c in cols else F.col(c)
                      for c, t in dim.dtypes])
-    cnt = j.agg(F.count(F.col(f"_u_{cols[0]}")).alias("updated"))
+    # one count per UPDATE that hit an existing row (a key listed twice counts twice)
+    cnt = ok.join(dim.select(key), key, "left_semi").agg(F.count(F.lit(1)).alias("updated"))
     return new, cnt
 
 

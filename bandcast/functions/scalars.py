@@ -104,8 +104,9 @@ def to_epoch(c) -> Column:
 
 
 def to_iso(c) -> Column:
-    """TIMESTAMP -> ISO-8601 text with offset (session zone is UTC)."""
-    return F.date_format(_c(c), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    """TIMESTAMP -> ISO-8601 text with a numeric offset, ``+00:00`` in UTC
+    (Python's ``isoformat``; the ``X`` pattern would print ``Z``)."""
+    return F.date_format(_c(c), "yyyy-MM-dd'T'HH:mm:ssxxx")
 
 
 def local_hour(epoch, offset_hours: int = SGT_OFFSET_HOURS, tz: str | None = None) -> Column:

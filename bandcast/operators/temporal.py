@@ -108,9 +108,11 @@ def lead_target(df: DataFrame, key: str = "link_id", ts: str = "snapshot_ts", co
 def expand_buckets(intervals: DataFrame, start: str = "start_ts", end: str = "end_ts",
                    step: int = TICK, out: str = "snapshot_ts") -> DataFrame:
     """One row per step bucket touched by [start, end], both end buckets
-    included; the first bucket is floored below the start."""
+    included; the first bucket is floored below the start.  An interval
+    whose end bucket precedes its start bucket yields no rows (an empty
+    range, as in the reference)."""
     sb, eb = time_bucket(start, step), time_bucket(end, step)
-    return intervals.withColumn(out, F.explode(F.sequence(sb, F.greatest(sb, eb), F.lit(step).cast("bigint"))))
+    return intervals.filter(eb >= sb).withColumn(out, F.explode(F.sequence(sb, eb, F.lit(step).cast("bigint"))))
 
 
 # The incident categories that get their own flag.

@@ -149,7 +149,7 @@ def q_impacted_links(spark, d):
            CAST(MAX(CASE WHEN type = 'Vehicle breakdown' THEN 1 ELSE 0 END) AS INTEGER) AS nearby_breakdown,
            (snapshot_ts - MAX(start_ts)) / 60e0 AS mins_since_nearby_start
     FROM (SELECT link_id, type, start_ts,
-                 UNNEST(generate_series(start_ts // 300 * 300, GREATEST(start_ts // 300 * 300, end_ts // 300 * 300), 300)) AS snapshot_ts
+                 UNNEST(generate_series(start_ts // 300 * 300, end_ts // 300 * 300, 300)) AS snapshot_ts
           FROM impacted)
     GROUP BY link_id, snapshot_ts""", "links", "incident_snapshots", extra={**SPATIAL_CTES, "impacted": IMPACTED_SQL}))
 def q_incident_nearby_buckets(spark, d):

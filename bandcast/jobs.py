@@ -27,7 +27,7 @@ from bandcast.operators.features import FEATURES, feature_table, model_frame
 from bandcast.operators.filters import row_class, split_side
 from bandcast.operators.joins import broadcast_if_small
 from bandcast.operators.lifecycle import incident_lifecycles
-from bandcast.operators.sampling import balanced, chrono_split, keep_or_sample
+from bandcast.operators.sampling import balanced, chrono_split, hash_sample, keep_or_sample
 from bandcast.operators.temporal import asof_join, interval_bucket_rollup
 from bandcast.sources.tables import write_table
 
@@ -131,15 +131,23 @@ def master_features(feats: DataFrame, mapping: DataFrame, rainfall: DataFrame, t
 
 
 def train_and_score(master: DataFrame, links: DataFrame, buckets: DataFrame, model_dir: str,
-                    sample_frac: float = 0.1, per_class: int = 500_000, **gbt) -> dict[str, DataFrame]:
-    """Split 80/20 by time, train the gatekeeper, router and both specialists,
-    save them, and return the scored test set with the cascade applied."""
+                    sample_frac: float = 0.1, per_class: int = 500_000, eval_frac: float = 1.0,
+                    **gbt) -> dict[str, DataFrame]:
+    """Split 80/20 by time, train the gatekeeper (incident rows + a
+    ``sample_frac`` hash sample), the router (a ``sample_frac`` sample of
+    changed rows) and both specialists (balanced, ``per_class`` each), save
+    them, and return the scored test set with the cascade applied.
+    ``eval_frac`` < 1 evaluates a hash sample of the test rows (the reference
+    used 0.1); the default keeps every test row."""
     frame, feats = M.impute(model_frame(master, links, buckets), FEATURES)
     t = chrono_split(frame)
     train, test = split_side(frame, t, "train"), split_side(frame, t, "test")
+    if eval_frac < 1.0:
+        test = hash_sample(test, KEYS, eval_frac, seed=7)
     gate = M.fit_classifier(M.label(keep_or_sample(train, F.col("incident_nearby") == 1, KEYS, sample_frac),
                                     "change"), feats, **gbt)
-    router = M.fit_classifier(M.label(row_class(train, "change"), "direction"), feats, **gbt)
+    router = M.fit_classifier(M.label(hash_sample(row_class(train, "change"), KEYS, sample_frac), "direction"),
+                              feats, **gbt)
     spec = {}
     for name, kind, cls in (("descent", "drop", "fall"), ("ascent", "rise", "rise")):
         both = row_class(train, cls).withColumn("_c", F.lit(1)).unionByName(
@@ -166,7 +174,7 @@ def cascade_reports(cascade: DataFrame) -> DataFrame:
 
 
 def run_all(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str, start_ts: int, days: int = 21,
-            **gbt) -> dict[str, DataFrame]:
+            sample_frac: float = 0.1, **gbt) -> dict[str, DataFrame]:
     """Build every artifact in order; each is written to ``out_dir`` and
     re-read before the next stage uses it.  ``tables``: road_links,
     speedbands, traffic_incidents, rainfall_stations, rainfall."""
@@ -186,7 +194,7 @@ def run_all(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str, sta
     keep("weather_features", weather_features(mapping, tables["rainfall"]))
     feats = keep("features", features(speed, links, mapped, start_ts, days))
     master = keep("master_features", master_features(feats, mapping, tables["rainfall"]))
-    scored = train_and_score(master, links, buckets, os.path.join(out_dir, "models"), **gbt)
+    scored = train_and_score(master, links, buckets, os.path.join(out_dir, "models"), sample_frac=sample_frac, **gbt)
     out = {k: keep(k, v) for k, v in scored.items()}
     out["cascade_reports"] = keep("cascade_reports", cascade_reports(out["cascade"]))
     return out

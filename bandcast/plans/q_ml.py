@@ -187,5 +187,5 @@ def q_reference_chain(spark, d):
     from bandcast import jobs
     out = os.path.join(checkpoint_dir(spark), "chain", uuid.uuid4().hex[:8])
     res = jobs.run_all(spark, fx.traffic_tables(spark, d), out, start_ts=1704067200, days=21,
-                       maxIter=10, maxDepth=5)
+                       sample_frac=0.5, maxIter=10, maxDepth=5)
     return res["cascade_reports"]

@@ -10,7 +10,8 @@ from tests.conftest import SF001
 
 def test_run_all(spark, tmp_path):
     tables = fx.traffic_tables(spark, SF001)
-    out = jobs.run_all(spark, tables, str(tmp_path), start_ts=1704067200, days=21, maxIter=5, maxDepth=3)
+    out = jobs.run_all(spark, tables, str(tmp_path), start_ts=1704067200, days=21, sample_frac=0.5,
+                       maxIter=5, maxDepth=3)
     for name in ["road_links", "speedbands_export", "incidents_cleaned", "link_neighbors_200m",
                  "incidents_road_mapped", "incident_impacted_links_200m", "incident_nearby_buckets_200m",
                  "link_station_mapping", "weather_features", "features", "master_features", "cascade_reports"]:

@@ -186,22 +186,32 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str = "link_id",
 # J13 -----------------------------------------------------------------------
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str,
               right_cols: Sequence[str], tolerance: int | None = None,
-              chunk_seconds: int | None = None) -> DataFrame:
+              chunk_seconds: int | str | None = None, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Backward as-of join: for each left row, the latest right row of the same
     key with right_ts <= left_ts (and left_ts - right_ts <= tolerance).
 
     Both sides are unioned and ``last(..., ignorenulls)`` runs over one window
     ordered by time, right rows before left rows at equal times: no pairs
-    are formed.  With a tolerance the window is partitioned by (key, chunk)
-    with chunk >= tolerance and every right row is also copied into the next
-    chunk, so a hot key is split by time and the answer stays exact.
+    are formed.  The window is partitioned by (key, time chunk) so a hot key
+    is split by time, exactly:
+    * with a tolerance, chunk >= tolerance and every right row is also
+      copied into the next chunk (the match is at most one chunk back);
+    * without one (``chunk_seconds`` given), the last right row of each
+      (key, chunk) is found by an aggregate, the latest one before each
+      chunk is carried forward by a per-key window over that small chunk
+      table, and injected at the start of the chunk.
+    With neither, one window per key.  ``"auto"`` chunks by day when the left
+    side's largest key exceeds ``hot_rows``.
     """
     right_cols = list(right_cols)
+    if chunk_seconds == "auto":
+        chunk_seconds = DAY if hot_key_rows(left, key) > hot_rows else None
     lcols = left.columns
+    rtypes = dict(right.select(right_cols).dtypes)
     l = left.select(*[F.col(c) for c in lcols],
                     F.col(key).alias("_k"), F.col(left_ts).cast("bigint").alias("_t"),
                     F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_rt"),
-                    *[F.lit(None).cast(t).alias(f"_r_{c}") for c, t in right.select(right_cols).dtypes])
+                    *[F.lit(None).cast(rtypes[c]).alias(f"_r_{c}") for c in right_cols])
     r = right.select(*[F.lit(None).cast(t).alias(c) for c, t in left.dtypes],
                      F.col(key).alias("_k"), F.col(right_ts).cast("bigint").alias("_t"),
                      F.lit(0).alias("_side"), F.col(right_ts).cast("bigint").alias("_rt"),
@@ -212,6 +222,22 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
         l = l.withColumn("_chunk", F.floor(F.col("_t") / c))
         r = r.withColumn("_chunk", F.explode(F.array(F.floor(F.col("_t") / c), F.floor(F.col("_t") / c) + 1)))
         part.append("_chunk")
+    elif chunk_seconds:
+        c = int(chunk_seconds)
+        l = l.withColumn("_chunk", F.floor(F.col("_t") / c))
+        r = r.withColumn("_chunk", F.floor(F.col("_t") / c))
+        vals = F.struct(F.col("_rt"), *[F.col(f"_r_{x}") for x in right_cols])
+        last = r.groupBy("_k", "_chunk").agg(F.max_by(vals, F.col("_rt")).alias("_m"))
+        chunks = l.select("_k", "_chunk").distinct().join(last, ["_k", "_chunk"], "full")
+        wc = Window.partitionBy("_k").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        carry = chunks.withColumn("_carry", F.last("_m", ignorenulls=True).over(wc)) \
+            .filter(F.col("_carry").isNotNull())
+        injected = carry.select(*[F.lit(None).cast(t).alias(x) for x, t in left.dtypes], "_k",
+                                F.col("_carry._rt").alias("_t"), F.lit(0).alias("_side"),
+                                F.col("_carry._rt").alias("_rt"),
+                                *[F.col(f"_carry._r_{x}").alias(f"_r_{x}") for x in right_cols], "_chunk")
+        r = r.unionByName(injected)
+        part.append("_chunk")
     u = l.unionByName(r)
     w = Window.partitionBy(*part).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     u = u.withColumn("_m", F.when(F.col("_rt").isNotNull(), F.struct(

@@ -213,5 +213,8 @@ def q_rain_asof(spark, d):
 def q_rain_asof_unbounded(spark, d):
     m = station_mapping(spark, d).select("link_id", F.col("nearest_station_id").alias("station_id"))
     s = fx.speedbands(spark, d).select("link_id", "snapshot_ts").join(m, "link_id")
-    out = asof_join(s, rain_readings(spark, d), "station_id", "snapshot_ts", "reading_ts", ["value_mm"])
+    # unbounded look-back; a measured hot station switches to day chunks with
+    # the latest earlier reading carried into each day (exact, see tests)
+    out = asof_join(s, rain_readings(spark, d), "station_id", "snapshot_ts", "reading_ts", ["value_mm"],
+                    chunk_seconds="auto")
     return out.select("link_id", "snapshot_ts", F.col("value_mm").alias("rain_mm"), "reading_ts_matched")

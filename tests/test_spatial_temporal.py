@@ -128,3 +128,19 @@ def test_auto_chunking_switches_on_a_hot_key(spark):
     auto = TM.lag_lead(df, "link_id", "snapshot_ts", "sb", *spec, chunk_seconds="auto", hot_rows=100).collect()
     key = lambda r: tuple(-1 if x is None else x for x in r)
     assert sorted(map(tuple, plain), key=key) == sorted(map(tuple, auto), key=key)
+
+
+def test_asof_unbounded_chunked_equals_brute_force(spark):
+    rnd = random.Random(11)
+    left = [(rnd.randrange(3), rnd.randrange(0, 50000)) for _ in range(300)]
+    right = {(rnd.randrange(3), rnd.randrange(0, 50000)): rnd.random() for _ in range(40)}   # sparse: long carries
+    l = spark.createDataFrame(left, "k long, t long")
+    r = spark.createDataFrame([(k, t, v) for (k, t), v in right.items()], "k long, rt long, v double")
+    want = []
+    for k, t in left:
+        c = [(rt, v) for (k2, rt), v in right.items() if k2 == k and rt <= t]
+        want.append((k, t, max(c)[1] if c else None))
+    key = lambda r: (r[0], r[1], -1 if r[2] is None else r[2])
+    for chunk in (None, 1000, 7000):
+        got = TM.asof_join(l, r, "k", "t", "rt", ["v"], chunk_seconds=chunk).select("k", "t", "v").collect()
+        assert sorted(map(tuple, got), key=key) == sorted(want, key=key), chunk

@@ -121,15 +121,39 @@ def greedy_lifecycles(pdf: pd.DataFrame, max_gap_min: float, max_dist_m: float,
 
 
 def type_sessions(snapshots: DataFrame, type_col: str = "type", ts: str = "ts",
-                  max_gap_min: float = 15.0) -> DataFrame:
+                  max_gap_min: float = 15.0, chunk_seconds: int | str | None = "auto") -> DataFrame:
     """(type, ts, rows) -> session number; a new session after a silence >
-    gap.  One row per poll and type: small, and carries the row counts."""
+    gap.  One row per poll and type: small for polled feeds.
+
+    With continuous timestamps a busy type could dominate this table, so
+    ``chunk_seconds`` (or ``"auto"``, measured) numbers sessions by time
+    chunk: the previous time comes from the exact chunked ``lag_lead``, the
+    session number is a running sum inside the chunk plus the total of the
+    type's earlier chunks (a small per-(type, chunk) table).
+    """
+    from bandcast.operators.temporal import DAY, HOT_KEY_ROWS, hot_key_rows, lag_lead
     d = snapshots.groupBy(type_col, ts).agg(F.count(F.lit(1)).alias("rows"))
-    w = Window.partitionBy(type_col).orderBy(ts)
-    new = F.when(F.lag(ts).over(w).isNull() |
-                 ((F.col(ts) - F.lag(ts).over(w)) / F.lit(60.0) > F.lit(float(max_gap_min))), 1).otherwise(0)
-    return d.withColumn("_new", new).withColumn(
-        "session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    if chunk_seconds == "auto":
+        d = d.persist()                                    # measured, then used: computed once
+        chunk_seconds = DAY if hot_key_rows(d, type_col) > HOT_KEY_ROWS else None
+    gap = F.lit(float(max_gap_min))
+    if not chunk_seconds:
+        w = Window.partitionBy(type_col).orderBy(ts)
+        new = F.when(F.lag(ts).over(w).isNull() | ((F.col(ts) - F.lag(ts).over(w)) / F.lit(60.0) > gap), 1).otherwise(0)
+        return d.withColumn("_new", new).withColumn(
+            "session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    x = lag_lead(d, type_col, ts, ts, {"_prev": 1}, chunk_seconds=chunk_seconds)
+    x = x.withColumns({
+        "_new": F.when(F.col("_prev").isNull() | ((F.col(ts) - F.col("_prev")) / F.lit(60.0) > gap), 1).otherwise(0),
+        "_chunk": F.floor(F.col(ts) / F.lit(int(chunk_seconds))),
+    })
+    wi = Window.partitionBy(type_col, "_chunk").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_within", F.sum("_new").over(wi))
+    tot = x.groupBy(type_col, "_chunk").agg(F.sum("_new").alias("_tot"))
+    wo = Window.partitionBy(type_col).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.withColumn("_off", F.coalesce(F.sum("_tot").over(wo), F.lit(0))).drop("_tot")
+    return x.join(off, [type_col, "_chunk"]).withColumn("session", F.col("_off") + F.col("_within")) \
+        .drop("_prev", "_new", "_chunk", "_within", "_off")
 
 
 def component_sessions(rows: DataFrame, max_gap_min: float) -> DataFrame:

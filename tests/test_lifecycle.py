@@ -81,3 +81,14 @@ def test_equal_distance_goes_to_earlier_incident(spark):
     got = spark_result(df, 15.0, 150.0)
     assert got == twin(rows, 15.0, 150.0)
     assert [g[4] for g in got] == [2, 1]
+
+
+def test_type_sessions_chunked_equal_plain(spark):
+    from bandcast.operators.lifecycle import type_sessions
+    snaps = fx.incident_snapshots(spark, SF001)
+    for gap in (15.0, 120.0):
+        a = sorted(tuple(r) for r in type_sessions(snaps, max_gap_min=gap, chunk_seconds=None)
+                   .select("type", "ts", "session").collect())
+        b = sorted(tuple(r) for r in type_sessions(snaps, max_gap_min=gap, chunk_seconds=3600)
+                   .select("type", "ts", "session").collect())
+        assert a == b

@@ -18,3 +18,9 @@ def test_bench_prints_one_json_line():
     assert {"metric", "value", "unit", "queries", "sf"} <= set(d)
     assert d["unit"] == "sec" and set(d["queries"]) == {"change_rate_by_hour", "threshold_sweep"}
     assert abs(d["value"] - sum(d["queries"].values())) < 0.01
+
+
+def test_chain_launcher_help():
+    out = subprocess.run([sys.executable, os.path.join(ROOT, "run_chain.py"), "--help"],
+                         capture_output=True, text=True, timeout=120, cwd="/tmp")
+    assert out.returncode == 0 and "--input" in out.stdout and "--start" in out.stdout

@@ -62,8 +62,9 @@ def ship_package(spark: SparkSession) -> None:
     The package is zipped once per application on the driver and handed to
     ``SparkContext.addPyFile``, which serves it to every executor — the same
     as ``--py-files`` on spark-submit."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    sc = _context(spark)
+    app = sc.applicationId if sc is not None else f"connect-{id(spark)}"
+    if app in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
@@ -74,8 +75,11 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(d, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(out)
-    _SHIPPED.add(sc.applicationId)
+    if sc is not None:
+        sc.addPyFile(out)
+    else:
+        spark.addArtifacts(out, pyfile=True)                  # Spark Connect equivalent
+    _SHIPPED.add(app)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -89,10 +93,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="bandcast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    sc = _context(spark)
+    if sc is not None:                 # Spark Connect: the server reads spark.checkpoint.dir
+        sc.setCheckpointDir(d)
     return d
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None under Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions have no SparkContext
+        return None
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
     checkpoint_dir(df.sparkSession)

@@ -18,16 +18,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandcast.llm.common import ascii_lower, broadcast_if_small, prepare, text_or_empty, written
+from bandcast.llm.common import LOWER, UPPER, broadcast_if_small, prepare, text_or_empty, written
 
-BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BREAKS = "".join(chr(c) for r in ((0, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)) for c in range(r[0], r[1] + 1))
 SHINGLE = 4
 WINDOW = 13
 
 
 def words_of(text: str) -> Column:
-    clean = F.trim(F.regexp_replace(ascii_lower(text_or_empty(text)), BREAK, " "))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " ", -1))
+    """Every break character becomes a space and A-Z a-z in one go; what stands between spaces is a word."""
+    clean = F.translate(text_or_empty(text), UPPER + _BREAKS, LOWER + " " * len(_BREAKS))
+    return F.array_remove(F.split(clean, " ", -1), "")
 
 
 def _shingle(words: Column, at: Column, k) -> Column:

@@ -58,7 +58,7 @@ def incidents_cleaned(traffic_incidents: DataFrame, max_gap_min: float = 15.0, m
     row content: a row number per poll (one poll per window partition)."""
     t = traffic_incidents.withColumn("ts", to_epoch(parse_utc("snapshot_time")))
     w = Window.partitionBy("ts").orderBy("type", "lat", "lon", "message")
-    t = t.withColumn("src_id", F.col("ts") * 100000 + F.row_number().over(w))
+    t = t.withColumn("src_id", F.col("ts") * (1 << 31) + F.row_number().over(w))
     lc = incident_lifecycles(t, max_gap_min, max_dist_m, **kw)
     # 1..N in creation order (first sighting time, then source order)
     return dense_ids(lc, ["start_ts", "incident_id"], out="incident_seq")

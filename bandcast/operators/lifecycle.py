@@ -56,6 +56,44 @@ def _hav(lat1, lon1, lat2, lon2):
     return 2 * EARTH_R_M * math.atan2(math.sqrt(a), math.sqrt(1 - a))
 
 
+class OpenIncidents:
+    """The greedy matching core of W5 and T3: each sighting joins the nearest
+    incident (ties: the earlier one) that is near enough and not yet silent
+    for longer than the gap, or founds a new one.  Incidents are indexed by
+    grid cells at least as wide as the distance; time only moves forward."""
+
+    def __init__(self, max_gap_min: float, max_dist_m: float, lat_bound: float = 89.0):
+        self.gap_s, self.max_dist_m = max_gap_min * 60.0, max_dist_m
+        self.dlat = max_dist_m * 1.001 / M_PER_DEG
+        self.dlon = self.dlat / math.cos(math.radians(lat_bound))
+        self.rows: list[list] = []              # id, type, lat, lon, start, end, sightings, message
+        self.grid: dict[tuple[int, int], list[int]] = {}
+
+    def put(self, row: list) -> None:
+        cell = math.floor(row[2] / self.dlat), math.floor(row[3] / self.dlon)
+        self.grid.setdefault(cell, []).append(len(self.rows))
+        self.rows.append(row)
+
+    def sight(self, sid, typ, lat, lon, ts, message) -> None:
+        cy, cx = math.floor(lat / self.dlat), math.floor(lon / self.dlon)
+        near = []
+        for cell in ((cy + dy, cx + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)):
+            if members := self.grid.get(cell):
+                members[:] = [k for k in members if ts - self.rows[k][5] <= self.gap_s]
+                near += [(d, k) for k in members if (d := _hav(lat, lon, *self.rows[k][2:4])) <= self.max_dist_m]
+        if near:
+            row = self.rows[min(near)[1]]
+            row[5], row[6] = ts, row[6] + 1
+        else:
+            self.put([sid, typ, lat, lon, ts, ts, 1, message if isinstance(message, str) else None])
+
+
+def lifecycle_frame(rows: list[list]) -> pd.DataFrame:
+    names = ["incident_id", "type", "lat", "lon", "start_ts", "end_ts", "sightings", "message"]
+    kinds = ["int64", object, float, float, "int64", "int64", "int64", object]
+    return pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=t) for k, (n, t) in enumerate(zip(names, kinds))}, columns=names)
+
+
 def greedy_lifecycles(pdf: pd.DataFrame, max_gap_min: float, max_dist_m: float,
                       segment_cols: tuple[str, ...] = ()) -> pd.DataFrame:
     """The greedy pass (pandas in, pandas out).  With ``segment_cols`` the
@@ -78,46 +116,13 @@ def greedy_lifecycles(pdf: pd.DataFrame, max_gap_min: float, max_dist_m: float,
     else:
         starts = np.array([0, len(ts)])
     bound = min(89.0, float(np.nanmax(np.abs(lat))))
-    dlat = max_dist_m * 1.001 / M_PER_DEG
-    dlon = dlat / math.cos(math.radians(bound))
-    gap_s = max_gap_min * 60.0
-
-    out_id, out_type, out_lat, out_lon, out_start, out_end, out_n, out_msg = [], [], [], [], [], [], [], []
+    found: list[list] = []
     for s0, s1 in zip(starts[:-1], starts[1:]):
-        inc_lat, inc_lon, start, last, count, first_id, first_msg, inc_type = [], [], [], [], [], [], [], []
-        grid: dict[tuple[int, int], list[int]] = {}
+        incidents = OpenIncidents(max_gap_min, max_dist_m, bound)
         for i in range(s0, s1):
-            cy, cx = math.floor(lat[i] / dlat), math.floor(lon[i] / dlon)
-            best, best_d = -1, None
-            cands = []
-            for dy in (-1, 0, 1):
-                for dx in (-1, 0, 1):
-                    cell = grid.get((cy + dy, cx + dx))
-                    if cell:
-                        # drop incidents closed for good (time only moves forward)
-                        cell[:] = [k for k in cell if (ts[i] - last[k]) <= gap_s]
-                        cands.extend(cell)
-            for k in sorted(cands):                   # creation order: ties go to the earlier
-                d = _hav(lat[i], lon[i], inc_lat[k], inc_lon[k])
-                if d <= max_dist_m and (best_d is None or d < best_d):
-                    best, best_d = k, d
-            if best < 0:
-                k = len(start)
-                inc_lat.append(lat[i]); inc_lon.append(lon[i]); start.append(ts[i]); last.append(ts[i])
-                count.append(1); first_id.append(sid[i]); inc_type.append(typ[i])
-                first_msg.append(msg[i] if isinstance(msg[i], str) else None)
-                grid.setdefault((cy, cx), []).append(k)
-            else:
-                last[best] = ts[i]
-                count[best] += 1
-        out_id += first_id; out_type += inc_type; out_lat += inc_lat; out_lon += inc_lon
-        out_start += start; out_end += last; out_n += count; out_msg += first_msg
-    return pd.DataFrame({
-        "incident_id": np.asarray(out_id, dtype="int64"), "type": out_type,
-        "lat": np.asarray(out_lat, dtype=float), "lon": np.asarray(out_lon, dtype=float),
-        "start_ts": np.asarray(out_start, dtype="int64"), "end_ts": np.asarray(out_end, dtype="int64"),
-        "sightings": np.asarray(out_n, dtype="int64"), "message": out_msg,
-    }, columns=cols)
+            incidents.sight(sid[i], typ[i], lat[i], lon[i], ts[i], msg[i])
+        found += incidents.rows
+    return lifecycle_frame(found)
 
 
 def type_sessions(snapshots: DataFrame, type_col: str = "type", ts: str = "ts",

@@ -65,41 +65,43 @@ def sample_n(df: DataFrame, n: int, keys: Sequence[str], cond: Column | None = N
     ``before_filter`` reproduces the engine where the sample is drawn first
     and the condition applied after (fewer than ``n`` rows may remain);
     otherwise the condition applies first and exactly ``min(n, rows)`` remain.
-    ``orderBy(..).limit(n)`` is a per-partition top-n then one merge of at
-    most ``n`` rows per partition: the sample size bounds that task.
+    Rows above the hash bucket in which the ``n``-th smallest lies are
+    filtered out first (a histogram of the hashes finds it), so the final
+    ordering gets little more than ``n`` rows in all.
     """
     h = unit_hash(keys, seed, portable)
     base = df if (before_filter or cond is None) else df.filter(cond)
-    s = base.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
+    x = base.withColumn("_h", h)
+    s = _smallest(x, n, None).orderBy("_h", *keys).limit(n).drop("_h")
     return s.filter(cond) if (before_filter and cond is not None) else s
 
 
+BUCKETS = 1 << 16
+
+
+def _smallest(x: DataFrame, n: int, class_col: str | None) -> DataFrame:
+    """The rows of ``x`` whose hash ``_h`` lies at or below the bucket of the
+    ``n``-th smallest hash (of their class): one partial aggregate into at most
+    ``BUCKETS`` rows per class, no loop, null being a class like any other."""
+    from pyspark.sql import Window
+    bucket = F.floor(F.col("_h") * BUCKETS)
+    c = F.lit("all") if class_col is None else F.col(class_col)
+    hist = x.groupBy(c.alias("_c"), bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = hist.withColumn("_before", before).filter(F.col("_before") < n).groupBy("_c").agg(F.max("_b").alias("_last"))
+    return x.join(F.broadcast(last), c.eqNullSafe(F.col("_c")) & (bucket <= F.col("_last"))).drop("_c", "_last")   # a row per class
+
+
 def balanced(df: DataFrame, class_col: str, n: int, keys: Sequence[str], seed: int = 42,
-             portable: bool = True, oversample: float = 1.2, max_rounds: int = 6) -> DataFrame:
-    """Exactly ``min(n, class size)`` rows per class: the smallest hashes.
-
-    A class may hold most rows, so it is never sorted in one task: a narrow
-    filter first keeps the rows whose hash is below a per-class threshold
-    sized for about ``oversample * n`` rows; the ``n`` smallest hashes of a
-    class all lie below that threshold whenever at least ``n`` rows survive,
-    so ranking the survivors is exact.  Classes short of ``n`` survivors are
-    retried with a larger threshold (small actions on per-class counts).
+             portable: bool = True) -> DataFrame:
+    """Exactly ``min(n, class size)`` rows per class (null is a class):
+    the smallest hashes.
+
+    A class may hold most rows, so it is never sorted in one task: only the
+    rows up to the hash bucket of the class's ``n``-th smallest hash are ranked.
     """
-    x = df.withColumn("_h", unit_hash(keys, seed, portable))
-    sizes = {r[0]: r[1] for r in x.groupBy(class_col).count().collect()}   # one row per class
-    frac = {c: min(1.0, oversample * n / max(cnt, 1)) for c, cnt in sizes.items()}
-    for _ in range(max_rounds):
-        thr = F.lit(0.0)
-        for c, f in frac.items():
-            thr = F.when(F.col(class_col) == F.lit(c), F.lit(f)).otherwise(thr)
-        cand = x.filter(F.col("_h") < thr)
-        got = {r[0]: r[1] for r in cand.groupBy(class_col).count().collect()}
-        short = [c for c in frac if frac[c] < 1.0 and got.get(c, 0) < min(n, sizes[c])]
-        if not short:
-            break
-        for c in short:
-            frac[c] = min(1.0, frac[c] * 2)
     from pyspark.sql import Window
+    cand = _smallest(df.withColumn("_h", unit_hash(keys, seed, portable)), n, class_col)
     w = Window.partitionBy(class_col).orderBy("_h", *keys)
     return cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_h", "_rn")
 

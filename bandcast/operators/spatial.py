@@ -6,7 +6,8 @@ point two or more cells away is provably farther than the radius).  The
 probe side is exploded to its 3x3 cell neighbourhood and equi-joined on the
 cell; the exact haversine test runs on the candidates.  Dense cells are
 ordinary skewed join keys, which AQE's skew-join handling splits.
-No antimeridian support (longitudes are not wrapped).
+Right points near the antimeridian are also entered one turn away, so cells
+meet across it.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandcast.functions.geo import M_PER_DEG, haversine_m
-from pyspark import StorageLevel
+from bandcast.session import cut_lineage
 
 _NEIGHBOURHOOD = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+HALF_GLOBE_M = 20_100_000.0   # more than any distance on the globe
 _MARGIN = 1.001   # covers chord-vs-arc for separations up to ~1 radian
 
 
@@ -55,7 +57,11 @@ def grid_pairs(left: DataFrame, right: DataFrame, cell_m: float, lat_bound: floa
     conditions (left column, right column), e.g. to pair only within a group.
     """
     dlat, dlon = _cell_sizes(cell_m, lat_bound)
-    r = _cells(right, r_lat, r_lon, dlat, dlon)
+    reach = min(2 * dlon, 180.0)          # a copy is needed if the point's neighbourhood crosses 180 degrees
+    turn = F.filter(F.array(F.when(F.col(r_lon) + reach > 180, -360.0), F.lit(0.0), F.when(F.col(r_lon) - reach < -180, 360.0)),
+                    lambda x: x.isNotNull())
+    r = right.withColumn("_turn", F.explode(turn)).withColumn("_rlon", F.col(r_lon) + F.col("_turn")).drop("_turn")
+    r = _cells(r, r_lat, "_rlon", dlat, dlon).drop("_rlon")
     nb = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
                              for dx, dy in _NEIGHBOURHOOD]))
     l = (_cells(left, l_lat, l_lon, dlat, dlon)
@@ -128,39 +134,42 @@ def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: st
 
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
             l_lat: str = "lat", l_lon: str = "lon", r_lat: str = "lat", r_lon: str = "lon",
-            start_m: float = 2000.0, growth: float = 4.0, max_levels: int = 16,
-            lat_bound: float | None = None) -> DataFrame:
+            start_m: float = 2000.0, growth: float = 4.0, lat_bound: float | None = None) -> DataFrame:
     """Nearest right point for every left point, exact, unbounded radius.
 
     Level ``i`` searches the 3x3 neighbourhood of cells of width
     ``start_m * growth**i``; a left point is settled once its best candidate
     is no farther than the cell width (anything outside the neighbourhood is
     farther).  Only unsettled points go on to the next, coarser level, so the
-    pairs formed per point stay near the local density.  Each level's result
-    is persisted (lineage depth is bounded by ``max_levels``; a lost block is
-    recomputed); the loop runs at most ``max_levels`` small actions.
-    Returns (left_id, right_id, dist_m); ties go to the smaller right id.
+    pairs formed per point stay near the local density.  The last level's
+    cells are wider than half the globe, so every point settles there; levels
+    are written by reliable checkpoints.  Returns (left_id, right_id, dist_m);
+    ties go to the smaller right id.  A left point without coordinates, or
+    any left point if the right side has none, gets null id and distance.
     """
     L = _prefixed(left, left_id, l_lat, l_lon, "l_")
-    R = _prefixed(right, right_id, r_lat, r_lon, "r_")
+    R = _prefixed(right, right_id, r_lat, r_lon, "r_").filter("r_lat is not null and r_lon is not null")
     if lat_bound is None:
         lat_bound = max_abs_lat((L, "l_lat"), (R, "r_lat"))
-    remaining, parts, cell = L, [], float(start_m)
-    for _ in range(max_levels):
-        pairs = grid_pairs(remaining, R, cell, lat_bound, "l_lat", "l_lon", "r_lat", "r_lon")
-        best = pairs.groupBy("l_id").agg(
-            F.min_by(F.struct("r_id", "dist_m"), F.struct("dist_m", "r_id")).alias("b"))
-        settled = best.filter(F.col("b.dist_m") <= F.lit(cell)) \
-            .select("l_id", F.col("b.r_id").alias("r_id"), F.col("b.dist_m").alias("dist_m")) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        parts.append(settled)
-        remaining = remaining.join(settled.select("l_id"), "l_id", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
-        if remaining.isEmpty():
-            break
-        cell *= growth
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    nothing = L.select("l_id", F.lit(None).cast(dict(R.dtypes)["r_id"]).alias("r_id"), F.lit(None).cast("double").alias("dist_m"),
+                       (F.col("l_lat").isNull() | F.col("l_lon").isNull()).alias("_lost"))
+    if R.isEmpty():
+        out = nothing.drop("_lost")
+    else:
+        remaining, cell = L.filter("l_lat is not null and l_lon is not null"), float(start_m)
+        out = nothing.filter("_lost").drop("_lost")
+        while not remaining.isEmpty():
+            last = cell > HALF_GLOBE_M
+            pairs = grid_pairs(remaining, R, cell, lat_bound, "l_lat", "l_lon", "r_lat", "r_lon")
+            best = pairs.groupBy("l_id").agg(
+                F.min_by(F.struct("r_id", "dist_m"), F.struct("dist_m", "r_id")).alias("b"))
+            settled = cut_lineage(best.filter(F.lit(last) | (F.col("b.dist_m") <= F.lit(cell)))
+                                  .select("l_id", F.col("b.r_id").alias("r_id"), F.col("b.dist_m").alias("dist_m")))
+            out = out.unionByName(settled)
+            if last:
+                break
+            remaining = cut_lineage(remaining.join(settled.select("l_id"), "l_id", "left_anti"))
+            cell *= growth
     return out.select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), "dist_m")
 
 
@@ -186,31 +195,12 @@ def mapping_check(dim: DataFrame, mapping: DataFrame, key: str = "link_id") -> D
     return dim.join(mapping, key, "inner")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", src: str = "src", dst: str = "dst",
-                         max_rounds: int = 64) -> DataFrame:
-    """Component label (smallest node id) of every node.
-
-    Min-label propagation with pointer jumping: each round a node takes the
-    smallest label among itself and its neighbours, then jumps to its
-    label's label.  Rounds grow with the log of the component diameter in
-    practice.  Every round ends in a reliable checkpoint (lineage stays
-    flat; a lost executor recomputes one round), and one small action
-    counts the labels that changed.
-    """
-    from bandcast.session import cut_lineage
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    e = cut_lineage(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    lab = cut_lineage(nodes.select(F.col(node).alias("v")).distinct().withColumn("l", F.col("v")))
-    for _ in range(max_rounds):
-        nb = e.join(lab.withColumnRenamed("v", "b").withColumnRenamed("l", "lb"), "b") \
-            .groupBy("a").agg(F.min("lb").alias("m"))
-        hook = lab.join(nb.withColumnRenamed("a", "v"), "v", "left") \
-            .select("v", F.least(F.col("l"), F.coalesce(F.col("m"), F.col("l"))).alias("l1"))
-        jump = hook.join(hook.select(F.col("v").alias("l1"), F.col("l1").alias("l2")), "l1", "left") \
-            .select("v", F.least(F.col("l1"), F.coalesce(F.col("l2"), F.col("l1"))).alias("l"))
-        new = cut_lineage(jump)
-        changed = new.join(lab.withColumnRenamed("l", "old"), "v").filter(F.col("l") != F.col("old")).limit(1).count()
-        lab = new
-        if changed == 0:
-            break
-    return lab.withColumnRenamed("v", node).withColumnRenamed("l", "component")
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", src: str = "src", dst: str = "dst") -> DataFrame:
+    """Component label (smallest node id) of every node: star rounds until
+    nothing changes (``graph.connected_components``); a node without an edge
+    is its own component."""
+    from bandcast.operators.graph import connected_components as star_components
+    linked = star_components(edges, src, dst, "_node", "_label")
+    own = nodes.select(F.col(node)).distinct()
+    return own.join(linked, F.col(node) == F.col("_node"), "left") \
+        .select(node, F.coalesce("_label", F.col(node)).alias("component"))

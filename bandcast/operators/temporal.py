@@ -158,7 +158,7 @@ def interval_bucket_rollup(intervals: DataFrame, key: str = "link_id", start: st
 # J3 ------------------------------------------------------------------------
 def interval_join(points: DataFrame, intervals: DataFrame, key: str = "link_id", ts: str = "snapshot_ts",
                   start: str = "start_ts", end: str = "end_ts", how: str = "left",
-                  strategy: str = "merge", bucket_seconds: int = 3600, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                  strategy: str = "merge", bucket_seconds: int = 3600) -> DataFrame:
     """Key equality and start <= ts <= end (inclusive).
 
     ``merge``: equi-join on the key with the range as a residual predicate
@@ -168,10 +168,14 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str = "link_id",
     residual.  A point lies in exactly one bucket, so each match is produced
     once and unmatched points survive the left join once: identical results,
     and a hot key is spread over its time buckets.
+    ``auto`` is ``merge``: it keeps the points' partitioning for what follows,
+    and AQE splits a skewed key.
     """
+    if strategy not in ("auto", "merge", "bucket"):
+        raise ValueError(f"unknown interval join strategy {strategy!r}")
     ikey = "_ikey"
     iv = intervals.withColumnRenamed(key, ikey)
-    if strategy == "merge":
+    if strategy != "bucket":
         cond = (points[key] == iv[ikey]) & points[ts].between(iv[start], iv[end])
         return points.join(iv, cond, how).drop(ikey)
     b = bucket_seconds
@@ -204,6 +208,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     side's largest key exceeds ``hot_rows``.
     """
     right_cols = list(right_cols)
+    right = right.filter(F.col(key).isNotNull())        # a null key matches nothing
     if chunk_seconds == "auto":
         chunk_seconds = DAY if hot_key_rows(left, key) > hot_rows else None
     lcols = left.columns

@@ -112,7 +112,7 @@ def q_stream_link_rollup(spark, d):
     FROM (SELECT *, SUM(new) OVER (PARTITION BY type, link_id ORDER BY start_ts, incident_id
                                    ROWS UNBOUNDED PRECEDING) AS sess
           FROM (SELECT *, CASE WHEN LAG(start_ts) OVER (PARTITION BY type, link_id ORDER BY start_ts, incident_id) IS NULL
-                                 OR start_ts - LAG(start_ts) OVER (PARTITION BY type, link_id ORDER BY start_ts, incident_id) >= 900
+                                 OR start_ts - LAG(start_ts) OVER (PARTITION BY type, link_id ORDER BY start_ts, incident_id) > 900
                                THEN 1 ELSE 0 END AS new
                 FROM incident_intervals))
     GROUP BY type, link_id, sess""", "incident_intervals"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 # partitions and coalesces small ones.
 ENGINE_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -91,6 +92,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        sc = _context(spark)
+        if sc is None or not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset; a cluster needs a folder that all executors share")
         d = tempfile.mkdtemp(prefix="bandcast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = _context(spark)

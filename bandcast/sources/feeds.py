@@ -201,17 +201,19 @@ def normalize_rainfall(text: DataFrame, col: str = "json", ts: str = "snapshot_t
                     "reading_time", F.col(ts).alias("snapshot_time"))
 
 
-def update_by_key(dim: DataFrame, upd: DataFrame, key: str, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def update_by_key(dim: DataFrame, upd: DataFrame, key: str, cols: Sequence[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """UPDATE dim SET cols WHERE key matches, only for update rows whose
     listed values are all truthy (0.0 and '' are skipped, as the reference's
-    ``if lat and lon``).  Returns (new dim, one-row count of the updates
+    ``if lat and lon``).  Of several updates of a key the last in ``order``
+    (a column; default: row order) wins.  Returns (new dim, one-row count of the updates
     that hit an existing row)."""
     cols = list(cols)
     truthy = F.lit(True)
     for c in cols:
         truthy = truthy & F.col(c).isNotNull() & (F.col(c).cast("string") != "") & (F.col(c).cast("double") != 0.0)
-    ok = upd.filter(truthy).select(F.col(key), *[F.col(c).alias(f"_u_{c}") for c in cols])
-    u = first_per_key(ok, [key], [f"_u_{c}" for c in cols], desc=True)   # a key updated twice: one version kept
+    ok = upd.withColumn("_pos", F.monotonically_increasing_id() if order is None else F.col(order)).filter(truthy) \
+        .select(F.col(key), "_pos", *[F.col(c).alias(f"_u_{c}") for c in cols])
+    u = first_per_key(ok, [key], ["_pos"], desc=True).drop("_pos")       # a key updated twice: the last one wins
     j = dim.join(u, key, "left")
     new = j.select(*[F.coalesce(F.col(f"_u_{c}").cast(t), F.col(c)).alias(c) if c in cols else F.col(c)
                      for c, t in dim.dtypes])
@@ -222,10 +224,10 @@ def update_by_key(dim: DataFrame, upd: DataFrame, key: str, cols: Sequence[str])
 
 # S15 -------------------------------------------------------------------------------
 def strict_violations(df: DataFrame, strict: Mapping[str, str]) -> Column:
-    """True where a strict cast of a listed (raw text) column would fail."""
+    """True where a strict cast of a listed (raw text) column would fail; a missing value fails too."""
     bad = F.lit(False)
     for c, t in strict.items():
-        bad = bad | (F.col(c).isNotNull() & F.col(c).try_cast(t).isNull())
+        bad = bad | F.col(c).try_cast(t).isNull()
     return bad
 
 

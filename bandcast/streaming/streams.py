@@ -18,7 +18,6 @@ retried query resumes exactly where it stopped.
 from __future__ import annotations
 
 import json
-import math
 import os
 import uuid
 from collections.abc import Iterator, Sequence
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from bandcast.functions.geo import EARTH_R_M
+from bandcast.operators.lifecycle import OpenIncidents, lifecycle_frame
 from bandcast.session import checkpoint_dir
 from bandcast.sources.feeds import envelope
 
@@ -155,7 +154,7 @@ def stream_enrich(stream: DataFrame, dim: DataFrame, key: str, intervals: DataFr
 # T6 ---------------------------------------------------------------------------------
 def stream_sessions(df: DataFrame, event_time: str, keys: Sequence[str], gap: str = "15 minutes",
                     lateness: str = "15 minutes") -> DataFrame:
-    """Session windows per key: a new session once the gap is reached."""
+    """Session windows per key: a new session after a silence longer than the gap."""
     return (df.withWatermark(event_time, lateness)
             .groupBy(F.session_window(event_time, gap).alias("s"), *keys)
             .agg(F.count(F.lit(1)).alias("sightings"))
@@ -173,12 +172,6 @@ LIFECYCLE_OUT = T.StructType([
 LIFECYCLE_STATE = T.StructType([T.StructField("buffer", T.StringType()), T.StructField("open", T.StringType())])
 
 
-def _hav(a, b, c, d):
-    p1, p2 = math.radians(a), math.radians(c)
-    h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(d - b) / 2) ** 2
-    return 2 * EARTH_R_M * math.atan2(math.sqrt(h), math.sqrt(1 - h))
-
-
 def _lifecycle_step(max_gap_min: float, max_dist_m: float):
     gap_s = max_gap_min * 60.0
 
@@ -192,35 +185,22 @@ def _lifecycle_step(max_gap_min: float, max_dist_m: float):
         buf.sort(key=lambda r: (r[4], r[0]))
         ready = [r for r in buf if r[4] <= wm]
         buf = [r for r in buf if r[4] > wm]
-        for sid, la, lo, msg, t in ready:
-            pick, best = None, None
-            for inc in live:
-                if (t - inc[4]) / 60.0 > max_gap_min:
-                    continue
-                d = _hav(la, lo, inc[1], inc[2])
-                if d <= max_dist_m and (best is None or d < best):
-                    pick, best = inc, d
-            if pick is None:
-                live.append([sid, la, lo, t, t, 1, msg])     # id, lat, lon, start, last, n, message
-            else:
-                pick[4], pick[5] = t, pick[5] + 1
+        incidents = OpenIncidents(max_gap_min, max_dist_m)
+        for row in live:
+            incidents.put(row)
+        for sid, lat, lon, message, t in ready:
+            incidents.sight(sid, typ, lat, lon, t, message)
         frontier = min([wm] + [r[4] for r in buf])
-        closed = [i for i in live if frontier - i[4] > gap_s]
-        live = [i for i in live if frontier - i[4] <= gap_s]
+        closed = [r for r in incidents.rows if frontier - r[5] > gap_s]
+        live = [r for r in incidents.rows if frontier - r[5] <= gap_s]
         if buf or live:
             state.update((json.dumps(buf), json.dumps(live)))
-            nxt = [r[4] for r in buf] + [i[4] + gap_s + 1 for i in live]
+            nxt = [r[4] for r in buf] + [r[5] + gap_s + 1 for r in live]
             state.setTimeoutTimestamp(int(max(min(nxt), wm) * 1000) + 1)
         else:
             state.remove()
-        if not closed:
-            return
-        yield pd.DataFrame({
-            "incident_id": [i[0] for i in closed], "type": [typ] * len(closed),
-            "lat": [i[1] for i in closed], "lon": [i[2] for i in closed],
-            "start_ts": [i[3] for i in closed], "end_ts": [i[4] for i in closed],
-            "sightings": [i[5] for i in closed], "message": [i[6] for i in closed]},
-            columns=[f.name for f in LIFECYCLE_OUT.fields])
+        if closed:
+            yield lifecycle_frame(closed)
 
     return step
 

@@ -144,3 +144,47 @@ def test_asof_unbounded_chunked_equals_brute_force(spark):
     for chunk in (None, 1000, 7000):
         got = TM.asof_join(l, r, "k", "t", "rt", ["v"], chunk_seconds=chunk).select("k", "t", "v").collect()
         assert sorted(map(tuple, got), key=key) == sorted(want, key=key), chunk
+
+
+def test_components_of_a_long_chain(spark):
+    """400 sites in a row whose second-smallest id sits in the middle are one component."""
+    from bandcast.operators.spatial import connected_components
+    ids = [0, *range(1000, 1199), 1, *range(2000, 2199)]
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in [*ids, 5]], "id long")
+    got = {r.id: r.component for r in connected_components(nodes, edges).collect()}
+    assert got == {i: 0 for i in ids} | {5: 5}
+
+
+def test_nearest_edge_cases(spark):
+    left = spark.createDataFrame([(1, 0.0, 179.999), (2, 10.0, 10.0), (3, None, 1.0)], "id int, lat double, lon double")
+    right = spark.createDataFrame([(7, 0.0, -179.999), (8, 0.0, 179.9)], "rid int, rlat double, rlon double")
+    from bandcast.operators.spatial import nearest
+    got = {r.id: r.rid for r in nearest(left, right, "id", "rid", r_lat="rlat", r_lon="rlon").collect()}
+    assert got == {1: 7, 2: 8, 3: None}
+    assert {r.rid for r in nearest(left, right.limit(0), "id", "rid", r_lat="rlat", r_lon="rlon").collect()} == {None}
+
+
+def test_balanced_keeps_null_class_and_full_counts(spark):
+    from bandcast.operators.sampling import balanced
+    rows = [(i, None if i % 7 == 0 else i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, c int")
+    got = {r[0]: r[1] for r in balanced(df, "c", 250, ["k"]).groupBy("c").count().collect()}
+    assert got == {None: 250, 0: 250, 1: 250}
+
+
+def test_null_keys_and_unknown_strategies(spark):
+    import pytest
+    left = spark.createDataFrame([(None, 10), (1, 10)], "k int, t long")
+    right = spark.createDataFrame([(None, 5, 2.0), (1, 6, 3.0)], "k int, rt long, v double")
+    got = {r.k: r.v for r in TM.asof_join(left, right, "k", "t", "rt", ["v"]).collect()}
+    assert got == {None: None, 1: 3.0}
+    with pytest.raises(ValueError):
+        TM.interval_join(left, right, strategy="typo")
+
+
+def test_last_update_wins(spark):
+    from bandcast.sources.feeds import update_by_key
+    dim = spark.createDataFrame([(1, 0.5)], "id int, lat double")
+    upd = spark.createDataFrame([(1, 5.0, 0), (1, 2.0, 1)], "id int, lat double, pos int")
+    assert update_by_key(dim, upd, "id", ["lat"], order="pos")[0].first().lat == 2.0

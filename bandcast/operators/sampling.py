@@ -89,6 +89,9 @@ def _smallest(x: DataFrame, n: int, class_col: str | None) -> DataFrame:
     hist = x.groupBy(c.alias("_c"), bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = hist.withColumn("_before", before).filter(F.col("_before") < n).groupBy("_c").agg(F.max("_b").alias("_last"))
+    if class_col is None:           # one number
+        row = last.first()
+        return x if row is None else x.filter(bucket <= F.lit(row["_last"]))
     return x.join(F.broadcast(last), c.eqNullSafe(F.col("_c")) & (bucket <= F.col("_last"))).drop("_c", "_last")   # a row per class
 
 

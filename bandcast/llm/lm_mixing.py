@@ -3,13 +3,15 @@
 A text is lower-cased (A-Z) and split into words; each word, and the end of
 the text, is coded by binary decisions, so the model's probability of a text
 is the product of its bits' probabilities.  A frequent word is coded by its
-frequency class (half an octave of its rank, by a Huffman code); within the
+class (half an octave of its rank, and its group) by a Huffman code; within the
 class it has its share of the training counts.  Other words are escaped and
-spelled: every byte, and the word's end, by a Huffman code.
+spelled: every byte, and the word's end, by a Huffman code.  A word's group is
+the label (such as the language) of the training texts that use it most; labels
+are read in training only, and without them all words are one group.
 
 Every bit is predicted by the code's own odds and by two counters found by a
-hashed context: for words the word before and the two words before, for
-bytes three and five bytes before, as far as the word's start.  The log odds
+hashed context: for words the word before and the groups of the four words
+before, for bytes three and five bytes before, as far as the word's start.  The log odds
 are mixed by weights that a gate selects (how much evidence both counters
 have seen), and an adaptive table refines the mixed probability by what was
 really seen at that gate and level.
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 from bandcast.llm.common import LOWER_BYTES, id_crc_mod, most_frequent, prepare, written
 
 HOLD_OUT = 7, 2                 # crc32(id) mod 7 == 2 is held out
-VOCABULARY = 1 << 21            # frequent words that are coded by class (12 bytes each in the broadcast)
+VOCABULARY = 1 << 21            # frequent words that are coded by class (17 bytes each in the broadcast)
 SLOT_BITS = 20                  # counters per hashed context: 2**20
 TABLES = 4                      # two contexts of words, two of bytes
 ORDERS = 3, 5                   # bytes before, for the contexts of spelled words
@@ -54,6 +56,8 @@ SLICE = 1 << 20                 # bytes of text gathered before that; longer tex
 SETS, LEVELS = 32, 33           # weight sets (16 for words, 16 for bytes), refinement levels
 CELL = 1 << 13                  # counters sent as one cell
 ESCAPE, END, FIRST = 0, 1, 2    # classes: escape, end of text, then words
+GROUPS = 16                     # the 15 most frequent labels have their own group, others and null share one
+HISTORY, RESTART = 4, 31        # groups before a word, and the mark of a text's start among them
 STOP = 256                      # byte symbol that ends a spelled word
 _GATHER = 1 << 22               # words counted before they are sent
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -183,17 +187,19 @@ class Code:
 
 
 class Vocabulary:
-    """Frequent words by hash in an open-addressing table: class, share within the class and count of each."""
+    """Frequent words by hash in an open-addressing table: class, group, share within the class and count of each."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ends: int, total: int, letters: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ends: int, total: int, letters: np.ndarray,
+                 groups: np.ndarray | None = None):
         rank = np.arange(len(hashes))
         octave = np.floor(np.log2(rank + 1)).astype(np.int64)
         half = np.where(octave > 0, (rank + 1 >> np.maximum(octave - 1, 0)) & 1, 0)
-        cls = FIRST + 2 * octave + half
+        self.group = np.zeros(len(hashes), np.uint8) if groups is None else groups
+        cls = FIRST + np.unique((2 * octave + half) * GROUPS + self.group, return_inverse=True)[1]
         sums = np.bincount(cls, counts, minlength=FIRST + 1)
         sums[ESCAPE], sums[END] = max(0, total - ends - int(counts.sum())), ends
         self.code, self.letters = Code(sums + 1), Code(letters + 1)
-        self.cls = cls.astype(np.uint8)
+        self.cls = cls.astype(np.uint16)
         self.share = np.log10(counts / sums[cls]).astype(np.float32) if len(hashes) else np.zeros(0, np.float32)
         self.log_n = np.log10(counts + 1.0)
         self.log_end, self.known_end = math.log10(ends + 1), ends > 0
@@ -226,14 +232,25 @@ class Vocabulary:
         known = rank >= 0
         cls[known] = self.cls.take(rank[known])
         one = np.concatenate([[_END_HASH], h[:-1]]).astype(np.uint64)
-        two = np.where(one == _END_HASH, _END_HASH, np.concatenate([[_END_HASH], one[:-1]]).astype(np.uint64))
+        past = self._history(word, rank)
         for a in range(0, len(cls), BLOCK):
             z = slice(a, a + BLOCK)
-            yield 0, self.code, cls[z], [one[z], (one[z] ^ (two[z] >> np.uint64(7))) * _C[1]], of[z]
+            yield 0, self.code, cls[z], [one[z], past[z]], of[z]
         out = np.flatnonzero(~known[word])
         if len(out):
             yield from self._spelled(w, out, of[word][out])
 
+    def _history(self, word: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Hash of the groups of the words before each symbol, as far as the text's start."""
+        group = np.where(word, 0, RESTART)
+        group[rank >= 0] = self.group.take(rank[rank >= 0]) + 1
+        back, out = group, np.zeros(len(word), np.uint64)
+        for k in range(HISTORY):
+            earlier = np.concatenate([[RESTART], back[:-1]])
+            back = earlier if k == 0 else np.where(back == RESTART, RESTART, earlier)
+            out = out * np.uint64(32) + back.astype(np.uint64)
+        return (out + np.uint64(1)) * _C[1]
+
     def _spelled(self, w: Words, which: np.ndarray, of: np.ndarray):
         size = w.end[which] - w.start[which] + 1
         stop = np.cumsum(size) - 1
@@ -388,26 +405,29 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, key, n): 0 word counts by hash, 1 letters of words (256: words), 2 texts."""
-    def rows(kind, key, n):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], ["_kind", "_key", "_n"])
+    """Rows (kind, key, group, n): 0 word counts by hash and the text's group, 1 letters of words (256: words), 2 texts."""
+    def rows(kind, key, n, group=0):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key),
+                                           pa.array(np.full(len(key), group, np.int32)), pa.array(n)], ["_kind", "_key", "_g", "_n"])
 
     def flush():
-        h, n = np.unique(np.concatenate(waiting), return_counts=True)
-        return rows(0, h.view(np.int64), n.astype(np.int64))
-    waiting, size, texts_seen, letters = [], 0, 0, np.zeros(257, np.int64)
-    for texts, _, ends in _groups(batches, 0):
+        for group, parts in waiting.items():
+            h, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield rows(0, h.view(np.int64), n.astype(np.int64), group)
+    waiting, size, texts_seen, letters = {}, 0, 0, np.zeros(257, np.int64)
+    for texts, whose, ends in _groups(batches, 0):
         w = Words(texts)
-        waiting.append(w.hash)
+        group = np.repeat([b.column(1)[i].as_py() for b, i in whose], w.words)
+        for g in np.unique(group):
+            waiting.setdefault(int(g), []).append(w.hash[group == g])
         size += len(w.hash)
         texts_seen += len(texts) if ends else 0
         letters[:256] += np.where(_SPACE, 0, np.bincount(w.raw, minlength=256))
         letters[256] += len(w.hash)
         if size >= _GATHER:
-            yield flush()
-            waiting, size = [], 0
-    if waiting:
-        yield flush()
+            yield from flush()
+            waiting, size = {}, 0
+    yield from flush()
     yield rows(1, np.arange(257), letters)
     yield rows(2, np.zeros(1, np.int64), np.array([texts_seen], np.int64))
 
@@ -420,14 +440,27 @@ class Model:
         self.vocabulary, self.tables = vocabulary, tables
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
+def _label_group(docs: DataFrame, label_col: str | None):
+    """Group of a row's label: 1 to 15 for the most frequent labels (ties by name), else 0."""
+    if label_col is None:
+        return F.lit(0)
+    label = F.col(label_col).cast("string")
+    top = (docs.filter(label.isNotNull()).groupBy(label.alias("_label")).count()
+           .orderBy(F.desc("count"), "_label").limit(GROUPS - 1).collect())
+    return F.coalesce(F.array_position(F.array(*[F.lit(r["_label"]) for r in top]).cast("array<string>"), label), F.lit(0))
+
+
+def train(docs: DataFrame, text_col: str = "text", label_col: str | None = None) -> Model:
     """Train on all rows of ``docs``: word counts, vocabulary and codes, then the mixing model."""
     spark = docs.sparkSession
     prepare(spark)
-    texts = docs.select(F.col(text_col).cast("string").alias("_t"))
-    counted = written(texts.mapInArrow(_count_words, "_kind int, _key bigint, _n bigint").groupBy("_kind", "_key")
-                      .agg(F.sum("_n").alias("_n")), "word-counts")
-    words = counted.filter("_kind = 0").select("_key", "_n")
+    labelled = docs.select(F.col(text_col).cast("string").alias("_t"), _label_group(docs, label_col).cast("int").alias("_g"))
+    texts = labelled.select("_t")
+    counted = written(labelled.mapInArrow(_count_words, "_kind int, _key bigint, _g int, _n bigint")
+                      .groupBy("_kind", "_key", "_g").agg(F.sum("_n").alias("_n"))
+                      .groupBy("_kind", "_key").agg(F.sum("_n").alias("_n"), F.max_by("_g", F.struct("_n", "_g")).alias("_g")),
+                      "word-counts")
+    words = counted.filter("_kind = 0").select("_key", "_n", "_g")
     size = words.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
     letters, ends = np.zeros(257), 0
     for r in counted.filter("_kind > 0").collect():         # 258 rows
@@ -440,9 +473,10 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     key, n = top.column(0).to_numpy(), top.column(1).to_numpy()
     order = np.lexsort((key, -n))
     hashes, n = key[order].astype(np.int64).view(np.uint64), n[order].astype(np.int64)
+    groups = top.column(2).to_numpy()[order].astype(np.uint8)
     least = int(n[-1]) if len(n) else 1 << 62
     total, distinct = int(size[0]) + ends, int(size[1]) + int(ends > 0)
-    vocabulary = hashes, n, ends, total, letters
+    vocabulary = hashes, n, ends, total, letters, groups
     fan = max(1, math.isqrt(texts.rdd.getNumPartitions()))
     schema = "_task int, _cell int, _counts binary"
     merged = (texts.mapInArrow(_train(spark.sparkContext.broadcast(vocabulary)), schema)
@@ -531,10 +565,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         F.col("_score").alias("score"), (-F.col("_score") * math.log2(10) / F.col("_bytes")).alias("bits_per_byte"))
 
 
-def score_by_held_out_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Train on the rows whose crc32(id as text) mod 7 is not 2 and score all; adds ``held_out``."""
+def score_by_held_out_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                            label_col: str | None = None) -> DataFrame:
+    """Train on the rows whose crc32(id as text) mod 7 is not 2 and score all; adds ``held_out``.
+
+    ``label_col``, if given, groups the words in training (null labels count
+    as one more label); no label is an input of a score."""
     mod, out = HOLD_OUT
-    model = train(docs.filter(id_crc_mod(id_col, mod) != out), text_col)
+    model = train(docs.filter(id_crc_mod(id_col, mod) != out), text_col, label_col)
     held = (id_crc_mod(id_col, mod) == out).alias("held_out")
     s = score(docs, model, id_col, text_col)
     return s.select(id_col, held, *s.columns[1:])

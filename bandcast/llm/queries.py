@@ -95,7 +95,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_mixing.score_by_held_out_model(documents(spark, sf_dir))
+    return lm_mixing.score_by_held_out_model(documents(spark, sf_dir), label_col="lang")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

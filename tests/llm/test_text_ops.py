@@ -294,11 +294,22 @@ def test_lm_base_and_score(spark, edge, empty, make, monkeypatch):
     assert lm_mixing.score_by_held_out_model(empty).count() == 0
 
 
+def test_lm_groups_words_by_label(spark, edge, empty):
+    """With labels the whole-text probability of held-out texts beats the baseline; null labels and no rows are fine."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    s = lm_mixing.score_by_held_out_model(docs, label_col="lang").filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert s["sum(score)"] > s["sum(base_score)"]
+    labelled = edge.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.lit("a")).alias("label"))
+    check_lm(lm_mixing.score_by_held_out_model(labelled, label_col="label").collect(), [(r.doc_id, r.text) for r in edge.collect()])
+    assert lm_mixing.score_by_held_out_model(empty.select("doc_id", "text", F.lit(None).alias("label")), label_col="label").count() == 0
+
+
 def test_lm_is_a_distribution():
     """One step of the model over all continuations sums to one."""
     rng = np.random.default_rng(3)
     hashes = rng.integers(1, 1 << 63, 50, dtype=np.uint64)
-    voc = lm_mixing.Vocabulary(hashes, np.sort(rng.integers(2, 90, 50))[::-1].astype(np.int64), 7, 4000, np.ones(257))
+    voc = lm_mixing.Vocabulary(hashes, np.sort(rng.integers(2, 90, 50))[::-1].astype(np.int64), 7, 4000, np.ones(257),
+                               rng.integers(0, 16, 50).astype(np.uint8))
     assert (voc.find(hashes) == np.arange(50)).all() and (voc.find(hashes + np.uint64(1)) == -1).all()
     mixer = lm_mixing.Mixer(rng.normal(0, 1, (32, 4)).astype(np.float32), rng.random(32 * 33).astype(np.float32) * 0.8 + 0.1)
     table = rng.integers(0, 50, lm_mixing.TABLES << lm_mixing.SLOT_BITS) * ((1 << 32) + 3)

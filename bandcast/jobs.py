@@ -48,7 +48,7 @@ def speedbands_export(speedbands: DataFrame) -> DataFrame:
     s = speedbands.select(F.col("link_id").cast("int").alias("link_id"), "speed_band",
                           to_epoch(parse_utc("snapshot_time")).alias("_t"))
     s = s.withColumn("snapshot_ts", time_bucket("_t"))
-    return first_per_key(s, ["link_id", "snapshot_ts"], ["_t"]).select("link_id", "snapshot_ts", "speed_band")
+    return first_per_key(s, ["link_id", "snapshot_ts"], ["_t", "speed_band"]).select("link_id", "snapshot_ts", "speed_band")
 
 
 def incidents_cleaned(traffic_incidents: DataFrame, max_gap_min: float = 15.0, max_dist_m: float = 200.0,
@@ -103,7 +103,7 @@ def rain_readings(rainfall: DataFrame) -> DataFrame:
     r = rainfall.withColumns({"reading_ts": to_epoch(parse_utc("reading_time")),
                               "_poll": to_epoch(parse_utc("snapshot_time"))})
     return first_per_key(r.select("station_id", "reading_ts", "value_mm", "_poll"),
-                         ["station_id", "reading_ts"], ["_poll"]).drop("_poll")
+                         ["station_id", "reading_ts"], ["_poll", "value_mm"]).drop("_poll")
 
 
 def weather_features(mapping: DataFrame, rainfall: DataFrame) -> DataFrame:

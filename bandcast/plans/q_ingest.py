@@ -35,9 +35,9 @@ def _events(spark, d):
 
 def _pages(items, item_cols: dict):
     """One ``{"value": [...]}`` text per (snapshot, page)."""
-    it = items.select("snapshot_time", "_page", F.struct(*[c.alias(n) for n, c in item_cols.items()]).alias("_i"))
-    return it.groupBy("snapshot_time", "_page").agg(
-        F.to_json(F.struct(F.collect_list("_i").alias("value"))).alias("json"))
+    it = items.select("snapshot_time", "_page", "event_id", F.struct(*[c.alias(n) for n, c in item_cols.items()]).alias("_i"))
+    ordered = F.sort_array(F.collect_list(F.struct("event_id", "_i")))["_i"]        # feed order: by event
+    return it.groupBy("snapshot_time", "_page").agg(F.to_json(F.struct(ordered.alias("value"))).alias("json"))
 
 
 def _s(c):
@@ -62,7 +62,7 @@ def speed_items(e):
 
 def speed_raw(spark, d):
     e = _events(spark, d)
-    return FD.parse_feed(_pages(e, speed_items(e)), FD.SPEED_ITEM)
+    return FD.parse_feed(_pages(e, speed_items(e)), FD.SPEED_ITEM, position="_pos")
 
 
 @register("feed_speedbands", f"""
@@ -84,7 +84,7 @@ ROADS_NEW_SQL = f"""
            CAST(CAST(103.8e0 + FLOOR(user_id / 10) * 8e-4 AS VARCHAR) AS DOUBLE) AS start_lon,
            CAST(CAST(1.3e0 + (user_id % 10) * 8e-4 + 4e-4 AS VARCHAR) AS DOUBLE) AS end_lat,
            CAST(CAST(103.8e0 + FLOOR(user_id / 10) * 8e-4 + 3e-4 AS VARCHAR) AS DOUBLE) AS end_lon,
-           {SNAP_SQL} AS snapshot_time
+           {SNAP_SQL} AS snapshot_time, event_id
     FROM events"""
 
 
@@ -92,19 +92,19 @@ ROADS_NEW_SQL = f"""
     SELECT CAST(link_id AS VARCHAR) AS link_id, road_name, road_category, start_lat, start_lon, end_lat, end_lon
     FROM links
     UNION ALL
-    SELECT link_id, arg_min(road_name, struct_pack(s := snapshot_time, r := road_name)),
-           arg_min(road_category, struct_pack(s := snapshot_time, r := road_name)),
-           arg_min(start_lat, struct_pack(s := snapshot_time, r := road_name)),
-           arg_min(start_lon, struct_pack(s := snapshot_time, r := road_name)),
-           arg_min(end_lat, struct_pack(s := snapshot_time, r := road_name)),
-           arg_min(end_lon, struct_pack(s := snapshot_time, r := road_name))
+    SELECT link_id, arg_min(road_name, struct_pack(s := snapshot_time, r := event_id)),
+           arg_min(road_category, struct_pack(s := snapshot_time, r := event_id)),
+           arg_min(start_lat, struct_pack(s := snapshot_time, r := event_id)),
+           arg_min(start_lon, struct_pack(s := snapshot_time, r := event_id)),
+           arg_min(end_lat, struct_pack(s := snapshot_time, r := event_id)),
+           arg_min(end_lon, struct_pack(s := snapshot_time, r := event_id))
     FROM roads_new WHERE link_id NOT IN (SELECT CAST(link_id AS VARCHAR) FROM links)
     GROUP BY link_id""", "links", extra={"roads_new": ROADS_NEW_SQL}))
 def q_feed_road_links(spark, d):
-    """S3: insert-or-ignore into the existing road dimension."""
+    """S3: insert-or-ignore into the existing road dimension; the first item in feed order wins."""
     dim = fx.links(spark, d).withColumn("link_id", F.col("link_id").cast("string"))
-    new = FD.road_link_rows(speed_raw(spark, d))
-    return FD.upsert_first(dim, new, "link_id", ["snapshot_time", "road_name"])
+    new = FD.road_link_rows(speed_raw(spark, d), keep=["_page", "_pos"])
+    return FD.upsert_first(dim, new, "link_id", ["snapshot_time", "_page", "_pos"])
 
 
 # S4-S7 -----------------------------------------------------------------------------------
@@ -234,18 +234,19 @@ def q_feed_train_alerts(spark, d):
 @register("feed_rainfall_readings", f"""
     WITH r AS (
         SELECT 'S' || CAST(event_id % 25 AS VARCHAR) AS station_id, CAST(CAST(value AS VARCHAR) AS DOUBLE) AS value_mm,
-               {SNAP_SQL} AS reading_time, {SNAP_SQL} AS snapshot_time FROM events
+               {SNAP_SQL} AS reading_time, {SNAP_SQL} AS snapshot_time, event_id FROM events
         UNION ALL
         SELECT 'S' || CAST(event_id % 25 AS VARCHAR), CAST(CAST(value + 1000 AS VARCHAR) AS DOUBLE),
-               {SNAP_SQL}, {_ISO_SQL.format(b=_BUCKET + ' + 300')} FROM events)
-    SELECT station_id, reading_time, arg_min(value_mm, struct_pack(s := snapshot_time, v := value_mm)) AS value_mm,
+               {SNAP_SQL}, {_ISO_SQL.format(b=_BUCKET + ' + 300')}, event_id FROM events)
+    SELECT station_id, reading_time, arg_min(value_mm, struct_pack(s := snapshot_time, e := event_id)) AS value_mm,
            MIN(snapshot_time) AS snapshot_time
     FROM r GROUP BY station_id, reading_time""")
 def q_feed_rainfall_readings(spark, d):
-    """S10 + S11: readings seen again in a later poll keep the first poll's row."""
+    """S10 + S11: the first reading in feed order wins, inside a poll and over polls."""
     docs = rain_poll_docs(spark, d)
-    rows = FD.normalize_rainfall(docs)
-    return first_per_key(rows, ["station_id", "reading_time"], ["snapshot_time", "value_mm"])
+    rows = FD.normalize_rainfall(docs, position="_pos", keep=["_page"])
+    first = first_per_key(rows, ["station_id", "reading_time"], ["snapshot_time", "_page", "_pos"])
+    return first.select("station_id", "reading_time", "value_mm", "snapshot_time")
 
 
 def rain_poll_docs(spark, d):
@@ -255,12 +256,13 @@ def rain_poll_docs(spark, d):
     v = F.struct(F.concat(F.lit("S"), _s(F.col("event_id") % 25)).alias("stationId"), _s(F.col("value")).alias("value"))
     v2 = F.struct(F.concat(F.lit("S"), _s(F.col("event_id") % 25)).alias("stationId"),
                   _s(F.col("value") + 1000).alias("value"))
-    both = e.select(F.col("_bucket").alias("_poll"), "_bucket", "_page", v.alias("v")).unionByName(
-        e.select((F.col("_bucket") + 300).alias("_poll"), "_bucket", "_page", v2.alias("v")))
-    readings = both.groupBy("_poll", "_page", "_bucket").agg(F.collect_list("v").alias("data")).select(
+    both = e.select(F.col("_bucket").alias("_poll"), "_bucket", "_page", "event_id", v.alias("v")).unionByName(
+        e.select((F.col("_bucket") + 300).alias("_poll"), "_bucket", "_page", "event_id", v2.alias("v")))
+    readings = both.groupBy("_poll", "_page", "_bucket").agg(
+        F.sort_array(F.collect_list(F.struct("event_id", "v")))["v"].alias("data")).select(
         "_poll", "_page", F.struct(_iso(F.col("_bucket")).alias("timestamp"), "data").alias("r"))
     per_page = readings.groupBy("_poll", "_page").agg(F.collect_list("r").alias("readings"))
-    return per_page.select(_iso(F.col("_poll")).alias("snapshot_time"),
+    return per_page.select(_iso(F.col("_poll")).alias("snapshot_time"), "_page",
                            F.to_json(F.struct(F.struct("readings").alias("data"))).alias("json"))
 
 

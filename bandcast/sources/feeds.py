@@ -75,10 +75,14 @@ def read_feed(spark: SparkSession, path: str, item: T.StructType, corrupt: bool
     return items.select(*[c for c in items.columns if c != "item"], "item.*")
 
 
-def parse_feed(text: DataFrame, item: T.StructType, col: str = "json") -> DataFrame:
-    """JSON page text in a column -> one row per item (same rules as S1)."""
+def parse_feed(text: DataFrame, item: T.StructType, col: str = "json", position: str | None = None) -> DataFrame:
+    """JSON page text in a column -> one row per item (same rules as S1).
+    ``position`` names a column for the item's place in its page (from 0), which
+    with a page column gives the feed order that first-wins rules need."""
     doc = text.withColumn("_doc", F.from_json(F.col(col), envelope(item))).drop(col)
-    items = doc.select(*[c for c in doc.columns if c != "_doc"], F.explode("_doc.value").alias("item"))
+    keep = [c for c in doc.columns if c != "_doc"]
+    items = doc.select(*keep, F.posexplode("_doc.value").alias(position, "item") if position
+                       else F.explode("_doc.value").alias("item"))
     return items.select(*[c for c in items.columns if c != "item"], "item.*")
 
 
@@ -95,15 +99,16 @@ def normalize_speedbands(raw: DataFrame, ts: str = "snapshot_time") -> DataFrame
                       F.col(ts).alias("snapshot_time"))
 
 
-def road_link_rows(raw: DataFrame, ts: str = "snapshot_time", parity: bool = True) -> DataFrame:
-    """S3 input: the road dimension as seen in one speed poll (strict floats)."""
+def road_link_rows(raw: DataFrame, ts: str = "snapshot_time", parity: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """S3 input: the road dimension as seen in one speed poll (strict floats); ``keep`` lists
+    further columns, such as page and position, for ``upsert_first``'s order."""
     return raw.select(F.col("LinkID").alias("link_id"), F.col("RoadName").alias("road_name"),
                       text_or_none("RoadCategory", parity).alias("road_category"),
                       F.col("StartLat").cast("double").alias("start_lat"),
                       F.col("StartLon").cast("double").alias("start_lon"),
                       F.col("EndLat").cast("double").alias("end_lat"),
                       F.col("EndLon").cast("double").alias("end_lon"),
-                      F.col(ts).alias("snapshot_time"))
+                      F.col(ts).alias("snapshot_time"), *keep)
 
 
 def upsert_first(dim: DataFrame | None, new: DataFrame, key: str | Sequence[str],
@@ -191,14 +196,18 @@ def normalize_stations(text: DataFrame, col: str = "json", ts: str = "snapshot_t
                      F.col(ts).alias("snapshot_time"))
 
 
-def normalize_rainfall(text: DataFrame, col: str = "json", ts: str = "snapshot_time") -> DataFrame:
+def normalize_rainfall(text: DataFrame, col: str = "json", ts: str = "snapshot_time",
+                       position: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Double explode ``readings[] x data[]`` carrying the outer timestamp;
-    value is a strict float."""
-    doc = text.select(F.col(ts), F.from_json(F.col(col), RAIN_DOC).alias("_d"))
-    rd = doc.select(F.col(ts), F.explode("_d.data.readings").alias("_r"))
-    e = rd.select(F.col(ts), F.col("_r.timestamp").alias("reading_time"), F.explode("_r.data").alias("_e"))
+    value is a strict float.  ``position`` names a struct column with the places
+    of the reading and of its value, for first-wins inside a poll (S11);
+    ``keep`` lists further columns of ``text``, such as the page."""
+    doc = text.select(F.col(ts), *keep, F.from_json(F.col(col), RAIN_DOC).alias("_d"))
+    rd = doc.select(F.col(ts), *keep, F.posexplode("_d.data.readings").alias("_rp", "_r"))
+    e = rd.select(F.col(ts), *keep, "_rp", F.col("_r.timestamp").alias("reading_time"), F.posexplode("_r.data").alias("_ep", "_e"))
     return e.select(F.col("_e.stationId").alias("station_id"), F.col("_e.value").cast("double").alias("value_mm"),
-                    "reading_time", F.col(ts).alias("snapshot_time"))
+                    "reading_time", F.col(ts).alias("snapshot_time"),
+                    *keep, *([F.struct("_rp", "_ep").alias(position)] if position else []))
 
 
 def update_by_key(dim: DataFrame, upd: DataFrame, key: str, cols: Sequence[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -43,12 +43,17 @@ def write_table(df: DataFrame, path: str, codec: str | None = "zstd", mode: str
     w.parquet(path)
 
 
-def append_fact(df: DataFrame, path: str, ts_col: str = "snapshot_time", entity: str | None = None) -> None:
+def append_fact(df: DataFrame, path: str, ts_col: str = "snapshot_time", entity: str | None = None,
+                files_per_date: int | None = None) -> None:
     """Append-only fact write, partitioned by date, rows clustered by
     (entity, time) inside each file so an (entity, time range) read prunes
-    row groups — the access path the reference indexed."""
+    row groups — the access path the reference indexed.  ``files_per_date`` first
+    shuffles rows by date and a hash of the entity into that many files a date;
+    without it every task writes its own file for each date it holds."""
     out = df.withColumn("snapshot_date", F.to_date(F.col(ts_col)))
     order = ([entity] if entity else []) + [ts_col]
+    if files_per_date:
+        out = out.repartition("snapshot_date", F.pmod(F.xxhash64(entity or ts_col), F.lit(files_per_date)))
     write_table(out, path, mode="append", partition_by=["snapshot_date"], sort_within=order)
 
 
@@ -67,6 +72,13 @@ def compact(df: DataFrame, path: str, casts: Mapping[str, str], files: int | Non
 
 
 def register_view(df: DataFrame, name: str) -> DataFrame:
-    """Named view; ``spark.sql`` can then replace tables from queries."""
+    """Named view."""
     df.createOrReplaceTempView(name)
     return df
+
+
+def replace_table(df: DataFrame, name: str) -> DataFrame:
+    """Create or replace the catalog table ``name`` from a query's result.
+    The query may not read the table it replaces (Spark refuses that)."""
+    df.write.mode("overwrite").format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -39,6 +39,30 @@ def test_first_version_wins(spark):
     assert out == {"1": "Old", "2": "First"}
 
 
+def test_first_in_feed_order_wins(spark):
+    item = {"LinkID": "1", "RoadName": "Zebra", "StartLat": "1", "StartLon": "2", "EndLat": "3", "EndLon": "4"}
+    pages = [("t1", 0, json.dumps({"value": [item, {**item, "RoadName": "Alpha"}]})),
+             ("t1", 1, json.dumps({"value": [{**item, "RoadName": "Aa"}, {**item, "LinkID": "2", "RoadName": "Two"}]}))]
+    raw = FD.parse_feed(spark.createDataFrame(pages, "snapshot_time string, page int, json string"), FD.SPEED_ITEM, position="pos")
+    rows = FD.road_link_rows(raw, keep=["page", "pos"])
+    out = {r.link_id: r.road_name for r in FD.upsert_first(None, rows, "link_id", ["snapshot_time", "page", "pos"]).collect()}
+    assert out == {"1": "Zebra", "2": "Two"}
+    doc = {"data": {"readings": [{"timestamp": "r1", "data": [{"stationId": "S1", "value": 7}, {"stationId": "S1", "value": 2}]}]}}
+    df = spark.createDataFrame([("t1", json.dumps(doc))], "snapshot_time string, json string")
+    rd = FD.normalize_rainfall(df, position="pos")
+    assert [r.value_mm for r in first_per_key(rd, ["station_id", "reading_time"], ["snapshot_time", "pos"]).collect()] == [7.0]
+
+
+def test_replace_table_and_file_count(spark, tmp_path):
+    a = spark.range(10).withColumn("snapshot_time", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    assert TB.replace_table(a.select("id"), "replaced_by_query").count() == 10
+    assert TB.replace_table(a.select("id").filter("id < 3"), "replaced_by_query").count() == 3
+    spark.sql("DROP TABLE replaced_by_query")
+    TB.append_fact(a.repartition(8), str(tmp_path / "fact"), entity="id", files_per_date=2)
+    assert spark.read.parquet(str(tmp_path / "fact")).count() == 10
+    assert len(list((tmp_path / "fact").glob("*/*.parquet"))) <= 2
+
+
 def _alerts(spark, docs):
     df = spark.createDataFrame([(f"t{i}", json.dumps(d)) for i, d in enumerate(docs)], "snapshot_time string, json string")
     return FD.flatten_alerts(df).collect()

@@ -56,15 +56,15 @@ def traffic_windows(speed: DataFrame, lo=None, hi=None, key: str = "link_id", ts
 
 
 def incident_rollup(joined: DataFrame, keys: Sequence[str], ts: str = "snapshot_ts",
-                    inc_type: str = "inc_type", inc_start: str = "inc_start_ts") -> DataFrame:
+                    kind: str = "kind", began: str = "began") -> DataFrame:
     """A2: per feature row, the incident count, any-flag, minutes since the
     latest start and one max-flag per category."""
     agg = joined.groupBy(*keys).agg(
-        F.count(inc_type).alias("incident_count_on_link"),
-        F.max(inc_start).alias("_max_start"),
-        F.max(flag(F.col(inc_type) == "Accident")).alias("has_accident"),
-        F.max(flag(F.col(inc_type) == "Roadwork")).alias("has_roadwork"),
-        F.max(flag(F.col(inc_type) == "Vehicle breakdown")).alias("has_breakdown"),
+        F.count(kind).alias("incident_count_on_link"),
+        F.max(began).alias("_max_start"),
+        F.max(flag(F.col(kind) == "Accident")).alias("has_accident"),
+        F.max(flag(F.col(kind) == "Roadwork")).alias("has_roadwork"),
+        F.max(flag(F.col(kind) == "Vehicle breakdown")).alias("has_breakdown"),
     )
     return agg.withColumns({
         "incident_on_link": flag(F.col("incident_count_on_link") > 0),
@@ -91,9 +91,9 @@ def feature_table(speed: DataFrame, links: DataFrame, incidents: DataFrame, lo=N
         midpoint("start_lon", "end_lon").alias("mid_lon"),
     ).withColumns({"lat_bin": grid_bin("mid_lat"), "lon_bin": grid_bin("mid_lon")})
     inc = incidents.filter(F.col("link_id").isNotNull()).select(
-        "link_id", "start_ts", "end_ts", F.col("type").alias("inc_type"))
+        "link_id", "start_ts", "end_ts", F.col("type").alias("kind"))
     j = enrich(t, roads, "link_id", "inner")
-    j = interval_join(j, inc, strategy=interval_strategy).withColumnRenamed("start_ts", "inc_start_ts") \
+    j = interval_join(j, inc, strategy=interval_strategy).withColumnRenamed("start_ts", "began") \
         .drop("end_ts")
     return incident_rollup(j, FEATURE_KEYS)
 

@@ -29,7 +29,7 @@ from bandcast.plans import fixtures as fx
 from bandcast.plans.q_features import buckets_df, features_df
 from bandcast.plans.q_spatial import rain_readings, station_mapping
 from bandcast.plans.registry import register
-from bandcast.session import checkpoint_dir
+from bandcast.session import checkpoint_dir, cut_lineage
 
 KEYS = ["link_id", "snapshot_ts"]
 FAST = {"maxIter": 15, "maxDepth": 5}
@@ -50,7 +50,7 @@ def split(spark, d):
     m = master_frame(spark, d)
     require_columns(m, FEATURES, strict=True)          # P27: fail before any action
     m, feats = M.impute(m, FEATURES)
-    m = m.cache()
+    m = cut_lineage(m)
     t = chrono_split(m)
     return split_side(m, t, "train"), split_side(m, t, "test"), feats
 
@@ -115,7 +115,7 @@ def cascade_frame(spark, d):
 @register("train_cascade_funnel")
 def q_train_cascade_funnel(spark, d):
     """Stage funnel per direction with trained models."""
-    c = cascade_frame(spark, d).cache()
+    c = cut_lineage(cascade_frame(spark, d))
     out = []
     for direction, mag in (("descent", "jam_mag"), ("ascent", "rise_mag")):
         x = c.withColumns({"routed": flag(F.col("route") == direction),
@@ -127,7 +127,7 @@ def q_train_cascade_funnel(spark, d):
 @register("train_specialist_reports")
 def q_train_specialist_reports(spark, d):
     """E6, E8, E9, E10, E11 on the descent specialist's routed rows."""
-    c = cascade_frame(spark, d).filter(F.col("route") == "descent").cache()
+    c = cut_lineage(cascade_frame(spark, d).filter(F.col("route") == "descent"))
     from bandcast.functions.scalars import JAM_LABELS, cut_right
     mag = E.magnitude_metrics(c, "jam_mag", "pred_mag").withColumn("report", F.lit("magnitude"))
     alert = E.alert_report(c, "jam_mag", "pred_mag").withColumn("report", F.lit("alerts"))

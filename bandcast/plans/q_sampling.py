@@ -9,6 +9,7 @@ from bandcast.plans import fixtures as fx
 from bandcast.plans.fixtures import with_views
 from bandcast.plans.q_features import features_df, FEATURE_CTES
 from bandcast.plans.registry import register
+from bandcast.session import cut_lineage
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 P = R.MOD
@@ -93,7 +94,7 @@ _SPLIT_SQL = "(SELECT MIN(snapshot_ts) + CAST(FLOOR(0.8e0 * (MAX(snapshot_ts) -
                                      "speedbands", "links", "incident_intervals", extra=FEATURE_CTES))
 def q_chrono_split(spark, d):
     from bandcast.operators.filters import split_side
-    f = features_df(spark, d).cache()
+    f = cut_lineage(features_df(spark, d).select("snapshot_ts"))
     t = R.chrono_split(f)
     tr = split_side(f, t, "train").agg(F.count(F.lit(1)).alias("train_rows"))
     te = split_side(f, t, "test").agg(F.count(F.lit(1)).alias("test_rows"))

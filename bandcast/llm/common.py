@@ -69,14 +69,21 @@ def broadcast_if_small(table: DataFrame, row_bytes: int, limit_bytes: int = 64 <
 def most_frequent(counts: DataFrame, n_col: str, limit: int) -> DataFrame:
     """The rows of ``counts`` (already written) with the largest ``n_col``, at
     most ``limit`` of them, by a threshold: an eighth-of-an-octave histogram of the counts
-    gives the lowest bucket down to which the rows fit.  No global sort."""
+    gives the lowest bucket down to which the rows fit, and a histogram of row
+    hashes the part of the next bucket that fills the rest.  No global sort."""
     bucket = F.floor(F.log2(n_col) * 8)
     hist = sorted(((r["b"], r["n"]) for r in counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()),
                   reverse=True)         # at most 512 rows
-    floor, total = None, 0
+    total = 0
     for b, n in hist:
+        if total + n > limit:
+            part = F.pmod(F.xxhash64(*counts.columns), F.lit(1 << 12))
+            last = -1
+            for r in sorted(counts.filter(bucket == b).groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):
+                total += r["n"]                 # at most 4,096 rows
+                if total > limit:
+                    break
+                last = r["p"]
+            return counts.filter((bucket > b) | ((bucket == b) & (part <= last)))
         total += n
-        if total > limit:
-            break
-        floor = b
-    return counts.filter(bucket >= floor) if floor is not None else counts.limit(0)
+    return counts

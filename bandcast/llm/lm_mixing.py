@@ -5,7 +5,10 @@ the text, is coded by binary decisions, so the model's probability of a text
 is the product of its bits' probabilities.  A frequent word is coded by its
 class (half an octave of its rank, and its group) by a Huffman code; within the
 class it has its share of the training counts.  Other words are escaped and
-spelled: every byte, and the word's end, by a Huffman code.  A word's group is
+spelled: every byte, and the word's end, by a Huffman code; the spelled
+probability is mixed (Witten-Bell) with the word's share of all escaped
+training words, whose counts stay in a table that grows with the corpus and
+is joined to the words that texts hold.  A word's group is
 the label (such as the language) of the training texts that use it most; labels
 are read in training only, and without them all words are one group.
 
@@ -21,8 +24,8 @@ model.  In the second pass each task runs online: it predicts a block of
 bits with the counters it has so far, corrects the weights by the errors,
 then counts the bits.  Counters and refinement counts of all tasks are
 added up and weights averaged by the bits that trained them, in two levels.
-Tables have a fixed size, so the merged model is broadcast at any corpus
-size.  Scoring does not change the model, so a text's score depends on
+Counter tables have a fixed size, so the merged model is broadcast at any
+corpus size; above about 3 million words their cells are shared by many contexts.  Scoring does not change the model, so a text's score depends on
 nothing but the text.  Contexts restart every ``SLICE`` bytes of a long text.
 
 Words are known by 64-bit hashes, computed for a whole group of texts at
@@ -56,8 +59,7 @@ SLICE = 1 << 20                 # bytes of text gathered before that; longer tex
 SETS, LEVELS = 32, 33           # weight sets (16 for words, 16 for bytes), refinement levels
 CELL = 1 << 13                  # counters sent as one cell
 ESCAPE, END, FIRST = 0, 1, 2    # classes: escape, end of text, then words
-GROUPS = 16                     # the 15 most frequent labels have their own group, others and null share one
-HISTORY, RESTART = 4, 31        # groups before a word, and the mark of a text's start among them
+HISTORY = 4                     # groups before a word
 STOP = 256                      # byte symbol that ends a spelled word
 _GATHER = 1 << 22               # words counted before they are sent
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -195,11 +197,13 @@ class Vocabulary:
         octave = np.floor(np.log2(rank + 1)).astype(np.int64)
         half = np.where(octave > 0, (rank + 1 >> np.maximum(octave - 1, 0)) & 1, 0)
         self.group = np.zeros(len(hashes), np.uint8) if groups is None else groups
-        cls = FIRST + np.unique((2 * octave + half) * GROUPS + self.group, return_inverse=True)[1]
+        top = int(self.group.max(initial=0))
+        self.base = max(32, top + 3)            # of the group history; its last digit marks a text's start
+        cls = FIRST + np.unique((2 * octave + half) * (top + 1) + self.group, return_inverse=True)[1]
         sums = np.bincount(cls, counts, minlength=FIRST + 1)
         sums[ESCAPE], sums[END] = max(0, total - ends - int(counts.sum())), ends
         self.code, self.letters = Code(sums + 1), Code(letters + 1)
-        self.cls = cls.astype(np.uint16)
+        self.cls = cls.astype(np.uint16 if cls.max(initial=0) < 1 << 16 else np.int32)
         self.share = np.log10(counts / sums[cls]).astype(np.float32) if len(hashes) else np.zeros(0, np.float32)
         self.log_n = np.log10(counts + 1.0)
         self.log_end, self.known_end = math.log10(ends + 1), ends > 0
@@ -227,7 +231,7 @@ class Vocabulary:
         return out
 
     def blocks(self, w: Words, h: np.ndarray, of: np.ndarray, word: np.ndarray, rank: np.ndarray):
-        """(kind, code, symbols, contexts, text of each symbol): all words and ends, then the escaped words' bytes."""
+        """(kind, code, symbols, contexts, whose): all words and ends by text, then the escaped words' bytes by word."""
         cls = np.where(word, ESCAPE, END)
         known = rank >= 0
         cls[known] = self.cls.take(rank[known])
@@ -238,26 +242,27 @@ class Vocabulary:
             yield 0, self.code, cls[z], [one[z], past[z]], of[z]
         out = np.flatnonzero(~known[word])
         if len(out):
-            yield from self._spelled(w, out, of[word][out])
+            yield from self._spelled(w, out)
 
     def _history(self, word: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Hash of the groups of the words before each symbol, as far as the text's start."""
-        group = np.where(word, 0, RESTART)
-        group[rank >= 0] = self.group.take(rank[rank >= 0]) + 1
+        restart = self.base - 1
+        group = np.where(word, 0, restart)
+        group[rank >= 0] = self.group.take(rank[rank >= 0]).astype(np.int64) + 1
         back, out = group, np.zeros(len(word), np.uint64)
         for k in range(HISTORY):
-            earlier = np.concatenate([[RESTART], back[:-1]])
-            back = earlier if k == 0 else np.where(back == RESTART, RESTART, earlier)
-            out = out * np.uint64(32) + back.astype(np.uint64)
+            earlier = np.concatenate([[restart], back[:-1]])
+            back = earlier if k == 0 else np.where(back == restart, restart, earlier)
+            out = out * np.uint64(self.base) + back.astype(np.uint64)
         return (out + np.uint64(1)) * _C[1]
 
-    def _spelled(self, w: Words, which: np.ndarray, of: np.ndarray):
+    def _spelled(self, w: Words, which: np.ndarray):
         size = w.end[which] - w.start[which] + 1
         stop = np.cumsum(size) - 1
         at = np.arange(int(stop[-1]) + 1) + np.repeat(w.start[which] - (stop - size + 1), size)
         sym = np.concatenate([np.full(ORDERS[-1], STOP), w.raw.take(at)]).astype(np.int64)
         sym[stop + ORDERS[-1]] = STOP
-        whose = np.repeat(of, size)
+        whose = np.repeat(np.arange(len(which)), size)
         for a in range(0, len(at), BLOCK):
             n = min(BLOCK, len(at) - a)
             hashes, h, before = [], np.zeros(n, np.uint64), None
@@ -435,18 +440,20 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """A trained model: what is broadcast, and the table of all word counts."""
 
-    def __init__(self, counts: DataFrame, total: int, distinct: int, least: int, vocabulary: tuple, tables: tuple):
+    def __init__(self, counts: DataFrame, total: int, distinct: int, least: int, escaped: tuple[int, int],
+                 vocabulary: tuple, tables: tuple):
         self.counts, self.total, self.distinct, self.least = counts, total, distinct, least
+        self.escaped = escaped              # escaped training words: all, distinct
         self.vocabulary, self.tables = vocabulary, tables
 
 
 def _label_group(docs: DataFrame, label_col: str | None):
-    """Group of a row's label: 1 to 15 for the most frequent labels (ties by name), else 0."""
+    """Group of a row's label: 1, 2, ... from the most frequent label on (ties by name), 0 for null."""
     if label_col is None:
         return F.lit(0)
     label = F.col(label_col).cast("string")
     top = (docs.filter(label.isNotNull()).groupBy(label.alias("_label")).count()
-           .orderBy(F.desc("count"), "_label").limit(GROUPS - 1).collect())
+           .orderBy(F.desc("count"), "_label").collect())          # a row per label
     return F.coalesce(F.array_position(F.array(*[F.lit(r["_label"]) for r in top]).cast("array<string>"), label), F.lit(0))
 
 
@@ -468,14 +475,17 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str | None = None)
             letters[r["_key"]] = r["_n"]
         else:
             ends = r["_n"]
-    # VOCABULARY rows at most; words seen once train the spelling, as unseen words will need it
+    # VOCABULARY rows at most; words seen once train the spelling, as unseen words will need it.
+    # The counts of all other words reach the score by a join.
     top = most_frequent(words.filter("_n > 1"), "_n", VOCABULARY).toArrow()
     key, n = top.column(0).to_numpy(), top.column(1).to_numpy()
     order = np.lexsort((key, -n))
     hashes, n = key[order].astype(np.int64).view(np.uint64), n[order].astype(np.int64)
-    groups = top.column(2).to_numpy()[order].astype(np.uint8)
+    groups = top.column(2).to_numpy()[order]
+    groups = groups.astype(np.min_scalar_type(int(groups.max(initial=0))))
     least = int(n[-1]) if len(n) else 1 << 62
     total, distinct = int(size[0]) + ends, int(size[1]) + int(ends > 0)
+    escaped = int(size[0]) - int(n.sum()), int(size[1]) - len(n)
     vocabulary = hashes, n, ends, total, letters, groups
     fan = max(1, math.isqrt(texts.rdd.getNumPartitions()))
     schema = "_task int, _cell int, _counts binary"
@@ -497,7 +507,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str | None = None)
     k = state[SETS * 5:].reshape(-1, 2)
     level = 1 / (1 + np.exp(-np.tile(np.linspace(-8, 8, LEVELS), SETS)))
     refine = (k[:, 1] + 8 * level) / (k.sum(1) + 8)
-    return Model(words, total, distinct, least, vocabulary, (odds, seen, weights.astype(np.float32), refine.astype(np.float32)))
+    return Model(words, total, distinct, least, escaped, vocabulary, (odds, seen, weights.astype(np.float32), refine.astype(np.float32)))
 
 
 def _score(model):
@@ -512,25 +522,32 @@ def _score(model):
             rank = np.where(word, voc.find(h), -1)
             known = rank >= 0
             score = np.bincount(of[known], voc.share.take(rank[known]), minlength=k).astype(np.float64)
+            out = word & ~known
+            spelled = np.zeros(int(out.sum()))
             for kind, code, sym, contexts, whose in voc.blocks(w, h, of, word, rank):
                 at, step, bit, own = code.expand(sym)
                 cells = cells_of(kind, contexts, at, step)
                 got = mixer.log10([own, *[odds_of.take(s) for s in cells]], gate_of(kind, *[seen.take(s) for s in cells]), bit)
-                score += np.bincount(whose.take(at), got, minlength=k)
+                if kind:
+                    spelled += np.bincount(whose.take(at), got, minlength=len(spelled))
+                else:
+                    score += np.bincount(whose.take(at), got, minlength=k)
+            score += np.bincount(of[out], spelled, minlength=k)
             base = np.bincount(of[known], voc.log_n.take(rank[known]), minlength=k) + (voc.log_end if ends else 0)
             hits = np.bincount(of[known], minlength=k) + int(ends and voc.known_end)
-            out = word & ~known
             rare, per = h[out].view(np.int64), np.bincount(of[out], minlength=k)
             sums = [w.words + int(ends), w.bytes + w.words + int(ends), hits, base, score]
             if before is not None:
-                sums, rare, per = [x + y for x, y in zip(sums, before[0])], np.concatenate([before[1], rare]), per + len(before[1])
-            before = None if ends else (sums, rare)
+                sums, per = [x + y for x, y in zip(sums, before[0])], per + len(before[1])
+                rare, spelled = np.concatenate([before[1], rare]), np.concatenate([before[2], spelled])
+            before = None if ends else (sums, rare, spelled)
             if ends:
                 ids = pa.chunked_array([b.column(0).slice(i, 1) for b, i in rows]).combine_chunks()
                 offsets = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [ids, *[pa.array(x.astype(np.int64)) for x in sums[:3]], *[pa.array(x.astype(np.float64)) for x in sums[3:]],
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare))],
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(
+                         [pa.array(rare), pa.array(spelled.astype(np.float32))], ["h", "s"]))],
                     ["_id", "_n", "_bytes", "_known", "_base", "_score", "_rare"])
     return run
 
@@ -550,19 +567,26 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     prepare(spark)
     run = _score(spark.sparkContext.broadcast((model.vocabulary, model.tables)))
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"_id {id_type}, _n bigint, _bytes bigint, _known bigint, _base double, _score double, _rare array<bigint>"
+    schema = f"_id {id_type}, _n bigint, _bytes bigint, _known bigint, _base double, _score double, _rare array<struct<h:bigint,s:float>>"
     rows = written(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
                    .mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scores")
-    rare = rows.select(F.col("_row").alias("_r"), F.explode("_rare").alias("_h"))
-    lookup = model.counts.filter(F.col("_n") < model.least).select(F.col("_key").alias("_h"), "_n")
+    rare = rows.select(F.col("_row").alias("_r"), F.explode("_rare").alias("_x")).select("_r", F.col("_x.h").alias("_h"), F.col("_x.s").cast("double").alias("_s"))
+    lookup = model.counts.filter(F.col("_n") <= model.least).select(F.col("_key").alias("_h"), "_n")
+    # an escaped word's probability is (its count + distinct * spelled) / (all + distinct); unseen: count 0
+    all_, distinct = (max(1, x) for x in model.escaped)
+    unseen = math.log10(distinct / (all_ + distinct)) if model.escaped[1] else 0.0
+    ratio = F.col("_n") / F.lit(float(distinct))
+    gain = F.log10(ratio) - F.col("_s") + F.log10(1.0 + F.pow(F.lit(10.0), F.col("_s")) / ratio)
     found = (rare.join(lookup, "_h").groupBy("_r")
-             .agg(F.count("*").alias("_k"), F.sum(F.log10(F.col("_n") + 1.0)).alias("_b")))
+             .agg(F.count("*").alias("_k"), F.sum(F.log10(F.col("_n") + 1.0)).alias("_b"), F.sum(gain).alias("_g")))
     norm = math.log10(model.total + model.distinct + 1)
-    return rows.drop("_rare").join(found, F.col("_row") == F.col("_r"), "left").select(
+    rows = rows.withColumn("_score", F.col("_score") + F.size("_rare") * F.lit(unseen)).drop("_rare")
+    total = F.col("_score") + F.coalesce("_g", F.lit(0.0))
+    return rows.join(found, F.col("_row") == F.col("_r"), "left").select(
         F.col("_id").alias(id_col), F.col("_n").alias("n_tokens"),
         (F.col("_known") + F.coalesce("_k", F.lit(0))).alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"),
         (F.col("_base") + F.coalesce("_b", F.lit(0.0)) - F.col("_n") * norm).alias("base_score"),
-        F.col("_score").alias("score"), (-F.col("_score") * math.log2(10) / F.col("_bytes")).alias("bits_per_byte"))
+        total.alias("score"), (-total * math.log2(10) / F.col("_bytes")).alias("bits_per_byte"))
 
 
 def score_by_held_out_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -9,7 +9,8 @@ retried query resumes exactly where it stopped.
 * T2 ``stream_dedupe``: ``dropDuplicatesWithinWatermark`` (bounded state).
 * T3 ``stream_lifecycles``: ``applyInPandasWithState`` keyed by type; rows
   are buffered until the watermark passes them, then applied in event-time
-  order, so the result equals the batch operator on in-order input.
+  order, so the result equals the batch operator unless a row comes later
+  than the allowed lateness; such rows are dropped.
 * T4 ``stream_rollup``: tumbling event-time windows with a watermark.
 * T5 ``stream_enrich``: stream-static joins (dimension, interval table).
 * T6 ``stream_sessions``: ``session_window`` per key (gap rule only).
@@ -206,11 +207,13 @@ def _lifecycle_step(max_gap_min: float, max_dist_m: float):
 
 
 def stream_lifecycles(df: DataFrame, max_gap_min: float = 15.0, max_dist_m: float = 200.0,
-                      lateness: str = "0 seconds") -> DataFrame:
+                      lateness: str = "15 minutes") -> DataFrame:
     """Incident lifecycles on a stream of sightings (src_id, type, lat,
     lon, message, ts epoch).  State per type: the open incidents and the
     rows not yet passed by the watermark.  An incident is emitted once the
-    watermark is more than the gap past its last sighting."""
+    watermark is more than the gap past its last sighting.  Rows up to
+    ``lateness`` behind the newest sighting of earlier micro-batches are taken
+    in event-time order; rows later than that are dropped."""
     x = df.withColumn("_et", F.timestamp_seconds("ts")).withWatermark("_et", lateness)
     return x.groupBy("type").applyInPandasWithState(
         _lifecycle_step(float(max_gap_min), float(max_dist_m)), LIFECYCLE_OUT, LIFECYCLE_STATE, "append",

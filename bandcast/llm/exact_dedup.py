@@ -33,7 +33,7 @@ def digest(text: str = "text"):
 
 def frequent(digests: DataFrame, tracked: int) -> DataFrame:
     """Candidates for heavy digests: one column ``_digest``, at most ``tracked // 4`` rows."""
-    fan = max(1, math.isqrt(digests.rdd.getNumPartitions()))
+    fan = max(1, math.isqrt(digests.select(F.spark_partition_id().alias("_p")).distinct().count()))
     part = (digests.groupBy((F.spark_partition_id() % fan).alias("_p"))
             .agg(F.expr(f"approx_top_k_accumulate(_digest, {tracked})").alias("_s")))
     return (part.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(_s, {tracked})").alias("_s"))

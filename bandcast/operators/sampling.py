@@ -12,9 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bandcast.operators.names import fresh
+
 # Fixed values of the portable hash (the MINSTD Lehmer generator).
 MOD = 2147483647      # 2^31 - 1, prime
 MULT = 48271
@@ -69,30 +71,33 @@ def sample_n(df: DataFrame, n: int, keys: Sequence[str], cond: Column | None = N
     filtered out first (a histogram of the hashes finds it), so the final
     ordering gets little more than ``n`` rows in all.
     """
-    h = unit_hash(keys, seed, portable)
     base = df if (before_filter or cond is None) else df.filter(cond)
-    x = base.withColumn("_h", h)
-    s = _smallest(x, n, None).orderBy("_h", *keys).limit(n).drop("_h")
+    h, = fresh(df, "_h")
+    x = base.withColumn(h, unit_hash(keys, seed, portable))
+    s = _smallest(x, n, None, h).orderBy(h, *keys).limit(n).drop(h)
     return s.filter(cond) if (before_filter and cond is not None) else s
 
 
 BUCKETS = 1 << 16
 
 
-def _smallest(x: DataFrame, n: int, class_col: str | None) -> DataFrame:
-    """The rows of ``x`` whose hash ``_h`` lies at or below the bucket of the
+def _smallest(x: DataFrame, n: int, class_col: str | None, h: str) -> DataFrame:
+    """The rows of ``x`` whose hash (column ``h``) lies at or below the bucket of the
     ``n``-th smallest hash (of their class): one partial aggregate into at most
-    ``BUCKETS`` rows per class, no loop, null being a class like any other."""
-    from pyspark.sql import Window
-    bucket = F.floor(F.col("_h") * BUCKETS)
-    c = F.lit("all") if class_col is None else F.col(class_col)
-    hist = x.groupBy(c.alias("_c"), bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = hist.withColumn("_before", before).filter(F.col("_before") < n).groupBy("_c").agg(F.max("_b").alias("_last"))
+    ``BUCKETS`` rows per class, no loop, null being a class like any other.
+    Columns added on the way have names that ``x`` has not."""
+    c, b, cnt, before, last = fresh(x, "_c", "_b", "_n", "_before", "_last")
+    bucket = F.floor(F.col(h) * BUCKETS)
+    klass = F.lit("all") if class_col is None else F.col(class_col)
+    hist = x.groupBy(klass.alias(c), bucket.alias(b)).agg(F.count(F.lit(1)).alias(cnt))
+    w = Window.partitionBy(c).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    ends = (hist.withColumn(before, F.coalesce(F.sum(cnt).over(w), F.lit(0))).filter(F.col(before) < n)
+            .groupBy(c).agg(F.max(b).alias(last)))
     if class_col is None:           # one number
-        row = last.first()
-        return x if row is None else x.filter(bucket <= F.lit(row["_last"]))
-    return x.join(F.broadcast(last), c.eqNullSafe(F.col("_c")) & (bucket <= F.col("_last"))).drop("_c", "_last")   # a row per class
+        row = ends.first()
+        return x if row is None else x.filter(bucket <= F.lit(row[last]))
+    on = F.col(class_col).eqNullSafe(F.col(c)) & (bucket <= F.col(last))
+    return x.join(F.broadcast(ends), on).drop(c, last)   # a row per class
 
 
 def balanced(df: DataFrame, class_col: str, n: int, keys: Sequence[str], seed: int = 42,
@@ -102,11 +107,12 @@ def balanced(df: DataFrame, class_col: str, n: int, keys: Sequence[str], seed: i
 
     A class may hold most rows, so it is never sorted in one task: only the
     rows up to the hash bucket of the class's ``n``-th smallest hash are ranked.
+    The frame may have columns of any name.
     """
-    from pyspark.sql import Window
-    cand = _smallest(df.withColumn("_h", unit_hash(keys, seed, portable)), n, class_col)
-    w = Window.partitionBy(class_col).orderBy("_h", *keys)
-    return cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_h", "_rn")
+    h, rn = fresh(df, "_h", "_rn")
+    cand = _smallest(df.withColumn(h, unit_hash(keys, seed, portable)), n, class_col, h)
+    w = Window.partitionBy(class_col).orderBy(h, *keys)
+    return cand.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) <= n).drop(h, rn)
 
 
 def chrono_split(df: DataFrame, ts: str = "snapshot_ts", frac: float = 0.8) -> int:

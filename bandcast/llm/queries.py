@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandcast.llm import bpe_stream, chat_trees, decontam, exact_dedup, language_id, line_dedup, lm_mixing, sharding, simhash_golay, token_counts
+from bandcast.llm import (bpe_stream, chat_trees, decontam, exact_dedup, fill_in_middle, filter_audit, language_id, license_scan, line_dedup,
+                          lm_mixing, sharding, simhash_golay, token_counts)
 from bandcast.llm.common import LOWER, UPPER, documents
 
 _BLANKS = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -152,7 +153,79 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 FROM t
 """
 
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+OP11_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max(coalesce(CAST(quality = 1 AS INT), 0)) AS good, max(coalesce(CAST(toxic = 1 AS INT), 0)) AS toxic
+      FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, [CAST(x AS INT) FOR x IN [
+           len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+           100 * (length(t) - length(translate(t, '{UPPER}', ''))) > 10 * length(t),
+           regexp_matches(t, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY t)]] AS b,
+         coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM w LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, b, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, b),
+i AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e
+      WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+r AS (
+  SELECT part, o, s.i AS step, b[o[s.i]] = 1 AS fails, n, good, toxic, list_sum(b) AS n_fails,
+         list_sum([b[x] FOR x IN o[1:s.i]]) AS so_far, list_sum([b[x] FOR x IN o[1:s.i - 1]]) AS before
+  FROM m, o, i s),
+g AS (
+  SELECT part, o, step, o[step] AS filter,
+         coalesce(sum(n) FILTER (so_far = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (fails AND coalesce(before, 0) = 0), 0) AS removed,
+         coalesce(sum(n) FILTER (fails AND before > 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (fails AND n_fails = 1), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (fails AND coalesce(before, 0) = 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (fails AND coalesce(before, 0) = 0), 0) AS toxic_lost
+  FROM r GROUP BY part, o, step)
+SELECT part, array_to_string(['ABCDE'[x] FOR x IN o], '') AS filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM g
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(documents(spark, sf_dir))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_in_middle.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, t, n, form, a, b, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir)).drop("spans")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_line_dedup, op3_simhash_near_dedup, op4_language_id, op5_sharding, op6_decontamination,
-    op7_lm_scoring, op8_bpe, op9_token_counts, op10_chat_formatting)}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_decontamination": OP6_SQL, "op10_chat_formatting": OP10_SQL}
+    op7_lm_scoring, op8_bpe, op9_token_counts, op10_chat_formatting, op11_filter_audit, op12_fill_in_middle, op13_license_scan)}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_decontamination": OP6_SQL, "op10_chat_formatting": OP10_SQL,
+           "op11_filter_audit": OP11_SQL, "op12_fill_in_middle": OP12_SQL}

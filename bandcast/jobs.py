@@ -131,15 +131,17 @@ def master_features(feats: DataFrame, mapping: DataFrame, rainfall: DataFrame, t
 
 
 def train_and_score(master: DataFrame, links: DataFrame, buckets: DataFrame, model_dir: str,
-                    sample_frac: float = 0.1, per_class: int = 500_000, eval_frac: float = 1.0,
+                    sample_frac: float = 0.1, per_class: int | None = 500_000, eval_frac: float = 1.0,
                     **gbt) -> dict[str, DataFrame]:
     """Split 80/20 by time, train the gatekeeper (incident rows + a
     ``sample_frac`` hash sample), the router (a ``sample_frac`` sample of
     changed rows) and both specialists (balanced, ``per_class`` each), save
     them, and return the scored test set with the cascade applied.
     ``eval_frac`` < 1 evaluates a hash sample of the test rows (the reference
-    used 0.1); the default keeps every test row."""
-    frame, feats = M.impute(model_frame(master, links, buckets), FEATURES)
+    used 0.1); the default keeps every test row.  ``per_class`` is the
+    reference's own bound on the rows each regressor trains on; None trains on
+    every row that moved its way and every stable row."""
+    frame, feats = model_frame(master, links, buckets), list(FEATURES)
     t = chrono_split(frame)
     train, test = split_side(frame, t, "train"), split_side(frame, t, "test")
     if eval_frac < 1.0:
@@ -152,15 +154,22 @@ def train_and_score(master: DataFrame, links: DataFrame, buckets: DataFrame, mod
     for name, kind, cls in (("descent", "drop", "fall"), ("ascent", "rise", "rise")):
         both = row_class(train, cls).withColumn("_c", F.lit(1)).unionByName(
             row_class(train, "stable").withColumn("_c", F.lit(0)))
-        spec[name] = M.fit_regressor(M.label(balanced(both, "_c", per_class, KEYS), kind), feats, **gbt)
+        both = both if per_class is None else balanced(both, "_c", per_class, KEYS)
+        spec[name] = M.fit_regressor(M.label(both, kind), feats, **gbt)
     for name, model in (("gatekeeper", gate), ("router", router), *spec.items()):
         M.save(model, os.path.join(model_dir, name))
-    g = M.gate_table(M.score(gate, test, "prob"))
-    r = M.router_table(M.score(router, g, "prob")).withColumn("route", C.route())
-    scorers = {k: (lambda mdl: (lambda x: M.score(mdl, x, "value")))(v) for k, v in spec.items()}
-    cascade = C.score_routed(r, scorers).withColumns({"jam_mag": C.true_magnitude(sign=-1),
-                                                      "rise_mag": C.true_magnitude(sign=+1)})
-    return {"gatekeeper_predictions": g, "router_predictions": r, "cascade": cascade}
+    cascade = C.apply_cascade(test, gate, router, spec["descent"], spec["ascent"])
+    return {"cascade": cascade}
+
+
+ROUTER_COLUMNS = ["router_prob", "router_pred", "router_correct", "router_margin", "route"]
+
+
+def prediction_tables(cascade: DataFrame) -> dict[str, DataFrame]:
+    """M13 and M14 as tables of their own: columns of the written cascade, nothing scored again."""
+    later = [c for c in cascade.columns if c not in ("pred_mag", "strict_alert", "jam_mag", "rise_mag")]
+    return {"gatekeeper_predictions": cascade.select(*[c for c in later if c not in ROUTER_COLUMNS]),
+            "router_predictions": cascade.select(*later)}
 
 
 def cascade_reports(cascade: DataFrame) -> DataFrame:
@@ -196,6 +205,7 @@ def run_all(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str, sta
     master = keep("master_features", master_features(feats, mapping, tables["rainfall"]))
     scored = train_and_score(master, links, buckets, os.path.join(out_dir, "models"), sample_frac=sample_frac, **gbt)
     out = {k: keep(k, v) for k, v in scored.items()}
+    out |= {k: keep(k, v) for k, v in prediction_tables(out["cascade"]).items()}
     out["cascade_reports"] = keep("cascade_reports", cascade_reports(out["cascade"]))
     return out
 

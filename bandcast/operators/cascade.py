@@ -1,9 +1,11 @@
 """Cascade operators C1-C5: route rows to the specialists, score only the
 routed rows, and report the stage funnel.
 
-Scoring never joins back: the frame is split by route with filters, each
-part is scored by its own model (a narrow map), and the parts are unioned.
-Each row is scored at most once and nothing is shuffled.
+Scoring never joins back and nothing is shuffled.  ``apply_cascade`` scores
+all stages in one vectorised pass.  ``score_routed`` takes any scorers: the
+frame is split by route with filters, each part is scored by its own model (a
+narrow map), and the parts are unioned; its input is computed once per branch,
+so write or checkpoint an expensive one first.
 """
 
 from __future__ import annotations
@@ -14,7 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandcast.functions.scalars import clip_low, flag, projected_band
+from bandcast.operators.boosting import BoostedModel, cascade_column
 from bandcast.operators.evaluation import cumulative_severities, safe_div, segment_column
+from bandcast.operators.names import fresh
+from bandcast.operators.training import GATE_THRESHOLDS, gate_table, router_table
 
 STRICT_THRESHOLD = 0.75
 
@@ -45,6 +50,21 @@ def score_routed(df: DataFrame, scorers: Mapping[str, Scorer], route_col: str =
     return out.withColumn("strict_alert", flag(F.col("pred_mag") >= F.lit(t)))
 
 
+def apply_cascade(df: DataFrame, gate: BoostedModel, router: BoostedModel, descent: BoostedModel, ascent: BoostedModel,
+                  t: float = STRICT_THRESHOLD) -> DataFrame:
+    """C1, C2, C4 with trained models: gate table, router table, route, predicted and true magnitudes, strict alert.
+
+    One vectorised pass scores each row by the gate, the router and, where it is routed, one specialist; the
+    frame is neither split nor computed once per branch."""
+    s, = fresh(df, "_scores")
+    x = df.withColumn(s, cascade_column(df.sparkSession, gate, router, descent, ascent, GATE_THRESHOLDS[0]))
+    g, r, m = fresh(x, "_gate", "_router", "_magnitude")
+    x = x.select(*df.columns, F.col(s)["gate"].alias(g), F.col(s)["router"].alias(r), F.col(s)["magnitude"].alias(m))
+    x = router_table(gate_table(x, g), r).withColumn("route", route())
+    x = x.withColumn("pred_mag", F.col(m)).drop(m).withColumn("strict_alert", flag(F.col("pred_mag") >= F.lit(t)))
+    return x.withColumns({"jam_mag": true_magnitude(sign=-1), "rise_mag": true_magnitude(sign=+1)})
+
+
 def true_magnitude(sb: str = "sb", y: str = "y_tp15", sign: int = -1) -> Column:
     """C4: descent max(sb - y, 0) (sign -1); ascent max(y - sb, 0) (sign +1)."""
     d = (F.col(sb) - F.col(y)) if sign < 0 else (F.col(y) - F.col(sb))

@@ -3,11 +3,12 @@ feature table — master features (features + incident buckets + as-of
 rain), chronological split, sampling, the three cascade stages, the
 8-class alternative, importances, save/load — evaluated with E and C.
 
-Rows-only checks (model outputs have no SQL oracle); determinism and
-"beats the constant baseline" are asserted in ``tests/test_streaming_training.py``.
-Models have the reference's rounds and depth (465 x 8, the defaults of the
-trainers), with checkpointed boosting; the specialists train on every row
-that moved their way and every stable row.
+Rows-only checks (model outputs have no SQL oracle); the trees' plain twin and
+"beats the constant baseline" are asserted in ``tests/``.  The label, gate and
+router tables over pseudo-scores have oracles (``label_table``, ``gate_table``,
+``router_table``).  Models have the reference's rounds and depth (465 x 8, the
+defaults of the trainers); the specialists train on every row that moved their
+way and every stable row.
 """
 
 from __future__ import annotations
@@ -49,10 +50,9 @@ def master_frame(spark, d):
 def split(spark, d):
     m = master_frame(spark, d)
     require_columns(m, FEATURES, strict=True)          # P27: fail before any action
-    m, feats = M.impute(m, FEATURES)
-    m = cut_lineage(m)
+    m = cut_lineage(m)                                 # nulls stay: the trees route missing values
     t = chrono_split(m)
-    return split_side(m, t, "train"), split_side(m, t, "test"), feats
+    return split_side(m, t, "train"), split_side(m, t, "test"), list(FEATURES)
 
 
 def _gate(train, test, feats):
@@ -99,15 +99,12 @@ def _specialist(train, feats, direction):
 
 
 def cascade_frame(spark, d):
+    """The test rows scored by all stages in one pass."""
     train, test, feats = split(spark, d)
-    _, g = _gate(train, test, feats)
+    gate, _ = _gate(train, test, feats)
     router = M.fit_classifier(M.label(row_class(train, "change"), "direction"), feats, "label")
-    r = M.router_table(M.score(router, g, "prob"))
     desc, asc = _specialist(train, feats, "descent"), _specialist(train, feats, "ascent")
-    r = r.withColumn("route", C.route())
-    scorers = {"descent": lambda x: M.score(desc, x, "value"), "ascent": lambda x: M.score(asc, x, "value")}
-    out = C.score_routed(r, scorers)
-    return out.withColumns({"jam_mag": C.true_magnitude(sign=-1), "rise_mag": C.true_magnitude(sign=+1)})
+    return C.apply_cascade(test, gate, router, desc, asc)
 
 
 @register("train_cascade_funnel")

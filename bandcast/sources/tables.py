@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import time
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,18 +45,26 @@ def write_table(df: DataFrame, path: str, codec: str | None = "zstd", mode: str
     w.parquet(path)
 
 
+def fact_rows(df: DataFrame, ts_col: str = "snapshot_time", entity: str | None = None,
+              files_per_date: int | None = None) -> DataFrame:
+    """Fact rows with their ``snapshot_date``, dealt into ``files_per_date`` files a date if given
+    (a shuffle by date and a hash of the entity); without it every task writes its own file for each date it holds."""
+    out = df.withColumn("snapshot_date", F.to_date(F.col(ts_col)))
+    return out.repartition("snapshot_date", F.pmod(F.xxhash64(entity or ts_col), F.lit(files_per_date))) if files_per_date else out
+
+
 def append_fact(df: DataFrame, path: str, ts_col: str = "snapshot_time", entity: str | None = None,
-                files_per_date: int | None = None) -> None:
+                files_per_date: int | None = None, batch_id: int | None = None) -> None:
     """Append-only fact write, partitioned by date, rows clustered by
     (entity, time) inside each file so an (entity, time range) read prunes
-    row groups — the access path the reference indexed.  ``files_per_date`` first
-    shuffles rows by date and a hash of the entity into that many files a date;
-    without it every task writes its own file for each date it holds."""
-    out = df.withColumn("snapshot_date", F.to_date(F.col(ts_col)))
-    order = ([entity] if entity else []) + [ts_col]
-    if files_per_date:
-        out = out.repartition("snapshot_date", F.pmod(F.xxhash64(entity or ts_col), F.lit(files_per_date)))
-    write_table(out, path, mode="append", partition_by=["snapshot_date"], sort_within=order)
+    row groups — the access path the reference indexed.  With a ``batch_id`` the rows go
+    to the batch's own folder, so a batch written again replaces its rows; without one, every
+    call appends.  ``commits.BatchLog`` makes several tables' batches visible together."""
+    out, order = fact_rows(df, ts_col, entity, files_per_date), ([entity] if entity else []) + [ts_col]
+    if batch_id is None:
+        write_table(out, path, mode="append", partition_by=["snapshot_date"], sort_within=order)
+    else:
+        write_table(out, f"{path.rstrip('/')}/batch={batch_id}", partition_by=["snapshot_date"], sort_within=order)
 
 
 def compact(df: DataFrame, path: str, casts: Mapping[str, str], files: int | None = None,
@@ -78,7 +88,30 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, name: str) -> DataFrame:
-    """Create or replace the catalog table ``name`` from a query's result.
-    The query may not read the table it replaces (Spark refuses that)."""
-    df.write.mode("overwrite").format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name)
+    """Create or replace ``name`` by a query's result; the query may read what it replaces.
+
+    Every version is a folder of its own under the warehouse, and the catalog
+    table ``name`` points at the newest: rows are written first, the pointer
+    is changed last (one change of the catalog; a table whose columns change, or that was a plain one, is
+    created anew), so a failed write changes nothing.  The version before the
+    last is kept for readers that have begun; older ones go."""
+    spark = df.sparkSession
+    parts = name.replace("`", "").split(".")
+    quoted = ".".join(f"`{p}`" for p in parts)
+    root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{'.'.join(parts)}.versions"
+    new = f"{root}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    write_table(df, new)
+    there = spark.catalog.tableExists(name)
+    same = there and [(f.name, f.dataType) for f in spark.table(name).schema] == [(f.name, f.dataType) for f in spark.read.parquet(new).schema]
+    if same and spark.catalog.getTable(name).tableType == "EXTERNAL":
+        spark.sql(f"ALTER TABLE {quoted} SET LOCATION '{new}'")
+    else:
+        if there:
+            spark.sql(f"DROP TABLE {quoted}")
+        spark.sql(f"CREATE TABLE {quoted} USING parquet LOCATION '{new}'")
+    spark.catalog.refreshTable(name)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for old in sorted((f.getPath() for f in files.listStatus(path)), key=lambda p: p.getName())[:-2]:
+        files.delete(old, True)
+    return spark.table(name)

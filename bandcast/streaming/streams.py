@@ -30,8 +30,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bandcast.operators.lifecycle import OpenIncidents, lifecycle_frame
-from bandcast.session import checkpoint_dir
-from bandcast.sources.feeds import envelope
+from bandcast.session import checkpoint_dir, cut_lineage
+from bandcast.sources.commits import BatchLog
+from bandcast.sources.feeds import envelope, isolate_batches
+from bandcast.sources.tables import fact_rows
 
 
 # Plumbing -------------------------------------------------------------------------
@@ -74,20 +76,25 @@ def start_every(df: DataFrame, out: str, checkpoint: str, interval: str = "5 min
 
 def stream_ingest(raw: DataFrame, normalize, strict: dict[str, str], fact_path: str, quarantine_path: str,
                   checkpoint: str, batch: Sequence[str] = ("snapshot_time",), entity: str | None = None,
-                  available_now: bool = True, interval: str = "5 minutes"):
+                  available_now: bool = True, interval: str = "5 minutes", files_per_date: int | None = None,
+                  hold_newest: bool = False):
     """S14 + S15 as one streaming query per feed: every micro-batch is split
-    into polls that pass the strict casts (normalised and appended to the
-    fact table) and polls that fail (kept raw in the quarantine table).
-    A failing feed never stops the other feeds' queries."""
-    from bandcast.sources.feeds import isolate_batches
-    from bandcast.sources.tables import append_fact, write_table
-
-    def each(batch_df: DataFrame, batch_id: int) -> None:
-        good, bad = isolate_batches(batch_df, strict, batch)
-        append_fact(normalize(good), fact_path, entity=entity)
-        write_table(bad.withColumn("batch_id", F.lit(batch_id)), quarantine_path, mode="append")
-
-    w = raw.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    into polls that pass the strict casts (normalised, to the fact
+    table) and polls that fail (raw, to the quarantine table, with the
+    batch's id).  A failing feed never stops the other feeds' queries.
+
+    Both tables are written into the micro-batch's own folders and become
+    visible by one commit (:class:`~bandcast.sources.commits.BatchLog` at ``fact_path/_commits``; read them by
+    :func:`ingested`), so a micro-batch that is retried after a failure
+    between the two writes leaves no duplicate.
+
+    A poll that has failed stays failed: rows of it that land later are
+    quarantined too.  With ``hold_newest`` the rows of the newest poll
+    wait (as state of the sink) until a newer poll lands, so a poll
+    whose files arrive over several micro-batches is judged whole;
+    :func:`release_held` ends the wait."""
+    ingest = _Ingest(normalize, strict, fact_path, quarantine_path, batch, entity, files_per_date)
+    w = raw.writeStream.foreachBatch(lambda df, i: ingest(df, i, hold_newest)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     q = w.start()
     if available_now:
@@ -95,6 +102,62 @@ def stream_ingest(raw: DataFrame, normalize, strict: dict[str, str], fact_path:
     return q
 
 
+class _Ingest:
+    """One micro-batch of :func:`stream_ingest`."""
+
+    def __init__(self, normalize, strict, fact_path, quarantine_path, batch=("snapshot_time",), entity=None, files_per_date=None):
+        self.normalize, self.strict, self.batch, self.entity, self.files = normalize, strict, list(batch), entity, files_per_date
+        self.facts, self.quarantine = fact_path.rstrip("/"), quarantine_path.rstrip("/")
+        self.held = f"{self.facts}/_held"
+
+    def __call__(self, df: DataFrame, batch_id: int, hold_newest: bool) -> None:
+        log = BatchLog(df.sparkSession, f"{self.facts}/_commits")
+        if log.has(batch_id):                     # committed, but the stream's own checkpoint had not seen it
+            return
+        before = log.last(batch_id)
+        old = None if before is None else log.read(self.held, before[0])
+        rows = cut_lineage(df if old is None else old.drop("batch").unionByName(df))
+        poll = F.struct(*self.batch)
+        newest = rows.agg(F.max(poll)).first()[0] if hold_newest else None
+        held = rows.filter(poll == F.struct(*[F.lit(newest[c]) for c in self.batch])) if newest is not None else rows.limit(0)
+        ready = rows.filter(poll != F.struct(*[F.lit(newest[c]) for c in self.batch])) if newest is not None else rows
+        good, bad = isolate_batches(ready, self.strict, self.batch)
+        known = log.read(self.quarantine)
+        if known is not None:
+            known = known.select(*self.batch).distinct()                       # a row per failed poll
+            late = good.join(known, self.batch, "left_semi")
+            good, bad = good.join(known, self.batch, "left_anti"), bad.unionByName(late)
+        facts = fact_rows(self.normalize(good), entity=self.entity, files_per_date=self.files)
+        bad = bad.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        log.write(facts, self.facts, batch_id, ["snapshot_date"], ([self.entity] if self.entity else []) + ["snapshot_time"])
+        log.write(bad, self.quarantine, batch_id)
+        log.write(held, self.held, batch_id)
+        log.commit(batch_id, {self.facts: facts.schema, self.quarantine: bad.schema, self.held: held.schema})
+        if before is not None:
+            log.forget(self.held, before[0])
+
+
+def release_held(spark: SparkSession, normalize, strict: dict[str, str], fact_path: str, quarantine_path: str,
+                 batch: Sequence[str] = ("snapshot_time",), entity: str | None = None, files_per_date: int | None = None) -> None:
+    """Judge the polls that still wait, as a batch of their own (numbered below 0, where no micro-batch is)."""
+    ingest = _Ingest(normalize, strict, fact_path, quarantine_path, batch, entity, files_per_date)
+    log = BatchLog(spark, f"{ingest.facts}/_commits")
+    last = log.last()
+    held = None if last is None else log.read(ingest.held, last[0])
+    if held is None or held.isEmpty():
+        return
+    number = log.commits().agg(F.least(F.min("batch"), F.lit(0)).alias("n")).first()["n"] - 1
+    ingest(cut_lineage(held.drop("batch")), number, False)
+    log.forget(ingest.held, last[0])
+    log.write(held.drop("batch").limit(0), ingest.held, last[0])
+
+
+def ingested(spark: SparkSession, fact_path: str, quarantine_path: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """The committed fact and quarantine rows of :func:`stream_ingest` (None before the first commit)."""
+    log = BatchLog(spark, f"{fact_path.rstrip('/')}/_commits")
+    return tuple(None if t is None else t.drop("batch") for t in (log.read(fact_path), log.read(quarantine_path)))
+
+
 # T1 ---------------------------------------------------------------------------------
 def stream_feed(spark: SparkSession, path: str, item: T.StructType, partition: T.StructField | None = None,
                 max_files_per_trigger: int | None = None, stamp: T.StructField | None = None,

@@ -1,8 +1,8 @@
 """Equi-joins J1, J2, J4-J7, J14.
 
-Broadcast is used only behind a size check: ``broadcast_if_small`` counts the
-dimension (a cheap metadata/columnar count) and hints it only when it is
-below ``max_rows``; otherwise the join is left to the planner and AQE, which
+Broadcast is used only behind a size check: ``broadcast_if_small`` measures
+the dimension's rows and bytes and hints it only when both are small;
+otherwise the join is left to the planner and AQE, which
 converts it at runtime if the shuffled side proves small.
 """
 
@@ -10,25 +10,49 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bandcast.functions.scalars import fill_defaults
+from bandcast.session import cut_lineage
 
-# Dimension size limit for an explicit broadcast hint (rows).
+# Dimension size limits for an explicit broadcast hint.
 BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, persist: bool = False) -> DataFrame:
-    """Hint a broadcast only when the side is proven small.
-
-    The check counts at most ``max_rows + 1`` rows (a scan stops early, so a
-    large side costs little to reject).  ``persist`` keeps a derived side
-    that the caller expects to be small, so the check and the join do not
-    compute it twice."""
+BROADCAST_MAX_BYTES = 64 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: 8 for each fixed-width value, the measured length of text and binary, 16 an array element
+    (24 and the text for elements that are texts)."""
+    total = F.lit(0).cast("bigint")
+    for f in df.schema.fields:
+        c, t = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            n = F.octet_length(c) + 16
+        elif isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StringType):
+            n = F.aggregate(c, F.lit(24), lambda s, x: s + 24 + F.coalesce(F.octet_length(x), F.lit(0)))
+        elif isinstance(t, T.ArrayType) and not isinstance(t.elementType, (T.ArrayType, T.MapType, T.StructType)):
+            n = 16 * F.size(c) + 24
+        elif isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
+            n = F.octet_length(F.to_json(c)) * 2 + 24
+        else:
+            n = F.lit(8)
+        total = total + F.coalesce(n, F.lit(8))
+    return total
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, persist: bool = False,
+                       max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Hint a broadcast only when the side is measured to be small: at most ``max_rows`` rows and ``max_bytes`` bytes.
+
+    The check is one aggregate over the side, in all its partitions.  ``persist`` is for a derived side
+    that the caller expects to be small: it is checkpointed first, so the check and the join do not
+    compute it twice and nothing stays cached."""
     if persist:
-        df = df.persist()
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+        df = cut_lineage(df)
+    n, size = df.agg(F.count("*"), F.sum(row_bytes(df))).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
 
 
 def enrich(df: DataFrame, dim: DataFrame, key="link_id", how: str = "inner",

@@ -26,7 +26,18 @@ Distribution, exact by construction:
 * each group runs the greedy pass in ``applyInPandas``, with a grid of cells
   at least ``max_dist_m`` wide so a sighting is compared only with open
   incidents in its 3x3 neighbourhood; small consecutive sessions of a type
-  share one pandas call (bin-packed by their row counts).
+  share one pandas call (bin-packed by their row counts);
+* a group that is still larger than ``slice_rows`` is cut into time slices, which run at
+  once, each as if nothing were open before it.  A slice whose open
+  incidents at the start turn out to be others (positions and last
+  sightings, as handed over by the slice before) runs again with those, until no
+  slice's change.  Who founded an incident does not change what
+  a slice does (only a tie does, and then it counts), so an incident open
+  through many slices is settled by joining its slices' pieces, not by running them
+  one after the other.
+
+A sighting without type, position or time can match nothing and is an
+incident of its own.
 
 ``incident_id`` is the source id of an incident's first sighting: unique,
 stable across re-runs and ordered like the creation order, with no global
@@ -39,12 +50,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandcast.functions.geo import EARTH_R_M, M_PER_DEG
 from bandcast.functions.scalars import to_iso
 from bandcast.operators.joins import broadcast_if_small
+from bandcast.session import cut_lineage
 
 LIFECYCLE_SCHEMA = ("incident_id long, type string, lat double, lon double, start_ts long, end_ts long, "
                     "sightings long, message string")
@@ -59,30 +71,43 @@ def _hav(lat1, lon1, lat2, lon2):
 class OpenIncidents:
     """The greedy matching core of W5 and T3: each sighting joins the nearest
     incident (ties: the earlier one) that is near enough and not yet silent
-    for longer than the gap, or founds a new one.  Incidents are indexed by
-    grid cells at least as wide as the distance; time only moves forward."""
+    for longer than the gap, or founds a new one.  Time only moves forward.
+
+    Incidents are indexed by bands of latitude, each cut into cells around
+    the globe that are at least as wide as the distance anywhere in the band and its neighbours (one
+    cell near the poles), so cells meet across the antimeridian."""
 
-    def __init__(self, max_gap_min: float, max_dist_m: float, lat_bound: float = 89.0):
+    def __init__(self, max_gap_min: float, max_dist_m: float):
         self.gap_s, self.max_dist_m = max_gap_min * 60.0, max_dist_m
-        self.dlat = max_dist_m * 1.001 / M_PER_DEG
-        self.dlon = self.dlat / math.cos(math.radians(lat_bound))
+        self.dlat = max(max_dist_m, 1.0) * 1.001 / M_PER_DEG
         self.rows: list[list] = []              # id, type, lat, lon, start, end, sightings, message
         self.grid: dict[tuple[int, int], list[int]] = {}
+        self.tied = False                       # whether a sighting had two nearest incidents
+
+    def _cells(self, band: int) -> int:
+        """Cells of a band: widths hold for latitudes up to a band beyond it."""
+        top = (max(abs(band), abs(band + 1)) + 1) * self.dlat
+        return max(1, int(360.0 * math.cos(math.radians(top)) / self.dlat)) if top < 89.9 else 1
 
     def put(self, row: list) -> None:
-        cell = math.floor(row[2] / self.dlat), math.floor(row[3] / self.dlon)
-        self.grid.setdefault(cell, []).append(len(self.rows))
+        band = math.floor(row[2] / self.dlat)
+        n = self._cells(band)
+        self.grid.setdefault((band, math.floor((row[3] + 180.0) / 360.0 * n) % n), []).append(len(self.rows))
         self.rows.append(row)
 
     def sight(self, sid, typ, lat, lon, ts, message) -> None:
-        cy, cx = math.floor(lat / self.dlat), math.floor(lon / self.dlon)
-        near = []
-        for cell in ((cy + dy, cx + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)):
-            if members := self.grid.get(cell):
-                members[:] = [k for k in members if ts - self.rows[k][5] <= self.gap_s]
-                near += [(d, k) for k in members if (d := _hav(lat, lon, *self.rows[k][2:4])) <= self.max_dist_m]
+        band, near = math.floor(lat / self.dlat), []
+        for y in (band - 1, band, band + 1):
+            n = self._cells(y)
+            x = math.floor((lon + 180.0) / 360.0 * n)
+            for cell in {(y, (x + dx) % n) for dx in (-1, 0, 1)}:
+                if members := self.grid.get(cell):
+                    members[:] = [k for k in members if ts - self.rows[k][5] <= self.gap_s]
+                    near += [(d, k) for k in members if (d := _hav(lat, lon, *self.rows[k][2:4])) <= self.max_dist_m]
         if near:
-            row = self.rows[min(near)[1]]
+            best = min(near)
+            self.tied = self.tied or sum(d == best[0] for d, _ in near) > 1
+            row = self.rows[best[1]]
             row[5], row[6] = ts, row[6] + 1
         else:
             self.put([sid, typ, lat, lon, ts, ts, 1, message if isinstance(message, str) else None])
@@ -115,10 +140,9 @@ def greedy_lifecycles(pdf: pd.DataFrame, max_gap_min: float, max_dist_m: float,
         starts = np.concatenate([[0], np.nonzero(change)[0] + 1, [len(ts)]])
     else:
         starts = np.array([0, len(ts)])
-    bound = min(89.0, float(np.nanmax(np.abs(lat))))
     found: list[list] = []
     for s0, s1 in zip(starts[:-1], starts[1:]):
-        incidents = OpenIncidents(max_gap_min, max_dist_m, bound)
+        incidents = OpenIncidents(max_gap_min, max_dist_m)
         for i in range(s0, s1):
             incidents.sight(sid[i], typ[i], lat[i], lon[i], ts[i], msg[i])
         found += incidents.rows
@@ -139,7 +163,7 @@ def type_sessions(snapshots: DataFrame, type_col: str = "type", ts: str = "ts",
     from bandcast.operators.temporal import DAY, HOT_KEY_ROWS, hot_key_rows, lag_lead
     d = snapshots.groupBy(type_col, ts).agg(F.count(F.lit(1)).alias("rows"))
     if chunk_seconds == "auto":
-        d = d.persist()                                    # measured, then used: computed once
+        d = cut_lineage(d)                                 # measured, then used: computed once
         chunk_seconds = DAY if hot_key_rows(d, type_col) > HOT_KEY_ROWS else None
     gap = F.lit(float(max_gap_min))
     if not chunk_seconds:
@@ -194,48 +218,183 @@ def site_components(rows: DataFrame, max_dist_m: float, groups: DataFrame | None
     return sites.join(comp.withColumnRenamed("id", "site"), "site").select("type", "session", "lat", "lon", "component")
 
 
+GROUP = ["type", "session", "component", "bin"]
+SLICE = [*GROUP, "slice"]
+_KEYS = "type string, session long, component long, bin long, slice long"
+OPEN_SCHEMA = f"{_KEYS}, lat double, lon double, end_ts long, start_ts long, incident_id long"
+PIECE_SCHEMA = (f"{_KEYS}, seq long, inherited boolean, incident_id long, lat double, lon double, start_ts long, end_ts long, "
+                "sightings long, message string, open boolean, tied boolean")
+
+
+def _slice_pieces(max_gap_min: float, max_dist_m: float):
+    """One slice with the incidents handed to it: what it does to each of them, and what it founds."""
+    names = [f.split()[0] for f in PIECE_SCHEMA.split(", ")]
+
+    def run(key, rows: pd.DataFrame, handed: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame(columns=names)
+        incidents, handed = OpenIncidents(max_gap_min, max_dist_m), handed.sort_values(["start_ts", "incident_id"])
+        for r in handed.itertuples():
+            incidents.put([r.incident_id, key[0], r.lat, r.lon, r.start_ts, r.end_ts, 0, None])
+        rows = rows.sort_values(["ts", "src_id"], kind="mergesort")
+        for r in rows.itertuples():
+            incidents.sight(r.src_id, key[0], r.lat, r.lon, r.ts, r.message)
+        last, n = rows["ts"].iloc[-1], len(handed)
+        out = [[*key, i, i < n, None if i < n else r[0], r[2], r[3], None if i < n else r[4], r[5], r[6], r[7],
+                bool(last - r[5] <= incidents.gap_s), incidents.tied]
+               for i, r in enumerate(incidents.rows)]
+        kinds = {"string": object, "long": "Int64", "double": float, "boolean": bool}
+        return pd.DataFrame({n: pd.Series([r[k] for r in out], dtype=kinds[f.split()[1]])
+                             for k, (n, f) in enumerate(zip(names, PIECE_SCHEMA.split(", ")))})
+
+    return run
+
+
+def _with_founders(pieces: DataFrame) -> DataFrame:
+    """Every piece with the id and start of the incident it belongs to: open incidents lie further apart than the
+    distance, so a piece that a slice inherited at a position continues the last one before it there."""
+    w = Window.partitionBy(*GROUP, "lat", "lon").orderBy("slice", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return pieces.withColumns({"incident_id": F.last("incident_id", ignorenulls=True).over(w),
+                               "start_ts": F.last("start_ts", ignorenulls=True).over(w)})
+
+
+def _signatures(handed: DataFrame, name: str) -> DataFrame:
+    """Order-free marks of the incidents handed to each slice: of where and how old they are, and of who they are too."""
+    state = F.xxhash64("lat", "lon", "end_ts")
+    return handed.groupBy(*SLICE).agg(F.struct(F.count("*"), F.bit_xor(state), F.sum(F.hash("lat", "lon", "end_ts").cast("long"))).alias(f"{name}_state"),
+                                      F.bit_xor(F.xxhash64("lat", "lon", "end_ts", "start_ts", "incident_id")).alias(f"{name}_who"))
+
+
+def with_slices(rows: DataFrame, slice_rows: int) -> DataFrame:
+    """``rows`` with a ``slice`` (1, 2, ... in time, without holes) of about ``slice_rows`` rows of their group."""
+    at = rows.groupBy(*GROUP, "ts").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*GROUP).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    at = at.select(*GROUP, "ts", F.floor(F.coalesce(F.sum("n").over(w), F.lit(0)) / F.lit(int(slice_rows))).alias("start"))
+    at = at.withColumn("slice", F.dense_rank().over(Window.partitionBy(*GROUP).orderBy("start")).cast("long")).drop("start")
+    return rows.join(at, [*GROUP, "ts"])
+
+
+def settled_pieces(rows: DataFrame, max_gap_min: float, max_dist_m: float, seeds: DataFrame | None = None) -> DataFrame:
+    """What each slice of ``rows`` (``SLICE`` columns) does to each incident (``PIECE_SCHEMA``), incident ids settled.
+
+    ``seeds`` are pieces of slice 0: incidents open before the first slice.
+    Each round runs the slices whose handed-over incidents changed and
+    writes the pieces; the driver gets the number of such slices.  The
+    first slice never changes, so the second settles in the first round, and so on:
+    the rounds end after as many as there are slices at most."""
+    spark = rows.sparkSession
+    state = [f.split()[0] for f in OPEN_SCHEMA.split(", ")]
+    rows = cut_lineage(rows)
+    slices = cut_lineage(rows.select(*SLICE).distinct())
+    run = _slice_pieces(max_gap_min, max_dist_m)
+
+    def handed_over(pieces: DataFrame) -> DataFrame:
+        found = _with_founders(pieces).filter("open").withColumn("slice", F.col("slice") + 1)
+        return cut_lineage(found.join(slices, SLICE, "left_semi").select(*state))
+
+    pieces = spark.createDataFrame([], PIECE_SCHEMA) if seeds is None else cut_lineage(seeds)
+    used = spark.createDataFrame([], OPEN_SCHEMA)
+    changed, handed = slices, handed_over(pieces)
+    while True:
+        new = rows.join(changed, SLICE, "left_semi").groupBy(*SLICE).cogroup(handed.groupBy(*SLICE)).applyInPandas(run, PIECE_SCHEMA)
+        pieces = cut_lineage(pieces.join(changed, SLICE, "left_anti").unionByName(new))
+        used = cut_lineage(used.join(changed, SLICE, "left_anti").unionByName(handed.join(changed, SLICE, "left_semi")))
+        handed = handed_over(pieces)
+        ties = pieces.filter("tied").select(*SLICE).distinct().withColumn("tied", F.lit(True))
+        x = slices.join(_signatures(used, "old"), SLICE, "left").join(_signatures(handed, "new"), SLICE, "left").join(ties, SLICE, "left")
+        changed = cut_lineage(x.filter(~F.col("old_state").eqNullSafe(F.col("new_state"))
+                                       | (F.col("tied") & ~F.col("old_who").eqNullSafe(F.col("new_who")))).select(*SLICE))
+        if changed.isEmpty():
+            return _with_founders(pieces)
+
+
+def joined_pieces(pieces: DataFrame) -> DataFrame:
+    """Lifecycles from settled pieces."""
+    return pieces.groupBy(*GROUP, "incident_id").agg(
+        F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"),
+        F.sum("sightings").alias("sightings"), F.max(F.when(~F.col("inherited"), F.col("message"))).alias("message")) \
+        .select("incident_id", "type", "lat", "lon", "start_ts", "end_ts", "sightings", "message")
+
+
+def sliced_lifecycles(rows: DataFrame, max_gap_min: float, max_dist_m: float, slice_rows: int) -> DataFrame:
+    """Lifecycles of groups (``GROUP`` columns) whose rows run in time slices of about ``slice_rows`` rows."""
+    return joined_pieces(settled_pieces(with_slices(rows, slice_rows), max_gap_min, max_dist_m))
+
+
+def sightings_of(snapshots: DataFrame, type_col: str = "type", ts: str = "ts", src: str = "src_id") -> DataFrame:
+    """Sightings under the names and types used here."""
+    return snapshots.select(F.col(src).cast("long").alias("src_id"), F.col(type_col).cast("string").alias("type"),
+                            F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"),
+                            F.col("message").cast("string").alias("message"), F.col(ts).cast("long").alias("ts"))
+
+
+def can_match() -> Column:
+    """Whether a sighting has a type, a time and a position."""
+    ok = F.col("type").isNotNull() & F.col("ts").isNotNull()
+    for c in ("lat", "lon"):
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
+    return ok
+
+
+def alone(sightings: DataFrame) -> DataFrame:
+    """Sightings as incidents of their own."""
+    return sightings.select(F.col("src_id").alias("incident_id"), "type", "lat", "lon", F.col("ts").alias("start_ts"),
+                            F.col("ts").alias("end_ts"), F.lit(1).cast("long").alias("sightings"), "message")
+
+
 def incident_lifecycles(snapshots: DataFrame, max_gap_min: float = 15.0, max_dist_m: float = 200.0,
                         type_col: str = "type", ts: str = "ts", src: str = "src_id",
-                        max_group_rows: int | None = 2_000_000, rows_per_call: int = 200_000) -> DataFrame:
+                        max_group_rows: int | None = 2_000_000, rows_per_call: int = 200_000,
+                        slice_rows: int | None = 2_000_000) -> DataFrame:
     """Snapshots (src_id, type, lat, lon, message, ts epoch seconds) ->
     lifecycles (incident_id, type, lat, lon, start/end epoch and ISO text,
-    duration_min, message, sightings).
+    duration_min, message, sightings).  Every sighting is counted in one
+    lifecycle; one without type, position (null or NaN) or time founds its own.
 
     ``max_group_rows``: (type, session) groups above it are split into
     distance components (0 splits every group; None never splits).
+    ``slice_rows``: groups that are larger all the same run in time slices of about so many rows (None: never).
     ``rows_per_call``: consecutive sessions of a type are packed into one
     pandas call of about this many rows (from the small per-session size
     table), so thousands of tiny sessions do not pay a call each."""
-    rows = snapshots.select(F.col(src).alias("src_id"), F.col(type_col).alias("type"), "lat", "lon",
-                            F.col("message").cast("string").alias("message"), F.col(ts).alias("ts"))
+    every = sightings_of(snapshots, type_col, ts, src)
+    rows = every.filter(can_match())
     sess = type_sessions(rows, "type", "ts", max_gap_min)
     sizes = sess.groupBy("type", "session").agg(F.sum("rows").alias("rows"))
     w = Window.partitionBy("type").orderBy("session")
     sizes = sizes.withColumn("bin", F.floor((F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, 0))
                                              - F.col("rows")) / F.lit(int(rows_per_call))))
-    sess = broadcast_if_small(sess.join(sizes.select("type", "session", "bin", F.col("rows").alias("session_rows")),
-                                        ["type", "session"]), persist=True)
-    rows = rows.join(sess.select("type", "ts", "session", "bin", "session_rows"), ["type", "ts"])
+    sess = cut_lineage(sess.join(sizes.select("type", "session", "bin", F.col("rows").alias("session_rows")), ["type", "session"]))
+    largest = sess.agg(F.max("session_rows")).first()[0] or 0
+    rows = rows.join(broadcast_if_small(sess.select("type", "ts", "session", "bin", "session_rows")), ["type", "ts"])
     rows = rows.withColumn("component", F.lit(-1).cast("long"))
-    if max_group_rows is not None:
-        big = sizes.filter(F.col("rows") > F.lit(max_group_rows)).select("type", "session")
-        if not big.isEmpty():
-            comp = site_components(rows, max_dist_m, big)
-            rows = rows.drop("component").join(comp, ["type", "session", "lat", "lon"], "left") \
-                .withColumn("component", F.coalesce(F.col("component"), F.lit(-1).cast("long")))
-            # Inside a component a silence longer than the gap closes all of its
-            # incidents too: split each component by its own time sessions.
-            sub = component_sessions(rows.filter(F.col("component") >= 0), max_gap_min)
-            rows = rows.join(broadcast_if_small(sub, persist=True), ["type", "session", "component", "ts"], "left")
-            # a split session's (component, sub-session) pieces are groups of their own
-            rows = rows.withColumn("bin", F.when(F.col("component") >= 0, -1 - F.col("sub")).otherwise(F.col("bin"))) \
-                .drop("sub")
+    if max_group_rows is not None and largest > max_group_rows:
+        big = sess.filter(F.col("session_rows") > F.lit(max_group_rows)).select("type", "session").distinct()
+        comp = site_components(rows, max_dist_m, big)
+        rows = rows.drop("component").join(comp, ["type", "session", "lat", "lon"], "left") \
+            .withColumn("component", F.coalesce(F.col("component"), F.lit(-1).cast("long")))
+        # Inside a component a silence longer than the gap closes all of its
+        # incidents too: split each component by its own time sessions.
+        sub = cut_lineage(component_sessions(rows.filter(F.col("component") >= 0), max_gap_min))
+        rows = rows.join(broadcast_if_small(sub), ["type", "session", "component", "ts"], "left")
+        # a split session's (component, sub-session) pieces are groups of their own
+        rows = rows.withColumn("bin", F.when(F.col("component") >= 0, -1 - F.col("sub")).otherwise(F.col("bin"))) \
+            .drop("sub")
+    rows = rows.drop("session_rows").withColumns({"session": F.col("session").cast("long"), "bin": F.col("bin").cast("long")})
     gap, dist = float(max_gap_min), float(max_dist_m)
+    sliced = None
+    if slice_rows is not None and largest > slice_rows:
+        rows = cut_lineage(rows)
+        over = cut_lineage(rows.groupBy(*GROUP).agg(F.count("*").alias("n")).filter(F.col("n") > F.lit(int(slice_rows))).select(*GROUP))
+        if not over.isEmpty():
+            sliced = sliced_lifecycles(rows.join(over, GROUP, "left_semi"), gap, dist, slice_rows)
+            rows = rows.join(over, GROUP, "left_anti")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return greedy_lifecycles(pdf, gap, dist, ("session", "component", "bin"))
 
-    out = rows.drop("session_rows").groupBy("type", "bin", "component").applyInPandas(run, LIFECYCLE_SCHEMA)
+    out = rows.groupBy("type", "bin", "component").applyInPandas(run, LIFECYCLE_SCHEMA).unionByName(alone(every.filter(~can_match())))
+    out = out if sliced is None else out.unionByName(sliced)
     return out.select(
         "incident_id", "type", "lat", "lon", "start_ts", "end_ts",
         to_iso(F.timestamp_seconds("start_ts")).alias("start_time_utc"),

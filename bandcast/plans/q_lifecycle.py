@@ -1,6 +1,6 @@
 """Registered queries: incident lifecycles.
 
-No SQL oracle: the greedy sessionisation is order-dependent and stateful;
+No SQL oracle with a limit of distance: the greedy sessionisation is order-dependent and stateful;
 the driver records a rows-only check and ``tests/test_lifecycle.py``
 compares against a brute-force Python twin of the global algorithm.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 from bandcast.operators.aggregates import value_counts
 from bandcast.operators.lifecycle import incident_lifecycles
 from bandcast.plans import fixtures as fx
+from bandcast.plans.fixtures import with_views
 from bandcast.plans.registry import register
 
 
@@ -36,3 +37,15 @@ def q_lifecycles_360_split(spark, d):
     every row; groups above 1,000 rows are split into exact distance
     components before the greedy pass."""
     return incident_lifecycles(fx.incident_snapshots(spark, d), 360.0, 200.0, max_group_rows=1000)
+
+
+@register("incident_lifecycles_unlimited", with_views("""
+    SELECT MIN_BY(src_id, (ts, src_id)) AS incident_id, type, MIN(ts) AS start_ts, MAX(ts) AS end_ts, COUNT(*) AS sightings
+    FROM (SELECT *, SUM(new) OVER (PARTITION BY type ORDER BY ts, src_id ROWS UNBOUNDED PRECEDING) AS session
+          FROM (SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY type ORDER BY ts, src_id) <= 900 THEN 0 ELSE 1 END AS new
+                FROM incident_snapshots))
+    GROUP BY type, session""", "incident_snapshots"))
+def q_lifecycles_unlimited(spark, d):
+    """Without a limit of distance an incident is a gap session of its type, which SQL can check."""
+    got = incident_lifecycles(fx.incident_snapshots(spark, d), 15.0, 2.1e7)
+    return got.select("incident_id", "type", "start_ts", "end_ts", "sightings")

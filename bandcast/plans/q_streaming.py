@@ -22,6 +22,7 @@ from bandcast.plans.q_ingest import SNAP_SQL, _events, _iso, speed_items
 from bandcast.plans.registry import register
 from bandcast.sources import feeds as FD
 from bandcast.streaming import streams as ST
+from bandcast.streaming.lifecycles import closed_lifecycles, start_lifecycles
 
 HEARTBEAT_AFTER = 2 * 86400
 
@@ -152,16 +153,27 @@ SIGHTING_SCHEMA = T.StructType([
     T.StructField("message", T.StringType()), T.StructField("ts", T.LongType())])
 
 
-def run_stream_lifecycles(spark, snapshots, name="lifecycles", gap=15.0, dist=200.0):
+def run_stream_lifecycles(spark, snapshots, name="lifecycles", gap=15.0, dist=200.0, **kw):
     src, out, ck = _paths(spark, name)
     _land_with_heartbeat(snapshots.select(*[f.name for f in SIGHTING_SCHEMA.fields]), "ts", src, "type",
                          "__heartbeat__")
-    s = ST.stream_rows(spark, src, SIGHTING_SCHEMA)
-    ST.run_available_now(ST.stream_lifecycles(s, gap, dist), out, ck)
-    return spark.read.parquet(out).filter(F.col("type") != "__heartbeat__")
+    start_lifecycles(ST.stream_rows(spark, src, SIGHTING_SCHEMA), out, ck, gap, dist, **kw)
+    return closed_lifecycles(spark, out).filter(~F.col("type").eqNullSafe("__heartbeat__"))
 
 
 @register("stream_incident_lifecycles")
 def q_stream_incident_lifecycles(spark, d):
     """Stateful lifecycles on a stream (rows-only; equals W5 in tests)."""
     return run_stream_lifecycles(spark, fx.incident_snapshots(spark, d))
+
+
+@register("stream_unlimited_lifecycles", with_views("""
+    SELECT type, MIN(ts) AS start_ts, MAX(ts) AS end_ts, COUNT(*) AS sightings
+    FROM (SELECT *, SUM(new) OVER (PARTITION BY type ORDER BY ts, src_id ROWS UNBOUNDED PRECEDING) AS session
+          FROM (SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY type ORDER BY ts, src_id) <= 900 THEN 0 ELSE 1 END AS new
+                FROM incident_snapshots))
+    GROUP BY type, session""", "incident_snapshots"))
+def q_stream_unlimited_lifecycles(spark, d):
+    """T3 without a limit of distance: one incident per type and gap session, which SQL can check."""
+    got = run_stream_lifecycles(spark, fx.incident_snapshots(spark, d), "unlimited", 15.0, 2.1e7)
+    return got.select("type", "start_ts", "end_ts", "sightings")

@@ -28,4 +28,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so their registrations run."""
     from bandcast.plans import (q_core, q_features, q_spatial, q_eval, q_sampling,  # noqa: F401
-                                q_ingest, q_lifecycle, q_ml, q_streaming)
+                                q_ingest, q_lifecycle, q_ml, q_streaming, q_tables)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from bandcast.operators.aggregates import first_per_key
 from bandcast.operators.lifecycle import OpenIncidents, lifecycle_frame
 from bandcast.session import checkpoint_dir, cut_lineage
 from bandcast.sources.commits import BatchLog
@@ -192,6 +193,43 @@ def stream_dedupe(df: DataFrame, keys: Sequence[str], event_time: str, horizon:
     return df.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(list(keys))
 
 
+def stream_first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], day: str, root: str, checkpoint: str,
+                         available_now: bool = True, interval: str = "5 minutes"):
+    """T2 by poll: of the rows of a key the first by ``order`` counts, however late it arrives.
+
+    Every micro-batch reduces its rows per key and keeps those that are new
+    or earlier than what is committed (looked up in the batch's ``day``
+    partitions only); :func:`first_rows` reads the first of all.  Batches commit
+    as in :func:`stream_ingest`, so a retried one adds nothing twice, and no row is forgotten after a horizon."""
+    root = root.rstrip("/")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        log = BatchLog(batch.sparkSession, f"{root}/_commits")
+        if log.has(batch_id):
+            return
+        new, known = first_per_key(batch, keys, order), log.read(root)
+        if known is not None:
+            new = cut_lineage(new)
+            days = F.broadcast(new.select(day).distinct())              # a row per day of the batch
+            old = first_per_key(known.join(days, day, "left_semi").drop("batch"), keys, order)
+            old = old.select(*keys, F.struct(*order).alias("_known"))
+            new = new.join(old, list(keys), "left").filter(F.col("_known").isNull() | (F.struct(*order) < F.col("_known"))).drop("_known")
+        log.write(new, root, batch_id, [day])
+        log.commit(batch_id, {root: new.schema})
+
+    w = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    q = (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)).start()
+    if available_now:
+        q.awaitTermination()
+    return q
+
+
+def first_rows(spark: SparkSession, keys: Sequence[str], order: Sequence[str], root: str) -> DataFrame | None:
+    """The rows that :func:`stream_first_per_key` keeps, so far."""
+    rows = BatchLog(spark, f"{root.rstrip('/')}/_commits").read(root)
+    return None if rows is None else first_per_key(rows.drop("batch"), keys, order)
+
+
 # T4 ---------------------------------------------------------------------------------
 def stream_rollup(df: DataFrame, event_time: str, keys: Sequence[str], aggs: Sequence[Column],
                   window: str = "5 minutes", lateness: str = "10 minutes") -> DataFrame:

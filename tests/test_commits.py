@@ -106,3 +106,13 @@ def test_a_table_is_replaced_from_itself(spark, tmp_path):
     wider = TB.replace_table(spark.table("self_replaced").withColumn("twice", F.col("id") * 2), "self_replaced")
     assert wider.columns == ["id", "twice"] and wider.agg(F.sum("twice")).first()[0] == 56
     spark.sql("DROP TABLE self_replaced")
+
+
+def test_the_first_poll_counts_whatever_arrives_first(spark, tmp_path):
+    schema, root = "k long, day int, poll long, v string", str(tmp_path)
+    batches = [[(1, 0, 5, "late"), (2, 1, 1, "first"), (1, 0, 4, "later")], [(1, 0, 2, "first"), (2, 1, 3, "late")], [(1, 0, 3, "mid"), (3, 1, 9, "only")], []]
+    for rows in batches:
+        ST.land_json(spark.createDataFrame(rows, schema), f"{root}/in")
+        ST.stream_first_per_key(spark.readStream.schema(schema).json(f"{root}/in"), ["k"], ["poll"], "day", f"{root}/out", f"{root}/ckpt")
+    assert sorted((r.k, r.v) for r in ST.first_rows(spark, ["k"], ["poll"], f"{root}/out").collect()) == [(1, "first"), (2, "first"), (3, "only")]
+    assert spark.read.parquet(f"{root}/out").count() == 4          # what a batch adds is new or earlier

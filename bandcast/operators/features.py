@@ -19,7 +19,7 @@ from bandcast.functions.scalars import (flag, grid_bin, is_peak, is_weekend, len
                                         local_hour, midpoint, minutes_between, momentum)
 from bandcast.operators.filters import between_ts, valid_bands
 from bandcast.operators.joins import BUCKET_DEFAULTS, enrich, join_buckets
-from bandcast.operators.temporal import interval_join, lag_lead
+from bandcast.operators.temporal import DAY, interval_join, lag_lead
 
 # The model's feature list (21 columns) and the 8-class list (15).
 FEATURES = [
@@ -43,15 +43,15 @@ MULTICLASS_FEATURES = [
 
 def traffic_windows(speed: DataFrame, lo=None, hi=None, key: str = "link_id", ts: str = "snapshot_ts",
                     band: str = "speed_band", strict_step: int | None = None,
-                    chunk_seconds: int | str | None = "auto") -> DataFrame:
+                    chunk_seconds: int | str | None = "auto", keep_chunk: str | None = None, null_keys: bool = True) -> DataFrame:
     """The ``traffic`` stage: time range first (F1, pushed to the scan), then
     lags 1-3 and lead 3 over one window, local hour and day of week.  By
-    default a measured hot link switches the window to the day-chunked path."""
+    default the window runs by link and day with a halo (no link is hot)."""
     if lo is not None and hi is not None:
         speed = between_ts(speed, lo, hi, ts)
     base = speed.select(key, ts, F.col(band).alias("sb"))
     out = lag_lead(base, key, ts, "sb", {"sb_tm5": 1, "sb_tm10": 2, "sb_tm15": 3}, {"y_tp15": 3},
-                   strict_step, chunk_seconds)
+                   strict_step, chunk_seconds, keep_chunk=keep_chunk, null_keys=null_keys)
     return out.withColumns({"hour_sg": local_hour(F.col(ts)), "dow_sg": local_dow(F.col(ts))})
 
 
@@ -83,8 +83,17 @@ def feature_table(speed: DataFrame, links: DataFrame, incidents: DataFrame, lo=N
     ``incidents`` carries (link_id, start_ts, end_ts, type); rows with a null
     link are dropped (F3).  Road links join inner (J1: facts without a road
     are dropped); incidents join left by interval (J3).
+
+    By default everything runs by (link, day): the facts are shuffled once for the
+    windows, intervals are entered under each day they touch, and join
+    and rollup reuse that partitioning, so no link can be too large for a task.
+    ``chunk_seconds=None`` or ``interval_strategy="merge"`` run by link.
     """
-    t = valid_bands(traffic_windows(speed, lo, hi, chunk_seconds=chunk_seconds))
+    chunk = DAY if chunk_seconds == "auto" else chunk_seconds
+    by_day = bool(chunk) and interval_strategy != "merge"
+    speed = speed.filter(F.col("link_id").isNotNull())      # a fact without a link has no road
+    day = "_day" if by_day else None
+    t = valid_bands(traffic_windows(speed, lo, hi, chunk_seconds=chunk, keep_chunk=day, null_keys=False))
     roads = links.select(
         "link_id", "road_category",
         midpoint("start_lat", "end_lat").alias("mid_lat"),
@@ -93,9 +102,10 @@ def feature_table(speed: DataFrame, links: DataFrame, incidents: DataFrame, lo=N
     inc = incidents.filter(F.col("link_id").isNotNull()).select(
         "link_id", "start_ts", "end_ts", F.col("type").alias("kind"))
     j = enrich(t, roads, "link_id", "inner")
-    j = interval_join(j, inc, strategy=interval_strategy).withColumnRenamed("start_ts", "began") \
-        .drop("end_ts")
-    return incident_rollup(j, FEATURE_KEYS)
+    j = interval_join(j, inc, strategy="bucket", bucket_seconds=chunk, bucket=day) if by_day else \
+        interval_join(j, inc, strategy=interval_strategy)
+    j = j.withColumnRenamed("start_ts", "began").drop("end_ts")
+    return incident_rollup(j, FEATURE_KEYS + ([day] if day else [])).drop("_day")
 
 
 def model_frame(features: DataFrame, links: DataFrame, buckets: DataFrame | None = None) -> DataFrame:

@@ -14,10 +14,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandcast.functions.geo import M_PER_DEG, haversine_m
+from bandcast.functions.geo import EARTH_R_M, M_PER_DEG, haversine_m
+from bandcast.operators.kdtree import Tree
 from bandcast.session import cut_lineage
 
 _NEIGHBOURHOOD = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
@@ -134,18 +137,65 @@ def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: st
 
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
             l_lat: str = "lat", l_lon: str = "lon", r_lat: str = "lat", r_lon: str = "lon",
-            start_m: float = 2000.0, growth: float = 4.0, lat_bound: float | None = None) -> DataFrame:
+            start_m: float = 2000.0, growth: float = 4.0, lat_bound: float | None = None,
+            tree_bytes: int = 64 << 20) -> DataFrame:
     """Nearest right point for every left point, exact, unbounded radius.
 
-    Level ``i`` searches the 3x3 neighbourhood of cells of width
+    Returns (left_id, right_id, dist_m); ties go to the smaller right id.  A left
+    point without coordinates, or any left point if the right side has
+    none, gets null id and distance.  The right side is measured; up to ``tree_bytes`` it is packed into
+    a k-d tree, which is broadcast and probed batch by batch: one narrow
+    pass over the left side, planned lazily.  A larger right side is searched by :func:`nearest_by_grid`.
+    """
+    R = right.select(F.col(right_id).alias("r_id"), F.col(r_lat).cast("double").alias("r_lat"), F.col(r_lon).cast("double").alias("r_lon"))
+    R = R.filter(F.col("r_lat").isNotNull() & F.col("r_lon").isNotNull() & ~F.isnan("r_lat") & ~F.isnan("r_lon"))
+    from bandcast.operators.joins import row_bytes
+    R = cut_lineage(R)
+    if (R.agg(F.sum(row_bytes(R))).first()[0] or 0) > tree_bytes:
+        return nearest_by_grid(left, right, left_id, right_id, l_lat, l_lon, r_lat, r_lon, start_m, growth, lat_bound)
+    points = R.orderBy("r_id").toArrow()            # at most tree_bytes
+    ids, lat, lon = (points.column(c).combine_chunks() for c in range(3))
+    lat, lon = lat.to_numpy(), lon.to_numpy()
+    shared = left.sparkSession.sparkContext.broadcast((ids, lat, lon, Tree(lat, lon) if len(lat) else None))
+    types = dict(left.dtypes)[left_id], dict(R.dtypes)["r_id"]
+
+    def probe(batches):
+        right_ids, r_la, r_lo, tree = shared.value
+        for b in batches:
+            x, y = (c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[1:])
+            known = np.flatnonzero(~np.isnan(x) & ~np.isnan(y)) if tree else np.zeros(0, np.int64)
+            place, dist = np.full(b.num_rows, -1), np.full(b.num_rows, np.nan)
+            if len(known):
+                row, point = tree.candidates(x[known], y[known])
+                d = haversine_arrays(x[known][row], y[known][row], r_la[point], r_lo[point])
+                order = np.lexsort((point, d, row))         # points are in the order of their ids
+                first = order[np.unique(row[order], return_index=True)[1]]
+                place[known[row[first]]], dist[known[row[first]]] = point[first], d[first]
+            yield pa.RecordBatch.from_arrays([b.column(0), right_ids.take(pa.array(place, mask=place < 0)), pa.array(dist, mask=place < 0)],
+                                             ["l", "r", "d"])
+
+    out = left.select(left_id, F.col(l_lat).cast("double").alias("_lat"), F.col(l_lon).cast("double").alias("_lon")) \
+        .mapInArrow(probe, f"l {types[0]}, r {types[1]}, d double")
+    return out.toDF(left_id, right_id, "dist_m")
+
+
+def haversine_arrays(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """``haversine_m`` on arrays."""
+    p1, p2 = np.radians(lat1), np.radians(lat2)
+    a = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_R_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+
+
+def nearest_by_grid(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
+                    l_lat: str = "lat", l_lon: str = "lon", r_lat: str = "lat", r_lon: str = "lon",
+                    start_m: float = 2000.0, growth: float = 4.0, lat_bound: float | None = None) -> DataFrame:
+    """J8 where the right side is too large for one tree.  Level ``i`` searches the 3x3 neighbourhood of cells of width
     ``start_m * growth**i``; a left point is settled once its best candidate
     is no farther than the cell width (anything outside the neighbourhood is
     farther).  Only unsettled points go on to the next, coarser level, so the
     pairs formed per point stay near the local density.  The last level's
     cells are wider than half the globe, so every point settles there; levels
-    are written by reliable checkpoints.  Returns (left_id, right_id, dist_m);
-    ties go to the smaller right id.  A left point without coordinates, or
-    any left point if the right side has none, gets null id and distance.
+    are written by reliable checkpoints.  Results are those of :func:`nearest`.
     """
     L = _prefixed(left, left_id, l_lat, l_lon, "l_")
     R = _prefixed(right, right_id, r_lat, r_lon, "r_").filter("r_lat is not null and r_lon is not null")
@@ -177,17 +227,20 @@ def expand_one_hop(anchors: DataFrame, edges: DataFrame, group: str = "incident_
                    link: str = "link_id", neighbor: str = "neighbor_link_id", carry=()) -> DataFrame:
     """Anchors plus their neighbours, distinct per group (not across).
 
-    One pass over the anchors: the edge list becomes an adjacency table (A7,
-    one bounded row per link, broadcast behind a size check), each anchor
-    row explodes ``[link] + neighbours``, then a distinct per group.
+    The edge list becomes an adjacency table (A7, one bounded row per
+    link, broadcast if its measured bytes are small); a group's
+    few anchors bring their neighbours together as one array, made distinct
+    and exploded.  Anchors that come partitioned by group (as from a ranking) are not
+    shuffled again, and the expanded rows never are.
     ``carry`` columns are functions of the group and ride along.
     """
     from bandcast.operators.joins import broadcast_if_small
     adj = edges.groupBy(F.col(link)).agg(F.collect_set(F.col(neighbor)).alias("_nbrs"))
     j = anchors.select(group, link, *carry).join(broadcast_if_small(adj, persist=True), link, "left")
     own = F.array(F.col(link))
-    out = j.select(group, *carry, F.explode(F.array_union(own, F.coalesce(F.col("_nbrs"), own))).alias(link))
-    return out.distinct()
+    links = F.array_distinct(F.flatten(F.collect_list(F.array_union(own, F.coalesce(F.col("_nbrs"), own)))))
+    found = j.groupBy(group).agg(links.alias("_links"), *[F.first(c).alias(c) for c in carry])
+    return found.select(group, *carry, F.explode("_links").alias(link))
 
 
 def mapping_check(dim: DataFrame, mapping: DataFrame, key: str = "link_id") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandcast.functions.scalars import flag, minutes_between, time_bucket
+from bandcast.operators.names import fresh
 
 TICK = 300
 # A key with more rows than this is processed on the time-chunked path.
@@ -46,7 +47,7 @@ def _offset_cols(ts: str, col: str, lags: Mapping[str, int], leads: Mapping[str,
 def lag_lead(df: DataFrame, key: str, ts: str, col: str,
              lags: Mapping[str, int] | None = None, leads: Mapping[str, int] | None = None,
              strict_step: int | None = None, chunk_seconds: int | str | None = None,
-             hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+             hot_rows: int = HOT_KEY_ROWS, keep_chunk: str | None = None, null_keys: bool = True) -> DataFrame:
     """Row-offset LAG/LEAD per key ordered by time (W1, W2, one shared window W3).
 
     Offsets are rows, not time: an overnight gap is bridged.  With
@@ -55,41 +56,50 @@ def lag_lead(df: DataFrame, key: str, ts: str, col: str,
 
     ``chunk_seconds`` splits each key's series into time chunks so a hot key
     is spread over many tasks.  Offsets are first computed inside each chunk.
-    The first/last ``k`` rows of every chunk (the boundary set, k = largest
-    offset) then get their edge-crossing values (lags of head rows, leads of
-    tail rows) from one per-key window over the boundary set alone, which is
-    small and holds every row those offsets can reach.  Exact, and only the
-    boundary set is shuffled by the bare key.  ``"auto"`` measures the
-    largest key first and chunks by day only when it exceeds ``hot_rows``.
+    The first and last ``k`` rows of every chunk (k = largest offset) hold every row that an offset
+    across an edge can reach: one per-key window over them alone gives
+    each chunk its halo, the ``k`` rows before and after it, which joins
+    back on (key, chunk).  Exact; the rows are shuffled once, by (key, chunk),
+    and stay so partitioned for what follows (``keep_chunk`` names the chunk column then).
+    ``"auto"`` chunks by day.  Nothing is measured, so ``hot_rows`` no longer matters.
+
+    Rows without a key form a series of their own, as in a window; ``null_keys=False`` says there are none.
     """
     lags, leads = dict(lags or {}), dict(leads or {})
-    if chunk_seconds == "auto":
-        chunk_seconds = DAY if hot_key_rows(df, key) > hot_rows else None
+    chunk_seconds = DAY if chunk_seconds == "auto" else chunk_seconds
     if not chunk_seconds:
         w = Window.partitionBy(key).orderBy(ts)
         return df.withColumns(_offset_cols(ts, col, lags, leads, w, strict_step))
-
-    k = max(list(lags.values()) + list(leads.values()) + [1])
-    chunked = df.withColumn("_chunk", F.floor(F.col(ts) / F.lit(chunk_seconds)))
-    wc = Window.partitionBy(key, "_chunk").orderBy(ts)
-    wn = Window.partitionBy(key, "_chunk")
-    chunked = chunked.withColumns({
-        "_pos": F.row_number().over(wc),
-        "_cnt": F.count(F.lit(1)).over(wn),
-    }).withColumns(_offset_cols(ts, col, lags, leads, wc, strict_step))
-    head = F.col("_pos") <= k
-    tail = F.col("_pos") > F.col("_cnt") - k
-    inner = chunked.filter(~(head | tail))
-    # Boundary rows: a head row's lags and a tail row's leads may cross the
-    # chunk edge; every row they can reach is itself a boundary row.
-    wb = Window.partitionBy(key).orderBy(ts)
-    edge = chunked.filter(head | tail)
-    edge = edge.withColumns({f"_b_{n}": v for n, v in _offset_cols(ts, col, lags, leads, wb, strict_step).items()})
-    edge = edge.withColumns({
-        **{n: F.when(head, F.col(f"_b_{n}")).otherwise(F.col(n)) for n in lags},
-        **{n: F.when(tail, F.col(f"_b_{n}")).otherwise(F.col(n)) for n in leads},
-    }).drop(*[f"_b_{n}" for n in list(lags) + list(leads)])
-    return inner.unionByName(edge).drop("_chunk", "_pos", "_cnt")
+    if null_keys:
+        none = lag_lead(df.filter(F.col(key).isNull()), key, ts, col, lags, leads, strict_step)
+        some = lag_lead(df.filter(F.col(key).isNotNull()), key, ts, col, lags, leads, strict_step, chunk_seconds, null_keys=False)
+        return some.unionByName(none)
+
+    k = max([*lags.values(), *leads.values(), 1])
+    chunk, halo, before, after = fresh(df, keep_chunk or "_chunk", "_halo", "_before", "_after")
+    # rows without a time come first, in a chunk of their own
+    x = df.withColumn(chunk, F.coalesce(F.floor(F.col(ts) / F.lit(chunk_seconds)).cast("bigint"), F.lit(-(1 << 62))))
+    w = Window.partitionBy(key, chunk).orderBy(ts)
+    there = lambda f: sum((F.when(f(F.lit(1), n).over(w).isNotNull(), 1).otherwise(0) for n in range(1, k + 1)), F.lit(0))
+    x = x.withColumns({before: there(F.lag), after: there(F.lead)})           # rows beside it in the chunk, k at most
+    row = F.struct(F.col(ts).alias("t"), F.col(col).alias("v"))
+    wb = Window.partitionBy(key).orderBy(chunk, ts)
+    edge = x.filter((F.col(before) < k) | (F.col(after) < k)).select(key, ts, col, chunk, before, after)
+    edge = edge.withColumns({f"p{n}": F.lag(row, n).over(wb) for n in range(1, k + 1)} | {f"n{n}": F.lead(row, n).over(wb) for n in range(1, k + 1)})
+    beside = edge.groupBy(F.col(key).alias("_hk"), F.col(chunk).alias("_hc")).agg(F.struct(
+        *[F.max(F.when(F.col(before) == 0, F.col(f"p{n}"))).alias(f"p{n}") for n in range(1, k + 1)],
+        *[F.max(F.when(F.col(after) == 0, F.col(f"n{n}"))).alias(f"n{n}") for n in range(1, k + 1)]).alias(halo))
+    out = {}
+    for names, offset, side, count, sign in ((lags, F.lag, "p", before, -1), (leads, F.lead, "n", after, 1)):
+        for name, n in names.items():
+            v, t = offset(col, n).over(w), offset(ts, n).over(w)
+            for have in range(n):               # ``have`` rows of the chunk on that side, the others of the halo
+                beyond = F.col(halo)[f"{side}{n - have}"]
+                v, t = F.when(F.col(count) == have, beyond["v"]).otherwise(v), F.when(F.col(count) == have, beyond["t"]).otherwise(t)
+            out[name] = F.when((t - F.col(ts)) * sign == F.lit(n * strict_step), v) if strict_step else v
+    x = x.join(beside, (F.col(key) == F.col("_hk")) & (F.col(chunk) == F.col("_hc")), "left").drop("_hk", "_hc")
+    x = x.withColumns(out).drop(halo, before, after)
+    return x if keep_chunk else x.drop(chunk)
 
 
 def lag_features(df: DataFrame, key: str = "link_id", ts: str = "snapshot_ts", col: str = "speed_band",
@@ -158,7 +168,7 @@ def interval_bucket_rollup(intervals: DataFrame, key: str = "link_id", start: st
 # J3 ------------------------------------------------------------------------
 def interval_join(points: DataFrame, intervals: DataFrame, key: str = "link_id", ts: str = "snapshot_ts",
                   start: str = "start_ts", end: str = "end_ts", how: str = "left",
-                  strategy: str = "merge", bucket_seconds: int = 3600) -> DataFrame:
+                  strategy: str = "merge", bucket_seconds: int = 3600, bucket: str | None = None) -> DataFrame:
     """Key equality and start <= ts <= end (inclusive).
 
     ``merge``: equi-join on the key with the range as a residual predicate
@@ -167,7 +177,8 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str = "link_id",
     overlaps and points are equi-joined on (key, bucket) with the same
     residual.  A point lies in exactly one bucket, so each match is produced
     once and unmatched points survive the left join once: identical results,
-    and a hot key is spread over its time buckets.
+    and a hot key is spread over its time buckets.  ``bucket`` names a column of
+    the points that is floor(ts / bucket_seconds) already (points partitioned by (key, bucket) stay so).
     ``auto`` is ``merge``: it keeps the points' partitioning for what follows,
     and AQE splits a skewed key.
     """
@@ -182,9 +193,9 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str = "link_id",
     sb = F.floor(F.col(start) / b).cast("bigint")
     eb = F.floor(F.col(end) / b).cast("bigint")
     ivb = iv.withColumn("_ib", F.explode(F.sequence(sb, F.greatest(sb, eb))))
-    pb = points.withColumn("_pb", F.floor(F.col(ts) / b).cast("bigint"))
-    cond = (pb[key] == ivb[ikey]) & (pb["_pb"] == ivb["_ib"]) & pb[ts].between(ivb[start], ivb[end])
-    return pb.join(ivb, cond, how).drop(ikey, "_ib", "_pb")
+    pb = points if bucket else points.withColumn("_pb", F.floor(F.col(ts) / b).cast("bigint"))
+    cond = (pb[key] == ivb[ikey]) & (pb[bucket or "_pb"] == ivb["_ib"]) & pb[ts].between(ivb[start], ivb[end])
+    return pb.join(ivb, cond, how).drop(ikey, "_ib", *([] if bucket else ["_pb"]))
 
 
 # J13 -----------------------------------------------------------------------
@@ -204,13 +215,25 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
       (key, chunk) is found by an aggregate, the latest one before each
       chunk is carried forward by a per-key window over that small chunk
       table, and injected at the start of the chunk.
-    With neither, one window per key.  ``"auto"`` chunks by day when the left
-    side's largest key exceeds ``hot_rows``.
+    With neither, one window per key.  ``"auto"`` chunks by day; nothing is measured.
+
+    The window runs over the distinct (key, time) pairs of the left side, not over its rows:
+    many rows share a station's tick.  Matches join back on (key, time), which spreads
+    any hot key, and where they are few, the left rows are not shuffled at all.
     """
+    k, t = fresh(left, "_asof_key", "_asof_time")
+    ticks = left.select(F.col(key).alias(k), F.col(left_ts).alias(t)).filter(F.col(k).isNotNull() & F.col(t).isNotNull()).distinct()
+    matched = f"{right_ts}_matched"
+    found = _asof_ticks(ticks, right.withColumnRenamed(key, k), k, t, right_ts, right_cols, tolerance,
+                        DAY if chunk_seconds == "auto" else chunk_seconds).filter(F.col(matched).isNotNull())
+    out = left.join(found, (F.col(key) == F.col(k)) & (F.col(left_ts) == F.col(t)), "left")
+    return out.select(*[left[c] for c in left.columns], *[found[c] for c in right_cols], found[matched])
+
+
+def _asof_ticks(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, right_cols: Sequence[str],
+                tolerance: int | None, chunk_seconds: int | None) -> DataFrame:
     right_cols = list(right_cols)
     right = right.filter(F.col(key).isNotNull())        # a null key matches nothing
-    if chunk_seconds == "auto":
-        chunk_seconds = DAY if hot_key_rows(left, key) > hot_rows else None
     lcols = left.columns
     rtypes = dict(right.select(right_cols).dtypes)
     l = left.select(*[F.col(c) for c in lcols],

@@ -19,6 +19,7 @@ that holds back at most three bytes between chunks.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import json
 import re
@@ -36,7 +37,7 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 SPACES = "\t-\r \x85\xa0  -     　"
 
 BLOCK = 4096                # bytes the transducer takes in at a time
-SLICE = 1 << 20             # characters of text that are pre-tokenised at a time
+SLICE = 1 << 16             # characters of text that are pre-tokenised at a time
 CACHE = 1 << 19             # pre-tokens a worker remembers
 LONGEST_CACHED = 64         # characters
 
@@ -155,12 +156,12 @@ class Transducer:
             buffer = buffer[end:]
 
     def _piece(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "replace")
-        ids = self.merge(data) if len(data) <= 256 else self.stream(data)
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        """What the transducer emits for a pre-token, both of whose ends are forced cuts."""
+        return b"".join([i.to_bytes(4, "little") for i in self.stream(piece.encode("utf-8", "replace"))])
 
     def _run(self, run: str) -> bytes:
-        """Ids of a run that the white-space split gave, through the worker's cache."""
+        """Ids of a run that the white-space split gave.  Between forced cuts the transducer starts and ends
+        empty, so what it emitted for a run is remembered (a transition of its state) and not run again."""
         pieces = self.pre_tokens.findall(run)
         if len(pieces) == 1:
             out = self._piece(run)
@@ -199,6 +200,44 @@ class Transducer:
         yield machine.decode(b"", True)
 
 
+def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, ``n_tokens``, ``ids_sha256`` (of the ids as little-endian unsigned
+    32-bit integers) and ``decoded_sha256`` (of the decoded text in UTF-8), as lowercase hex.
+
+    Each text goes through encoder, decoder and both digests slice by
+    slice, so beside the text itself memory does not grow with its length.
+    Nulls, added tokens and empty tables as in :func:`round_trip`.
+    """
+    prepare(docs.sparkSession)
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = Transducer.at(path)
+
+        def through(text: str) -> tuple[int, str, str]:
+            n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+
+            def emitted() -> Iterator[bytes]:
+                nonlocal n
+                for chunk in t.encode_chunks(text):
+                    n += len(chunk) // 4
+                    ids.update(chunk)
+                    yield chunk
+            for part in t.decode_chunks(emitted()):
+                decoded.update(part.encode())
+            return n, ids.hexdigest(), decoded.hexdigest()
+
+        for b in batches:
+            rows = [through(x.as_py() or "") for x in b.column(1)]
+            n, ids, decoded = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                                             ["_id", "_n", "_ids", "_text"])
+
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")) \
+        .mapInArrow(run, f"_id {id_type}, _n bigint, _ids string, _text string") \
+        .toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_tokens``, ``ids`` (binary: little-endian
     unsigned 32-bit integers), ``decoded`` (the text decoded from ``ids``).

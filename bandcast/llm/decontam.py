@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandcast.llm.common import LOWER, UPPER, broadcast_if_small, prepare, text_or_empty, written
+from bandcast.llm.common import LOWER, UPPER, numbered, prepare, text_or_empty, written
+from bandcast.operators.joins import broadcast_if_small as measured_broadcast
 
 _BREAKS = "".join(chr(c) for r in ((0, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)) for c in range(r[0], r[1] + 1))
 SHINGLE = 4
@@ -79,14 +80,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bench = written(benchmark.select(F.col(item_col).alias("_item"), F.col(item_text).alias("_t")).distinct(), "benchmark")
     vocabulary = written(bench.select(F.explode(words_of("_t")).alias("_word")).distinct(), "benchmark-words")
     counts = (docs.select(F.explode(words_of(text_col)).alias("_word"))
-              .join(broadcast_if_small(vocabulary, 64), "_word", "left_semi")
+              .join(measured_broadcast(vocabulary, max_rows=1 << 62), "_word", "left_semi")
               .groupBy("_word").agg(F.count("*").alias("_n")))
     runs = written(windows_of(bench, written(counts, "benchmark-counts"), "_item", "_t", size), "windows")
     prefix = written(runs.groupBy("_win").agg(F.first("_m").alias("_m"), F.first("_k").alias("_k"), F.min("_o").alias("_o"))
                      .select("*", F.xxhash64("_win").alias("_wid"),
                              _shingle(F.col("_win"), F.col("_o"), F.col("_k")).alias("_h")), "prefix-tokens")
     lengths = sorted(r[0] for r in prefix.select("_k").distinct().collect())     # at most SHINGLE values
-    tokens = broadcast_if_small(prefix, 16 * size + 48)
+    tokens = measured_broadcast(prefix, max_rows=1 << 62)
 
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"), words_of(text_col).alias("_w"))
     found = None
@@ -125,8 +126,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The clean rows of ``docs`` with all their columns."""
-    bad = (contamination(docs, benchmark, id_col, text_col, **kw).filter("contaminated")
-           .select(F.col(id_col).alias("_bad_id"), F.col("text_xxhash64").alias("_bad_th")).distinct())
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(text_col)) == F.col("_bad_th")),
-                     "left_anti")
+    """The clean rows of ``docs`` with all their columns, whatever their names."""
+    plain = numbered(docs)
+    i, t = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    bad = written(contamination(plain, benchmark, i, t, **kw).filter("contaminated")
+                  .select(F.col(i).alias("_bad_id"), F.col("text_xxhash64").alias("_bad_th")).distinct(), "contaminated")
+    small = measured_broadcast(bad, max_rows=1 << 62)
+    return plain.join(small, F.col(i).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(t)) == F.col("_bad_th")),
+                      "left_anti").toDF(*docs.columns)

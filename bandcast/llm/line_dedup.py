@@ -53,9 +53,12 @@ def _mix(h: np.ndarray, seed: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct 64-bit keys: at each level the keys
-    alone in their bit settle there, the others go on to the next level; a
-    key's index is the rank of its bit."""
+    """Minimal perfect hash of distinct pairs of 64-bit hashes: at each level
+    the keys alone in their bit settle there, the others go on to the next
+    level; a key's index is the rank of its bit.  The first ``PLAIN`` levels
+    hash the first number alone; later ones mix the second in, so keys that share the first part too."""
+
+    PLAIN = 6
 
     def __init__(self, levels: list[np.ndarray]):
         self.levels = levels
@@ -64,21 +67,31 @@ class PerfectHash:
         self.bits, self.rank = bits, np.cumsum(bits) - bits
 
     @classmethod
-    def build(cls, keys: np.ndarray) -> PerfectHash:
-        levels, left = [], keys
+    def _at(cls, keys: np.ndarray, second: np.ndarray, level: int, n: int) -> np.ndarray:
+        h = _mix(keys, level) if level < cls.PLAIN else _mix(keys ^ _mix(second, level), level)
+        return (h % np.uint64(n)).astype(np.int64)
+
+    @classmethod
+    def build(cls, keys: np.ndarray, second: np.ndarray | None = None) -> PerfectHash:
+        second = np.zeros_like(keys) if second is None else second
+        if len(np.unique(np.stack([keys, second]), axis=1).T) != len(keys):
+            raise ValueError("keys repeat")
+        levels, left, also = [], keys, second
         while len(left):
             n = max(8, int(GAMMA * len(left)))
-            at = (_mix(left, len(levels)) % np.uint64(n)).astype(np.int64)
+            at = cls._at(left, also, len(levels), n)
             alone = np.bincount(at, minlength=n) == 1
             levels.append(alone)
-            left = left[~alone[at]]
+            open_ = ~alone[at]
+            left, also = left[open_], also[open_]
         return cls(levels)
 
-    def index(self, keys: np.ndarray) -> np.ndarray:
+    def index(self, keys: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
         """The index of each key; for keys not in the set any index, or -1."""
+        second = np.zeros_like(keys) if second is None else second
         out, open_, base = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
         for level, n in enumerate(self.sizes):
-            at = (_mix(keys[open_], level) % np.uint64(n)).astype(np.int64) + base
+            at = self._at(keys[open_], second[open_], level, n) + base
             hit = self.bits[at]
             out[open_[hit]] = self.rank[at[hit]]
             open_, base = open_[~hit], base + n
@@ -86,8 +99,9 @@ class PerfectHash:
 
 
 def pack_shard(h1: np.ndarray, h2: np.ndarray, count: np.ndarray, largest: np.ndarray) -> bytes:
-    mph = PerfectHash.build(h1.view(np.uint64))
-    at = mph.index(h1.view(np.uint64))
+    pair = h1.view(np.uint64), h2.view(np.uint64)
+    mph = PerfectHash.build(*pair)
+    at = mph.index(*pair)
     arrays = []
     for x in (h2, count, largest):
         y = np.empty_like(x)
@@ -110,7 +124,7 @@ class Shard:
         self.fingerprint, self.count, self.largest = z["fingerprint"], z["count"], z["largest"]
 
     def find(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot = self.mph.index(h1.view(np.uint64))
+        slot = self.mph.index(h1.view(np.uint64), h2.view(np.uint64))
         found = slot >= 0
         found[found] = self.fingerprint[slot[found]] == h2[found]
         return slot, found

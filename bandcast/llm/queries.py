@@ -100,12 +100,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(bpe_stream.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json")))
-
-
-def bpe_digests(encoded: DataFrame) -> DataFrame:
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_stream.round_trip_digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

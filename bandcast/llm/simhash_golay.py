@@ -33,8 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandcast.llm.common import LOWER_BYTES, prepare, written
+from bandcast.llm.common import LOWER_BYTES, numbered, prepare, written
 from bandcast.operators.graph import connected_components
+from bandcast.operators.joins import broadcast_if_small
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b101011100011          # generator polynomial of the binary Golay code (degree 11)
@@ -204,9 +205,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """The row with the smallest id of every component, with all its columns.
+    """The row with the smallest id of every component, with all its columns, whatever their names.
     Rows without an id stay only if their component has no id at all; rows
     repeating an id stay or go together."""
-    gone = (near_duplicates(docs, id_col, text_col, words)
-            .filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    plain = numbered(docs)
+    i, t = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    gone = written(near_duplicates(plain, i, t, words)
+                   .filter(~F.col(i).eqNullSafe(F.col("component_id"))).select(F.col(i).alias("_gone")).distinct(), "near-copies")
+    small = broadcast_if_small(gone, max_rows=1 << 62)          # by its measured bytes; else joined by a shuffle
+    return plain.join(small, F.col(i).eqNullSafe(F.col("_gone")), "left_anti").toDF(*docs.columns)

@@ -24,6 +24,7 @@ from bandcast.operators.kdtree import Tree
 from bandcast.session import cut_lineage
 
 _NEIGHBOURHOOD = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+_FORWARD = [(0, 0), (1, -1), (1, 0), (0, 1), (1, 1)]       # one of each two opposite neighbours, and the cell itself
 HALF_GLOBE_M = 20_100_000.0   # more than any distance on the globe
 _MARGIN = 1.001   # covers chord-vs-arc for separations up to ~1 radian
 
@@ -113,14 +114,42 @@ def knn_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k
 def neighbors_within(points: DataFrame, id_col: str = "link_id", max_m: float = 200.0,
                      lat: str = "mid_lat", lon: str = "mid_lon", out: str = "neighbor_link_id",
                      lat_bound: float | None = None) -> DataFrame:
-    """Symmetric neighbour pairs within ``max_m``, no self pairs."""
-    L = _prefixed(points, id_col, lat, lon, "l_")
-    R = _prefixed(points, id_col, lat, lon, "r_")
+    """Symmetric neighbour pairs within ``max_m``, no self pairs.
+
+    Each unordered pair is formed and measured once, from the cell that comes first (a point looks into
+    four of the eight cells around its own, and at the larger places of its own cell), then mirrored.
+    Points just east of the antimeridian are looked for one turn further on as well.
+    Two rows with one id are no pair, as before; equal ids at two places each pair with the others.
+    """
     if lat_bound is None:
-        lat_bound = max_abs_lat((L, "l_lat"))
-    pairs = grid_pairs(L, R, max_m, lat_bound, "l_lat", "l_lon", "r_lat", "r_lon")
-    pairs = pairs.filter((F.col("dist_m") <= F.lit(float(max_m))) & (F.col("l_id") != F.col("r_id")))
-    return pairs.select(F.col("l_id").alias(id_col), F.col("r_id").alias(out), "dist_m")
+        lat_bound = max_abs_lat((points, lat))
+    dlat, dlon = _cell_sizes(max_m, lat_bound)
+    if dlon > 60.0:         # a cell goes round the pole: both ways round could meet
+        L = _prefixed(points, id_col, lat, lon, "l_")
+        R = _prefixed(points, id_col, lat, lon, "r_")
+        pairs = grid_pairs(L, R, max_m, lat_bound, "l_lat", "l_lon", "r_lat", "r_lon")
+        pairs = pairs.filter((F.col("dist_m") <= F.lit(float(max_m))) & (F.col("l_id") != F.col("r_id")))
+        return pairs.select(F.col("l_id").alias(id_col), F.col("r_id").alias(out), "dist_m")
+    R = _cells(_prefixed(points, id_col, lat, lon, "r_"), "r_lat", "r_lon", dlat, dlon).withColumn("_turned", F.lit(False))
+    turned = _prefixed(points, id_col, lat, lon, "r_").filter(F.col("r_lon") - 2 * dlon < -180)
+    turned = _cells(turned.withColumn("_east", F.col("r_lon") + 360.0), "r_lat", "_east", dlat, dlon).drop("_east") \
+        .withColumn("_turned", F.lit(True))
+    looks = [(dx, dy, False) for dx, dy in _FORWARD] + [(dx, dy, True) for dx, dy in _NEIGHBOURHOOD]
+    look = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(t).alias("t")) for dx, dy, t in looks])
+    near_edge = F.col("l_lon") + 2 * dlon > 180         # only these can meet a turned point
+    L = _cells(_prefixed(points, id_col, lat, lon, "l_"), "l_lat", "l_lon", dlat, dlon) \
+        .withColumn("_nb", F.explode(F.filter(look, lambda x: ~x["t"] | near_edge))) \
+        .withColumns({"_py": F.col("_cy") + F.col("_nb.dy"), "_px": F.col("_cx") + F.col("_nb.dx")}) \
+        .withColumns({"_t": F.col("_nb.t"), "_own": ~F.col("_nb.t") & (F.col("_nb.dx") == 0) & (F.col("_nb.dy") == 0)}) \
+        .drop("_cy", "_cx", "_nb")
+    R = R.unionByName(turned)
+    pairs = L.join(R, (L["_py"] == R["_cy"]) & (L["_px"] == R["_cx"]) & (L["_t"] == R["_turned"])
+                   & (L["l_id"] != R["r_id"]) & (~L["_own"] | (L["l_id"] < R["r_id"])))
+    pairs = pairs.withColumn("dist_m", haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))) \
+        .filter(F.col("dist_m") <= F.lit(float(max_m)))
+    both = F.array(F.struct(F.col("l_id").alias("a"), F.col("r_id").alias("b")), F.struct(F.col("r_id").alias("a"), F.col("l_id").alias("b")))
+    return pairs.select("dist_m", F.explode(both).alias("_p")).select(
+        F.col("_p.a").alias(id_col), F.col("_p.b").alias(out), "dist_m")
 
 
 def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, max_m: float,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandcast.functions.scalars import flag, minutes_between, time_bucket
@@ -166,6 +166,51 @@ def interval_bucket_rollup(intervals: DataFrame, key: str = "link_id", start: st
 
 
 # J3 ------------------------------------------------------------------------
+DYADIC_LEVELS = 16      # blocks of up to 2**16 buckets; longer intervals take several of the largest
+
+
+def dyadic_cover(first: Column, last: Column, levels: int = DYADIC_LEVELS) -> Column:
+    """Buckets ``first`` to ``last`` (inclusive) as an array of disjoint blocks {level, block}.
+
+    Block ``b`` of level ``l`` holds the buckets from ``b * 2**l`` up to ``(b + 1) * 2**l``.  A level below
+    the largest gives at most two blocks, one at either end; ``last < first`` gives none, null gives null.
+    """
+    stop = last + F.lit(1).cast("bigint")
+    up = lambda x, n: -F.call_function("shiftright", -x, n)        # noqa: E731 - rounded up; shiftright rounds down
+    down = lambda x, n: F.call_function("shiftright", x, n)        # noqa: E731
+    block = lambda n, b: F.struct(n.cast("int").alias("level"), b.cast("bigint").alias("block"))
+    odd = lambda x: F.pmod(x, F.lit(2).cast("bigint")) == 1        # noqa: E731
+
+    def ends(n: Column) -> Column:
+        a, b = up(first, n), down(stop, n)
+        return F.array(F.when((a < b) & odd(a), block(n, a)), F.when((a < b) & odd(b), block(n, b - 1)))
+
+    top = F.lit(levels)
+    a, b = up(first, top), down(stop, top)
+    whole = F.when(a < b, F.transform(F.sequence(a, F.greatest(a, b - 1)), lambda x: block(top, x)))
+    low = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), ends)) if levels else F.array()
+    blocks = F.filter(F.concat(low, F.coalesce(whole, F.array())), lambda x: x.isNotNull())
+    return F.when(first.isNotNull() & last.isNotNull(), blocks)
+
+
+def _dyadic_join(points: DataFrame, intervals: DataFrame, key: str, ts: str, start: str, end: str, how: str,
+                 bucket_seconds: int) -> DataFrame:
+    """J3 by blocks; rows as from the other strategies."""
+    at, cell, opened, ikey, blocks, ikey_of, blocks_of = fresh(
+        points, *fresh(intervals, "_at", "_cell", "_opened", "_ikey", "_blocks", "_ikey_of", "_blocks_of"))
+    bucket_of = lambda c: F.floor(F.col(c) / bucket_seconds).cast("bigint")      # noqa: E731
+    p = points.withColumn(at, bucket_of(ts))
+    cells = p.select(F.col(key).alias(ikey), F.col(at).alias(cell)).filter(F.col(cell).isNotNull()).distinct()
+    cells = cells.withColumn(blocks, F.explode(F.transform(F.sequence(F.lit(0), F.lit(DYADIC_LEVELS)), lambda n: F.struct(
+        n.alias("level"), F.call_function("shiftright", F.col(cell), n).alias("block")))))
+    iv = intervals.withColumnRenamed(key, ikey_of).withColumn(blocks_of, F.explode(dyadic_cover(bucket_of(start), bucket_of(end))))
+    met = cells.join(iv, (F.col(ikey) == F.col(ikey_of)) & (F.col(blocks)["level"] == F.col(blocks_of)["level"])
+                     & (F.col(blocks)["block"] == F.col(blocks_of)["block"]))
+    met = met.withColumnRenamed(cell, opened).drop(ikey_of, blocks, blocks_of)
+    cond = (p[key] == met[ikey]) & (p[at] == met[opened]) & p[ts].between(met[start], met[end])
+    return p.join(met, cond, how).drop(at, opened, ikey)
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, key: str = "link_id", ts: str = "snapshot_ts",
                   start: str = "start_ts", end: str = "end_ts", how: str = "left",
                   strategy: str = "merge", bucket_seconds: int = 3600, bucket: str | None = None) -> DataFrame:
@@ -179,11 +224,19 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str = "link_id",
     once and unmatched points survive the left join once: identical results,
     and a hot key is spread over its time buckets.  ``bucket`` names a column of
     the points that is floor(ts / bucket_seconds) already (points partitioned by (key, bucket) stay so).
+    ``dyadic``: for long intervals.  An interval is entered under the few
+    blocks of 1, 2, 4, ... buckets that make it up (``dyadic_cover``), the
+    distinct buckets that points lie in meet them through their enclosing blocks, and
+    points join the intervals of their bucket as above.  An interval takes at
+    most 2 rows a level however long it is, and opens only buckets with points in them;
+    points are not multiplied.
     ``auto`` is ``merge``: it keeps the points' partitioning for what follows,
     and AQE splits a skewed key.
     """
-    if strategy not in ("auto", "merge", "bucket"):
+    if strategy not in ("auto", "merge", "bucket", "dyadic"):
         raise ValueError(f"unknown interval join strategy {strategy!r}")
+    if strategy == "dyadic":
+        return _dyadic_join(points, intervals, key, ts, start, end, how, bucket_seconds)
     ikey = "_ikey"
     iv = intervals.withColumnRenamed(key, ikey)
     if strategy != "bucket":

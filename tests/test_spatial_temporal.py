@@ -47,6 +47,20 @@ def test_neighbors_symmetric_and_complete_at_high_latitude(spark):
     assert all((j, i) in got for i, j in got)
 
 
+def test_neighbors_form_each_pair_once_across_the_antimeridian(spark):
+    rnd = random.Random(31)
+    P = [(i, rnd.uniform(-0.01, 0.01), (180 + rnd.uniform(-0.01, 0.01) + 180) % 360 - 180) for i in range(250)]
+    P += [(900, 0.001, 180.0), (901, 0.001, -180.0), (902, 0.001, 179.9999), (903, 0.002, 179.9999), (904, None, 1.0)]
+    P += [(5, 0.0, -179.9999)]                                 # an id at two places
+    df = spark.createDataFrame(P, "link_id long, lat double, lon double")
+    got = sorted((r[0], r[1]) for r in SP.neighbors_within(df, "link_id", 150.0, "lat", "lon").collect())
+    whole = [p for p in P if p[1] is not None]
+    want = sorted((i, j) for i, a, b in whole for j, c, d in whole if i != j and hav(a, b, c, d) <= 150.0)
+    assert got == want
+    polar = spark.createDataFrame([(1, 88.9999, 0.0), (2, 88.9999, 0.001), (3, 88.9999, 179.0)], "link_id long, lat double, lon double")
+    assert sorted((r[0], r[1]) for r in SP.neighbors_within(polar, "link_id", 150.0, "lat", "lon").collect()) == [(1, 2), (2, 1)]
+
+
 def test_nearest_escalates_to_far_points(spark):
     L, ldf = points(spark, 50, 4, prefix="l")
     # stations: a tight cluster plus one 40 km away
@@ -76,6 +90,40 @@ def test_interval_join_strategies_agree(spark):
     assert sorted(map(tuple, a), key=key) == sorted(map(tuple, b), key=key) == sorted(want, key=key)
 
 
+def test_dyadic_interval_join_equals_brute_force(spark):
+    rnd = random.Random(15)
+    year = 366 * 86400
+    pts = [(rnd.choice([0, 1, 2, None]), rnd.choice([None, *range(-9, 9)]) if rnd.random() < 0.2 else rnd.randrange(-5 * year, 5 * year))
+           for _ in range(500)] + [(1, 7)] * 3
+    iv = [(0, 1, -4 * year, 4 * year), (1, 1, -20 * year, 20 * year), (2, 0, 5, 4), (3, 0, None, 9), (4, None, 0, year),
+          (5, 1, 7, 7), (5, 1, 7, 7), (6, 2, -1, 0), (7, 9, 0, year)]
+    iv += [(k, rnd.randrange(3), s, s + rnd.choice([0, 59, 60, 3600, year // 3])) for k, s in
+           enumerate((rnd.randrange(-5 * year, 5 * year) for _ in range(80)), 10)]
+    p = spark.createDataFrame(pts, "link_id long, snapshot_ts long").withColumn("_at", F.lit("mine"))
+    i = spark.createDataFrame(iv, "iid long, link_id long, start_ts long, end_ts long").withColumn("_cell", F.lit("theirs"))
+    key = lambda r: tuple(-10**12 if x is None else x for x in r)
+    inside = [(l, t, k) for l, t in pts for k, l2, s, e in iv if None not in (l, t, l2, s) and l == l2 and s <= t <= e]
+    alone = [(l, t, None) for l, t in pts if not any(None not in (l, t, l2, s) and l == l2 and s <= t <= e for _, l2, s, e in iv)]
+    for how, want in (("inner", inside), ("left", inside + alone)):
+        got = TM.interval_join(p, i, how=how, strategy="dyadic", bucket_seconds=60)
+        assert set(got.columns) == {"link_id", "snapshot_ts", "_at", "iid", "start_ts", "end_ts", "_cell"}
+        assert sorted(map(tuple, got.select("link_id", "snapshot_ts", "iid").collect()), key=key) == sorted(want, key=key)
+    assert TM.interval_join(p, i.limit(0), strategy="dyadic").count() == len(pts)
+    assert TM.interval_join(p.limit(0), i, strategy="dyadic").count() == 0
+
+
+def test_dyadic_cover_is_exact_and_small(spark):
+    rnd = random.Random(16)
+    rows = [(a, a + rnd.choice([-1, 0, 1, 2, 7, 100, 5000])) for a in (rnd.randrange(-9000, 9000) for _ in range(200))]
+    df = spark.createDataFrame(rows, "a long, b long").select("a", "b", TM.dyadic_cover(F.col("a"), F.col("b"), 6).alias("c"))
+    for r in df.collect():
+        held = [x for c in r.c for x in range(c.block << c.level, (c.block + 1) << c.level)]
+        assert sorted(held) == list(range(r.a, r.b + 1))
+        assert len([c for c in r.c if c.level < 6]) <= 12
+    long = spark.createDataFrame([(3, 366 * 288)], "a long, b long").select(F.size(TM.dyadic_cover(F.col("a"), F.col("b"))).alias("n"))
+    assert long.first().n <= 32         # a year of 5-minute buckets
+
+
 def test_chunked_lags_equal_plain_with_a_hot_key(spark):
     rnd = random.Random(6)
     rows = [(0, t, rnd.randrange(1, 9)) for t in range(0, 300 * 3000, 300)]          # hot key

@@ -27,6 +27,11 @@ def hot_key_rows(df: DataFrame, key: str) -> int:
     return int(v or 0)
 
 
+def chunk_of(ts: str, chunk_seconds: int = DAY) -> Column:
+    """Time chunk of a row; rows without a time come first, in a chunk of their own."""
+    return F.coalesce(F.floor(F.col(ts) / F.lit(chunk_seconds)).cast("bigint"), F.lit(-(1 << 62)))
+
+
 # W1-W4 ---------------------------------------------------------------------
 def _offset_cols(ts: str, col: str, lags: Mapping[str, int], leads: Mapping[str, int],
                  w, strict_step: int | None):
@@ -47,7 +52,8 @@ def _offset_cols(ts: str, col: str, lags: Mapping[str, int], leads: Mapping[str,
 def lag_lead(df: DataFrame, key: str, ts: str, col: str,
              lags: Mapping[str, int] | None = None, leads: Mapping[str, int] | None = None,
              strict_step: int | None = None, chunk_seconds: int | str | None = None,
-             hot_rows: int = HOT_KEY_ROWS, keep_chunk: str | None = None, null_keys: bool = True) -> DataFrame:
+             hot_rows: int = HOT_KEY_ROWS, keep_chunk: str | None = None, null_keys: bool = True,
+             chunk_col: str | None = None) -> DataFrame:
     """Row-offset LAG/LEAD per key ordered by time (W1, W2, one shared window W3).
 
     Offsets are rows, not time: an overnight gap is bridged.  With
@@ -63,6 +69,9 @@ def lag_lead(df: DataFrame, key: str, ts: str, col: str,
     and stay so partitioned for what follows (``keep_chunk`` names the chunk column then).
     ``"auto"`` chunks by day.  Nothing is measured, so ``hot_rows`` no longer matters.
 
+    ``chunk_col`` names a column that holds ``chunk_of(ts, chunk_seconds)`` already: rows of a table bucketed by
+    (key, chunk) are not shuffled at all then, only the halo's rows are.
+
     Rows without a key form a series of their own, as in a window; ``null_keys=False`` says there are none.
     """
     lags, leads = dict(lags or {}), dict(leads or {})
@@ -72,13 +81,16 @@ def lag_lead(df: DataFrame, key: str, ts: str, col: str,
         return df.withColumns(_offset_cols(ts, col, lags, leads, w, strict_step))
     if null_keys:
         none = lag_lead(df.filter(F.col(key).isNull()), key, ts, col, lags, leads, strict_step)
-        some = lag_lead(df.filter(F.col(key).isNotNull()), key, ts, col, lags, leads, strict_step, chunk_seconds, null_keys=False)
+        some = lag_lead(df.filter(F.col(key).isNotNull()), key, ts, col, lags, leads, strict_step, chunk_seconds,
+                        keep_chunk=keep_chunk, null_keys=False, chunk_col=chunk_col)
+        if keep_chunk:
+            none = none.withColumn(keep_chunk, chunk_of(ts, chunk_seconds))
         return some.unionByName(none)
 
     k = max([*lags.values(), *leads.values(), 1])
     chunk, halo, before, after = fresh(df, keep_chunk or "_chunk", "_halo", "_before", "_after")
-    # rows without a time come first, in a chunk of their own
-    x = df.withColumn(chunk, F.coalesce(F.floor(F.col(ts) / F.lit(chunk_seconds)).cast("bigint"), F.lit(-(1 << 62))))
+    chunk = chunk_col or chunk
+    x = df if chunk_col else df.withColumn(chunk, chunk_of(ts, chunk_seconds))
     w = Window.partitionBy(key, chunk).orderBy(ts)
     there = lambda f: sum((F.when(f(F.lit(1), n).over(w).isNotNull(), 1).otherwise(0) for n in range(1, k + 1)), F.lit(0))
     x = x.withColumns({before: there(F.lag), after: there(F.lead)})           # rows beside it in the chunk, k at most
@@ -99,7 +111,7 @@ def lag_lead(df: DataFrame, key: str, ts: str, col: str,
             out[name] = F.when((t - F.col(ts)) * sign == F.lit(n * strict_step), v) if strict_step else v
     x = x.join(beside, (F.col(key) == F.col("_hk")) & (F.col(chunk) == F.col("_hc")), "left").drop("_hk", "_hc")
     x = x.withColumns(out).drop(halo, before, after)
-    return x if keep_chunk else x.drop(chunk)
+    return x if keep_chunk or chunk_col else x.drop(chunk)
 
 
 def lag_features(df: DataFrame, key: str = "link_id", ts: str = "snapshot_ts", col: str = "speed_band",
@@ -166,6 +178,14 @@ def interval_bucket_rollup(intervals: DataFrame, key: str = "link_id", start: st
 
 
 # J3 ------------------------------------------------------------------------
+def enter_intervals(intervals: DataFrame, bucket_seconds: int = DAY, start: str = "start_ts", end: str = "end_ts",
+                    out: str = "_ib") -> DataFrame:
+    """One row per time bucket that an interval touches, numbered in ``out``."""
+    first = F.floor(F.col(start) / bucket_seconds).cast("bigint")
+    last = F.floor(F.col(end) / bucket_seconds).cast("bigint")
+    return intervals.withColumn(out, F.explode(F.sequence(first, F.greatest(first, last))))
+
+
 DYADIC_LEVELS = 16      # blocks of up to 2**16 buckets; longer intervals take several of the largest
 
 
@@ -213,7 +233,8 @@ def _dyadic_join(points: DataFrame, intervals: DataFrame, key: str, ts: str, sta
 
 def interval_join(points: DataFrame, intervals: DataFrame, key: str = "link_id", ts: str = "snapshot_ts",
                   start: str = "start_ts", end: str = "end_ts", how: str = "left",
-                  strategy: str = "merge", bucket_seconds: int = 3600, bucket: str | None = None) -> DataFrame:
+                  strategy: str = "merge", bucket_seconds: int = 3600, bucket: str | None = None,
+                  entered: str | None = None) -> DataFrame:
     """Key equality and start <= ts <= end (inclusive).
 
     ``merge``: equi-join on the key with the range as a residual predicate
@@ -223,7 +244,8 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str = "link_id",
     residual.  A point lies in exactly one bucket, so each match is produced
     once and unmatched points survive the left join once: identical results,
     and a hot key is spread over its time buckets.  ``bucket`` names a column of
-    the points that is floor(ts / bucket_seconds) already (points partitioned by (key, bucket) stay so).
+    the points that is floor(ts / bucket_seconds) already (points partitioned by (key, bucket) stay so); ``entered``
+    names a column of the intervals that holds the bucket, one row for each they touch (``enter_intervals``).
     ``dyadic``: for long intervals.  An interval is entered under the few
     blocks of 1, 2, 4, ... buckets that make it up (``dyadic_cover``), the
     distinct buckets that points lie in meet them through their enclosing blocks, and
@@ -243,9 +265,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str = "link_id",
         cond = (points[key] == iv[ikey]) & points[ts].between(iv[start], iv[end])
         return points.join(iv, cond, how).drop(ikey)
     b = bucket_seconds
-    sb = F.floor(F.col(start) / b).cast("bigint")
-    eb = F.floor(F.col(end) / b).cast("bigint")
-    ivb = iv.withColumn("_ib", F.explode(F.sequence(sb, F.greatest(sb, eb))))
+    ivb = iv.withColumnRenamed(entered, "_ib") if entered else enter_intervals(iv, b, start, end, "_ib")
     pb = points if bucket else points.withColumn("_pb", F.floor(F.col(ts) / b).cast("bigint"))
     cond = (pb[key] == ivb[ikey]) & (pb[bucket or "_pb"] == ivb["_ib"]) & pb[ts].between(ivb[start], ivb[end])
     return pb.join(ivb, cond, how).drop(ikey, "_ib", *([] if bucket else ["_pb"]))

@@ -67,6 +67,22 @@ def append_fact(df: DataFrame, path: str, ts_col: str = "snapshot_time", entity:
         write_table(out, f"{path.rstrip('/')}/batch={batch_id}", partition_by=["snapshot_date"], sort_within=order)
 
 
+def write_bucketed(df: DataFrame, name: str, by: Sequence[str], buckets: int, sort: Sequence[str] = (),
+                   path: str | None = None, codec: str = "zstd") -> DataFrame:
+    """A catalog table bucketed by ``by``, one sorted file a bucket, and its rows.
+
+    Rows are shuffled once here; windows, joins with equally bucketed tables and aggregates whose keys
+    contain ``by`` need no exchange afterwards.  ``buckets`` should leave a bucket at some 100 MB to 1 GB.  ``path`` (shared by
+    all executors) makes the table external; without it, it lies in the warehouse.  An existing table is replaced.
+    """
+    w = (df.repartition(buckets, *by).write.format("parquet").mode("overwrite").option("compression", codec)
+         .bucketBy(buckets, *by).sortBy(*(sort or by)))
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def compact(df: DataFrame, path: str, casts: Mapping[str, str], files: int | None = None,
             codec: str = "zstd") -> DataFrame:
     """Keep the listed columns, narrow their types, rewrite compressed.

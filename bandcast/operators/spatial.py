@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandcast.functions.geo import EARTH_R_M, M_PER_DEG, haversine_m
+from bandcast.operators.joins import broadcast_if_small
 from bandcast.operators.kdtree import Tree
 from bandcast.session import cut_lineage
 
 _NEIGHBOURHOOD = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 _FORWARD = [(0, 0), (1, -1), (1, 0), (0, 1), (1, 1)]       # one of each two opposite neighbours, and the cell itself
+LEVELS = 6                    # finer grids where right points are dense: each a quarter of the radius before
 HALF_GLOBE_M = 20_100_000.0   # more than any distance on the globe
 _MARGIN = 1.001   # covers chord-vs-arc for separations up to ~1 radian
 
@@ -84,10 +86,59 @@ def _prefixed(df: DataFrame, id_col: str, lat: str, lon: str, p: str, carry=())
                      *[F.col(c) for c in carry])
 
 
+def _dense_cells(R: DataFrame, k: int, max_m: float, lat_bound: float) -> tuple[DataFrame, list[float], list[tuple[float, float]]]:
+    """Cells that split by measured density: those of each finer level with at least ``k`` right points.
+
+    Level ``n`` has the radius ``max_m / 4**n`` and cells whose diagonal is no longer than it, so a left point
+    in such a cell has its ``k`` nearest within that radius.  Returns the cells, radii and cell sizes by level."""
+    radii = [max_m / 4 ** n for n in range(LEVELS + 1)]
+    shape = math.hypot(1.0, 1.0 / math.cos(math.radians(lat_bound))) * _MARGIN ** 2     # diagonal of a cell of width 1
+    sizes = [_cell_sizes(r / shape, lat_bound) for r in radii]
+    cells = R.select(F.explode(F.array(*[_at_level(n, "r_lat", "r_lon", *sizes[n]) for n in range(1, LEVELS + 1)])).alias("c"))
+    return cells.groupBy("c").count().filter(F.col("count") >= k).select("c"), radii, sizes
+
+
+def _at_level(n: int, lat: str, lon: str, dlat: float, dlon: float):
+    return F.struct(F.lit(n).alias("n"), F.floor(F.col(lat) / F.lit(dlat)).cast("bigint").alias("y"),
+                    F.floor(F.col(lon) / F.lit(dlon)).cast("bigint").alias("x"))
+
+
+def _density_pairs(L: DataFrame, R: DataFrame, dense: DataFrame, depth: int, k: int, radii: list[float],
+                   sizes: list[tuple[float, float]], lat_bound: float) -> DataFrame:
+    """Pairs of left points with the right points around them, as far as the finest dense cell they lie in
+    asks for.  Of right points at one place the ``k`` with the smallest ids can be among the nearest."""
+    place = Window.partitionBy("r_lat", "r_lon").orderBy("r_id")
+    R = R.withColumn("_nth", F.row_number().over(place)).filter(F.col("_nth") <= k).drop("_nth")
+    dense = broadcast_if_small(dense)
+    for n in range(1, depth + 1):
+        d = dense.filter(F.col("c.n") == n).select(F.col("c").alias("_c"), F.lit(n).alias(f"_in{n}"))
+        L = L.join(d, _at_level(n, "l_lat", "l_lon", *sizes[n]) == F.col("_c"), "left").drop("_c")
+    level = F.coalesce(*[F.col(f"_in{n}") for n in range(depth, 0, -1)], F.lit(0))
+    L = L.withColumn("_level", level).drop(*[f"_in{n}" for n in range(1, depth + 1)])
+    grids = [_cell_sizes(r, lat_bound) for r in radii[:depth + 1]]
+    reach = min(2 * grids[0][1], 180.0)
+    turn = F.filter(F.array(F.when(F.col("r_lon") + reach > 180, -360.0), F.lit(0.0), F.when(F.col("r_lon") - reach < -180, 360.0)),
+                    lambda x: x.isNotNull())
+    R = R.withColumn("_turn", F.explode(turn)).withColumn("_rlon", F.col("r_lon") + F.col("_turn"))
+    R = R.withColumn("_cell", F.explode(F.array(*[_at_level(n, "r_lat", "_rlon", *g) for n, g in enumerate(grids)]))).drop("_turn", "_rlon")
+    around = [_at_level(n, "l_lat", "l_lon", *g) for n, g in enumerate(grids)]
+    L = L.withColumn("_own", F.element_at(F.array(*around), F.col("_level") + 1)) \
+        .withColumn("_nb", F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _NEIGHBOURHOOD]))) \
+        .withColumn("_look", F.struct(F.col("_own.n").alias("n"), (F.col("_own.y") + F.col("_nb.dy")).alias("y"),
+                                      (F.col("_own.x") + F.col("_nb.dx")).alias("x"))).drop("_own", "_nb", "_level")
+    j = L.join(R, L["_look"] == R["_cell"]).drop("_look", "_cell")
+    return j.withColumn("dist_m", haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")))
+
+
 def _knn(L: DataFrame, R: DataFrame, k: int, max_m: float, lat_bound: float | None, carry=()) -> DataFrame:
     if lat_bound is None:
         lat_bound = max_abs_lat((L, "l_lat"), (R, "r_lat"))
-    pairs = grid_pairs(L, R, max_m, lat_bound, "l_lat", "l_lon", "r_lat", "r_lon")
+    R = R.filter(F.col("r_lat").isNotNull() & F.col("r_lon").isNotNull())
+    dense, radii, sizes = _dense_cells(R, k, max_m, lat_bound)
+    dense = cut_lineage(dense)
+    depth = dense.agg(F.max("c.n")).first()[0]
+    pairs = _density_pairs(L, R, dense, depth, k, radii, sizes, lat_bound) if depth else \
+        grid_pairs(L, R, max_m, lat_bound, "l_lat", "l_lon", "r_lat", "r_lon")
     pairs = pairs.filter(F.col("dist_m") <= F.lit(float(max_m)))
     w = Window.partitionBy("l_id").orderBy("dist_m", "r_id")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
@@ -104,6 +155,10 @@ def knn_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k
     id; ``carry`` left columns ride along (no join back afterwards).  A left
     point with nothing in range yields no rows.  Cutting at the radius
     before ranking equals ranking then cutting.
+
+    Where at least ``k`` right points share a small cell, the radius shrinks to what such a cell
+    guarantees (levels of a quarter each, by one measured count), so a crowded cell is not paired as a
+    whole with every point beside it; of points at one place only the ``k`` smallest ids take part.
     """
     L = _prefixed(left, left_id, l_lat, l_lon, "l_", carry)
     R = _prefixed(right, right_id, r_lat, r_lon, "r_")

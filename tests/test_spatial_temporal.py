@@ -36,6 +36,36 @@ def test_knn_within_matches_brute_force(spark):
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
+def test_knn_in_crowded_cells_matches_brute_force(spark):
+    rnd = random.Random(41)
+    def cloud(n, lat, lon, width):
+        return [(lat + rnd.uniform(-width, width), (lon + rnd.uniform(-width, width) + 180) % 360 - 180) for _ in range(n)]
+    spots = [(1.3, 103.8), (60.0, 10.0), (0.0, 180.0)]
+    Rr = [p for at in spots for w, n in ((2e-3, 40), (2e-4, 60), (2e-6, 80)) for p in cloud(n, *at, w)] + [(1.3, 103.8)] * 60
+    Rr = [(i, *p) for i, p in enumerate(rnd.sample(Rr, len(Rr)))]
+    Ll = [p for at in spots for w in (4e-3, 4e-4, 4e-6) for p in cloud(25, *at, w)] + [(1.3, 103.8)] * 2
+    Ll = [(i, *p) for i, p in enumerate(Ll)]
+    rdf = spark.createDataFrame(Rr + [(9999, None, 1.0)], "rid long, lat double, lon double")
+    ldf = spark.createDataFrame(Ll + [(9999, None, 1.0)], "lid long, lat double, lon double")
+    got = SP.knn_within(ldf, rdf, "lid", "rid", k=5, max_m=200.0).select("lid", "rid", "rank").collect()
+    want = []
+    for i, la, lo in Ll:
+        c = sorted((hav(la, lo, b, c2), j) for j, b, c2 in Rr if hav(la, lo, b, c2) <= 200.0)[:5]
+        want += [(i, j, n + 1) for n, (_, j) in enumerate(c)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_knn_forms_few_pairs_in_a_crowded_cell(spark):
+    rnd = random.Random(42)
+    rows = [(i, 1.3 + rnd.uniform(0, 1e-3), 103.8 + rnd.uniform(0, 1e-3)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double")
+    L, R = SP._prefixed(df, "id", "lat", "lon", "l_"), SP._prefixed(df, "id", "lat", "lon", "r_")
+    dense, radii, sizes = SP._dense_cells(R, 5, 200.0, 1.31)
+    depth = dense.agg(F.max("c.n")).first()[0]
+    formed = SP._density_pairs(L, R, dense, depth, 5, radii, sizes, 1.31).count()
+    assert depth >= 2 and formed < 2000 * 2000 / 3
+
+
 def test_neighbors_symmetric_and_complete_at_high_latitude(spark):
     # at 60 degrees a longitude degree is half as long: the grid must widen
     P, df = points(spark, 200, 3, lat0=60.0, span=0.01, prefix="")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from bandcast.llm import bpe_stream, chat_trees, decontam, language_id, lm_mixing, sharding, token_counts
 from bandcast.llm.queries import QUERIES, tokenizer_file
-from tests.conftest import SF01
+from tests.conftest import SF001, SF01
 from tests.llm.test_dedup import check_oracle
 
 
@@ -330,3 +330,51 @@ def test_lm_long_text_in_slices(make, monkeypatch):
     docs = make(["one two three four " * 40, "five six", None, "x" * 900 + " y", "one two"])
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     check_lm(lm_mixing.score_by_held_out_model(docs).collect(), rows)
+
+
+def test_language_id_equals_a_plain_twin(spark):
+    """Prediction and score of the registered query against trigram vectors bound and bundled one by one."""
+    rows = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text", "lang").collect()
+    letters = np.random.default_rng(20240613).choice(np.array([-1, 1], np.int8), (64, 512)).astype(float)
+
+    def letter(ch):
+        if not ch.isalpha():
+            return 0
+        low = ch.lower()[0]
+        return ord(low) - 96 if "a" <= low <= "z" else 27 + (ord(low) * 40503 >> 4) % 37
+
+    def profile(text):
+        seen = [0]
+        for c in map(letter, text or ""):
+            if c or seen[-1]:
+                seen.append(c)
+        seen += [0] * (seen[-1] != 0)
+        if not any(seen):
+            return None
+        v = np.zeros(512)
+        for (a, b, c), n in Counter(zip(seen, seen[1:], seen[2:])).items():
+            v += n * np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return v / (np.linalg.norm(v) or 1.0)
+
+    assert all(ord(ch) < 1 << 16 for r in rows for ch in r.text or "")
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    profiles = [profile(r.text) for r in rows]
+    sums = {}
+    for r, v in zip(rows, profiles):
+        if v is not None and r.lang is not None and not held[r.doc_id]:
+            sums[r.lang] = sums.get(r.lang, 0) + v
+    names = sorted(sums)
+    unit = np.array([sums[x] / np.linalg.norm(sums[x]) for x in names])
+    mean = unit.mean(axis=0)
+    centred = (unit - mean) / np.linalg.norm(unit - mean, axis=1, keepdims=True)
+    got = {r.doc_id: r for r in QUERIES["op4_language_id"](spark, SF001).collect()}
+    assert len(got) == len(rows)
+    for r, v in zip(rows, profiles):
+        g = got[r.doc_id]
+        assert g.held_out == held[r.doc_id]
+        if v is None:
+            assert (g.lang_pred, g.score) == ("und", 0.0)
+            continue
+        cos = centred @ ((v - mean) / np.linalg.norm(v - mean))
+        assert g.score == pytest.approx(min(1.0, max(0.0, cos.max())), abs=1e-5)
+        assert cos[names.index(g.lang_pred)] >= cos.max() - 1e-6

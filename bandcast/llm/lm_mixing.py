@@ -24,10 +24,18 @@ model.  In the second pass each task runs online: it predicts a block of
 bits with the counters it has so far, corrects the weights by the errors,
 then counts the bits.  Counters and refinement counts of all tasks are
 added up and weights averaged by the bits that trained them, in two levels.
-Counter tables have a fixed size, so the merged model is broadcast at any
-corpus size; above about 3 million words their cells are shared by many contexts.  Scoring does not change the model, so a text's score depends on
+Scoring does not change the model, so a text's score depends on
 nothing but the text.  Contexts restart every ``SLICE`` bytes of a long text.
 
+What the word before says is kept whole, in a table that grows with the corpus:
+how often each class follows each word (a row per word, hashed in 64 bits).
+While a task trains, its own split's counts share a hashed table; scoring reads
+the whole corpus's counts.  Texts are scored in chunks: a chunk asks for the words it holds, the join
+sends their counts to the chunk, and the counts below a node of the code are
+its zeros and ones.  The most frequent words' counts are broadcast
+(``HOT_CELLS`` numbers at most), so no word is asked for by every chunk.  The other contexts (groups,
+and bytes inside a word) have few values and share tables of a fixed size.
+
 Words are known by 64-bit hashes, computed for a whole group of texts at
 once from a running polynomial, so two words are confused with a
 probability of about 2**-64 a pair.  An exact unigram baseline stands beside the score: the
@@ -43,6 +51,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +66,8 @@ ORDERS = 3, 5                   # bytes before, for the contexts of spelled word
 BLOCK = 1 << 12                 # words (or spelled bytes) predicted at a time
 SLICE = 1 << 20                 # bytes of text gathered before that; longer texts are cut between words
 SETS, LEVELS = 32, 33           # weight sets (16 for words, 16 for bytes), refinement levels
+HOT_CELLS = 1 << 22             # counts of the most frequent words before, in the broadcast (6 bytes each)
+CHUNK = 1 << 24                 # bytes of text scored as one group
 CELL = 1 << 13                  # counters sent as one cell
 ESCAPE, END, FIRST = 0, 1, 2    # classes: escape, end of text, then words
 HISTORY = 4                     # groups before a word
@@ -163,28 +174,38 @@ class Code:
             children[len(weight)] = a[1], b[1]
             heapq.heappush(heap, (a[0] + b[0], len(weight)))
             weight.append(a[0] + b[0])
-        paths: list[list[tuple[int, int, float]]] = [[] for _ in weights]
-        todo = [(len(weight) - 1, [])]
+        leaves = [1] * n                                    # symbols below each node
+        for zero, one in (children[at] for at in range(n, len(weight))):
+            leaves.append(leaves[zero] + leaves[one])
+        paths: list[list[tuple]] = [[] for _ in weights]
+        self.leaf = np.zeros(n, np.int64)                   # each symbol's place in the order of the code
+        todo = [(len(weight) - 1, 0, [])]
         while todo:
-            at, path = todo.pop()
+            at, low, path = todo.pop()
             if at < n:
-                paths[at] = path
+                paths[at], self.leaf[at] = path, low
             else:
                 zero, one = children[at]
                 odds = math.log(weight[one] / weight[zero])
-                todo += [(zero, [*path, (at - n, 0, odds)]), (one, [*path, (at - n, 1, odds)])]
+                span = low, low + leaves[zero], low + leaves[at]
+                todo += [(zero, low, [*path, (at - n, 0, odds, *span)]), (one, span[1], [*path, (at - n, 1, odds, *span)])]
         self.size = np.array([len(p) for p in paths], np.int64)
         self.start = np.cumsum(self.size) - self.size
         flat = [x for p in paths for x in p]
         self.step = (np.array([x[0] for x in flat], np.uint64) + np.uint64(1)) * _C[2]
         self.bit = np.array([x[1] for x in flat], bool)
         self.odds = np.array([x[2] for x in flat], np.float32)
+        self.spans = np.array([x[3:] for x in flat], np.int64).reshape(-1, 3).T.copy()      # leaves: from, ones from, to
 
-    def expand(self, symbols: np.ndarray):
-        """(symbol's place, hashed node, bit, code's log odds) of all decisions of a row of symbols."""
+    def steps(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol's place, step) of all decisions of a row of symbols."""
         size = self.size.take(symbols)
         at = np.repeat(np.arange(len(symbols)), size)
-        k = np.arange(len(at)) + np.repeat(self.start.take(symbols) - (np.cumsum(size) - size), size)
+        return at, np.arange(len(at)) + np.repeat(self.start.take(symbols) - (np.cumsum(size) - size), size)
+
+    def expand(self, symbols: np.ndarray):
+        """(symbol's place, hashed node, bit, code's log odds) of all decisions of a row of symbols."""
+        at, k = self.steps(symbols)
         return at, self.step.take(k), self.bit.take(k), self.odds.take(k)
 
 
@@ -204,6 +225,7 @@ class Vocabulary:
         sums[ESCAPE], sums[END] = max(0, total - ends - int(counts.sum())), ends
         self.code, self.letters = Code(sums + 1), Code(letters + 1)
         self.cls = cls.astype(np.uint16 if cls.max(initial=0) < 1 << 16 else np.int32)
+        self.block = max(64, min(BLOCK, (1 << 23) // len(sums)))        # words predicted at a time
         self.share = np.log10(counts / sums[cls]).astype(np.float32) if len(hashes) else np.zeros(0, np.float32)
         self.log_n = np.log10(counts + 1.0)
         self.log_end, self.known_end = math.log10(ends + 1), ends > 0
@@ -230,17 +252,20 @@ class Vocabulary:
             open_ = open_[(out[open_] >= 0) & (self.keys[at[open_]] != h[open_])]
         return out
 
+    def classes(self, word: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Class of each symbol."""
+        cls = np.where(word, ESCAPE, END)
+        cls[rank >= 0] = self.cls.take(rank[rank >= 0])
+        return cls
+
     def blocks(self, w: Words, h: np.ndarray, of: np.ndarray, word: np.ndarray, rank: np.ndarray):
         """(kind, code, symbols, contexts, whose): all words and ends by text, then the escaped words' bytes by word."""
-        cls = np.where(word, ESCAPE, END)
-        known = rank >= 0
-        cls[known] = self.cls.take(rank[known])
-        one = np.concatenate([[_END_HASH], h[:-1]]).astype(np.uint64)
+        cls, one = self.classes(word, rank), word_before(h)
         past = self._history(word, rank)
-        for a in range(0, len(cls), BLOCK):
-            z = slice(a, a + BLOCK)
+        for a in range(0, len(cls), self.block):
+            z = slice(a, a + self.block)
             yield 0, self.code, cls[z], [one[z], past[z]], of[z]
-        out = np.flatnonzero(~known[word])
+        out = np.flatnonzero(rank[word] < 0)
         if len(out):
             yield from self._spelled(w, out)
 
@@ -275,6 +300,47 @@ class Vocabulary:
             yield 1, self.letters, sym[a + ORDERS[-1]:a + ORDERS[-1] + n], hashes, whose[a:a + n]
 
 
+def word_before(h: np.ndarray) -> np.ndarray:
+    """Hash of the symbol before each one; a text's first follows an end."""
+    return np.concatenate([[_END_HASH], h[:-1]]).astype(np.uint64)
+
+
+class Followers:
+    """How often each class follows a word: rows of classes and counts by the word's hash."""
+
+    def __init__(self, keys: np.ndarray, lists: pa.ListArray):
+        keys, first = np.unique(keys.astype(np.int64).view(np.uint64), return_index=True)
+        lists = lists.take(pa.array(first))
+        self.keys, self.start = keys, np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(False))]).astype(np.int64)
+        both = lists.flatten()
+        self.cls = both.field(0).to_numpy(False).astype(np.int32)
+        self.n = both.field(1).to_numpy(False).astype(np.float64)
+
+    def fill(self, into: np.ndarray, leaf: np.ndarray, words: np.ndarray) -> None:
+        """Add the counts of ``words`` to their rows of ``into``, in the order of the code's leaves."""
+        if not len(self.keys):
+            return
+        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
+        row = np.flatnonzero(self.keys.take(at) == words)
+        at = at[row]
+        size = self.start[at + 1] - self.start[at]
+        k = np.arange(int(size.sum())) + np.repeat(self.start[at] - (np.cumsum(size) - size), size)
+        into[np.repeat(row, size), 1 + leaf.take(self.cls.take(k))] = self.n.take(k)
+
+
+def read_followers(known: list[Followers], code: Code, before: np.ndarray, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds and confidence of each decision after the word before: the counts below its node's two branches."""
+    words, row = np.unique(before, return_inverse=True)
+    sums = np.zeros((len(words), len(code.leaf) + 1))
+    for f in known:
+        f.fill(sums, code.leaf, words)
+    np.cumsum(sums, axis=1, out=sums)
+    base = (row * sums.shape[1]).take(at)
+    low, mid, high = (sums.ravel().take(base + x.take(k)) for x in code.spans)
+    odds = np.log((high - mid + 0.4) / (mid - low + 0.4)).astype(np.float32)
+    return odds, confidence(high - low)
+
+
 class Mixer:
     """Weights and refinement, and the arithmetic on blocks of bits."""
 
@@ -347,7 +413,8 @@ def read_counters(table: np.ndarray, cells: list[np.ndarray]) -> tuple[list[np.n
 
 
 def _train(model):
-    """Task: online training.  Rows are (cell, counters as bytes) and one (-1, weights and refinement counts)."""
+    """Task: online training.  Rows are (cell, counters as bytes) and one (-1, weights and refinement counts).
+    The first table (the word before) serves the task only: ``_count_followers`` gathers it for the whole corpus."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, mixer = Vocabulary(*model.value), Mixer()
         table = np.zeros(TABLES << SLOT_BITS, np.int64)
@@ -366,7 +433,7 @@ def _train(model):
         task = TaskContext.get().partitionId()
         state = np.concatenate([(mixer.w * mixer.seen[:, None]).ravel(), mixer.seen, mixer.counts.ravel()])
         rows = [(-1, state.astype(np.float64).tobytes())]
-        rows += [(c // CELL, table[c:c + CELL].tobytes()) for c in range(0, len(table), CELL) if table[c:c + CELL].any()]
+        rows += [(c // CELL, table[c:c + CELL].tobytes()) for c in range(1 << SLOT_BITS, len(table), CELL) if table[c:c + CELL].any()]
         for a in range(0, len(rows), 64):
             part = rows[a:a + 64]
             yield pa.RecordBatch.from_arrays(
@@ -437,11 +504,36 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(2, np.zeros(1, np.int64), np.array([texts_seen], np.int64))
 
 
+def _count_followers(model):
+    """Task: rows (word before, class, n) of its texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, before, cls, size = Vocabulary(*model.value), [], [], 0
+
+        def flush():
+            b, c = (np.concatenate(x) for x in (before, cls))
+            _, first, n = np.unique(b ^ (c.astype(np.uint64) + np.uint64(1)) * _C[0], return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(b[first].view(np.int64)), pa.array(c[first]), pa.array(n)], ["_key", "_sym", "_n"])
+        for texts, _, ends in _groups(batches, 0):
+            h, _, word = Words(texts).sequence(ends)
+            if not len(h):
+                continue
+            before.append(word_before(h))
+            cls.append(vocabulary.classes(word, np.where(word, vocabulary.find(h), -1)).astype(np.int32))
+            size += len(h)
+            if size >= _GATHER // 2:
+                yield flush()
+                before, cls, size = [], [], 0
+        if size:
+            yield flush()
+    return run
+
+
 class Model:
-    """A trained model: what is broadcast, and the table of all word counts."""
+    """A trained model: what is broadcast, the table of all word counts and that of the classes that follow each word."""
 
     def __init__(self, counts: DataFrame, total: int, distinct: int, least: int, escaped: tuple[int, int],
-                 vocabulary: tuple, tables: tuple):
+                 vocabulary: tuple, tables: tuple, followers: DataFrame, hot: tuple):
+        self.followers, self.hot = followers, hot       # all of them; keys and lists of the most frequent words
         self.counts, self.total, self.distinct, self.least = counts, total, distinct, least
         self.escaped = escaped              # escaped training words: all, distinct
         self.vocabulary, self.tables = vocabulary, tables
@@ -487,9 +579,17 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str | None = None)
     total, distinct = int(size[0]) + ends, int(size[1]) + int(ends > 0)
     escaped = int(size[0]) - int(n.sum()), int(size[1]) - len(n)
     vocabulary = hashes, n, ends, total, letters, groups
+    shared = spark.sparkContext.broadcast(vocabulary)
+    pair = F.struct("_sym", "_n")
+    followers = written(texts.mapInArrow(_count_followers(shared), "_key bigint, _sym int, _n bigint")
+                        .groupBy("_key", "_sym").agg(F.sum("_n").alias("_n"))       # at most a row per class and word
+                        .groupBy("_key").agg(F.collect_list(pair).alias("_list"), F.sum("_n").alias("_n")), "followers")
+    classes = 44 * (int(groups.max(initial=0)) + 1)         # at most
+    most = most_frequent(followers, "_n", max(1, HOT_CELLS // classes)).select("_key", "_list").toArrow().combine_chunks()
+    hot = _listed(most, 0, 1)
     fan = max(1, math.isqrt(texts.rdd.getNumPartitions()))
     schema = "_task int, _cell int, _counts binary"
-    merged = (texts.mapInArrow(_train(spark.sparkContext.broadcast(vocabulary)), schema)
+    merged = (texts.mapInArrow(_train(shared), schema)
               .groupBy("_cell", F.pmod("_task", F.lit(fan))).applyInArrow(_merge(fan), schema)
               .groupBy("_cell").applyInArrow(_merge(1), schema).mapInArrow(_finish, "_cell int, _blob binary"))
     odds = np.full(TABLES << SLOT_BITS, 0, np.float16)
@@ -507,14 +607,74 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str | None = None)
     k = state[SETS * 5:].reshape(-1, 2)
     level = 1 / (1 + np.exp(-np.tile(np.linspace(-8, 8, LEVELS), SETS)))
     refine = (k[:, 1] + 8 * level) / (k.sum(1) + 8)
-    return Model(words, total, distinct, least, escaped, vocabulary, (odds, seen, weights.astype(np.float32), refine.astype(np.float32)))
+    return Model(words, total, distinct, least, escaped, vocabulary, (odds, seen, weights.astype(np.float32), refine.astype(np.float32)),
+                 followers, hot)
 
 
-def _score(model):
+def _listed(table: pa.Table, key: int, lists: int) -> tuple[np.ndarray, pa.ListArray]:
+    """Keys and lists of a table of followers."""
+    kind = pa.list_(pa.struct([("_sym", pa.int32()), ("_n", pa.int64())]))
+    column = table.column(lists).combine_chunks() if table.num_rows else pa.array([], kind)
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    return table.column(key).to_numpy(), column
+
+
+def _chunks(limit: int):
+    """Rows (id, text) with their chunk: ``limit`` bytes of one task's texts (a longer text ends its chunk)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, done = TaskContext.get().partitionId() << 33, 0
+        for b in batches:
+            size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(False).astype(np.int64) + 1
+            chunk = task + (done + np.cumsum(size) - size) // limit
+            done += int(size.sum())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(chunk, pa.int64())], ["_id", "_t", "_chunk"])
+    return run
+
+
+def _contexts(model):
+    """Task: rows (chunk, word) of words that are not broadcast, once for each run of a chunk's texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parameters, (odds16, seen, weights, refine) = model.value
-        voc, mixer = Vocabulary(*parameters), Mixer(weights, refine)
-        odds_of = odds16.astype(np.float32)
+        hot = np.sort(model.value[2][0].astype(np.int64).view(np.uint64))
+
+        def flush(chunk, parts):
+            h = np.unique(np.concatenate(parts))
+            if len(hot):
+                h = h[hot.take(np.minimum(np.searchsorted(hot, h), len(hot) - 1)) != h]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), chunk)), pa.array(h.view(np.int64))], ["_chunk", "_h"])
+
+        def by_chunk():
+            for b in batches:
+                chunk = b.column(0).to_numpy()
+                for a, z in zip(edges := np.flatnonzero(np.diff(chunk, prepend=-1)), [*edges[1:], len(chunk)]):
+                    yield int(chunk[a]), b.slice(a, z - a)
+        last, parts = None, []
+        for chunk, b in by_chunk():
+            if chunk != last and parts:
+                yield flush(last, parts)
+                parts = []
+            last = chunk
+            for texts, _, _ in _groups(iter([b]), 1):
+                parts.append(np.unique(np.append(Words(texts).hash, _END_HASH)))
+            if len(parts) > 64:
+                parts = [np.unique(np.concatenate(parts))]
+        if parts:
+            yield flush(last, parts)
+    return run
+
+
+def _score(model):
+    """Group: the scores of a chunk's texts, with the followers that the chunk's words have."""
+    kept: list = []                 # a task's vocabulary serves all its chunks
+
+    def run(texts_of: pa.Table, asked: pa.Table) -> pa.Table:
+        if not kept:
+            parameters, (odds16, seen, weights, refine), hot = model.value
+            kept.extend([Vocabulary(*parameters), Mixer(weights, refine), odds16.astype(np.float32), seen, Followers(*hot)])
+        found = Followers(*_listed(asked, 1, 2))
+        return pa.Table.from_batches(list(scored(iter(texts_of.select([0, 1]).to_batches(500)), found)))
+
+    def scored(batches: Iterator[pa.RecordBatch], found: Followers) -> Iterator[pa.RecordBatch]:
+        voc, mixer, odds_of, seen, hot = kept
         before: list | None = None          # sums of a long text's earlier slices
         for texts, rows, ends in _groups(batches, 1):
             w, k = Words(texts), len(texts)
@@ -525,9 +685,13 @@ def _score(model):
             out = word & ~known
             spelled = np.zeros(int(out.sum()))
             for kind, code, sym, contexts, whose in voc.blocks(w, h, of, word, rank):
-                at, step, bit, own = code.expand(sym)
-                cells = cells_of(kind, contexts, at, step)
-                got = mixer.log10([own, *[odds_of.take(s) for s in cells]], gate_of(kind, *[seen.take(s) for s in cells]), bit)
+                at, k_ = code.steps(sym)
+                bit = code.bit.take(k_)
+                cells = cells_of(kind, contexts, at, code.step.take(k_))
+                odds, sure = [odds_of.take(s) for s in cells], [seen.take(s) for s in cells]
+                if not kind:
+                    odds[0], sure[0] = read_followers([hot, found], code, contexts[0], at, k_)
+                got = mixer.log10([code.odds.take(k_), *odds], gate_of(kind, *sure), bit)
                 if kind:
                     spelled += np.bincount(whose.take(at), got, minlength=len(spelled))
                 else:
@@ -565,11 +729,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     prepare(spark)
-    run = _score(spark.sparkContext.broadcast((model.vocabulary, model.tables)))
+    shared = spark.sparkContext.broadcast((model.vocabulary, model.tables, model.hot))
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {id_type}, _n bigint, _bytes bigint, _known bigint, _base double, _score double, _rare array<struct<h:bigint,s:float>>"
-    rows = written(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
-                   .mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scores")
+    chunked = written(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
+                      .mapInArrow(_chunks(CHUNK), f"_id {id_type}, _t string, _chunk bigint"), "chunks")
+    asked = (chunked.select("_chunk", "_t").mapInArrow(_contexts(shared), "_chunk bigint, _h bigint")
+             .join(model.followers, F.col("_h") == F.col("_key")).select("_chunk", "_h", "_list"))
+    rows = written(chunked.groupBy("_chunk").cogroup(asked.groupBy("_chunk")).applyInArrow(_score(shared), schema)
+                   .withColumn("_row", F.monotonically_increasing_id()), "scores")
     rare = rows.select(F.col("_row").alias("_r"), F.explode("_rare").alias("_x")).select("_r", F.col("_x.h").alias("_h"), F.col("_x.s").cast("double").alias("_s"))
     lookup = model.counts.filter(F.col("_n") <= model.least).select(F.col("_key").alias("_h"), "_n")
     # an escaped word's probability is (its count + distinct * spelled) / (all + distinct); unseen: count 0

@@ -1,7 +1,11 @@
 """What enters a language-model score grows with the training rows: no count outside the vocabulary is lost."""
 
+import math
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from bandcast.llm import lm_mixing
@@ -37,3 +41,73 @@ def test_every_label_has_its_group(spark):
     model = lm_mixing.train(docs, label_col="label")
     assert len(set(model.vocabulary[-1].tolist())) >= 40
     assert lm_mixing.score(docs, model).filter("score < 0").count() == 200
+
+
+def followers_brute(texts):
+    """How often each class-coded symbol follows each word, by plain counting of (word before, word)."""
+    pairs = Counter()
+    for t in texts:
+        words = [*(t or "").lower().split(), None]
+        pairs.update(zip([None, *words], words))
+    return pairs
+
+
+def test_every_word_pair_is_counted(spark, make):
+    """The table of followers holds as many sightings, and as many words before, as the texts do; it grows with them."""
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{rnd.randrange(300)}" for _ in range(rnd.randrange(60))) for _ in range(120)] + [None, "", "only"]
+    seen = []
+    for part in (texts[:20], texts):
+        model = lm_mixing.train(make(part))
+        pairs = followers_brute(part)
+        assert model.followers.agg(F.sum("_n")).first()[0] == sum(pairs.values())
+        assert model.followers.count() == len({a for a, _ in pairs})
+        per_word = Counter()
+        for (a, _), n in pairs.items():
+            per_word[a] += n
+        assert sorted(r["_n"] for r in model.followers.collect()) == sorted(per_word.values())
+        assert all(sum(x["_n"] for x in r["_list"]) == r["_n"] for r in model.followers.collect())
+        seen.append(model.followers.select(F.explode("_list")).count())
+    assert seen[1] > seen[0]
+
+
+def test_scores_do_not_depend_on_broadcast_or_chunks(spark, make, monkeypatch):
+    """Followers that are broadcast, joined to many chunks or to one give the same scores."""
+    rnd = random.Random(9)
+    docs = make([" ".join(f"w{int(rnd.paretovariate(0.6)) % 500}" for _ in range(rnd.randrange(200))) for _ in range(150)]
+                + [None, "", "x" * 3000, "same again", "same again"])
+    out = []
+    for cells, chunk in ((1 << 22, 1 << 24), (1, 1 << 24), (1, 700), (1 << 9, 5000)):
+        monkeypatch.setattr(lm_mixing, "HOT_CELLS", cells)
+        monkeypatch.setattr(lm_mixing, "CHUNK", chunk)
+        out.append(sorted((r.doc_id, r.score) for r in lm_mixing.score_by_held_out_model(docs).collect()))
+    assert len(out[0]) == 155
+    for other in out[1:]:
+        assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-5) for a, b in zip(out[0], other))
+
+
+def test_followers_are_a_distribution():
+    """Counts below the code's nodes equal plain sums, and one step over all classes sums to one."""
+    rng = np.random.default_rng(4)
+    code = lm_mixing.Code(rng.integers(1, 500, 23))
+    counts = {int(k): {int(c): int(rng.integers(1, 90)) for c in rng.choice(23, 6, replace=False)} for k in (3, 8, 1 << 40)}
+
+    def followers(keys):
+        return lm_mixing.Followers(np.array(keys, np.int64), pa.array(
+            [[{"_sym": c, "_n": n} for c, n in counts[k].items()] for k in keys],
+            pa.list_(pa.struct([("_sym", pa.int32()), ("_n", pa.int64())]))))
+    known = [followers([3]), followers([8, 1 << 40, 8])]        # a chunk may be sent a word twice
+    mixer = lm_mixing.Mixer(rng.normal(0, 1, (32, 4)).astype(np.float32), rng.random(32 * 33).astype(np.float32) * 0.8 + 0.1)
+    for word in (3, 8, 1 << 40, 77):
+        total, of = 0.0, counts.get(word, {})
+        for c in range(23):
+            at, k = code.steps(np.array([c]))
+            bit = code.bit.take(k)
+            odds, sure = lm_mixing.read_followers(known, code, np.array([word], np.uint64), at, k)
+            total += 10 ** float(mixer.log10([code.odds.take(k), odds, odds], lm_mixing.gate_of(0, sure, sure), bit).sum())
+            for i in range(len(k)):             # classes that share the path so far
+                under = [(s, code.bit[code.start[s] + i]) for s in range(23)
+                         if code.size[s] > i and (code.step[code.start[s] + i] == code.step[k[i]])]
+                ones, zeros = (sum(of.get(s, 0) for s, b in under if b == side) for side in (1, 0))
+                assert math.isclose(odds[i], math.log((ones + 0.4) / (zeros + 0.4)), rel_tol=1e-5, abs_tol=1e-6)
+        assert abs(total - 1) < 1e-4

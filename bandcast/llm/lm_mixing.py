@@ -7,7 +7,7 @@ class (half an octave of its rank, and its group) by a Huffman code; within the
 class it has its share of the training counts.  Other words are escaped and
 spelled: every byte, and the word's end, by a Huffman code; the spelled
 probability is mixed (Witten-Bell) with the word's share of all escaped
-training words, whose counts stay in a table that grows with the corpus and
+training words, whose counts come from a table that grows with the corpus and
 is joined to the words that texts hold.  A word's group is
 the label (such as the language) of the training texts that use it most; labels
 are read in training only, and without them all words are one group.
@@ -28,7 +28,8 @@ Scoring does not change the model, so a text's score depends on
 nothing but the text.  Contexts restart every ``SLICE`` bytes of a long text.
 
 What the word before says is kept whole, in a table that grows with the corpus:
-how often each class follows each word (a row per word, hashed in 64 bits).
+how often each class follows each word (a row per word, hashed in 64 bits;
+the most frequent words' rows are split by class).
 While a task trains, its own split's counts share a hashed table; scoring reads
 the whole corpus's counts.  Texts are scored in chunks: a chunk asks for the words it holds, the join
 sends their counts to the chunk, and the counts below a node of the code are
@@ -39,8 +40,7 @@ and bytes inside a word) have few values and share tables of a fixed size.
 Words are known by 64-bit hashes, computed for a whole group of texts at
 once from a running polynomial, so two words are confused with a
 probability of about 2**-64 a pair.  An exact unigram baseline stands beside the score: the
-counts of frequent words are in the model, and the rare words of a text are
-looked up by a join on the hash.
+counts of frequent words are in the model, and a rare word occurs as often as it is followed.
 """
 
 from __future__ import annotations
@@ -66,8 +66,10 @@ ORDERS = 3, 5                   # bytes before, for the contexts of spelled word
 BLOCK = 1 << 12                 # words (or spelled bytes) predicted at a time
 SLICE = 1 << 20                 # bytes of text gathered before that; longer texts are cut between words
 SETS, LEVELS = 32, 33           # weight sets (16 for words, 16 for bytes), refinement levels
-HOT_CELLS = 1 << 22             # counts of the most frequent words before, in the broadcast (6 bytes each)
-CHUNK = 1 << 24                 # bytes of text scored as one group
+HOT_CELLS = 3 << 20             # counts of the most frequent words before, in the broadcast (8 bytes each)
+SALTED, SALTS = 1 << 12, 8      # words whose followers are counted in parts (by class), and their parts
+COUNT_BITS = 44                 # a follower is one number: its class above, its count in these bits
+CHUNK = 1 << 25                 # bytes of text scored as one group
 CELL = 1 << 13                  # counters sent as one cell
 ESCAPE, END, FIRST = 0, 1, 2    # classes: escape, end of text, then words
 HISTORY = 4                     # groups before a word
@@ -306,26 +308,49 @@ def word_before(h: np.ndarray) -> np.ndarray:
 
 
 class Followers:
-    """How often each class follows a word: rows of classes and counts by the word's hash."""
-
-    def __init__(self, keys: np.ndarray, lists: pa.ListArray):
-        keys, first = np.unique(keys.astype(np.int64).view(np.uint64), return_index=True)
-        lists = lists.take(pa.array(first))
-        self.keys, self.start = keys, np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(False))]).astype(np.int64)
-        both = lists.flatten()
-        self.cls = both.field(0).to_numpy(False).astype(np.int32)
-        self.n = both.field(1).to_numpy(False).astype(np.float64)
-
-    def fill(self, into: np.ndarray, leaf: np.ndarray, words: np.ndarray) -> None:
-        """Add the counts of ``words`` to their rows of ``into``, in the order of the code's leaves."""
+    """How often each class follows a word, by the word's hash: ``lists`` has a word's classes and counts."""
+
+    def __init__(self, keys: np.ndarray, start: np.ndarray, packed: np.ndarray):
+        self.keys, self.start, self.packed = keys, start, packed
+
+    @classmethod
+    def of(cls, table: pa.Table, parts: bool) -> Followers:
+        """From rows (key, list).  A repeated key is the same row again, or with ``parts`` another part of it."""
+        keys = table.column(0).to_numpy().view(np.uint64)
+        lists = pa.concat_arrays([*table.column(1).chunks, pa.array([], pa.list_(pa.int64()))])
+        order = np.argsort(keys, kind="stable") if parts else np.unique(keys, return_index=True)[1]
+        lists = lists.take(pa.array(order))
+        offset = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(False))]).astype(np.int64)
+        keys, first = np.unique(keys[order], return_index=True)
+        return cls(keys, np.append(offset[first], offset[-1]), lists.flatten().to_numpy(False).astype(np.int64))
+
+    def _rows(self, words: np.ndarray):
+        """(places in ``words`` of those that are here, their rows)."""
         if not len(self.keys):
-            return
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
-        row = np.flatnonzero(self.keys.take(at) == words)
-        at = at[row]
+        here = np.flatnonzero(self.keys.take(at) == words)
+        return here, at[here]
+
+    def _of_rows(self, at: np.ndarray):
+        """(which of the rows, class, count) of all followers of some rows."""
         size = self.start[at + 1] - self.start[at]
-        k = np.arange(int(size.sum())) + np.repeat(self.start[at] - (np.cumsum(size) - size), size)
-        into[np.repeat(row, size), 1 + leaf.take(self.cls.take(k))] = self.n.take(k)
+        packed = self.packed.take(np.arange(int(size.sum())) + np.repeat(self.start[at] - (np.cumsum(size) - size), size))
+        return np.repeat(np.arange(len(at)), size), packed >> COUNT_BITS, (packed & ((1 << COUNT_BITS) - 1)).astype(np.float64)
+
+    def fill(self, into: np.ndarray, leaf: np.ndarray, words: np.ndarray) -> None:
+        """Write the counts of ``words`` into their rows of ``into``, in the order of the code's leaves."""
+        here, at = self._rows(words)
+        which, cls, n = self._of_rows(at)
+        into[here.take(which), 1 + leaf.take(cls)] = n
+
+    def sightings(self, words: np.ndarray) -> np.ndarray:
+        """How often each word is followed: 0 where it is not here."""
+        out = np.zeros(len(words))
+        here, at = self._rows(words)
+        which, _, n = self._of_rows(at)
+        out[here] = np.bincount(which, n, len(here))
+        return out
 
 
 def read_followers(known: list[Followers], code: Code, before: np.ndarray, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -504,37 +529,46 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(2, np.zeros(1, np.int64), np.array([texts_seen], np.int64))
 
 
-def _count_followers(model):
-    """Task: rows (word before, class, n) of its texts."""
+def _count_followers(model, salted: int):
+    """Task: rows (word before, part, class, n) of its texts, sorted by word; only the ``salted`` most frequent
+    words and the end have several parts.  The last word before a long text's cut counts as followed by an escape."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, before, cls, size = Vocabulary(*model.value), [], [], 0
+        vocabulary, pairs, size = Vocabulary(*model.value), [], 0
 
         def flush():
-            b, c = (np.concatenate(x) for x in (before, cls))
+            b, c, hot = (np.concatenate(x) for x in zip(*pairs))
             _, first, n = np.unique(b ^ (c.astype(np.uint64) + np.uint64(1)) * _C[0], return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(b[first].view(np.int64)), pa.array(c[first]), pa.array(n)], ["_key", "_sym", "_n"])
+            order = np.argsort(b[first], kind="stable")
+            first, n = first[order], n[order]
+            part = np.where(hot[first], 1 + c[first] % SALTS, 0).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (b[first].view(np.int64), part, c[first], n)],
+                                              ["_key", "_part", "_sym", "_n"])
         for texts, _, ends in _groups(batches, 0):
             h, _, word = Words(texts).sequence(ends)
             if not len(h):
                 continue
-            before.append(word_before(h))
-            cls.append(vocabulary.classes(word, np.where(word, vocabulary.find(h), -1)).astype(np.int32))
+            rank = np.where(word, vocabulary.find(h), -1)
+            before, cls = word_before(h), vocabulary.classes(word, rank)
+            hot = ~word | (rank >= 0) & (rank < salted)
+            hot = np.concatenate([[True], hot[:-1]]) if ends else np.concatenate([[True], hot])
+            if not ends:
+                before, cls = np.append(before, h[-1]), np.append(cls, ESCAPE)
+            pairs.append((before, cls.astype(np.int32), hot))
             size += len(h)
             if size >= _GATHER // 2:
                 yield flush()
-                before, cls, size = [], [], 0
+                pairs, size = [], 0
         if size:
             yield flush()
     return run
 
 
 class Model:
-    """A trained model: what is broadcast, the table of all word counts and that of the classes that follow each word."""
+    """A trained model: what is broadcast, and the table of the classes that follow each word."""
 
-    def __init__(self, counts: DataFrame, total: int, distinct: int, least: int, escaped: tuple[int, int],
-                 vocabulary: tuple, tables: tuple, followers: DataFrame, hot: tuple):
-        self.followers, self.hot = followers, hot       # all of them; keys and lists of the most frequent words
-        self.counts, self.total, self.distinct, self.least = counts, total, distinct, least
+    def __init__(self, total: int, distinct: int, escaped: tuple[int, int], vocabulary: tuple, tables: tuple, followers: DataFrame, hot: tuple):
+        self.followers, self.hot = followers, hot       # those that are joined; the most frequent words' ones
+        self.total, self.distinct = total, distinct
         self.escaped = escaped              # escaped training words: all, distinct
         self.vocabulary, self.tables = vocabulary, tables
 
@@ -575,18 +609,20 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str | None = None)
     hashes, n = key[order].astype(np.int64).view(np.uint64), n[order].astype(np.int64)
     groups = top.column(2).to_numpy()[order]
     groups = groups.astype(np.min_scalar_type(int(groups.max(initial=0))))
-    least = int(n[-1]) if len(n) else 1 << 62
     total, distinct = int(size[0]) + ends, int(size[1]) + int(ends > 0)
     escaped = int(size[0]) - int(n.sum()), int(size[1]) - len(n)
     vocabulary = hashes, n, ends, total, letters, groups
     shared = spark.sparkContext.broadcast(vocabulary)
-    pair = F.struct("_sym", "_n")
-    followers = written(texts.mapInArrow(_count_followers(shared), "_key bigint, _sym int, _n bigint")
-                        .groupBy("_key", "_sym").agg(F.sum("_n").alias("_n"))       # at most a row per class and word
-                        .groupBy("_key").agg(F.collect_list(pair).alias("_list"), F.sum("_n").alias("_n")), "followers")
     classes = 44 * (int(groups.max(initial=0)) + 1)         # at most
-    most = most_frequent(followers, "_n", max(1, HOT_CELLS // classes)).select("_key", "_list").toArrow().combine_chunks()
-    hot = _listed(most, 0, 1)
+    packed = F.shiftleft(F.col("_sym").cast("bigint"), COUNT_BITS) + F.least(F.sum("_n"), F.lit((1 << COUNT_BITS) - 1))
+    # one shuffle: a task sends a pair once, and no key has more than a row per task and class, or an eighth of them
+    followers = written(texts.mapInArrow(_count_followers(shared, min(SALTED, HOT_CELLS // 2 // classes)),
+                                         "_key bigint, _part int, _sym int, _n bigint")
+                        .repartition("_key", "_part").groupBy("_key", "_part", "_sym").agg(packed.alias("_follower"), F.sum("_n").alias("_n"))
+                        .groupBy("_key", "_part").agg(F.collect_list("_follower").alias("_list"), F.sum("_n").alias("_n")), "followers")
+    frequent = _most_frequent_cells(followers, HOT_CELLS)
+    hot = Followers.of(followers.filter(frequent).select("_key", "_list").toArrow(), True)
+    cold = followers.filter(~frequent).select("_key", "_list")
     fan = max(1, math.isqrt(texts.rdd.getNumPartitions()))
     schema = "_task int, _cell int, _counts binary"
     merged = (texts.mapInArrow(_train(shared), schema)
@@ -607,16 +643,23 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str | None = None)
     k = state[SETS * 5:].reshape(-1, 2)
     level = 1 / (1 + np.exp(-np.tile(np.linspace(-8, 8, LEVELS), SETS)))
     refine = (k[:, 1] + 8 * level) / (k.sum(1) + 8)
-    return Model(words, total, distinct, least, escaped, vocabulary, (odds, seen, weights.astype(np.float32), refine.astype(np.float32)),
-                 followers, hot)
+    return Model(total, distinct, escaped, vocabulary, (odds, seen, weights.astype(np.float32), refine.astype(np.float32)),
+                 cold, (hot.keys, hot.start, hot.packed))
 
 
-def _listed(table: pa.Table, key: int, lists: int) -> tuple[np.ndarray, pa.ListArray]:
-    """Keys and lists of a table of followers."""
-    kind = pa.list_(pa.struct([("_sym", pa.int32()), ("_n", pa.int64())]))
-    column = table.column(lists).combine_chunks() if table.num_rows else pa.array([], kind)
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    return table.column(key).to_numpy(), column
+def _most_frequent_cells(followers: DataFrame, limit: int):
+    """Condition of the words in parts, and of the most frequent other ones whose followers fit, by a histogram."""
+    bucket = F.floor(F.log2("_n") * 8)
+    in_parts = F.col("_part") > 0
+    hist = [(r["b"], r["c"]) for r in followers.groupBy(F.when(in_parts, 1 << 20).otherwise(bucket).alias("b"))
+            .agg(F.sum(F.size("_list")).alias("c")).orderBy(F.desc("b")).collect()]             # at most 513 rows
+    total, least = 0, 1 << 20
+    for b, n in hist:
+        total += n
+        if total > limit and b < 1 << 20:
+            break
+        least = b
+    return in_parts | (bucket >= least)
 
 
 def _chunks(limit: int):
@@ -634,7 +677,7 @@ def _chunks(limit: int):
 def _contexts(model):
     """Task: rows (chunk, word) of words that are not broadcast, once for each run of a chunk's texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.sort(model.value[2][0].astype(np.int64).view(np.uint64))
+        hot = model.value[2][0]
 
         def flush(chunk, parts):
             h = np.unique(np.concatenate(parts))
@@ -662,15 +705,19 @@ def _contexts(model):
     return run
 
 
-def _score(model):
-    """Group: the scores of a chunk's texts, with the followers that the chunk's words have."""
+def _score(model, escaped: tuple[int, int]):
+    """Group: the scores of a chunk's texts, with the followers that the chunk's words have.
+
+    An escaped word's probability is (its count + distinct * spelled) / (all + distinct); unseen: count 0."""
+    all_, distinct = (max(1, x) for x in escaped)
+    unseen = math.log10(distinct / (all_ + distinct)) if escaped[1] else 0.0
     kept: list = []                 # a task's vocabulary serves all its chunks
 
     def run(texts_of: pa.Table, asked: pa.Table) -> pa.Table:
         if not kept:
             parameters, (odds16, seen, weights, refine), hot = model.value
             kept.extend([Vocabulary(*parameters), Mixer(weights, refine), odds16.astype(np.float32), seen, Followers(*hot)])
-        found = Followers(*_listed(asked, 1, 2))
+        found = Followers.of(asked.select([1, 2]), False)
         return pa.Table.from_batches(list(scored(iter(texts_of.select([0, 1]).to_batches(500)), found)))
 
     def scored(batches: Iterator[pa.RecordBatch], found: Followers) -> Iterator[pa.RecordBatch]:
@@ -685,34 +732,33 @@ def _score(model):
             out = word & ~known
             spelled = np.zeros(int(out.sum()))
             for kind, code, sym, contexts, whose in voc.blocks(w, h, of, word, rank):
-                at, k_ = code.steps(sym)
-                bit = code.bit.take(k_)
-                cells = cells_of(kind, contexts, at, code.step.take(k_))
+                at, step = code.steps(sym)
+                bit = code.bit.take(step)
+                cells = cells_of(kind, contexts, at, code.step.take(step))
                 odds, sure = [odds_of.take(s) for s in cells], [seen.take(s) for s in cells]
                 if not kind:
-                    odds[0], sure[0] = read_followers([hot, found], code, contexts[0], at, k_)
-                got = mixer.log10([code.odds.take(k_), *odds], gate_of(kind, *sure), bit)
+                    odds[0], sure[0] = read_followers([hot, found], code, contexts[0], at, step)
+                got = mixer.log10([code.odds.take(step), *odds], gate_of(kind, *sure), bit)
                 if kind:
                     spelled += np.bincount(whose.take(at), got, minlength=len(spelled))
                 else:
                     score += np.bincount(whose.take(at), got, minlength=k)
+            n = hot.sightings(h[out]) + found.sightings(h[out])
+            with np.errstate(divide="ignore"):
+                spelled = unseen + np.where(n > 0, np.log10(n / distinct + np.power(10.0, spelled)), spelled)
             score += np.bincount(of[out], spelled, minlength=k)
-            base = np.bincount(of[known], voc.log_n.take(rank[known]), minlength=k) + (voc.log_end if ends else 0)
-            hits = np.bincount(of[known], minlength=k) + int(ends and voc.known_end)
-            rare, per = h[out].view(np.int64), np.bincount(of[out], minlength=k)
+            base = (np.bincount(of[known], voc.log_n.take(rank[known]), minlength=k)
+                    + np.bincount(of[out], np.log10(n + 1), minlength=k) + (voc.log_end if ends else 0))
+            hits = (np.bincount(of[known], minlength=k) + np.bincount(of[out][n > 0], minlength=k) + int(ends and voc.known_end))
             sums = [w.words + int(ends), w.bytes + w.words + int(ends), hits, base, score]
             if before is not None:
-                sums, per = [x + y for x, y in zip(sums, before[0])], per + len(before[1])
-                rare, spelled = np.concatenate([before[1], rare]), np.concatenate([before[2], spelled])
-            before = None if ends else (sums, rare, spelled)
+                sums = [x + y for x, y in zip(sums, before)]
+            before = None if ends else sums
             if ends:
                 ids = pa.chunked_array([b.column(0).slice(i, 1) for b, i in rows]).combine_chunks()
-                offsets = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, *[pa.array(x.astype(np.int64)) for x in sums[:3]], *[pa.array(x.astype(np.float64)) for x in sums[3:]],
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(
-                         [pa.array(rare), pa.array(spelled.astype(np.float32))], ["h", "s"]))],
-                    ["_id", "_n", "_bytes", "_known", "_base", "_score", "_rare"])
+                    [ids, *[pa.array(x.astype(np.int64)) for x in sums[:3]], *[pa.array(x.astype(np.float64)) for x in sums[3:]]],
+                    ["_id", "_n", "_bytes", "_known", "_base", "_score"])
     return run
 
 
@@ -731,30 +777,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     prepare(spark)
     shared = spark.sparkContext.broadcast((model.vocabulary, model.tables, model.hot))
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"_id {id_type}, _n bigint, _bytes bigint, _known bigint, _base double, _score double, _rare array<struct<h:bigint,s:float>>"
     chunked = written(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
                       .mapInArrow(_chunks(CHUNK), f"_id {id_type}, _t string, _chunk bigint"), "chunks")
     asked = (chunked.select("_chunk", "_t").mapInArrow(_contexts(shared), "_chunk bigint, _h bigint")
              .join(model.followers, F.col("_h") == F.col("_key")).select("_chunk", "_h", "_list"))
-    rows = written(chunked.groupBy("_chunk").cogroup(asked.groupBy("_chunk")).applyInArrow(_score(shared), schema)
-                   .withColumn("_row", F.monotonically_increasing_id()), "scores")
-    rare = rows.select(F.col("_row").alias("_r"), F.explode("_rare").alias("_x")).select("_r", F.col("_x.h").alias("_h"), F.col("_x.s").cast("double").alias("_s"))
-    lookup = model.counts.filter(F.col("_n") <= model.least).select(F.col("_key").alias("_h"), "_n")
-    # an escaped word's probability is (its count + distinct * spelled) / (all + distinct); unseen: count 0
-    all_, distinct = (max(1, x) for x in model.escaped)
-    unseen = math.log10(distinct / (all_ + distinct)) if model.escaped[1] else 0.0
-    ratio = F.col("_n") / F.lit(float(distinct))
-    gain = F.log10(ratio) - F.col("_s") + F.log10(1.0 + F.pow(F.lit(10.0), F.col("_s")) / ratio)
-    found = (rare.join(lookup, "_h").groupBy("_r")
-             .agg(F.count("*").alias("_k"), F.sum(F.log10(F.col("_n") + 1.0)).alias("_b"), F.sum(gain).alias("_g")))
+    schema = f"_id {id_type}, _n bigint, _bytes bigint, _known bigint, _base double, _score double"
+    rows = chunked.groupBy("_chunk").cogroup(asked.groupBy("_chunk")).applyInArrow(_score(shared, model.escaped), schema)
     norm = math.log10(model.total + model.distinct + 1)
-    rows = rows.withColumn("_score", F.col("_score") + F.size("_rare") * F.lit(unseen)).drop("_rare")
-    total = F.col("_score") + F.coalesce("_g", F.lit(0.0))
-    return rows.join(found, F.col("_row") == F.col("_r"), "left").select(
+    return rows.select(
         F.col("_id").alias(id_col), F.col("_n").alias("n_tokens"),
-        (F.col("_known") + F.coalesce("_k", F.lit(0))).alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"),
-        (F.col("_base") + F.coalesce("_b", F.lit(0.0)) - F.col("_n") * norm).alias("base_score"),
-        total.alias("score"), (-total * math.log2(10) / F.col("_bytes")).alias("bits_per_byte"))
+        F.col("_known").alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"),
+        (F.col("_base") - F.col("_n") * norm).alias("base_score"),
+        F.col("_score").alias("score"), (-F.col("_score") * math.log2(10) / F.col("_bytes")).alias("bits_per_byte"))
 
 
 def score_by_held_out_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -52,22 +52,22 @@ def followers_brute(texts):
     return pairs
 
 
-def test_every_word_pair_is_counted(spark, make):
+def test_every_word_pair_is_counted(spark, make, monkeypatch):
     """The table of followers holds as many sightings, and as many words before, as the texts do; it grows with them."""
     rnd = random.Random(8)
     texts = [" ".join(f"w{rnd.randrange(300)}" for _ in range(rnd.randrange(60))) for _ in range(120)] + [None, "", "only"]
+    monkeypatch.setattr(lm_mixing, "HOT_CELLS", 0)         # none is broadcast or in parts, but for the end
     seen = []
     for part in (texts[:20], texts):
         model = lm_mixing.train(make(part))
-        pairs = followers_brute(part)
-        assert model.followers.agg(F.sum("_n")).first()[0] == sum(pairs.values())
-        assert model.followers.count() == len({a for a, _ in pairs})
-        per_word = Counter()
-        for (a, _), n in pairs.items():
+        per_word, cells = Counter(), len(model.hot[2])
+        for (a, _), n in followers_brute(part).items():
             per_word[a] += n
-        assert sorted(r["_n"] for r in model.followers.collect()) == sorted(per_word.values())
-        assert all(sum(x["_n"] for x in r["_list"]) == r["_n"] for r in model.followers.collect())
-        seen.append(model.followers.select(F.explode("_list")).count())
+        got = [[x & ((1 << lm_mixing.COUNT_BITS) - 1) for x in r["_list"]] for r in model.followers.collect()]
+        hot = lm_mixing.Followers(*model.hot)
+        assert hot.sightings(np.array([lm_mixing._END_HASH])).tolist() == [per_word.pop(None)]
+        assert sorted(map(sum, got)) == sorted(per_word.values())
+        seen.append(sum(map(len, got)) + cells)
     assert seen[1] > seen[0]
 
 
@@ -77,7 +77,7 @@ def test_scores_do_not_depend_on_broadcast_or_chunks(spark, make, monkeypatch):
     docs = make([" ".join(f"w{int(rnd.paretovariate(0.6)) % 500}" for _ in range(rnd.randrange(200))) for _ in range(150)]
                 + [None, "", "x" * 3000, "same again", "same again"])
     out = []
-    for cells, chunk in ((1 << 22, 1 << 24), (1, 1 << 24), (1, 700), (1 << 9, 5000)):
+    for cells, chunk in ((1 << 22, 1 << 24), (0, 1 << 24), (0, 700), (1 << 9, 5000)):
         monkeypatch.setattr(lm_mixing, "HOT_CELLS", cells)
         monkeypatch.setattr(lm_mixing, "CHUNK", chunk)
         out.append(sorted((r.doc_id, r.score) for r in lm_mixing.score_by_held_out_model(docs).collect()))
@@ -93,9 +93,8 @@ def test_followers_are_a_distribution():
     counts = {int(k): {int(c): int(rng.integers(1, 90)) for c in rng.choice(23, 6, replace=False)} for k in (3, 8, 1 << 40)}
 
     def followers(keys):
-        return lm_mixing.Followers(np.array(keys, np.int64), pa.array(
-            [[{"_sym": c, "_n": n} for c, n in counts[k].items()] for k in keys],
-            pa.list_(pa.struct([("_sym", pa.int32()), ("_n", pa.int64())]))))
+        return lm_mixing.Followers.of(pa.table([pa.array(keys, pa.int64()), pa.array(
+            [[(c << lm_mixing.COUNT_BITS) + n for c, n in counts[k].items()] for k in keys], pa.list_(pa.int64()))], ["k", "l"]), False)
     known = [followers([3]), followers([8, 1 << 40, 8])]        # a chunk may be sent a word twice
     mixer = lm_mixing.Mixer(rng.normal(0, 1, (32, 4)).astype(np.float32), rng.random(32 * 33).astype(np.float32) * 0.8 + 0.1)
     for word in (3, 8, 1 << 40, 77):

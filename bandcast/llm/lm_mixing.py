@@ -66,9 +66,9 @@ ORDERS = 3, 5                   # bytes before, for the contexts of spelled word
 BLOCK = 1 << 12                 # words (or spelled bytes) predicted at a time
 SLICE = 1 << 20                 # bytes of text gathered before that; longer texts are cut between words
 SETS, LEVELS = 32, 33           # weight sets (16 for words, 16 for bytes), refinement levels
-HOT_CELLS = 3 << 20             # counts of the most frequent words before, in the broadcast (8 bytes each)
+HOT_CELLS = 6 << 20             # counts of the most frequent words before, in the broadcast (6 bytes each)
 SALTED, SALTS = 1 << 12, 8      # words whose followers are counted in parts (by class), and their parts
-COUNT_BITS = 44                 # a follower is one number: its class above, its count in these bits
+LARGE_BITS = 44                 # a follower is one number, its class above its count: 31 bits, or 63 with a count of these bits
 CHUNK = 1 << 25                 # bytes of text scored as one group
 CELL = 1 << 13                  # counters sent as one cell
 ESCAPE, END, FIRST = 0, 1, 2    # classes: escape, end of text, then words
@@ -308,21 +308,34 @@ def word_before(h: np.ndarray) -> np.ndarray:
 
 
 class Followers:
-    """How often each class follows a word, by the word's hash: ``lists`` has a word's classes and counts."""
+    """How often each class follows a word, by the word's hash."""
 
-    def __init__(self, keys: np.ndarray, start: np.ndarray, packed: np.ndarray):
-        self.keys, self.start, self.packed = keys, start, packed
+    def __init__(self, keys: np.ndarray, start: np.ndarray, cls: np.ndarray, n: np.ndarray, total: np.ndarray):
+        self.keys, self.start, self.cls, self.n, self.total = keys, start, cls, n, total
 
     @classmethod
-    def of(cls, table: pa.Table, parts: bool) -> Followers:
-        """From rows (key, list).  A repeated key is the same row again, or with ``parts`` another part of it."""
+    def of(cls, table: pa.Table, bits: int, parts: bool) -> Followers:
+        """From rows (key, followers with counts of ``bits``, followers with large counts).  A repeated key is the same
+        row again, or with ``parts`` another part of it."""
         keys = table.column(0).to_numpy().view(np.uint64)
-        lists = pa.concat_arrays([*table.column(1).chunks, pa.array([], pa.list_(pa.int64()))])
         order = np.argsort(keys, kind="stable") if parts else np.unique(keys, return_index=True)[1]
-        lists = lists.take(pa.array(order))
-        offset = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(False))]).astype(np.int64)
+        found = []
+        for c, kind, width in ((1, pa.int32(), bits), (2, pa.int64(), LARGE_BITS)):
+            lists = pa.concat_arrays([*table.column(c).chunks, pa.array([], pa.list_(kind))]).take(pa.array(order))
+            packed = lists.flatten().to_numpy(False).astype(np.int64)
+            found.append((np.repeat(np.arange(len(order)), pc.list_value_length(lists).to_numpy(False).astype(np.int64)),
+                          packed >> width, packed & ((1 << width) - 1)))
+        row, which, n = (np.concatenate(x) for x in zip(*found))
+        if len(found[1][0]):
+            by_row = np.argsort(row, kind="stable")
+            row, which, n = row[by_row], which[by_row], n[by_row]
         keys, first = np.unique(keys[order], return_index=True)
-        return cls(keys, np.append(offset[first], offset[-1]), lists.flatten().to_numpy(False).astype(np.int64))
+        start = np.append(np.searchsorted(row, first), len(row))
+        sums = np.concatenate([[0], np.cumsum(n)])
+        return cls(keys, start, which.astype(np.min_scalar_type(int(which.max(initial=0)))), n.astype(np.float32), np.diff(sums[start]).astype(float))
+
+    def parameters(self) -> tuple:
+        return self.keys, self.start, self.cls, self.n, self.total
 
     def _rows(self, words: np.ndarray):
         """(places in ``words`` of those that are here, their rows)."""
@@ -332,24 +345,18 @@ class Followers:
         here = np.flatnonzero(self.keys.take(at) == words)
         return here, at[here]
 
-    def _of_rows(self, at: np.ndarray):
-        """(which of the rows, class, count) of all followers of some rows."""
-        size = self.start[at + 1] - self.start[at]
-        packed = self.packed.take(np.arange(int(size.sum())) + np.repeat(self.start[at] - (np.cumsum(size) - size), size))
-        return np.repeat(np.arange(len(at)), size), packed >> COUNT_BITS, (packed & ((1 << COUNT_BITS) - 1)).astype(np.float64)
-
     def fill(self, into: np.ndarray, leaf: np.ndarray, words: np.ndarray) -> None:
         """Write the counts of ``words`` into their rows of ``into``, in the order of the code's leaves."""
         here, at = self._rows(words)
-        which, cls, n = self._of_rows(at)
-        into[here.take(which), 1 + leaf.take(cls)] = n
+        size = self.start[at + 1] - self.start[at]
+        k = np.arange(int(size.sum())) + np.repeat(self.start[at] - (np.cumsum(size) - size), size)
+        into[np.repeat(here, size), 1 + leaf.take(self.cls.take(k))] = self.n.take(k)
 
     def sightings(self, words: np.ndarray) -> np.ndarray:
         """How often each word is followed: 0 where it is not here."""
         out = np.zeros(len(words))
         here, at = self._rows(words)
-        which, _, n = self._of_rows(at)
-        out[here] = np.bincount(which, n, len(here))
+        out[here] = self.total[at]
         return out
 
 
@@ -529,20 +536,28 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(2, np.zeros(1, np.int64), np.array([texts_seen], np.int64))
 
 
-def _count_followers(model, salted: int):
-    """Task: rows (word before, part, class, n) of its texts, sorted by word; only the ``salted`` most frequent
-    words and the end have several parts.  The last word before a long text's cut counts as followed by an escape."""
+def _count_followers(model, salted: int, bits: int):
+    """Task: rows (word before, part, followers) of its texts; only the ``salted`` most frequent words and the end
+    have several parts, and a count beyond ``bits`` stands in several numbers.  The last word before a long text's cut counts as followed by an escape."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, pairs, size = Vocabulary(*model.value), [], 0
 
         def flush():
             b, c, hot = (np.concatenate(x) for x in zip(*pairs))
             _, first, n = np.unique(b ^ (c.astype(np.uint64) + np.uint64(1)) * _C[0], return_index=True, return_counts=True)
-            order = np.argsort(b[first], kind="stable")
-            first, n = first[order], n[order]
             part = np.where(hot[first], 1 + c[first] % SALTS, 0).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (b[first].view(np.int64), part, c[first], n)],
-                                              ["_key", "_part", "_sym", "_n"])
+            order = np.lexsort((part, b[first]))
+            b, part, c, n = b[first[order]], part[order], c[first[order]].astype(np.int64), n[order]
+            most = (1 << bits) - 1
+            times = (n - 1) // most + 1
+            new = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (part[1:] != part[:-1])))
+            offset = np.append((np.cumsum(times) - times)[new], times.sum()).astype(np.int32)
+            last = np.zeros(offset[-1], bool)
+            last[np.cumsum(times) - 1] = True
+            packed = (np.repeat(c, times) << bits) + np.where(last, np.repeat(n - most * (times - 1), times), most)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(b[new].view(np.int64)), pa.array(part[new]),
+                 pa.ListArray.from_arrays(pa.array(offset), pa.array(packed.astype(np.int32)))], ["_key", "_part", "_list"])
         for texts, _, ends in _groups(batches, 0):
             h, _, word = Words(texts).sequence(ends)
             if not len(h):
@@ -566,8 +581,8 @@ def _count_followers(model, salted: int):
 class Model:
     """A trained model: what is broadcast, and the table of the classes that follow each word."""
 
-    def __init__(self, total: int, distinct: int, escaped: tuple[int, int], vocabulary: tuple, tables: tuple, followers: DataFrame, hot: tuple):
-        self.followers, self.hot = followers, hot       # those that are joined; the most frequent words' ones
+    def __init__(self, total: int, distinct: int, escaped: tuple[int, int], vocabulary: tuple, tables: tuple, followers: DataFrame, hot: tuple, bits: int):
+        self.followers, self.hot, self.bits = followers, hot, bits      # those that are joined; the most frequent words' ones
         self.total, self.distinct = total, distinct
         self.escaped = escaped              # escaped training words: all, distinct
         self.vocabulary, self.tables = vocabulary, tables
@@ -614,15 +629,22 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str | None = None)
     vocabulary = hashes, n, ends, total, letters, groups
     shared = spark.sparkContext.broadcast(vocabulary)
     classes = 44 * (int(groups.max(initial=0)) + 1)         # at most
-    packed = F.shiftleft(F.col("_sym").cast("bigint"), COUNT_BITS) + F.least(F.sum("_n"), F.lit((1 << COUNT_BITS) - 1))
-    # one shuffle: a task sends a pair once, and no key has more than a row per task and class, or an eighth of them
-    followers = written(texts.mapInArrow(_count_followers(shared, min(SALTED, HOT_CELLS // 2 // classes)),
-                                         "_key bigint, _part int, _sym int, _n bigint")
-                        .repartition("_key", "_part").groupBy("_key", "_part", "_sym").agg(packed.alias("_follower"), F.sum("_n").alias("_n"))
-                        .groupBy("_key", "_part").agg(F.collect_list("_follower").alias("_list"), F.sum("_n").alias("_n")), "followers")
+    bits = max(1, 31 - classes.bit_length())
+    most, large = (1 << bits) - 1, F.least("_n", F.lit((1 << LARGE_BITS) - 1))
+    cls = F.col("_sym").cast("bigint")
+    # one shuffle: no key has more than a row per task, or its parts
+    followers = written(texts.mapInArrow(_count_followers(shared, min(SALTED, HOT_CELLS // 2 // classes), bits),
+                                         "_key bigint, _part int, _list array<int>")
+                        .repartition("_key", "_part").select("_key", "_part", F.explode("_list").alias("_f"))
+                        .groupBy("_key", "_part", F.shiftright("_f", bits).alias("_sym"))
+                        .agg(F.sum(F.col("_f").bitwiseAND(F.lit(most)).cast("bigint")).alias("_n"))
+                        .groupBy("_key", "_part").agg(
+                            F.collect_list(F.when(F.col("_n") <= most, (F.shiftleft(cls, bits) + F.col("_n")).cast("int"))).alias("_list"),
+                            F.collect_list(F.when(F.col("_n") > most, F.shiftleft(cls, LARGE_BITS) + large)).alias("_large"),
+                            F.sum("_n").alias("_n")), "followers")
     frequent = _most_frequent_cells(followers, HOT_CELLS)
-    hot = Followers.of(followers.filter(frequent).select("_key", "_list").toArrow(), True)
-    cold = followers.filter(~frequent).select("_key", "_list")
+    hot = Followers.of(followers.filter(frequent).select("_key", "_list", "_large").toArrow(), bits, True)
+    cold = followers.filter(~frequent).select("_key", "_list", "_large")
     fan = max(1, math.isqrt(texts.rdd.getNumPartitions()))
     schema = "_task int, _cell int, _counts binary"
     merged = (texts.mapInArrow(_train(shared), schema)
@@ -638,13 +660,13 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str | None = None)
         else:
             odds[cell * CELL:(cell + 1) * CELL] = np.frombuffer(blob[:2 * CELL], np.float16)
             seen[cell * CELL:(cell + 1) * CELL] = np.frombuffer(blob[2 * CELL:], np.uint8)
-    bits = state[SETS * 4:SETS * 5]
-    weights = np.where(bits[:, None] > 0, state[:SETS * 4].reshape(SETS, 4) / np.maximum(bits, 1)[:, None], Mixer().w)
+    seen_bits = state[SETS * 4:SETS * 5]
+    weights = np.where(seen_bits[:, None] > 0, state[:SETS * 4].reshape(SETS, 4) / np.maximum(seen_bits, 1)[:, None], Mixer().w)
     k = state[SETS * 5:].reshape(-1, 2)
     level = 1 / (1 + np.exp(-np.tile(np.linspace(-8, 8, LEVELS), SETS)))
     refine = (k[:, 1] + 8 * level) / (k.sum(1) + 8)
     return Model(total, distinct, escaped, vocabulary, (odds, seen, weights.astype(np.float32), refine.astype(np.float32)),
-                 cold, (hot.keys, hot.start, hot.packed))
+                 cold, hot.parameters(), bits)
 
 
 def _most_frequent_cells(followers: DataFrame, limit: int):
@@ -652,7 +674,7 @@ def _most_frequent_cells(followers: DataFrame, limit: int):
     bucket = F.floor(F.log2("_n") * 8)
     in_parts = F.col("_part") > 0
     hist = [(r["b"], r["c"]) for r in followers.groupBy(F.when(in_parts, 1 << 20).otherwise(bucket).alias("b"))
-            .agg(F.sum(F.size("_list")).alias("c")).orderBy(F.desc("b")).collect()]             # at most 513 rows
+            .agg(F.sum(F.size("_list") + F.size("_large")).alias("c")).orderBy(F.desc("b")).collect()]             # at most 513 rows
     total, least = 0, 1 << 20
     for b, n in hist:
         total += n
@@ -705,7 +727,7 @@ def _contexts(model):
     return run
 
 
-def _score(model, escaped: tuple[int, int]):
+def _score(model, escaped: tuple[int, int], bits: int):
     """Group: the scores of a chunk's texts, with the followers that the chunk's words have.
 
     An escaped word's probability is (its count + distinct * spelled) / (all + distinct); unseen: count 0."""
@@ -717,7 +739,7 @@ def _score(model, escaped: tuple[int, int]):
         if not kept:
             parameters, (odds16, seen, weights, refine), hot = model.value
             kept.extend([Vocabulary(*parameters), Mixer(weights, refine), odds16.astype(np.float32), seen, Followers(*hot)])
-        found = Followers.of(asked.select([1, 2]), False)
+        found = Followers.of(asked.select([1, 2, 3]), bits, False)
         return pa.Table.from_batches(list(scored(iter(texts_of.select([0, 1]).to_batches(500)), found)))
 
     def scored(batches: Iterator[pa.RecordBatch], found: Followers) -> Iterator[pa.RecordBatch]:
@@ -780,9 +802,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     chunked = written(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
                       .mapInArrow(_chunks(CHUNK), f"_id {id_type}, _t string, _chunk bigint"), "chunks")
     asked = (chunked.select("_chunk", "_t").mapInArrow(_contexts(shared), "_chunk bigint, _h bigint")
-             .join(model.followers, F.col("_h") == F.col("_key")).select("_chunk", "_h", "_list"))
+             .join(model.followers, F.col("_h") == F.col("_key")).select("_chunk", "_h", "_list", "_large"))
     schema = f"_id {id_type}, _n bigint, _bytes bigint, _known bigint, _base double, _score double"
-    rows = chunked.groupBy("_chunk").cogroup(asked.groupBy("_chunk")).applyInArrow(_score(shared, model.escaped), schema)
+    rows = chunked.groupBy("_chunk").cogroup(asked.groupBy("_chunk")).applyInArrow(_score(shared, model.escaped, model.bits), schema)
     norm = math.log10(model.total + model.distinct + 1)
     return rows.select(
         F.col("_id").alias(id_col), F.col("_n").alias("n_tokens"),

@@ -63,7 +63,8 @@ def test_every_word_pair_is_counted(spark, make, monkeypatch):
         per_word, cells = Counter(), len(model.hot[2])
         for (a, _), n in followers_brute(part).items():
             per_word[a] += n
-        got = [[x & ((1 << lm_mixing.COUNT_BITS) - 1) for x in r["_list"]] for r in model.followers.collect()]
+        got = [[x & ((1 << model.bits) - 1) for x in r["_list"]] for r in model.followers.collect()]
+        assert all(not r["_large"] for r in model.followers.collect())
         hot = lm_mixing.Followers(*model.hot)
         assert hot.sightings(np.array([lm_mixing._END_HASH])).tolist() == [per_word.pop(None)]
         assert sorted(map(sum, got)) == sorted(per_word.values())
@@ -93,8 +94,10 @@ def test_followers_are_a_distribution():
     counts = {int(k): {int(c): int(rng.integers(1, 90)) for c in rng.choice(23, 6, replace=False)} for k in (3, 8, 1 << 40)}
 
     def followers(keys):
-        return lm_mixing.Followers.of(pa.table([pa.array(keys, pa.int64()), pa.array(
-            [[(c << lm_mixing.COUNT_BITS) + n for c, n in counts[k].items()] for k in keys], pa.list_(pa.int64()))], ["k", "l"]), False)
+        small = [[(c << 6) + n for c, n in counts[k].items() if n < 64] for k in keys]
+        large = [[(c << lm_mixing.LARGE_BITS) + n for c, n in counts[k].items() if n >= 64] for k in keys]
+        return lm_mixing.Followers.of(pa.table([pa.array(keys, pa.int64()), pa.array(small, pa.list_(pa.int32())),
+                                                pa.array(large, pa.list_(pa.int64()))], ["k", "l", "m"]), 6, False)
     known = [followers([3]), followers([8, 1 << 40, 8])]        # a chunk may be sent a word twice
     mixer = lm_mixing.Mixer(rng.normal(0, 1, (32, 4)).astype(np.float32), rng.random(32 * 33).astype(np.float32) * 0.8 + 0.1)
     for word in (3, 8, 1 << 40, 77):

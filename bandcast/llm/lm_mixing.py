@@ -319,20 +319,21 @@ class Followers:
         row again, or with ``parts`` another part of it."""
         keys = table.column(0).to_numpy().view(np.uint64)
         order = np.argsort(keys, kind="stable") if parts else np.unique(keys, return_index=True)[1]
-        found = []
-        for c, kind, width in ((1, pa.int32(), bits), (2, pa.int64(), LARGE_BITS)):
-            lists = pa.concat_arrays([*table.column(c).chunks, pa.array([], pa.list_(kind))]).take(pa.array(order))
-            packed = lists.flatten().to_numpy(False).astype(np.int64)
-            found.append((np.repeat(np.arange(len(order)), pc.list_value_length(lists).to_numpy(False).astype(np.int64)),
-                          packed >> width, packed & ((1 << width) - 1)))
-        row, which, n = (np.concatenate(x) for x in zip(*found))
-        if len(found[1][0]):
-            by_row = np.argsort(row, kind="stable")
-            row, which, n = row[by_row], which[by_row], n[by_row]
+        small, large = (pa.concat_arrays([*table.column(c).chunks, pa.array([], pa.list_(kind))]).take(pa.array(order))
+                        for c, kind in ((1, pa.int32()), (2, pa.int64())))
+        size = pc.list_value_length(small).to_numpy(False).astype(np.int64)
+        packed = small.flatten().to_numpy(False)
+        which, n = packed >> bits, packed & ((1 << bits) - 1)
+        if len(large.flatten()):
+            more, packed = pc.list_value_length(large).to_numpy(False).astype(np.int64), large.flatten().to_numpy(False)
+            by_row = np.argsort(np.concatenate([np.repeat(np.arange(len(order)), x) for x in (size, more)]), kind="stable")
+            which = np.concatenate([which, packed >> LARGE_BITS])[by_row]
+            n, size = np.concatenate([n, packed & ((1 << LARGE_BITS) - 1)])[by_row], size + more
         keys, first = np.unique(keys[order], return_index=True)
-        start = np.append(np.searchsorted(row, first), len(row))
-        sums = np.concatenate([[0], np.cumsum(n)])
-        return cls(keys, start, which.astype(np.min_scalar_type(int(which.max(initial=0)))), n.astype(np.float32), np.diff(sums[start]).astype(float))
+        offset = np.concatenate([[0], np.cumsum(size)])
+        start = np.append(offset[first], offset[-1])
+        total = np.diff(np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[start]).astype(float)
+        return cls(keys, start, which.astype(np.min_scalar_type(int(which.max(initial=0)))), n.astype(np.float32), total)
 
     def parameters(self) -> tuple:
         return self.keys, self.start, self.cls, self.n, self.total
@@ -360,17 +361,35 @@ class Followers:
         return out
 
 
-def read_followers(known: list[Followers], code: Code, before: np.ndarray, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds and confidence of each decision after the word before: the counts below its node's two branches."""
-    words, row = np.unique(before, return_inverse=True)
-    sums = np.zeros((len(words), len(code.leaf) + 1))
-    for f in known:
-        f.fill(sums, code.leaf, words)
-    np.cumsum(sums, axis=1, out=sums)
-    base = (row * sums.shape[1]).take(at)
-    low, mid, high = (sums.ravel().take(base + x.take(k)) for x in code.spans)
-    odds = np.log((high - mid + 0.4) / (mid - low + 0.4)).astype(np.float32)
-    return odds, confidence(high - low)
+class FollowerSums:
+    """Sums of followers in the order of the code's leaves; those of the most sighted ``hot`` words are kept."""
+
+    def __init__(self, code: Code, hot: Followers, block: int):
+        self.code, self.hot, width = code, hot, len(code.leaf) + 1
+        top = np.argsort(-hot.total, kind="stable")[:max(1, min(SALTED, (1 << 20) // width))]
+        self.kept = np.sort(hot.keys[top])
+        self.sums = np.zeros((len(self.kept) + block, width))
+        self._add(0, self.kept, [hot])
+
+    def _add(self, at: int, words: np.ndarray, known: list[Followers]) -> None:
+        into = self.sums[at:at + len(words)]
+        into[:] = 0
+        for f in known:
+            f.fill(into, self.code.leaf, words)
+        np.cumsum(into, axis=1, out=into)
+
+    def read(self, found: Followers, before: np.ndarray, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds and confidence of each decision after the word before: the counts below its node's two branches."""
+        words, row = np.unique(before, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.kept, words), max(0, len(self.kept) - 1))
+        rest = np.flatnonzero(self.kept.take(place) != words) if len(self.kept) else np.arange(len(words))
+        place[rest] = len(self.kept) + np.arange(len(rest))
+        self._add(len(self.kept), words[rest], [self.hot, found])
+        base = (place.take(row) * self.sums.shape[1]).take(at)
+        flat = self.sums.ravel()
+        low, mid, high = (flat.take(base + x.take(k)) for x in self.code.spans)
+        odds = np.log((high - mid + 0.4) / (mid - low + 0.4)).astype(np.float32)
+        return odds, confidence(high - low)
 
 
 class Mixer:
@@ -738,12 +757,13 @@ def _score(model, escaped: tuple[int, int], bits: int):
     def run(texts_of: pa.Table, asked: pa.Table) -> pa.Table:
         if not kept:
             parameters, (odds16, seen, weights, refine), hot = model.value
-            kept.extend([Vocabulary(*parameters), Mixer(weights, refine), odds16.astype(np.float32), seen, Followers(*hot)])
+            voc, hot = Vocabulary(*parameters), Followers(*hot)
+            kept.extend([voc, Mixer(weights, refine), odds16.astype(np.float32), seen, hot, FollowerSums(voc.code, hot, voc.block)])
         found = Followers.of(asked.select([1, 2, 3]), bits, False)
         return pa.Table.from_batches(list(scored(iter(texts_of.select([0, 1]).to_batches(500)), found)))
 
     def scored(batches: Iterator[pa.RecordBatch], found: Followers) -> Iterator[pa.RecordBatch]:
-        voc, mixer, odds_of, seen, hot = kept
+        voc, mixer, odds_of, seen, hot, sums_of = kept
         before: list | None = None          # sums of a long text's earlier slices
         for texts, rows, ends in _groups(batches, 1):
             w, k = Words(texts), len(texts)
@@ -759,7 +779,7 @@ def _score(model, escaped: tuple[int, int], bits: int):
                 cells = cells_of(kind, contexts, at, code.step.take(step))
                 odds, sure = [odds_of.take(s) for s in cells], [seen.take(s) for s in cells]
                 if not kind:
-                    odds[0], sure[0] = read_followers([hot, found], code, contexts[0], at, step)
+                    odds[0], sure[0] = sums_of.read(found, contexts[0], at, step)
                 got = mixer.log10([code.odds.take(step), *odds], gate_of(kind, *sure), bit)
                 if kind:
                     spelled += np.bincount(whose.take(at), got, minlength=len(spelled))

@@ -98,14 +98,15 @@ def test_followers_are_a_distribution():
         large = [[(c << lm_mixing.LARGE_BITS) + n for c, n in counts[k].items() if n >= 64] for k in keys]
         return lm_mixing.Followers.of(pa.table([pa.array(keys, pa.int64()), pa.array(small, pa.list_(pa.int32())),
                                                 pa.array(large, pa.list_(pa.int64()))], ["k", "l", "m"]), 6, False)
-    known = [followers([3]), followers([8, 1 << 40, 8])]        # a chunk may be sent a word twice
+    found = followers([8, 1 << 40, 8])                          # a chunk may be sent a word twice
+    sums = lm_mixing.FollowerSums(code, followers([3]), 4)
     mixer = lm_mixing.Mixer(rng.normal(0, 1, (32, 4)).astype(np.float32), rng.random(32 * 33).astype(np.float32) * 0.8 + 0.1)
     for word in (3, 8, 1 << 40, 77):
         total, of = 0.0, counts.get(word, {})
         for c in range(23):
             at, k = code.steps(np.array([c]))
             bit = code.bit.take(k)
-            odds, sure = lm_mixing.read_followers(known, code, np.array([word], np.uint64), at, k)
+            odds, sure = sums.read(found, np.array([word], np.uint64), at, k)
             total += 10 ** float(mixer.log10([code.odds.take(k), odds, odds], lm_mixing.gate_of(0, sure, sure), bit).sum())
             for i in range(len(k)):             # classes that share the path so far
                 under = [(s, code.bit[code.start[s] + i]) for s in range(23)

@@ -223,6 +223,7 @@ class Vocabulary:
         top = int(self.group.max(initial=0))
         self.base = max(32, top + 3)            # of the group history; its last digit marks a text's start
         cls = FIRST + np.unique((2 * octave + half) * (top + 1) + self.group, return_inverse=True)[1]
+        del octave, half
         sums = np.bincount(cls, counts, minlength=FIRST + 1)
         sums[ESCAPE], sums[END] = max(0, total - ends - int(counts.sum())), ends
         self.code, self.letters = Code(sums + 1), Code(letters + 1)
@@ -563,6 +564,7 @@ def _count_followers(model, salted: int, bits: int):
 
         def flush():
             b, c, hot = (np.concatenate(x) for x in zip(*pairs))
+            pairs.clear()
             _, first, n = np.unique(b ^ (c.astype(np.uint64) + np.uint64(1)) * _C[0], return_index=True, return_counts=True)
             part = np.where(hot[first], 1 + c[first] % SALTS, 0).astype(np.int32)
             order = np.lexsort((part, b[first]))
@@ -591,7 +593,7 @@ def _count_followers(model, salted: int, bits: int):
             size += len(h)
             if size >= _GATHER // 2:
                 yield flush()
-                pairs, size = [], 0
+                size = 0
         if size:
             yield flush()
     return run

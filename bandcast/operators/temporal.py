@@ -224,11 +224,12 @@ def _dyadic_join(points: DataFrame, intervals: DataFrame, key: str, ts: str, sta
     cells = cells.withColumn(blocks, F.explode(F.transform(F.sequence(F.lit(0), F.lit(DYADIC_LEVELS)), lambda n: F.struct(
         n.alias("level"), F.call_function("shiftright", F.col(cell), n).alias("block")))))
     iv = intervals.withColumnRenamed(key, ikey_of).withColumn(blocks_of, F.explode(dyadic_cover(bucket_of(start), bucket_of(end))))
-    met = cells.join(iv, (F.col(ikey) == F.col(ikey_of)) & (F.col(blocks)["level"] == F.col(blocks_of)["level"])
+    # the planner's sizes do not count exploded rows, so it would broadcast either side however large it grows
+    met = cells.join(iv.hint("merge"), (F.col(ikey) == F.col(ikey_of)) & (F.col(blocks)["level"] == F.col(blocks_of)["level"])
                      & (F.col(blocks)["block"] == F.col(blocks_of)["block"]))
     met = met.withColumnRenamed(cell, opened).drop(ikey_of, blocks, blocks_of)
     cond = (p[key] == met[ikey]) & (p[at] == met[opened]) & p[ts].between(met[start], met[end])
-    return p.join(met, cond, how).drop(at, opened, ikey)
+    return p.join(met.hint("merge"), cond, how).drop(at, opened, ikey)
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, key: str = "link_id", ts: str = "snapshot_ts",
@@ -268,6 +269,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str = "link_id",
     ivb = iv.withColumnRenamed(entered, "_ib") if entered else enter_intervals(iv, b, start, end, "_ib")
     pb = points if bucket else points.withColumn("_pb", F.floor(F.col(ts) / b).cast("bigint"))
     cond = (pb[key] == ivb[ikey]) & (pb[bucket or "_pb"] == ivb["_ib"]) & pb[ts].between(ivb[start], ivb[end])
+    ivb = ivb if entered else ivb.hint("merge")         # exploded here: the planner's size is short
     return pb.join(ivb, cond, how).drop(ikey, "_ib", *([] if bucket else ["_pb"]))
 
 

@@ -19,14 +19,15 @@ Distribution, exact by construction:
   So connected components of the distance graph over distinct sighting
   positions ("sites") partition it exactly as well.  When a (type, session)
   holds more than ``max_group_rows`` rows, the sites of those groups are
-  linked by a grid-blocked distance join and split into components
+  linked by tiles (``site_components``) and split into components
   (``spatial.connected_components``), and each component is its own group;
   inside a component a silence longer than the gap closes all of its
   incidents, so components are cut again at their own time gaps;
-* each group runs the greedy pass in ``applyInPandas``, with a grid of cells
+* each group runs the greedy pass over its rows as a sorted stream of batches (a task holds a
+  batch and the open incidents, never a group), with a grid of cells
   at least ``max_dist_m`` wide so a sighting is compared only with open
   incidents in its 3x3 neighbourhood; small consecutive sessions of a type
-  share one pandas call (bin-packed by their row counts);
+  go to one task (bin-packed by their row counts);
 * a group that is still larger than ``slice_rows`` is cut into time slices, which run at
   once, each as if nothing were open before it.  A slice whose open
   incidents at the start turn out to be others (positions and last
@@ -47,17 +48,20 @@ numbering pass through one task.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandcast.functions.geo import EARTH_R_M, M_PER_DEG
+from bandcast.functions.geo import EARTH_R_M, M_PER_DEG, haversine_m
 from bandcast.functions.scalars import to_iso
 from bandcast.operators.joins import broadcast_if_small
 from bandcast.session import cut_lineage
 
+SWEEP_ROWS = 20_000     # incidents a task holds, besides the open ones, before it hands on the closed ones
+
 LIFECYCLE_SCHEMA = ("incident_id long, type string, lat double, lon double, start_ts long, end_ts long, "
                     "sightings long, message string")
 
@@ -82,6 +86,9 @@ class OpenIncidents:
         self.dlat = max(max_dist_m, 1.0) * 1.001 / M_PER_DEG
         self.rows: list[list] = []              # id, type, lat, lon, start, end, sightings, message
         self.grid: dict[tuple[int, int], list[int]] = {}
+        self.cells: dict[int, int] = {}         # by band
+        self.made = 0                           # incidents put so far; the last value of a row is its number
+        self.swept = 0                          # rows that the last sweep left
         self.tied = False                       # whether a sighting had two nearest incidents
 
     def _cells(self, band: int) -> int:
@@ -90,20 +97,43 @@ class OpenIncidents:
         return max(1, int(360.0 * math.cos(math.radians(top)) / self.dlat)) if top < 89.9 else 1
 
     def put(self, row: list) -> None:
+        if len(row) == 8:
+            row.append(self.made)
+            self.made += 1
         band = math.floor(row[2] / self.dlat)
         n = self._cells(band)
         self.grid.setdefault((band, math.floor((row[3] + 180.0) / 360.0 * n) % n), []).append(len(self.rows))
         self.rows.append(row)
 
+    def sweep(self, ts) -> list[list]:
+        """Incidents that no sighting from ``ts`` on can join; they leave.  Those that stay keep their order.
+
+        Nothing is done until as many incidents again were founded as the last sweep left, so sweeps cost little."""
+        if len(self.rows) < 2 * self.swept + SWEEP_ROWS:
+            return []
+        rows, self.rows, self.grid, closed = self.rows, [], {}, []
+        for r in rows:
+            if ts - r[5] > self.gap_s:
+                closed.append(r)
+            else:
+                self.put(r)
+        self.swept = len(self.rows)
+        return closed
+
     def sight(self, sid, typ, lat, lon, ts, message) -> None:
-        band, near = math.floor(lat / self.dlat), []
+        band, near, rows = math.floor(lat / self.dlat), [], self.rows
         for y in (band - 1, band, band + 1):
-            n = self._cells(y)
+            n = self.cells.get(y)
+            if n is None:
+                n = self.cells[y] = self._cells(y)
             x = math.floor((lon + 180.0) / 360.0 * n)
             for cell in {(y, (x + dx) % n) for dx in (-1, 0, 1)}:
                 if members := self.grid.get(cell):
-                    members[:] = [k for k in members if ts - self.rows[k][5] <= self.gap_s]
-                    near += [(d, k) for k in members if (d := _hav(lat, lon, *self.rows[k][2:4])) <= self.max_dist_m]
+                    members[:] = [k for k in members if ts - rows[k][5] <= self.gap_s]
+                    if not members:
+                        del self.grid[cell]
+                    near += [(d, k) for k in members if abs(lat - rows[k][2]) < self.dlat
+                             and (d := _hav(lat, lon, rows[k][2], rows[k][3])) <= self.max_dist_m]
         if near:
             best = min(near)
             self.tied = self.tied or sum(d == best[0] for d, _ in near) > 1
@@ -119,34 +149,50 @@ def lifecycle_frame(rows: list[list]) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=t) for k, (n, t) in enumerate(zip(names, kinds))}, columns=names)
 
 
-def greedy_lifecycles(pdf: pd.DataFrame, max_gap_min: float, max_dist_m: float,
-                      segment_cols: tuple[str, ...] = ()) -> pd.DataFrame:
-    """The greedy pass (pandas in, pandas out).  With ``segment_cols`` the
-    frame holds several independent groups: it is sorted once and each
-    contiguous segment starts from an empty state."""
-    cols = ["incident_id", "type", "lat", "lon", "start_ts", "end_ts", "sightings", "message"]
-    if pdf.empty:
-        return pd.DataFrame(columns=cols)
-    pdf = pdf.sort_values(list(segment_cols) + ["ts", "src_id"], kind="mergesort")
-    lat = pdf["lat"].to_numpy(dtype=float)
-    lon = pdf["lon"].to_numpy(dtype=float)
-    ts = pdf["ts"].to_numpy()
-    sid = pdf["src_id"].to_numpy()
-    typ = pdf["type"].to_numpy()
-    msg = pdf["message"].to_numpy()
-    if segment_cols:
-        keys = pdf[list(segment_cols)].to_numpy()
-        change = np.any(keys[1:] != keys[:-1], axis=1)
-        starts = np.concatenate([[0], np.nonzero(change)[0] + 1, [len(ts)]])
-    else:
-        starts = np.array([0, len(ts)])
-    found: list[list] = []
-    for s0, s1 in zip(starts[:-1], starts[1:]):
-        incidents = OpenIncidents(max_gap_min, max_dist_m)
-        for i in range(s0, s1):
-            incidents.sight(sid[i], typ[i], lat[i], lon[i], ts[i], msg[i])
-        found += incidents.rows
-    return lifecycle_frame(found)
+def _in_segments(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[tuple, bool, pd.DataFrame]]:
+    """The rows of sorted batches cut where a key changes: its key, whether a new one begins, and the rows."""
+    last = None
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        change = np.zeros(len(pdf), bool)
+        change[0] = True
+        for c in keys:
+            x = pdf[c].to_numpy()
+            change[1:] |= x[1:] != x[:-1]
+        starts = np.append(np.flatnonzero(change), len(pdf))
+        for a, b in zip(starts[:-1], starts[1:]):
+            key = tuple(pdf[c].iat[a] for c in keys)
+            yield key, key != last, pdf.iloc[a:b]
+            last = key
+
+
+def greedy_lifecycles(max_gap_min: float, max_dist_m: float):
+    """The greedy pass over batches sorted by ``GROUP``, time and source id; each group starts from an empty state.
+
+    A task holds a batch and the open incidents, not its groups: closed incidents are handed on as time passes."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        incidents, found = None, []
+        for (typ, *_), new, rows in _in_segments(batches, GROUP):
+            if new:
+                if incidents is not None:
+                    found += incidents.rows
+                incidents = OpenIncidents(max_gap_min, max_dist_m)
+            for x in zip(*(rows[c].tolist() for c in ("src_id", "type", "lat", "lon", "ts", "message"))):
+                incidents.sight(*x)
+            found += incidents.sweep(x[4])
+            if len(found) >= SWEEP_ROWS:
+                yield lifecycle_frame(found)
+                found = []
+        yield lifecycle_frame(found + (incidents.rows if incidents is not None else []))
+
+    return run
+
+
+def _sorted_groups(rows: DataFrame, by: Sequence[str], *order: str) -> DataFrame:
+    """Rows with the groups ``by`` dealt whole to tasks and in order, so that a task can read them as a stream."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *by).sortWithinPartitions(*by, *order)
 
 
 def type_sessions(snapshots: DataFrame, type_col: str = "type", ts: str = "ts",
@@ -197,25 +243,56 @@ def component_sessions(rows: DataFrame, max_gap_min: float) -> DataFrame:
         "sub", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+PAIRS_OF_TILES = 1_000_000      # sites of two tiles that are compared one by one
+
+
 def site_components(rows: DataFrame, max_dist_m: float, groups: DataFrame | None = None) -> DataFrame:
     """(type, session, lat, lon) -> component id (smallest site id) within
-    the (type, session).  ``groups`` limits the work to listed sessions."""
+    the (type, session).  ``groups`` limits the work to listed sessions.
+
+    Sites lie in tiles so small that all sites of a tile and of those around it are within the distance, so
+    tiles are linked instead of sites, however crowded they are.  Sites are compared only where two tiles
+    in reach are not linked through others; two tiles with more than ``PAIRS_OF_TILES`` pairs of sites are
+    linked without that (a component may be larger than it must be then, which changes no lifecycle)."""
     from bandcast.operators.spatial import connected_components, grid_pairs, max_abs_lat
     sites = rows.select("type", "session", "lat", "lon", "src_id")
     if groups is not None:
         sites = sites.join(groups, ["type", "session"], "left_semi")
-    sites = sites.groupBy("type", "session", "lat", "lon").agg(F.min("src_id").alias("site"))
-    L = sites.select(F.col("type").alias("l_type"), F.col("session").alias("l_session"),
-                     F.col("site").alias("l_site"), F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))
-    R = sites.select(F.col("type").alias("r_type"), F.col("session").alias("r_session"),
-                     F.col("site").alias("r_site"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    bound = max_abs_lat((L, "l_lat"))
-    pairs = grid_pairs(L, R, max_dist_m, bound, "l_lat", "l_lon", "r_lat", "r_lon",
-                       keys=(("l_type", "r_type"), ("l_session", "r_session")))
-    edges = pairs.filter((F.col("dist_m") <= F.lit(float(max_dist_m))) & (F.col("l_site") < F.col("r_site"))) \
-        .select(F.col("l_site").alias("src"), F.col("r_site").alias("dst"))
-    comp = connected_components(sites.select(F.col("site").alias("id")), edges)
-    return sites.join(comp.withColumnRenamed("id", "site"), "site").select("type", "session", "lat", "lon", "component")
+    side = max(max_dist_m, 1e-3) / (2 * math.sqrt(2) * 1.01) / M_PER_DEG          # degrees; four of them side by side fit the distance
+    tile_of = lambda c: F.floor(F.col(c) / F.lit(side)).cast("bigint")
+    sites = cut_lineage(sites.groupBy("type", "session", "lat", "lon").agg(F.min("src_id").alias("site"))
+                        .withColumns({"ty": tile_of("lat"), "tx": tile_of("lon")}))
+    tile = ["type", "session", "ty", "tx"]
+    tiles = cut_lineage(sites.groupBy(*tile).agg(F.min(F.struct("site", "lat", "lon")).alias("first"), F.count("*").alias("n")))
+    ahead = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    looks = tiles.select("type", "session", "ty", "tx", F.col("first.site").alias("src"), ahead.alias("_o")) \
+        .select("type", "session", (F.col("ty") + F.col("_o.dy")).alias("ty"), (F.col("tx") + F.col("_o.dx")).alias("tx"), "src")
+    edges = looks.join(tiles.select(*tile, F.col("first.site").alias("dst")).hint("merge"), tile).select("src", "dst")
+    comp = connected_components(tiles.select(F.col("first.site").alias("id")), edges)
+    tiles = cut_lineage(tiles.join(comp, F.col("first.site") == F.col("id")).drop("id"))
+    apart = tiles.groupBy("type", "session").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
+    lone = cut_lineage(tiles.join(apart, ["type", "session"], "left_semi"))
+    joined = None
+    if not lone.isEmpty():
+        side_of = lambda p: lone.select(*[F.col(c).alias(f"{p}_{c}") for c in (*tile, "component", "n")], F.col("first.lat").alias(f"{p}_lat"),
+                                        F.col("first.lon").alias(f"{p}_lon"))
+        L, R = side_of("l"), side_of("r")
+        pairs = grid_pairs(L, R, 2 * max_dist_m, max_abs_lat((L, "l_lat")), "l_lat", "l_lon", "r_lat", "r_lon",
+                           keys=(("l_type", "r_type"), ("l_session", "r_session")))
+        pairs = cut_lineage(pairs.filter((F.col("l_component") < F.col("r_component")) & (F.col("dist_m") <= F.lit(2.0 * max_dist_m)))
+                            .select(*[f"{p}_{c}" for p in "lr" for c in (*tile, "component", "n")]))
+        crowded = F.col("l_n") * F.col("r_n") > F.lit(PAIRS_OF_TILES)
+        found = pairs.filter(~crowded)
+        for p in "lr":
+            found = found.join(sites.select(*[F.col(c).alias(f"{p}_{c}") for c in (*tile, "lat", "lon")]), [f"{p}_{c}" for c in tile])
+        found = found.filter(haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")) <= F.lit(float(max_dist_m)))
+        links = found.unionByName(pairs.filter(crowded), allowMissingColumns=True) \
+            .select(F.col("l_component").alias("src"), F.col("r_component").alias("dst")).distinct()
+        joined = connected_components(lone.select(F.col("component").alias("id")).distinct(), links).withColumnRenamed("component", "_joined")
+    out = sites.join(tiles.select(*tile, "component"), tile)
+    if joined is not None:
+        out = out.join(joined, F.col("component") == F.col("id"), "left").withColumn("component", F.coalesce("_joined", "component"))
+    return out.select("type", "session", "lat", "lon", "component")
 
 
 GROUP = ["type", "session", "component", "bin"]
@@ -227,25 +304,38 @@ PIECE_SCHEMA = (f"{_KEYS}, seq long, inherited boolean, incident_id long, lat do
 
 
 def _slice_pieces(max_gap_min: float, max_dist_m: float):
-    """One slice with the incidents handed to it: what it does to each of them, and what it founds."""
+    """What slices do to the incidents handed to them, and what they found.  Batches are sorted by ``SLICE``; a slice has
+    its incidents first (``handed``), then its sightings.  A task holds a batch and the open incidents, no whole slice."""
     names = [f.split()[0] for f in PIECE_SCHEMA.split(", ")]
-
-    def run(key, rows: pd.DataFrame, handed: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=names)
-        incidents, handed = OpenIncidents(max_gap_min, max_dist_m), handed.sort_values(["start_ts", "incident_id"])
-        for r in handed.itertuples():
-            incidents.put([r.incident_id, key[0], r.lat, r.lon, r.start_ts, r.end_ts, 0, None])
-        rows = rows.sort_values(["ts", "src_id"], kind="mergesort")
-        for r in rows.itertuples():
-            incidents.sight(r.src_id, key[0], r.lat, r.lon, r.ts, r.message)
-        last, n = rows["ts"].iloc[-1], len(handed)
-        out = [[*key, i, i < n, None if i < n else r[0], r[2], r[3], None if i < n else r[4], r[5], r[6], r[7],
-                bool(last - r[5] <= incidents.gap_s), incidents.tied]
-               for i, r in enumerate(incidents.rows)]
-        kinds = {"string": object, "long": "Int64", "double": float, "boolean": bool}
-        return pd.DataFrame({n: pd.Series([r[k] for r in out], dtype=kinds[f.split()[1]])
-                             for k, (n, f) in enumerate(zip(names, PIECE_SCHEMA.split(", ")))})
+    kinds = [{"string": object, "long": "Int64", "double": float, "boolean": bool}[f.split()[1]] for f in PIECE_SCHEMA.split(", ")]
+
+    def pieces(key: tuple, incidents: OpenIncidents, rows: list[list], n: int, last) -> list[list]:
+        return [[*key, r[8], r[8] < n, None if r[8] < n else r[0], r[2], r[3], None if r[8] < n else r[4], r[5], r[6], r[7],
+                 bool(last - r[5] <= incidents.gap_s), incidents.tied] for r in rows]
+
+    def frame(out: list[list]) -> pd.DataFrame:
+        return pd.DataFrame({n: pd.Series([r[k] for r in out], dtype=t) for k, (n, t) in enumerate(zip(names, kinds))}, columns=names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, incidents, n, last, out = None, None, 0, None, []
+        for key, new, rows in _in_segments(batches, SLICE):
+            if new:
+                if last is not None:
+                    out += pieces(at, incidents, incidents.rows, n, last)
+                at, incidents, n, last = key, OpenIncidents(max_gap_min, max_dist_m), 0, None
+            for handed, sid, lat, lon, ts, end, message in zip(*(rows[c].tolist() for c in ("handed", "src_id", "lat", "lon", "ts", "end_ts", "message"))):
+                if handed:
+                    incidents.put([sid, key[0], lat, lon, ts, end, 0, None])
+                    n += 1
+                else:
+                    incidents.sight(sid, key[0], lat, lon, ts, message)
+                    last = ts
+            if last is not None:
+                out += pieces(key, incidents, incidents.sweep(last), n, last)
+            if len(out) >= SWEEP_ROWS:
+                yield frame(out)
+                out = []
+        yield frame(out + (pieces(at, incidents, incidents.rows, n, last) if last is not None else []))
 
     return run
 
@@ -296,7 +386,11 @@ def settled_pieces(rows: DataFrame, max_gap_min: float, max_dist_m: float, seeds
     used = spark.createDataFrame([], OPEN_SCHEMA)
     changed, handed = slices, handed_over(pieces)
     while True:
-        new = rows.join(changed, SLICE, "left_semi").groupBy(*SLICE).cogroup(handed.groupBy(*SLICE)).applyInPandas(run, PIECE_SCHEMA)
+        both = rows.select(*SLICE, F.lit(False).alias("handed"), "src_id", "lat", "lon", "ts", F.lit(None).cast("long").alias("end_ts"), "message") \
+            .unionByName(handed.select(*SLICE, F.lit(True).alias("handed"), F.col("incident_id").alias("src_id"), "lat", "lon",
+                                       F.col("start_ts").alias("ts"), F.coalesce("end_ts", F.lit(0)).alias("end_ts"), F.lit(None).cast("string").alias("message")))
+        both = _sorted_groups(both.join(F.broadcast(changed), SLICE, "left_semi").withColumn("_later", ~F.col("handed")), SLICE, "_later", "ts", "src_id")
+        new = both.mapInPandas(run, PIECE_SCHEMA)
         pieces = cut_lineage(pieces.join(changed, SLICE, "left_anti").unionByName(new))
         used = cut_lineage(used.join(changed, SLICE, "left_anti").unionByName(handed.join(changed, SLICE, "left_semi")))
         handed = handed_over(pieces)
@@ -390,10 +484,10 @@ def incident_lifecycles(snapshots: DataFrame, max_gap_min: float = 15.0, max_dis
             sliced = sliced_lifecycles(rows.join(over, GROUP, "left_semi"), gap, dist, slice_rows)
             rows = rows.join(over, GROUP, "left_anti")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return greedy_lifecycles(pdf, gap, dist, ("session", "component", "bin"))
-
-    out = rows.groupBy("type", "bin", "component").applyInPandas(run, LIFECYCLE_SCHEMA).unionByName(alone(every.filter(~can_match())))
+    rows = rows.select(*GROUP, "src_id", "lat", "lon", "ts", "message")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "type", "bin", "component").sortWithinPartitions(*GROUP, "ts", "src_id")
+    out = rows.mapInPandas(greedy_lifecycles(gap, dist), LIFECYCLE_SCHEMA).unionByName(alone(every.filter(~can_match())))
     out = out if sliced is None else out.unionByName(sliced)
     return out.select(
         "incident_id", "type", "lat", "lon", "start_ts", "end_ts",

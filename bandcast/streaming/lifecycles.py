@@ -30,7 +30,7 @@ class LifecycleSink:
     """The ``foreachBatch`` function of :func:`start_lifecycles`; its tables lie under ``root``."""
 
     def __init__(self, root: str, max_gap_min: float = 15.0, max_dist_m: float = 200.0, lateness_s: int = 900,
-                 max_group_rows: int = 200_000, slice_rows: int = 200_000):
+                 max_group_rows: int = 200_000, slice_rows: int = 2_000_000):
         self.gap, self.dist, self.lateness = float(max_gap_min), float(max_dist_m), int(lateness_s)
         self.max_group_rows, self.slice_rows = max_group_rows, slice_rows
         root = root.rstrip("/")
@@ -89,7 +89,7 @@ class LifecycleSink:
 
 
 def start_lifecycles(df: DataFrame, root: str, checkpoint: str, max_gap_min: float = 15.0, max_dist_m: float = 200.0,
-                     lateness_s: int = 900, max_group_rows: int = 200_000, slice_rows: int = 200_000,
+                     lateness_s: int = 900, max_group_rows: int = 200_000, slice_rows: int = 2_000_000,
                      available_now: bool = True, interval: str = "5 minutes"):
     """A stream of sightings (src_id, type, lat, lon, message, ts epoch seconds) into closed incidents under ``root``.
 

@@ -7,8 +7,10 @@ processed by a single task.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,8 +153,7 @@ def bucket_rollup(buckets: DataFrame, keys: Sequence[str] = ("link_id", "snapsho
 
     ``mins_since_nearby_start`` uses the most recent start; in parity mode it
     can be in (-5, 0] for the first bucket (floored below the start), else it
-    is clipped at 0.  Flag columns already present (see
-    ``interval_bucket_rollup``) are reused instead of re-deriving them.
+    is clipped at 0.  Flag columns already present are reused instead of re-deriving them.
     """
     keys = list(keys)
     aggs = [F.lit(1).alias("incident_nearby")]
@@ -166,15 +167,80 @@ def bucket_rollup(buckets: DataFrame, keys: Sequence[str] = ("link_id", "snapsho
     return out.withColumn("mins_since_nearby_start", mins).drop("_last_start")
 
 
+STRETCH_BITS = 7        # a stretch: 128 buckets
+_ROLLUP_ROWS = 1 << 11  # entries rolled up at a time: 2**18 buckets at most
+
+
+def _rolled_up(bits: int):
+    """Task: rows (key, stretch, start, first and last bucket within the stretch and flags in one number), sorted by key and
+    stretch, to rows (key, bucket, latest start, flags).  A task holds a batch and the buckets of one stretch."""
+    size = 1 << bits
+    names = ["_key", "_bucket", "_latest", "_flags"]
+
+    def emit(keys: pa.Array, at: np.ndarray, latest: np.ndarray, seen: np.ndarray, flags: np.ndarray) -> pa.RecordBatch:
+        place = np.flatnonzero(seen)
+        which = place >> bits
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(which)), pa.array((at.take(which) << bits) + (place & (size - 1))),
+                                           pa.array(latest.take(place)), pa.array(flags.take(place))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None             # the last key and stretch, which the next batch can go on with
+        for b in (x.slice(i, _ROLLUP_ROWS) for x in batches for i in range(0, x.num_rows, _ROLLUP_ROWS)):
+            at, start, word = (c.to_numpy() for c in b.columns[1:])
+            code = b.column(0).dictionary_encode("encode").indices.to_numpy()
+            new = np.append(True, (code[1:] != code[:-1]) | (at[1:] != at[:-1]))
+            group, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+            cells = len(heads) * size
+            least = np.iinfo(start.dtype).min if start.dtype.kind == "i" else -np.inf
+            latest, seen, flags = np.full(cells, least, start.dtype), np.zeros(cells, bool), np.zeros(cells, np.int32)
+            keys, at = b.column(0).take(pa.array(heads)), at.take(heads)
+            if held is not None:
+                if held[0][0].as_py() == keys[0].as_py() and held[1][0] == at[0]:
+                    latest[:size], seen[:size], flags[:size] = held[2:]
+                else:
+                    yield emit(*held)
+            first, n = word & (size - 1), (word >> bits & (size - 1)) - (word & (size - 1)) + 1
+            row = np.repeat(np.arange(len(word)), n)
+            cell = np.arange(len(row)) + np.repeat(group * size + first - (np.cumsum(n) - n), n)
+            seen[cell] = True
+            np.maximum.at(latest, cell, start.take(row))
+            for k in range(len(INCIDENT_FLAGS)):
+                flags[cell[(word >> (2 * bits + k) & 1).astype(bool).take(row)]] |= 1 << k
+            done = cells - size
+            if done:
+                yield emit(keys[:-1], at[:-1], latest[:done], seen[:done], flags[:done])
+            held = keys[-1:], at[-1:], latest[done:].copy(), seen[done:].copy(), flags[done:].copy()
+        if held is not None:
+            yield emit(*held)
+
+    return run
+
+
 def interval_bucket_rollup(intervals: DataFrame, key: str = "link_id", start: str = "start_ts",
                            end: str = "end_ts", type_col: str = "type", step: int = TICK,
                            parity: bool = True) -> DataFrame:
-    """W7 + A3 fused: the category flags are computed once per interval
-    (tinyint) before the explode, so the exploded rows carry only integers
-    into the partial aggregation."""
-    slim = intervals.select(key, start, end, *[flag(F.col(type_col) == v).cast("tinyint").alias(n)
-                                                for n, v in INCIDENT_FLAGS.items()])
-    return bucket_rollup(expand_buckets(slim, start, end, step), (key, "snapshot_ts"), type_col, start, parity)
+    """W7 + A3 fused: as :func:`bucket_rollup` of :func:`expand_buckets`, without a row for each interval and bucket.
+
+    An interval is entered once in each stretch (``2**STRETCH_BITS`` buckets) that it touches, with its
+    first and last bucket there and its category flags in one number.  Entries are shuffled by (key, stretch),
+    and tasks write the buckets of one stretch after the other, so buckets are neither shuffled, sorted nor hashed."""
+    bits, inner = STRETCH_BITS, (1 << STRETCH_BITS) - 1
+    flags = [flag(F.col(type_col) == v) * F.lit(1 << k) for k, v in enumerate(INCIDENT_FLAGS.values())]
+    x = intervals.select(F.col(key).alias("_key"), F.col(start).alias("_start"), F.floor(F.col(start) / F.lit(step)).cast("bigint").alias("_first"),
+                         F.floor(F.col(end) / F.lit(step)).cast("bigint").alias("_last"), sum(flags, F.lit(0)).alias("_flags")).filter("_last >= _first")
+    low, high = F.shiftright("_first", bits), F.shiftright("_last", bits)
+    x = x.withColumn("_at", F.explode(F.sequence(low, high)))
+    word = (F.when(F.col("_at") == low, F.col("_first").bitwiseAND(F.lit(inner))).otherwise(0)
+            + F.shiftleft(F.when(F.col("_at") == high, F.col("_last").bitwiseAND(F.lit(inner))).otherwise(inner), bits)
+            + F.shiftleft(F.col("_flags").cast("bigint"), 2 * bits))
+    x = x.select("_key", "_at", "_start", word.alias("_word")).repartition("_key", "_at").sortWithinPartitions("_key", "_at")
+    types = {f.name: f.dataType.simpleString() for f in x.schema.fields}
+    out = x.mapInArrow(_rolled_up(bits), f"_key {types['_key']}, _bucket bigint, _latest {types['_start']}, _flags int")
+    snapshot = F.col("_bucket") * F.lit(step)
+    mins = minutes_between(snapshot, F.col("_latest"))
+    return out.select(F.col("_key").alias(key), snapshot.alias("snapshot_ts"), F.lit(1).alias("incident_nearby"),
+                      *[F.shiftright("_flags", k).bitwiseAND(F.lit(1)).alias(n) for k, n in enumerate(INCIDENT_FLAGS)],
+                      (mins if parity else F.greatest(mins, F.lit(0.0))).alias("mins_since_nearby_start"))
 
 
 # J3 ------------------------------------------------------------------------

@@ -494,13 +494,15 @@ def _train(model):
     return run
 
 
-def _merge(fan: int):
-    """Group: sum of the counters of a cell; the first level leaves ``_task`` modulo fan."""
+def _merge(fan: int, finish: bool = False):
+    """Group: sum of the counters of a cell; the first level leaves ``_task`` modulo fan, the last one (``finish``)
+    log odds (16-bit) and confidence (8-bit) of the counters.  One function does both, as every Python
+    function of a stage has a worker of its own, which stays when the stage is over."""
     def run(group: pa.Table) -> pa.Table:
         cell = group.column("_cell")[0].as_py()
         blobs = group.column("_counts").to_pylist()
         if cell < 0:
-            out = sum(np.frombuffer(x) for x in blobs)
+            out = sum(np.frombuffer(x) for x in blobs).tobytes()
         else:
             ones = zeros = np.int64(0)
             for x in blobs:
@@ -508,26 +510,15 @@ def _merge(fan: int):
                 ones, zeros = ones + (c >> 32), zeros + (c & (_HALF - 1))
             large = np.maximum(ones, zeros) >> 30       # full counters are scaled down, which keeps their odds
             shift = np.where(large > 0, np.ceil(np.log2(large + 1.0)), 0).astype(np.int64)
-            out = ((ones >> shift) << 32) | (zeros >> shift)
+            ones, zeros = ones >> shift, zeros >> shift
+            out = (np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float16).tobytes() + confidence(ones + zeros).tobytes() if finish
+                   else ((ones << 32) | zeros).tobytes())
         task = group.column("_task")[0].as_py() % fan
         return pa.table({"_task": pa.array([task], pa.int32()), "_cell": pa.array([cell], pa.int32()),
-                         "_counts": pa.array([out.tobytes()], pa.binary())})
+                         "_counts": pa.array([out], pa.binary())})
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counters become log odds (16-bit) and confidence (8-bit)."""
-    for b in batches:
-        out = []
-        for cell, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if cell >= 0:
-                c = np.frombuffer(x, np.int64)
-                ones, zeros = c >> 32, c & (_HALF - 1)
-                x = np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float16).tobytes() + confidence(ones + zeros).tobytes()
-            out.append(x)
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.binary())], ["_cell", "_blob"])
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (kind, key, group, n): 0 word counts by hash and the text's group, 1 letters of words (256: words), 2 texts."""
     def rows(kind, key, n, group=0):
@@ -670,7 +661,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str | None = None)
     schema = "_task int, _cell int, _counts binary"
     merged = (texts.mapInArrow(_train(shared), schema)
               .groupBy("_cell", F.pmod("_task", F.lit(fan))).applyInArrow(_merge(fan), schema)
-              .groupBy("_cell").applyInArrow(_merge(1), schema).mapInArrow(_finish, "_cell int, _blob binary"))
+              .groupBy("_cell").applyInArrow(_merge(1, finish=True), schema).select("_cell", "_counts"))
     odds = np.full(TABLES << SLOT_BITS, 0, np.float16)
     seen = np.zeros(TABLES << SLOT_BITS, np.uint8)
     state = np.zeros(SETS * 5 + SETS * LEVELS * 2)
@@ -717,10 +708,10 @@ def _chunks(limit: int):
     return run
 
 
-def _contexts(model):
+def _contexts(hot_words):
     """Task: rows (chunk, word) of words that are not broadcast, once for each run of a chunk's texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = model.value[2][0]
+        hot = hot_words.value
 
         def flush(chunk, parts):
             h = np.unique(np.concatenate(parts))
@@ -820,10 +811,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast((model.vocabulary, model.tables, model.hot))
+    hot_words = spark.sparkContext.broadcast(model.hot[0])         # chunks ask for words with these alone
     id_type = docs.schema[id_col].dataType.simpleString()
     chunked = written(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
                       .mapInArrow(_chunks(CHUNK), f"_id {id_type}, _t string, _chunk bigint"), "chunks")
-    asked = (chunked.select("_chunk", "_t").mapInArrow(_contexts(shared), "_chunk bigint, _h bigint")
+    asked = (chunked.select("_chunk", "_t").mapInArrow(_contexts(hot_words), "_chunk bigint, _h bigint")
              .join(model.followers, F.col("_h") == F.col("_key")).select("_chunk", "_h", "_list", "_large"))
     schema = f"_id {id_type}, _n bigint, _bytes bigint, _known bigint, _base double, _score double"
     rows = chunked.groupBy("_chunk").cogroup(asked.groupBy("_chunk")).applyInArrow(_score(shared, model.escaped, model.bits), schema)

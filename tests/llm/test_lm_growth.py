@@ -114,3 +114,15 @@ def test_followers_are_a_distribution():
                 ones, zeros = (sum(of.get(s, 0) for s, b in under if b == side) for side in (1, 0))
                 assert math.isclose(odds[i], math.log((ones + 0.4) / (zeros + 0.4)), rel_tol=1e-5, abs_tol=1e-6)
         assert abs(total - 1) < 1e-4
+
+
+def test_no_stage_of_the_training_holds_two_python_workers(spark, monkeypatch):
+    """Every Python function of a stage has a worker of its own, which stays, with its memory, when the stage is over."""
+    frames, collect = [], type(spark.range(1)).toArrow
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda df: (frames.append(df), collect(df))[1])
+    docs = spark.createDataFrame([(i, f"one two w{i % 7} three") for i in range(60)], "doc_id long, text string")
+    model = lm_mixing.train(docs)
+    merged = next(df._jdf.queryExecution().optimizedPlan().toString() for df in frames if df.columns[0] == "_cell")
+    assert merged.count("FlatMapGroupsInArrow") == 2 and merged.count("MapInArrow") == 1         # the groups' exchanges part all three
+    odds, seen, *_ = model.tables
+    assert odds.dtype == np.float16 and len(odds) == len(seen) == lm_mixing.TABLES << lm_mixing.SLOT_BITS and seen.max() > 0

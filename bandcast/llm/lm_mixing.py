@@ -216,14 +216,16 @@ class Vocabulary:
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, ends: int, total: int, letters: np.ndarray,
                  groups: np.ndarray | None = None):
-        rank = np.arange(len(hashes))
-        octave = np.floor(np.log2(rank + 1)).astype(np.int64)
-        half = np.where(octave > 0, (rank + 1 >> np.maximum(octave - 1, 0)) & 1, 0)
+        rank = np.arange(len(hashes), dtype=np.int32)
+        octave = np.floor(np.log2(rank + 1)).astype(np.int32)
+        half = np.where(octave > 0, (rank + 1 >> np.maximum(octave - 1, 0)) & 1, 0).astype(np.int32)
         self.group = np.zeros(len(hashes), np.uint8) if groups is None else groups
         top = int(self.group.max(initial=0))
         self.base = max(32, top + 3)            # of the group history; its last digit marks a text's start
-        cls = FIRST + np.unique((2 * octave + half) * (top + 1) + self.group, return_inverse=True)[1]
+        cls = (2 * octave + half) * np.int32(top + 1) + self.group
         del octave, half
+        there = np.bincount(cls) > 0                    # classes are numbered without holes
+        cls = (FIRST - 1 + np.cumsum(there)).astype(np.int32).take(cls)
         sums = np.bincount(cls, counts, minlength=FIRST + 1)
         sums[ESCAPE], sums[END] = max(0, total - ends - int(counts.sum())), ends
         self.code, self.letters = Code(sums + 1), Code(letters + 1)
@@ -234,25 +236,23 @@ class Vocabulary:
         self.log_end, self.known_end = math.log10(ends + 1), ends > 0
         bits = max(4, int(2 * len(hashes) + 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self.hashes, self.values = hashes if len(hashes) else np.zeros(1, np.uint64), np.full(1 << bits, -1, np.int32)
         at, left = (hashes >> self.shift).astype(np.int64), rank
         while len(left):
-            free = np.flatnonzero(self.values[at] < 0)
-            slot, first = np.unique(at[free], return_index=True)
-            self.values[slot] = left[free[first]]
-            self.keys[slot] = hashes[left[free[first]]]
-            rest = self.values[at] != left
+            free = np.flatnonzero(self.values.take(at) < 0)
+            self.values[at[free]] = left[free]          # of several words one gets the slot
+            rest = self.values.take(at) != left
             at, left = (at[rest] + 1) & self.mask, left[rest]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Rank of each hash, or -1."""
         at = (h >> self.shift).astype(np.int64)
         out = self.values.take(at)
-        open_ = np.flatnonzero((out >= 0) & (self.keys.take(at) != h))
+        open_ = np.flatnonzero((out >= 0) & (self.hashes.take(out) != h))
         while len(open_):
             at[open_] = (at[open_] + 1) & self.mask
             out[open_] = self.values[at[open_]]
-            open_ = open_[(out[open_] >= 0) & (self.keys[at[open_]] != h[open_])]
+            open_ = open_[(out[open_] >= 0) & (self.hashes.take(out[open_]) != h[open_])]
         return out
 
     def classes(self, word: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -325,15 +325,17 @@ class Followers:
         size = pc.list_value_length(small).to_numpy(False).astype(np.int64)
         packed = small.flatten().to_numpy(False)
         which, n = packed >> bits, packed & ((1 << bits) - 1)
-        if len(large.flatten()):
+        if len(large.flatten()):        # a row's large counts stand behind its others
             more, packed = pc.list_value_length(large).to_numpy(False).astype(np.int64), large.flatten().to_numpy(False)
-            by_row = np.argsort(np.concatenate([np.repeat(np.arange(len(order)), x) for x in (size, more)]), kind="stable")
-            which = np.concatenate([which, packed >> LARGE_BITS])[by_row]
-            n, size = np.concatenate([n, packed & ((1 << LARGE_BITS) - 1)])[by_row], size + more
+            behind = np.repeat(np.cumsum(size), more)
+            which = np.insert(which.astype(np.int64), behind, packed >> LARGE_BITS)
+            n, size = np.insert(n.astype(np.int64), behind, packed & ((1 << LARGE_BITS) - 1)), size + more
         keys, first = np.unique(keys[order], return_index=True)
         offset = np.concatenate([[0], np.cumsum(size)])
         start = np.append(offset[first], offset[-1])
-        total = np.diff(np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[start]).astype(float)
+        total, some = np.zeros(len(keys)), np.flatnonzero(np.diff(start))
+        if len(some):
+            total[some] = np.add.reduceat(n, start[some], dtype=np.int64)
         return cls(keys, start, which.astype(np.min_scalar_type(int(which.max(initial=0)))), n.astype(np.float32), total)
 
     def parameters(self) -> tuple:
@@ -665,6 +667,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str | None = None)
     odds = np.full(TABLES << SLOT_BITS, 0, np.float16)
     seen = np.zeros(TABLES << SLOT_BITS, np.uint8)
     state = np.zeros(SETS * 5 + SETS * LEVELS * 2)
+    del top, key, n, order
     cells = merged.toArrow()            # the counters at 3 bytes each: 12 MB at any corpus size
     for cell, blob in zip(cells.column(0).to_pylist(), cells.column(1).to_pylist()):
         if cell < 0:
@@ -672,6 +675,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str | None = None)
         else:
             odds[cell * CELL:(cell + 1) * CELL] = np.frombuffer(blob[:2 * CELL], np.float16)
             seen[cell * CELL:(cell + 1) * CELL] = np.frombuffer(blob[2 * CELL:], np.uint8)
+    shared.destroy()                    # what it served is written or here
     seen_bits = state[SETS * 4:SETS * 5]
     weights = np.where(seen_bits[:, None] > 0, state[:SETS * 4].reshape(SETS, 4) / np.maximum(seen_bits, 1)[:, None], Mixer().w)
     k = state[SETS * 5:].reshape(-1, 2)

@@ -126,3 +126,20 @@ def test_no_stage_of_the_training_holds_two_python_workers(spark, monkeypatch):
     assert merged.count("FlatMapGroupsInArrow") == 2 and merged.count("MapInArrow") == 1         # the groups' exchanges part all three
     odds, seen, *_ = model.tables
     assert odds.dtype == np.float16 and len(odds) == len(seen) == lm_mixing.TABLES << lm_mixing.SLOT_BITS and seen.max() > 0
+
+
+def test_a_vocabulary_holds_each_hash_once():
+    """Its table has ranks alone; ranks and classes are those of plain counting, colliding slots included."""
+    rnd = np.random.default_rng(3)
+    h = np.unique(np.concatenate([rnd.integers(1, 1 << 63, 3000, dtype=np.uint64), np.arange(1, 500, dtype=np.uint64)]))
+    rnd.shuffle(h)
+    n, groups = np.sort(rnd.integers(2, 900, len(h)))[::-1], rnd.choice(np.array([0, 2, 3], np.uint8), len(h))
+    v = lm_mixing.Vocabulary(h, n, 5, int(n.sum()) + 50, np.ones(257), groups)
+    assert not any(isinstance(x, np.ndarray) and x.dtype == np.uint64 and x is not h for x in vars(v).values())
+    assert v.find(h).tolist() == list(range(len(h))) and set(v.find(h + np.uint64(1 << 62)).tolist()) <= {-1, *v.find(h).tolist()}
+    unknown = np.setdiff1d(rnd.integers(1, 1 << 63, 500, dtype=np.uint64), h)
+    assert (v.find(unknown) == -1).all() and (lm_mixing.Vocabulary(h[:0], n[:0], 0, 0, np.ones(257)).find(unknown) == -1).all()
+    octave = [(r + 1).bit_length() - 1 for r in range(len(h))]
+    marks = [(2 * o + ((r + 1 >> max(o - 1, 0)) & 1 if o else 0), int(g)) for r, (o, g) in enumerate(zip(octave, groups))]
+    number = {m: lm_mixing.FIRST + k for k, m in enumerate(sorted(set(marks)))}
+    assert v.cls.tolist() == [number[m] for m in marks]

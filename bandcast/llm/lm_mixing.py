@@ -34,7 +34,7 @@ While a task trains, its own split's counts share a hashed table; scoring reads
 the whole corpus's counts.  Texts are scored in chunks: a chunk asks for the words it holds, the join
 sends their counts to the chunk, and the counts below a node of the code are
 its zeros and ones.  The most frequent words' counts are broadcast
-(``HOT_CELLS`` numbers at most), so no word is asked for by every chunk.  The other contexts (groups,
+(``HOT_CELLS`` numbers at most), so no word is asked for by every chunk; a word seen once or twice is always joined.  The other contexts (groups,
 and bytes inside a word) have few values and share tables of a fixed size.
 
 Words are known by 64-bit hashes, computed for a whole group of texts at
@@ -67,6 +67,7 @@ BLOCK = 1 << 12                 # words (or spelled bytes) predicted at a time
 SLICE = 1 << 20                 # bytes of text gathered before that; longer texts are cut between words
 SETS, LEVELS = 32, 33           # weight sets (16 for words, 16 for bytes), refinement levels
 HOT_CELLS = 6 << 20             # counts of the most frequent words before, in the broadcast (6 bytes each)
+HOT_LEAST = 3                   # rarer words are in two chunks of training texts at most: they are joined, not sent to every task
 SALTED, SALTS = 1 << 12, 8      # words whose followers are counted in parts (by class), and their parts
 LARGE_BITS = 44                 # a follower is one number, its class above its count: 31 bits, or 63 with a count of these bits
 CHUNK = 1 << 25                 # bytes of text scored as one group
@@ -81,6 +82,7 @@ _HALF = np.int64(1 << 32)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PIECE = 1 << 15                # bytes hashed at a time: their temporaries stay in a core's cache
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: list[np.ndarray] = []
 
@@ -100,13 +102,18 @@ class Words:
     def __init__(self, texts: list[bytes]):
         joined = b"\n".join(texts) + b"\n"
         self.raw = np.frombuffer(joined.translate(LOWER_BYTES), np.uint8)
-        space = _SPACE.take(self.raw)
+        space = (self.raw == 32) | (self.raw - np.uint8(9) < 5)
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if not space[0]:
             edge = np.concatenate([[0], edge])
         self.start, self.end = edge[0::2], edge[1::2]
         power, back = _powers(len(self.raw))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE.take(self.raw) * power[:len(self.raw)])])
+        total = np.zeros(len(self.raw) + 1, np.uint64)
+        for a in range(0, len(self.raw), _PIECE):
+            x = _BYTE.take(self.raw[a:a + _PIECE])
+            x *= power[a:a + len(x)]
+            np.cumsum(x, out=x)
+            np.add(x, total[a], out=total[a + 1:a + 1 + len(x)])
         h = (total.take(self.end) - total.take(self.start)) * back.take(self.start)
         h = (h ^ (h >> np.uint64(29))) * _C[1]
         self.hash = (h ^ (h >> np.uint64(32))) * _C[2]
@@ -200,15 +207,15 @@ class Code:
         self.spans = np.array([x[3:] for x in flat], np.int64).reshape(-1, 3).T.copy()      # leaves: from, ones from, to
 
     def steps(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbol's place, step) of all decisions of a row of symbols."""
+        """(decisions of each symbol, step of each decision) of a row of symbols."""
         size = self.size.take(symbols)
-        at = np.repeat(np.arange(len(symbols)), size)
-        return at, np.arange(len(at)) + np.repeat(self.start.take(symbols) - (np.cumsum(size) - size), size)
+        end = np.cumsum(size)
+        return size, np.arange(end[-1] if len(end) else 0) + np.repeat(self.start.take(symbols) - (end - size), size)
 
     def expand(self, symbols: np.ndarray):
-        """(symbol's place, hashed node, bit, code's log odds) of all decisions of a row of symbols."""
-        at, k = self.steps(symbols)
-        return at, self.step.take(k), self.bit.take(k), self.odds.take(k)
+        """(decisions of each symbol; hashed node, bit, code's log odds of each decision) of a row of symbols."""
+        size, k = self.steps(symbols)
+        return size, self.step.take(k), self.bit.take(k), self.odds.take(k)
 
 
 class Vocabulary:
@@ -261,13 +268,18 @@ class Vocabulary:
         cls[rank >= 0] = self.cls.take(rank[rank >= 0])
         return cls
 
-    def blocks(self, w: Words, h: np.ndarray, of: np.ndarray, word: np.ndarray, rank: np.ndarray):
-        """(kind, code, symbols, contexts, whose): all words and ends by text, then the escaped words' bytes by word."""
+    def blocks(self, w: Words, h: np.ndarray, word: np.ndarray, rank: np.ndarray, by_word_before: bool = False):
+        """(kind, code, symbols, contexts, whose): all words and ends (``whose``: their places), then the escaped words' bytes by word.
+
+        Words come in their order, or sorted by the word before, so that what follows it is looked up once."""
         cls, one = self.classes(word, rank), word_before(h)
-        past = self._history(word, rank)
+        past, place = self._history(word, rank), np.arange(len(cls))
+        if by_word_before:
+            place = np.argsort(one)
+            cls, one, past = cls.take(place), one.take(place), past.take(place)
         for a in range(0, len(cls), self.block):
             z = slice(a, a + self.block)
-            yield 0, self.code, cls[z], [one[z], past[z]], of[z]
+            yield 0, self.code, cls[z], [one[z], past[z]], place[z]
         out = np.flatnonzero(rank[word] < 0)
         if len(out):
             yield from self._spelled(w, out)
@@ -303,6 +315,12 @@ class Vocabulary:
             yield 1, self.letters, sym[a + ORDERS[-1]:a + ORDERS[-1] + n], hashes, whose[a:a + n]
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """``h`` sorted in place, each value once; at 64 bits a sort is several times faster than ``np.unique``'s hash table."""
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+
+
 def word_before(h: np.ndarray) -> np.ndarray:
     """Hash of the symbol before each one; a text's first follows an end."""
     return np.concatenate([[_END_HASH], h[:-1]]).astype(np.uint64)
@@ -371,7 +389,7 @@ class FollowerSums:
         self.code, self.hot, width = code, hot, len(code.leaf) + 1
         top = np.argsort(-hot.total, kind="stable")[:max(1, min(SALTED, (1 << 20) // width))]
         self.kept = np.sort(hot.keys[top])
-        self.sums = np.zeros((len(self.kept) + block, width))
+        self.sums = np.zeros((len(self.kept) + block, width), np.int64)        # whole numbers add up several times faster
         self._add(0, self.kept, [hot])
 
     def _add(self, at: int, words: np.ndarray, known: list[Followers]) -> None:
@@ -381,17 +399,18 @@ class FollowerSums:
             f.fill(into, self.code.leaf, words)
         np.cumsum(into, axis=1, out=into)
 
-    def read(self, found: Followers, before: np.ndarray, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds and confidence of each decision after the word before: the counts below its node's two branches."""
-        words, row = np.unique(before, return_inverse=True)
+    def read(self, found: Followers, before: np.ndarray, size: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds and confidence of each decision after the word before (``before`` is sorted): the counts below its node's two branches."""
+        new = np.append(True, before[1:] != before[:-1])
+        words, row = before[new], np.cumsum(new) - 1
         place = np.minimum(np.searchsorted(self.kept, words), max(0, len(self.kept) - 1))
         rest = np.flatnonzero(self.kept.take(place) != words) if len(self.kept) else np.arange(len(words))
         place[rest] = len(self.kept) + np.arange(len(rest))
         self._add(len(self.kept), words[rest], [self.hot, found])
-        base = (place.take(row) * self.sums.shape[1]).take(at)
+        base = np.repeat(place.take(row) * self.sums.shape[1], size)
         flat = self.sums.ravel()
         low, mid, high = (flat.take(base + x.take(k)) for x in self.code.spans)
-        odds = np.log((high - mid + 0.4) / (mid - low + 0.4)).astype(np.float32)
+        odds = np.log(((high - mid + 0.4) / (mid - low + 0.4)).astype(np.float32))
         return odds, confidence(high - low)
 
 
@@ -448,10 +467,10 @@ def gate_of(kind: int, short: np.ndarray, long: np.ndarray) -> np.ndarray:
     return short.astype(np.int64) * 4 + long + kind * 16
 
 
-def cells_of(kind: int, contexts: list[np.ndarray], at: np.ndarray, step: np.ndarray) -> list[np.ndarray]:
-    """Counter of each decision in both tables of its kind."""
-    return [(((c.take(at) ^ step) * _C[0]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) + ((2 * kind + j) << SLOT_BITS)
-            for j, c in enumerate(contexts)]
+def cells_of(kind: int, contexts: list[np.ndarray], size: np.ndarray, step: np.ndarray, first: int = 0) -> list[np.ndarray]:
+    """Counter of each decision in the tables of its kind, from the ``first`` on."""
+    return [(((np.repeat(c, size) ^ step) * _C[0]) >> np.uint64(64 - SLOT_BITS)).view(np.int64) + ((2 * kind + j) << SLOT_BITS)
+            for j, c in enumerate(contexts, first)]
 
 
 def read_counters(table: np.ndarray, cells: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -474,11 +493,11 @@ def _train(model):
         table = np.zeros(TABLES << SLOT_BITS, np.int64)
         for texts, _, ends in _groups(batches, 0):
             w = Words(texts)
-            h, of, word = w.sequence(ends)
+            h, _, word = w.sequence(ends)
             rank = np.where(word, vocabulary.find(h), -1)
-            for kind, code, sym, contexts, _ in vocabulary.blocks(w, h, of, word, rank):
-                at, step, bit, own = code.expand(sym)
-                cells = cells_of(kind, contexts, at, step)
+            for kind, code, sym, contexts, _ in vocabulary.blocks(w, h, word, rank):
+                size, step, bit, own = code.expand(sym)
+                cells = cells_of(kind, contexts, size, step)
                 odds, seen = read_counters(table, cells)
                 mixer.learn([own, *odds], gate_of(kind, *seen), bit)
                 add = np.where(bit, _HALF, np.int64(1))
@@ -558,7 +577,12 @@ def _count_followers(model, salted: int, bits: int):
         def flush():
             b, c, hot = (np.concatenate(x) for x in zip(*pairs))
             pairs.clear()
-            _, first, n = np.unique(b ^ (c.astype(np.uint64) + np.uint64(1)) * _C[0], return_index=True, return_counts=True)
+            pair = b ^ (c.astype(np.uint64) + np.uint64(1)) * _C[0]
+            order = np.argsort(pair)
+            pair = pair.take(order)
+            new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            first, n = order.take(new), np.diff(np.append(new, len(pair)))
+            del pair
             part = np.where(hot[first], 1 + c[first] % SALTS, 0).astype(np.int32)
             order = np.lexsort((part, b[first]))
             b, part, c, n = b[first[order]], part[order], c[first[order]].astype(np.int64), n[order]
@@ -619,6 +643,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str | None = None)
     labelled = docs.select(F.col(text_col).cast("string").alias("_t"), _label_group(docs, label_col).cast("int").alias("_g"))
     texts = labelled.select("_t")
     counted = written(labelled.mapInArrow(_count_words, "_kind int, _key bigint, _g int, _n bigint")
+                      .repartition("_kind", "_key")          # one shuffle: a key has a row per task and group at most
                       .groupBy("_kind", "_key", "_g").agg(F.sum("_n").alias("_n"))
                       .groupBy("_kind", "_key").agg(F.sum("_n").alias("_n"), F.max_by("_g", F.struct("_n", "_g")).alias("_g")),
                       "word-counts")
@@ -686,7 +711,8 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str | None = None)
 
 
 def _most_frequent_cells(followers: DataFrame, limit: int):
-    """Condition of the words in parts, and of the most frequent other ones whose followers fit, by a histogram."""
+    """Condition of the words in parts, and of the most frequent other ones (``HOT_LEAST`` sightings or more) whose
+    followers fit, by a histogram."""
     bucket = F.floor(F.log2("_n") * 8)
     in_parts = F.col("_part") > 0
     hist = [(r["b"], r["c"]) for r in followers.groupBy(F.when(in_parts, 1 << 20).otherwise(bucket).alias("b"))
@@ -697,7 +723,7 @@ def _most_frequent_cells(followers: DataFrame, limit: int):
         if total > limit and b < 1 << 20:
             break
         least = b
-    return in_parts | (bucket >= least)
+    return in_parts | ((bucket >= least) & (F.col("_n") >= HOT_LEAST))
 
 
 def _chunks(limit: int):
@@ -718,7 +744,7 @@ def _contexts(hot_words):
         hot = hot_words.value
 
         def flush(chunk, parts):
-            h = np.unique(np.concatenate(parts))
+            h = distinct(np.concatenate(parts))
             if len(hot):
                 h = h[hot.take(np.minimum(np.searchsorted(hot, h), len(hot) - 1)) != h]
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), chunk)), pa.array(h.view(np.int64))], ["_chunk", "_h"])
@@ -735,9 +761,9 @@ def _contexts(hot_words):
                 parts = []
             last = chunk
             for texts, _, _ in _groups(iter([b]), 1):
-                parts.append(np.unique(np.append(Words(texts).hash, _END_HASH)))
+                parts.append(distinct(np.append(Words(texts).hash, _END_HASH)))
             if len(parts) > 64:
-                parts = [np.unique(np.concatenate(parts))]
+                parts = [distinct(np.concatenate(parts))]
         if parts:
             yield flush(last, parts)
     return run
@@ -769,19 +795,23 @@ def _score(model, escaped: tuple[int, int], bits: int):
             known = rank >= 0
             score = np.bincount(of[known], voc.share.take(rank[known]), minlength=k).astype(np.float64)
             out = word & ~known
-            spelled = np.zeros(int(out.sum()))
-            for kind, code, sym, contexts, whose in voc.blocks(w, h, of, word, rank):
-                at, step = code.steps(sym)
+            spelled, coded = np.zeros(int(out.sum())), np.zeros(len(h))
+            for kind, code, sym, contexts, whose in voc.blocks(w, h, word, rank, True):
+                size, step = code.steps(sym)
                 bit = code.bit.take(step)
-                cells = cells_of(kind, contexts, at, code.step.take(step))
+                # what the word before says comes from the followers; the other tables are those of the counters
+                cells = cells_of(kind, contexts[1 - kind:], size, code.step.take(step), 1 - kind)
                 odds, sure = [odds_of.take(s) for s in cells], [seen.take(s) for s in cells]
                 if not kind:
-                    odds[0], sure[0] = sums_of.read(found, contexts[0], at, step)
+                    after, known_after = sums_of.read(found, contexts[0], size, step)
+                    odds, sure = [after, *odds], [known_after, *sure]
                 got = mixer.log10([code.odds.take(step), *odds], gate_of(kind, *sure), bit)
+                got = np.bincount(np.repeat(np.arange(len(sym)), size), got, minlength=len(sym))
                 if kind:
-                    spelled += np.bincount(whose.take(at), got, minlength=len(spelled))
+                    spelled += np.bincount(whose, got, minlength=len(spelled))
                 else:
-                    score += np.bincount(whose.take(at), got, minlength=k)
+                    coded[whose] = got
+            score += np.bincount(of, coded, minlength=k)        # by text in the words' order, whatever texts stand beside it
             n = hot.sightings(h[out]) + found.sightings(h[out])
             with np.errstate(divide="ignore"):
                 spelled = unseen + np.where(n > 0, np.log10(n / distinct + np.power(10.0, spelled)), spelled)

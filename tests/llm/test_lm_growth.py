@@ -143,3 +143,62 @@ def test_a_vocabulary_holds_each_hash_once():
     marks = [(2 * o + ((r + 1 >> max(o - 1, 0)) & 1 if o else 0), int(g)) for r, (o, g) in enumerate(zip(octave, groups))]
     number = {m: lm_mixing.FIRST + k for k, m in enumerate(sorted(set(marks)))}
     assert v.cls.tolist() == [number[m] for m in marks]
+
+
+def test_rare_words_are_joined_however_much_the_broadcast_holds(spark, make, monkeypatch):
+    """Words sighted less than HOT_LEAST times are not sent to every task: the rows that chunks ask for grow with the texts."""
+    monkeypatch.setattr(lm_mixing, "SALTED", 0)             # no word's followers are in parts, which are broadcast
+    texts = [" ".join(["all", f"once{i}", f"twice{i // 2}", f"often{i % 5}"]) for i in range(60)]
+    asked = []
+    for part in (texts[:20], texts):
+        model = lm_mixing.train(make(part))
+        words = Counter(w for t in part for w in t.split())
+        hot = set(model.hot[0].tolist())
+        known = {w: int(lm_mixing.Words([w.encode()]).hash[0]) for w in words}
+        assert all((known[w] in hot) == (n >= lm_mixing.HOT_LEAST) for w, n in words.items())
+        assert sorted(r._key for r in model.followers.select("_key").collect()) == sorted(
+            np.array([known[w] for w, n in words.items() if n < lm_mixing.HOT_LEAST], np.uint64).view(np.int64).tolist())
+        asked.append(sum(n for n in words.values() if n < lm_mixing.HOT_LEAST))
+    assert asked[1] == 3 * asked[0]
+
+
+def test_words_by_the_word_before_are_looked_up_once(monkeypatch):
+    """Scoring takes a group's words sorted by the word before: its followers are summed once a group (twice where a block ends)."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 40, 500)).encode() for _ in range(20)]
+    w = lm_mixing.Words(texts)
+    hashes, n = np.unique(w.hash, return_counts=True)
+    order = np.argsort(-n)
+    voc = lm_mixing.Vocabulary(hashes[order], n[order], len(texts), int(n.sum()) + len(texts), np.ones(257))
+    voc.block = 300
+    h, _, word = w.sequence(True)
+    rank = np.where(word, voc.find(h), -1)
+    blocks = [b for b in voc.blocks(w, h, word, rank, True) if b[0] == 0]
+    plain = [b for b in voc.blocks(w, h, word, rank) if b[0] == 0]
+    assert sum(len(np.unique(b[3][0])) for b in blocks) <= 41 + len(blocks) < sum(len(np.unique(b[3][0])) for b in plain) // 10
+    place = np.concatenate([b[4] for b in blocks])
+    assert sorted(place.tolist()) == list(range(len(h)))
+    for got, want in ((2, 2), (3, 3)):
+        a, b = (np.concatenate([x[got] if got == 2 else np.stack(x[got], 1) for x in xs]) for xs in (blocks, plain))
+        assert (a == b[place]).all()
+
+
+def test_a_score_does_not_depend_on_the_texts_beside_it(spark, make):
+    """The same text gets the very same score wherever it stands."""
+    rnd = random.Random(11)
+    text = " ".join(f"w{rnd.randrange(50)}" for _ in range(300))
+    other = [" ".join(f"w{rnd.randrange(90)}" for _ in range(rnd.randrange(400))) for _ in range(90)]
+    model = lm_mixing.train(make([text, *other]))
+    rows = [text, *other[:40], text, *other[40:], text]
+    got = {r.doc_id: r.score for r in lm_mixing.score(make(rows), model).collect()}
+    assert got[0] == got[41] == got[92]
+    assert lm_mixing.score(make([text]), model).first().score == got[0]
+
+
+def test_hashes_do_not_depend_on_the_pieces_they_are_computed_in(monkeypatch):
+    texts = [b"one  two\tthree\n", b"", b" \x0b\x0c\r ", "héllo 中文".encode(), b"x" * 5000, b"a b " * 900, b"Tail\x08\x0e\x1f!"]
+    a = lm_mixing.Words(texts)
+    assert [a.raw[s:e].tobytes() for s, e in zip(a.start, a.end)] == [w.lower() for t in texts for w in t.split()]
+    monkeypatch.setattr(lm_mixing, "_PIECE", 7)
+    assert (lm_mixing.Words(texts).hash == a.hash).all()
+    assert lm_mixing.distinct(a.hash.copy()).tolist() == np.unique(a.hash).tolist() and len(lm_mixing.distinct(a.hash[:0])) == 0

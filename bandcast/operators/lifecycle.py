@@ -295,6 +295,44 @@ def site_components(rows: DataFrame, max_dist_m: float, groups: DataFrame | None
     return out.select("type", "session", "lat", "lon", "component")
 
 
+def cells_of_sites(lat: str, lon: str, max_dist_m: float) -> dict[str, Column]:
+    """Cell of a position as in ``OpenIncidents``: its band ``cy``, its cell there ``cx``, and ``ux``, the
+    cell that its longitude has in the band above (bands are cut into different numbers of cells)."""
+    dlat = max(max_dist_m, 1.0) * 1.001 / M_PER_DEG
+    band = F.floor(F.col(lat) / F.lit(dlat)).cast("bigint")
+
+    def cell(y: Column) -> Column:
+        n = _cells_of_band(y, dlat)
+        return F.pmod(F.floor((F.col(lon) + F.lit(180.0)) / F.lit(360.0) * n).cast("bigint"), n)
+    return {"cy": band, "cx": cell(band), "ux": cell(band + 1)}
+
+
+def _cells_of_band(band: Column, dlat: float) -> Column:
+    top = (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * F.lit(dlat)
+    n = F.floor(F.lit(360.0) * F.cos(F.radians(top)) / F.lit(dlat)).cast("bigint")
+    return F.when(top < F.lit(89.9), F.greatest(F.lit(1).cast("bigint"), n)).otherwise(F.lit(1).cast("bigint"))
+
+
+def cell_components(rows: DataFrame, max_dist_m: float, groups: DataFrame) -> DataFrame:
+    """(type, session, cy, cx) -> component id of the listed ``groups`` (few): cells that touch are linked, no sites are compared.
+
+    Two sites within the distance lie in one cell or in touching ones, so no component parts them; one may be
+    larger than it must be, which changes no lifecycle.  The work follows the cells, not the sites or their pairs."""
+    from bandcast.operators.spatial import connected_components
+    cell = ["type", "session", "cy", "cx"]
+    spots = rows.join(F.broadcast(groups), ["type", "session"], "left_semi").withColumns(cells_of_sites("lat", "lon", max_dist_m))
+    spots = cut_lineage(spots.groupBy(*cell, "ux").agg(F.min("src_id").alias("id")))
+    cells = cut_lineage(spots.groupBy(*cell).agg(F.min("id").alias("id")))
+    dlat = max(max_dist_m, 1.0) * 1.001 / M_PER_DEG
+    here, above = _cells_of_band(F.col("cy"), dlat), _cells_of_band(F.col("cy") + 1, dlat)
+    ahead = F.array(F.struct(F.col("cy").alias("y"), F.pmod(F.col("cx") + 1, here).alias("x")),
+                    *[F.struct((F.col("cy") + 1).alias("y"), F.pmod(F.col("ux") + dx, above).alias("x")) for dx in (-1, 0, 1)])
+    looks = spots.join(cells.withColumnRenamed("id", "src"), cell).select("type", "session", "src", F.explode(ahead).alias("_a")) \
+        .select("type", "session", F.col("_a.y").alias("cy"), F.col("_a.x").alias("cx"), "src").distinct()
+    edges = looks.join(cells.withColumnRenamed("id", "dst"), cell).filter("src <> dst").select("src", "dst")
+    return cells.join(connected_components(cells.select("id"), edges), "id").select(*cell, "component")
+
+
 GROUP = ["type", "session", "component", "bin"]
 SLICE = [*GROUP, "slice"]
 _KEYS = "type string, session long, component long, bin long, slice long"

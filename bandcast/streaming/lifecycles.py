@@ -8,8 +8,8 @@ later sighting can join, and commits output and state together.  A restarted
 or replayed micro-batch therefore changes nothing twice.
 
 Within a micro-batch the work is W5's: groups of many sightings are split
-into distance components (positions of sightings and of open incidents), a component that is still
-too large runs in time slices, and each is a task of its own.
+into components of touching cells at least as wide as the distance (positions of sightings and of open incidents; no
+sites are compared), a component that is still too large runs in time slices, and each is a task of its own.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bandcast.operators.lifecycle import (GROUP, LIFECYCLE_SCHEMA, PIECE_SCHEMA, alone, can_match, joined_pieces, settled_pieces,
-                                          sightings_of, site_components, with_slices)
+from bandcast.operators.joins import broadcast_if_small
+from bandcast.operators.lifecycle import (GROUP, LIFECYCLE_SCHEMA, PIECE_SCHEMA, alone, can_match, cell_components, cells_of_sites,
+                                          joined_pieces, settled_pieces, sightings_of, with_slices)
 from bandcast.session import cut_lineage
 from bandcast.sources.commits import BatchLog
 
@@ -77,10 +78,10 @@ class LifecycleSink:
             # ids are unique over sightings, and an incident has the id of its founder
             places = ready.select("type", "session", "lat", "lon", "src_id").unionByName(
                 open_.select("type", "session", "lat", "lon", F.col("incident_id").alias("src_id")))
-            parts = cut_lineage(site_components(places, self.dist, large))
-            place = ["type", "session", "lat", "lon"]
-            ready, open_ = (t.drop("component").join(parts, place, "left").withColumn("component", F.coalesce("component", F.lit(-1).cast("long")))
-                            for t in (ready, open_))
+            parts = broadcast_if_small(cell_components(places, self.dist, large), persist=True)
+            cell = cells_of_sites("lat", "lon", self.dist)
+            ready, open_ = (t.drop("component").withColumns({"cy": cell["cy"], "cx": cell["cx"]}).join(parts, ["type", "session", "cy", "cx"], "left")
+                            .withColumn("component", F.coalesce("component", F.lit(-1).cast("long"))).drop("cy", "cx") for t in (ready, open_))
         names = [f.split()[0] for f in PIECE_SCHEMA.split(", ")]
         seeds = open_.withColumns({"slice": F.lit(0).cast("long"), "seq": F.lit(0).cast("long"), "inherited": F.lit(False),
                                    "open": F.lit(True), "tied": F.lit(False)}).select(*names)

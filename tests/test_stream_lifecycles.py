@@ -81,3 +81,39 @@ def test_late_and_odd_sightings_are_kept(spark):
     run(spark, root, [(6, "beat", 1.3, 103.8, None, 100 * HOUR)])
     assert [r.message for r in S.late_sightings(spark, f"{root}/out").collect()] == ["too late"]
     assert [(r[0], r[4]) for r in closed(spark, root)] == sorted([(2, 1), (3, 1), (5, 2)], key=lambda r: r[0])
+
+
+def test_large_types_are_split_by_cells_without_comparing_sites(spark, monkeypatch):
+    """Sites some 89 m apart are linked through the cells they lie in, so the work follows the cells and not the pairs of sites in reach."""
+    from bandcast.operators import spatial
+
+    def compared(*a, **k):
+        raise AssertionError("sites are compared")
+    monkeypatch.setattr(spatial, "grid_pairs", compared)
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice(["Accident", "Roadwork"]), 1.3 + 8e-4 * rnd.randrange(8) + 0.5 * (i % 2), 103.8 + 8e-4 * rnd.randrange(8), f"m{i}", HOUR + 20 * i)
+            for i in range(400)]
+    root = ST.stream_workspace(spark, "t3cells")
+    run(spark, root, [*rows, (9999, "beat", 1.3, 103.8, None, 100 * HOUR)], max_group_rows=20, slice_rows=60)
+    assert closed(spark, root) == batch(spark, rows)
+
+
+def test_cells_part_no_sites_within_the_distance(spark):
+    """Sites within the distance share a component across cells, bands, the antimeridian and near a pole; far ones are parted."""
+    from bandcast.functions.geo import haversine_m
+    from bandcast.operators.lifecycle import cell_components, cells_of_sites
+    from pyspark.sql import functions as F
+    rnd = random.Random(7)
+    spots = [(1.3, 103.8), (0.0, 0.0), (60.2, 179.9995), (60.2, -179.9995), (-33.0, -70.0), (89.9995, 10.0), (89.9995, -170.0)]
+    rows = [(i, "a" if i % 3 else "b", 0, la + rnd.uniform(-4e-3, 4e-3) if la < 89 else la, lo + rnd.uniform(-6e-3, 6e-3))
+            for i, (la, lo) in enumerate(spots * 25)]
+    df = spark.createDataFrame(rows, "src_id long, type string, session long, lat double, lon double")
+    groups = df.select("type", "session").distinct()
+    got = df.withColumns(cells_of_sites("lat", "lon", 200.0)).join(cell_components(df, 200.0, groups), ["type", "session", "cy", "cx"]) \
+        .select("src_id", "type", "lat", "lon", "component")
+    assert got.count() == len(rows)
+    l, r = (got.select(*[F.col(c).alias(f"{p}_{c}") for c in got.columns]) for p in "lr")
+    near = l.join(r, (F.col("l_type") == F.col("r_type")) & (F.col("l_src_id") < F.col("r_src_id"))) \
+        .filter(haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")) <= 200.0)
+    assert near.count() > 100 and near.filter("l_component <> r_component").count() == 0
+    assert got.filter("type = 'a'").select("component").distinct().count() >= 5

@@ -56,7 +56,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandcast.llm.common import LOWER_BYTES, id_crc_mod, most_frequent, prepare, written
+from bandcast.llm.common import LOWER_BYTES, give_back, id_crc_mod, most_frequent, prepare, written
 
 HOLD_OUT = 7, 2                 # crc32(id) mod 7 == 2 is held out
 VOCABULARY = 1 << 21            # frequent words that are coded by class (17 bytes each in the broadcast)
@@ -84,16 +84,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PIECE = 1 << 15                # bytes hashed at a time: their temporaries stay in a core's cache
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        base = int(_C[0])
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)]))
-                      for b in (base, pow(base, -1, 1 << 64))]
-    return _POWERS
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of an odd number modulo 2**64."""
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+
+
+_BASE = int(_C[0])
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWER, _BACK = _powers(_BASE, _PIECE), _powers(_INVERSE, _PIECE)
 
 
 class Words:
@@ -107,14 +107,19 @@ class Words:
         if not space[0]:
             edge = np.concatenate([[0], edge])
         self.start, self.end = edge[0::2], edge[1::2]
-        power, back = _powers(len(self.raw))
-        total = np.zeros(len(self.raw) + 1, np.uint64)
-        for a in range(0, len(self.raw), _PIECE):
-            x = _BYTE.take(self.raw[a:a + _PIECE])
-            x *= power[a:a + len(x)]
-            np.cumsum(x, out=x)
-            np.add(x, total[a], out=total[a + 1:a + 1 + len(x)])
-        h = (total.take(self.end) - total.take(self.start)) * back.take(self.start)
+        pieces = -(-len(self.raw) // _PIECE)
+        power, back = (_powers(pow(b, _PIECE, 1 << 64), pieces) for b in (_BASE, _INVERSE))    # where each piece begins
+        total, before = np.zeros(len(edge), np.uint64), np.zeros(1, np.uint64)      # the running polynomial at the edges
+        cut = np.searchsorted(edge, np.arange(pieces + 1) * _PIECE)
+        x = np.zeros(_PIECE + 1, np.uint64)
+        for k in range(pieces):
+            raw, here = self.raw[k * _PIECE:(k + 1) * _PIECE], slice(cut[k], cut[k + 1])
+            y = x[:len(raw) + 1]
+            np.multiply(_BYTE.take(raw), _POWER[:len(raw)], out=y[1:])
+            np.cumsum(y, out=y)
+            total[here] = y.take(edge[here] - k * _PIECE) * power[k] + before
+            before = y[-1:] * power[k] + before
+        h = (total[1::2] - total[0::2]) * back.take(self.start // _PIECE) * _BACK.take(self.start % _PIECE)
         h = (h ^ (h >> np.uint64(29))) * _C[1]
         self.hash = (h ^ (h >> np.uint64(32))) * _C[2]
         offset = np.cumsum([0, *(len(t) + 1 for t in texts)])
@@ -223,33 +228,42 @@ class Vocabulary:
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, ends: int, total: int, letters: np.ndarray,
                  groups: np.ndarray | None = None):
-        rank = np.arange(len(hashes), dtype=np.int32)
-        octave = np.floor(np.log2(rank + 1)).astype(np.int32)
-        half = np.where(octave > 0, (rank + 1 >> np.maximum(octave - 1, 0)) & 1, 0).astype(np.int32)
+        # all that is as long as the vocabulary is made in parts, so that a worker holds it once
+        parts = [slice(a, a + _PIECE) for a in range(0, len(hashes), _PIECE)]
         self.group = np.zeros(len(hashes), np.uint8) if groups is None else groups
         top = int(self.group.max(initial=0))
         self.base = max(32, top + 3)            # of the group history; its last digit marks a text's start
-        cls = (2 * octave + half) * np.int32(top + 1) + self.group
-        del octave, half
-        there = np.bincount(cls) > 0                    # classes are numbered without holes
-        cls = (FIRST - 1 + np.cumsum(there)).astype(np.int32).take(cls)
-        sums = np.bincount(cls, counts, minlength=FIRST + 1)
+        octaves = len(hashes).bit_length()
+        long = np.array([1, 0, *np.repeat(1 << np.arange(octaves - 1), 2)], np.int64)      # half an octave of ranks each
+        cls = np.repeat(np.arange(2 * octaves, dtype=np.int32), long[:2 * octaves])[:len(hashes)]
+        there = np.zeros(2 * octaves * (top + 1), bool)
+        for z in parts:
+            cls[z] = cls[z] * np.int32(top + 1) + self.group[z]
+            there[cls[z]] = True
+        number = (FIRST - 1 + np.cumsum(there)).astype(np.int32)          # classes are numbered without holes
+        sums = np.zeros(FIRST + max(1, int(there.sum())))
+        for z in parts:
+            cls[z] = number.take(cls[z])
+            sums += np.bincount(cls[z], counts[z], minlength=len(sums))
         sums[ESCAPE], sums[END] = max(0, total - ends - int(counts.sum())), ends
         self.code, self.letters = Code(sums + 1), Code(letters + 1)
         self.cls = cls.astype(np.uint16 if cls.max(initial=0) < 1 << 16 else np.int32)
         self.block = max(64, min(BLOCK, (1 << 23) // len(sums)))        # words predicted at a time
-        self.share = np.log10(counts / sums[cls]).astype(np.float32) if len(hashes) else np.zeros(0, np.float32)
-        self.log_n = np.log10(counts + 1.0)
+        self.share = np.zeros(len(hashes), np.float32)
+        self.counts = counts
         self.log_end, self.known_end = math.log10(ends + 1), ends > 0
         bits = max(4, int(2 * len(hashes) + 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.hashes, self.values = hashes if len(hashes) else np.zeros(1, np.uint64), np.full(1 << bits, -1, np.int32)
-        at, left = (hashes >> self.shift).astype(np.int64), rank
-        while len(left):
-            free = np.flatnonzero(self.values.take(at) < 0)
-            self.values[at[free]] = left[free]          # of several words one gets the slot
-            rest = self.values.take(at) != left
-            at, left = (at[rest] + 1) & self.mask, left[rest]
+        for z in parts:
+            self.share[z] = np.log10(counts[z] / sums.take(cls[z]))
+            at = (hashes[z] >> self.shift).astype(np.int64)
+            left = np.arange(z.start, z.start + len(at), dtype=np.int32)
+            while len(left):
+                free = np.flatnonzero(self.values.take(at) < 0)
+                self.values[at[free]] = left[free]          # of several words one gets the slot
+                rest = self.values.take(at) != left
+                at, left = (at[rest] + 1) & self.mask, left[rest]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Rank of each hash, or -1."""
@@ -512,6 +526,8 @@ def _train(model):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([task] * len(part), pa.int32()), pa.array([c for c, _ in part], pa.int32()),
                  pa.array([x for _, x in part], pa.binary())], ["_task", "_cell", "_counts"])
+        del vocabulary, table, rows, part
+        give_back()
     return run
 
 
@@ -566,6 +582,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
     yield rows(1, np.arange(257), letters)
     yield rows(2, np.zeros(1, np.int64), np.array([texts_seen], np.int64))
+    waiting.clear()
+    give_back()
 
 
 def _count_followers(model, salted: int, bits: int):
@@ -613,6 +631,8 @@ def _count_followers(model, salted: int, bits: int):
                 size = 0
         if size:
             yield flush()
+        del vocabulary
+        give_back()
     return run
 
 
@@ -766,6 +786,8 @@ def _contexts(hot_words):
                 parts = [distinct(np.concatenate(parts))]
         if parts:
             yield flush(last, parts)
+        del parts
+        give_back()
     return run
 
 
@@ -781,9 +803,13 @@ def _score(model, escaped: tuple[int, int], bits: int):
         if not kept:
             parameters, (odds16, seen, weights, refine), hot = model.value
             voc, hot = Vocabulary(*parameters), Followers(*hot)
-            kept.extend([voc, Mixer(weights, refine), odds16.astype(np.float32), seen, hot, FollowerSums(voc.code, hot, voc.block)])
+            kept.extend([voc, Mixer(weights, refine), odds16, seen, hot, FollowerSums(voc.code, hot, voc.block)])
         found = Followers.of(asked.select([1, 2, 3]), bits, False)
-        return pa.Table.from_batches(list(scored(iter(texts_of.select([0, 1]).to_batches(500)), found)))
+        give_back()
+        out = pa.Table.from_batches(list(scored(iter(texts_of.select([0, 1]).to_batches(500)), found)))
+        del found
+        give_back()
+        return out
 
     def scored(batches: Iterator[pa.RecordBatch], found: Followers) -> Iterator[pa.RecordBatch]:
         voc, mixer, odds_of, seen, hot, sums_of = kept
@@ -801,7 +827,7 @@ def _score(model, escaped: tuple[int, int], bits: int):
                 bit = code.bit.take(step)
                 # what the word before says comes from the followers; the other tables are those of the counters
                 cells = cells_of(kind, contexts[1 - kind:], size, code.step.take(step), 1 - kind)
-                odds, sure = [odds_of.take(s) for s in cells], [seen.take(s) for s in cells]
+                odds, sure = [odds_of.take(s).astype(np.float32) for s in cells], [seen.take(s) for s in cells]
                 if not kind:
                     after, known_after = sums_of.read(found, contexts[0], size, step)
                     odds, sure = [after, *odds], [known_after, *sure]
@@ -816,7 +842,7 @@ def _score(model, escaped: tuple[int, int], bits: int):
             with np.errstate(divide="ignore"):
                 spelled = unseen + np.where(n > 0, np.log10(n / distinct + np.power(10.0, spelled)), spelled)
             score += np.bincount(of[out], spelled, minlength=k)
-            base = (np.bincount(of[known], voc.log_n.take(rank[known]), minlength=k)
+            base = (np.bincount(of[known], np.log10(voc.counts.take(rank[known]) + 1.0), minlength=k)
                     + np.bincount(of[out], np.log10(n + 1), minlength=k) + (voc.log_end if ends else 0))
             hits = (np.bincount(of[known], minlength=k) + np.bincount(of[out][n > 0], minlength=k) + int(ends and voc.known_end))
             sums = [w.words + int(ends), w.bytes + w.words + int(ends), hits, base, score]
@@ -848,7 +874,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     hot_words = spark.sparkContext.broadcast(model.hot[0])         # chunks ask for words with these alone
     id_type = docs.schema[id_col].dataType.simpleString()
     chunked = written(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
-                      .mapInArrow(_chunks(CHUNK), f"_id {id_type}, _t string, _chunk bigint"), "chunks")
+                      .mapInArrow(_chunks(CHUNK), f"_id {id_type}, _t string, _chunk bigint"), "chunks", compression="zstd")
     asked = (chunked.select("_chunk", "_t").mapInArrow(_contexts(hot_words), "_chunk bigint, _h bigint")
              .join(model.followers, F.col("_h") == F.col("_key")).select("_chunk", "_h", "_list", "_large"))
     schema = f"_id {id_type}, _n bigint, _bytes bigint, _known bigint, _base double, _score double"

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -202,3 +203,33 @@ def test_hashes_do_not_depend_on_the_pieces_they_are_computed_in(monkeypatch):
     monkeypatch.setattr(lm_mixing, "_PIECE", 7)
     assert (lm_mixing.Words(texts).hash == a.hash).all()
     assert lm_mixing.distinct(a.hash.copy()).tolist() == np.unique(a.hash).tolist() and len(lm_mixing.distinct(a.hash[:0])) == 0
+
+
+def test_building_what_a_worker_keeps_takes_little_more_memory():
+    """A Python worker waits for its next task with its largest memory, so temporaries as long as the vocabulary or a slice count twice."""
+    rng = np.random.default_rng(3)
+    n = 1 << 19
+    hashes = rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+    counts = np.sort(rng.integers(2, 1 << 20, n))[::-1].astype(np.int64)
+    texts = [b"some words of a text\n" * 150 for _ in range(320)]
+    tracemalloc.start()
+    try:
+        vocabulary = lm_mixing.Vocabulary(hashes, counts, 5, int(counts.sum()) + 9, np.ones(257), (np.arange(n) % 7).astype(np.uint8))
+        kept, most = tracemalloc.get_traced_memory()
+        assert kept < 28 * n and most < 44 * n          # bytes a word; before: 32 and 68
+        tracemalloc.reset_peak()
+        lm_mixing.Words(texts)
+        assert tracemalloc.get_traced_memory()[1] - kept < 24 * sum(map(len, texts))        # before: 38
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(vocabulary.find(hashes), np.arange(n)) and (vocabulary.find(hashes + np.uint64(1)) < 0).all()
+
+
+def test_word_hashes_do_not_depend_on_the_place():
+    """Words across the pieces that hashes are computed in, and longer than a piece, equal the same words alone."""
+    words = [b"a" * k for k in (1, 100, 32766, 32767, 32768, 32769, 70000)] + [b"bc", b"x" * 65536]
+    alone = np.concatenate([lm_mixing.Words([w]).hash for w in words])
+    for shift in range(0, 5):
+        together = lm_mixing.Words([b" " * shift, b" ".join(words)])
+        assert np.array_equal(together.hash, alone) and list(together.words) == [0, len(words)]
+    assert len(set(alone.tolist())) == len(words)

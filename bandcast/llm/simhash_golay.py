@@ -171,7 +171,8 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     b = distinct_fps.mapInArrow(_offer(1), "_key bigint, _fp bigint").alias("b")
     near = (F.col("a._key") == F.col("b._key")) & (F.col("a._fp") < F.col("b._fp")) \
         & (F.bit_count(F.col("a._fp").bitwiseXOR(F.col("b._fp"))) <= MAX_BITS)
-    return a.join(b, near).select(F.col("a._fp").alias("src"), F.col("b._fp").alias("dst")).distinct()
+    # a fingerprint offers up to 72 keys, which the planner's size leaves out: never broadcast
+    return a.join(b.hint("merge"), near).select(F.col("a._fp").alias("src"), F.col("b._fp").alias("dst")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:

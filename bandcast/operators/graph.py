@@ -9,23 +9,30 @@ nothing, so there is no round limit and no early result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandcast.session import cut_lineage
 
+#: Beyond so many edges a round's joins are never broadcast: the planner sizes edges by the (compressed) file they came from.
+BROADCAST_EDGES = 1 << 18
 
-def _large_star(e: DataFrame) -> DataFrame:
+
+def _joined(e: DataFrame, least: DataFrame, on: Column, n: int) -> DataFrame:
+    return e.join(least if n <= BROADCAST_EDGES else least.hint("merge"), on)
+
+
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.filter("b > a").join(least, F.col("a") == F.col("u")) \
+    return _joined(both.filter("b > a"), least, F.col("a") == F.col("u"), n) \
         .select(F.col("m").alias("a"), "b").filter("a < b").distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     # e holds a < b: the smaller neighbours of b are its a's
     least = e.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
-    moved = e.join(least, F.col("b") == F.col("u")).select(F.col("m").alias("a"), F.col("a").alias("b"))
+    moved = _joined(e, least, F.col("b") == F.col("u"), n).select(F.col("m").alias("a"), F.col("a").alias("b"))
     own = least.select(F.col("m").alias("a"), F.col("u").alias("b"))
     return moved.unionByName(own).filter("a < b").distinct()
 
@@ -47,7 +54,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
     e = cut_lineage(e)
     mark = _mark(e)
     while mark[0]:
-        e = cut_lineage(_small_star(_large_star(e)))
+        e = cut_lineage(_small_star(_large_star(e, mark[0]), mark[0]))
         new = _mark(e)
         if new == mark:
             break

@@ -9,8 +9,10 @@ and depth), metric rows and the small importance table reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,12 @@ def fit_multiclass(df: DataFrame, features: Sequence[str], label_col: str = "lab
     return train(df, features, label_col, weight, _params("softmax", seed, {**CLASS_PARAMS, **params}))
 
 
+def fit_together(*fits: Callable[[], BoostedModel]) -> list[BoostedModel]:
+    """Models that do not need each other, trained at the same time: a model of few rows is one task, so each takes a slot."""
+    with ThreadPoolExecutor(len(fits)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(fit)) for fit in fits]]
+
+
 # M10, M11 --------------------------------------------------------------------------
 def score(model: BoostedModel, df: DataFrame, kind: str = "prob", out: str = "score",
           clip: bool = True) -> DataFrame:

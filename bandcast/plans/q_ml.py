@@ -55,9 +55,16 @@ def split(spark, d):
     return split_side(m, t, "train"), split_side(m, t, "test"), list(FEATURES)
 
 
+def _fit_gate(train, feats):
+    return M.fit_classifier(M.label(keep_or_sample(train, F.col("incident_nearby") == 1, KEYS, 0.5), "change"), feats, "label")
+
+
+def _fit_router(train, feats):
+    return M.fit_classifier(M.label(row_class(train, "change"), "direction"), feats, "label")
+
+
 def _gate(train, test, feats):
-    tr = M.label(keep_or_sample(train, F.col("incident_nearby") == 1, KEYS, 0.5), "change")
-    model = M.fit_classifier(tr, feats, "label")
+    model = _fit_gate(train, feats)
     return model, M.gate_table(M.score(model, test, "prob"))
 
 
@@ -81,10 +88,8 @@ def q_train_gatekeeper(spark, d):
 def q_train_router(spark, d):
     """M2, M14 -> E14 changed-only metrics, E12 score bands, E13 margin bands."""
     train, test, feats = split(spark, d)
-    _, g = _gate(train, test, feats)
-    passed = g.filter(F.col("gk_pred_25") == 1)
-    tr = M.label(row_class(train, "change"), "direction")
-    router = M.fit_classifier(tr, feats, "label")
+    gate, router = M.fit_together(lambda: _fit_gate(train, feats), lambda: _fit_router(train, feats))
+    passed = M.gate_table(M.score(gate, test, "prob")).filter(F.col("gk_pred_25") == 1)
     r = M.router_table(M.score(router, passed, "prob"))
     co = E.changed_only_metrics(r).select(F.lit("changed_only").alias("band"), F.col("passed_rows").alias("rows"),
                                           F.col("acc_changed").alias("accuracy"),
@@ -101,9 +106,9 @@ def _specialist(train, feats, direction):
 def cascade_frame(spark, d):
     """The test rows scored by all stages in one pass."""
     train, test, feats = split(spark, d)
-    gate, _ = _gate(train, test, feats)
-    router = M.fit_classifier(M.label(row_class(train, "change"), "direction"), feats, "label")
-    desc, asc = _specialist(train, feats, "descent"), _specialist(train, feats, "ascent")
+    gate, router, desc, asc = M.fit_together(
+        lambda: _fit_gate(train, feats), lambda: _fit_router(train, feats),
+        lambda: _specialist(train, feats, "descent"), lambda: _specialist(train, feats, "ascent"))
     return C.apply_cascade(test, gate, router, desc, asc)
 
 

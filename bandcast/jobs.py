@@ -29,6 +29,7 @@ from bandcast.operators.joins import broadcast_if_small
 from bandcast.operators.lifecycle import incident_lifecycles
 from bandcast.operators.sampling import balanced, chrono_split, hash_sample, keep_or_sample
 from bandcast.operators.temporal import asof_join, interval_bucket_rollup
+from bandcast.session import cut_lineage
 from bandcast.sources.tables import write_table
 
 KEYS = ["link_id", "snapshot_ts"]
@@ -141,21 +142,25 @@ def train_and_score(master: DataFrame, links: DataFrame, buckets: DataFrame, mod
     used 0.1); the default keeps every test row.  ``per_class`` is the
     reference's own bound on the rows each regressor trains on; None trains on
     every row that moved its way and every stable row."""
-    frame, feats = model_frame(master, links, buckets), list(FEATURES)
+    frame, feats = cut_lineage(model_frame(master, links, buckets)), list(FEATURES)     # read by four trainings and the test
     t = chrono_split(frame)
     train, test = split_side(frame, t, "train"), split_side(frame, t, "test")
     if eval_frac < 1.0:
         test = hash_sample(test, KEYS, eval_frac, seed=7)
-    gate = M.fit_classifier(M.label(keep_or_sample(train, F.col("incident_nearby") == 1, KEYS, sample_frac),
-                                    "change"), feats, **gbt)
-    router = M.fit_classifier(M.label(hash_sample(row_class(train, "change"), KEYS, sample_frac), "direction"),
-                              feats, **gbt)
-    spec = {}
-    for name, kind, cls in (("descent", "drop", "fall"), ("ascent", "rise", "rise")):
+
+    def specialist(kind: str, cls: str):
         both = row_class(train, cls).withColumn("_c", F.lit(1)).unionByName(
             row_class(train, "stable").withColumn("_c", F.lit(0)))
         both = both if per_class is None else balanced(both, "_c", per_class, KEYS)
-        spec[name] = M.fit_regressor(M.label(both, kind), feats, **gbt)
+        return M.fit_regressor(M.label(both, kind), feats, **gbt)
+
+    gate, router, descent, ascent = M.fit_together(
+        lambda: M.fit_classifier(M.label(keep_or_sample(train, F.col("incident_nearby") == 1, KEYS, sample_frac),
+                                         "change"), feats, **gbt),
+        lambda: M.fit_classifier(M.label(hash_sample(row_class(train, "change"), KEYS, sample_frac), "direction"),
+                                 feats, **gbt),
+        lambda: specialist("drop", "fall"), lambda: specialist("rise", "rise"))
+    spec = {"descent": descent, "ascent": ascent}
     for name, model in (("gatekeeper", gate), ("router", router), *spec.items()):
         M.save(model, os.path.join(model_dir, name))
     cascade = C.apply_cascade(test, gate, router, spec["descent"], spec["ascent"])

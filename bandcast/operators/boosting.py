@@ -17,8 +17,9 @@ nothing is planned or scheduled per round or per level.
 * A job trains ``ROUNDS_PER_JOB`` rounds; the next one starts from
   the trees so far, so a lost executor costs one job at most.
 
-A task has ``ROWS_PER_TASK`` rows where there are slots for them (a barrier stage needs a slot per
-task at once), so few tasks exchange histograms; one task exchanges none.
+An exchange takes about a second whatever its size (Spark looks once a second whether it is done), and a round
+has one for each level, so a job has one task, which exchanges nothing, as long as its rows take ``TASK_BYTES`` at most.
+Beyond that rows are shared out (a barrier stage needs a slot per task at once).
 """
 
 from __future__ import annotations
@@ -40,9 +41,12 @@ from pyspark.sql import functions as F
 from bandcast.session import cut_lineage
 
 MAX_BINS = 255              # of values; one more for missing ones
-ROWS_PER_TASK = 1_000_000
+TASK_BYTES = 640 << 20      # of a task's rows in memory
 ROUNDS_PER_JOB = 155
 EPSILON = 1e-6              # smallest gain of a split
+BUNDLE = 1024               # places of a code that counts several columns at once
+BLOCK = 1 << 18             # rows taken at a time
+SLICE = 1 << 14             # rows whose gradients are made at a time
 
 OBJECTIVES = ("logistic", "squared", "softmax")
 
@@ -88,19 +92,15 @@ class Trees:
         return Trees(*(np.concatenate(x) for x in zip(self.arrays(), other.arrays())))
 
     def leaf(self, tree: int, bins: np.ndarray) -> np.ndarray:
-        """The leaf slot of every row of ``bins`` (rows by features)."""
-        at, row = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        inner = self.feature.shape[1]
-        while len(row):
-            slot = at[row]
-            f = self.feature[tree, np.minimum(slot, inner - 1)]
-            going = (slot < inner) & (f >= 0)
-            if not going.all():
-                row, slot, f = row[going], slot[going], f[going]
-            b = bins[row, f]
-            right = np.where(b == 0, ~self.missing_left[tree, slot], b > self.bin[tree, slot])
-            at[row] = 2 * slot + 1 + right
-        return at
+        """The leaf slot of every row of ``bins`` (rows by features, column-wise in memory)."""
+        out, flat, n = np.empty(len(bins), np.min_scalar_type(self.value.shape[1])), bins.ravel(order="F"), len(bins)
+        moves, depth = _moves(self, tree, np.flatnonzero(self.feature[tree] >= 0), n), self.value.shape[1].bit_length() - 1
+        for begin in range(0, n, SLICE):
+            slot = np.zeros(min(SLICE, n - begin), np.int64)
+            for _ in range(depth):
+                slot = _moved(slot, moves, flat, begin)
+            out[begin:begin + SLICE] = slot
+        return out
 
 
 def mix(key: np.ndarray, salt: int) -> np.ndarray:
@@ -135,50 +135,132 @@ def gradients(p: Params, y: np.ndarray, w: np.ndarray, margin: np.ndarray) -> tu
     return (prob - hit) * w, np.maximum(2.0 * prob * (1.0 - prob), 1e-16) * w
 
 
-def best_splits(p: Params, g: np.ndarray, h: np.ndarray, sum_g: np.ndarray, sum_h: np.ndarray):
-    """Per node of the histograms [node, feature, bin]: gain, feature, bin, missing left, and the left child's sums.
-
-    Ties go to the first feature, then the smaller bin, then missing right."""
-    tg, th = sum_g[:, None, None], sum_h[:, None, None]
-    left_g, left_h = np.cumsum(g[:, :, 1:], axis=2), np.cumsum(h[:, :, 1:], axis=2)
-    left = np.stack([left_g, left_g + g[:, :, :1]], axis=3), np.stack([left_h, left_h + h[:, :, :1]], axis=3)
-    lg, lh = left
-    rg, rh = tg[..., None] - lg, th[..., None] - lh
-    gain = 0.5 * (lg * lg / (lh + p.l2) + rg * rg / (rh + p.l2) - (tg * tg / (th + p.l2))[..., None])
-    gain[(lh < p.min_child_weight) | (rh < p.min_child_weight)] = -np.inf
-    flat = gain.reshape(len(gain), -1)
-    at, node = np.argmax(flat, axis=1), np.arange(len(flat))
-    f, b, missing = np.unravel_index(at, gain.shape[1:])
-    return flat[node, at], f, b + 1, missing.astype(bool), lg[node, f, b, missing], lh[node, f, b, missing]
-
-
-def histograms(bins: np.ndarray, columns: np.ndarray, node: np.ndarray, n_nodes: int, n_bins: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Sums of g and h [2, node, feature, bin] of rows that lie in nodes 0 to n_nodes - 1."""
-    out = np.empty((2, n_nodes, len(columns), n_bins))
-    base = node * n_bins
-    for j, f in enumerate(columns):
-        code = base + bins[:, f]
-        for k, x in enumerate((g, h)):
-            out[k, :, j] = np.bincount(code, x, n_nodes * n_bins).reshape(n_nodes, n_bins)
+def best_splits(p: Params, g: np.ndarray, h: np.ndarray, starts: np.ndarray, sum_g: np.ndarray, sum_h: np.ndarray):
+    """Per node of the histograms [node, bins of all columns in a row]: gain, column, bin, missing left, and the left
+    child's sums.  Column j has the places from ``starts[j]`` to ``starts[j + 1]``.
+
+    Ties go to the first column, then the smaller bin, then missing right."""
+    n, sizes = len(g), np.diff(starts)
+    node, tg, th = np.arange(n), sum_g[:, None], sum_h[:, None]
+    whole = tg * tg / (th + p.l2)
+    best, column, cut = np.full(n, -np.inf), np.zeros(n, np.int64), np.ones(n, np.int64)
+    missing, best_g, best_h = np.zeros(n, bool), np.zeros(n), np.zeros(n)
+    none = np.zeros((n, 1))
+    g, h = np.concatenate([g, none], axis=1), np.concatenate([h, none], axis=1)     # a place of no rows
+    octave = np.ceil(np.log2(sizes) / 2)
+    for o in np.unique(octave):         # columns of about as many bins at once; a bin beyond a column's last repeats its gain
+        cols = np.flatnonzero(octave == o)
+        m = int(sizes[cols].max())
+        at = np.where(np.arange(m) < sizes[cols, None], starts[cols, None] + np.arange(m), starts[-1])
+        sides = []
+        for x in (g, h):
+            x = x.take(at, axis=1)
+            left = np.empty((n, len(cols), m - 1, 2))
+            np.cumsum(x[:, :, 1:], axis=2, out=left[..., 0])
+            np.add(left[..., 0], x[:, :, :1], out=left[..., 1])
+            sides.append(left.reshape(n, -1))
+        lg, lh = sides
+        rg, rh = tg - lg, th - lh
+        gain = 0.5 * (lg * lg / (lh + p.l2) + rg * rg / (rh + p.l2) - whole)
+        gain[(lh < p.min_child_weight) | (rh < p.min_child_weight)] = -np.inf
+        i = np.argmax(gain, axis=1)
+        top = gain[node, i]
+        c, where = cols[i // (2 * (m - 1))], i % (2 * (m - 1))
+        more = np.flatnonzero((top > best) | ((top == best) & (c < column)))
+        i, where = i[more], where[more]
+        best[more], column[more], cut[more], missing[more] = top[more], c[more], where // 2 + 1, where % 2 == 1
+        best_g[more], best_h[more] = lg[more, i], lh[more, i]
+    return best, column, cut, missing, best_g, best_h
+
+
+def bundles_of(sizes: Sequence[int], most: int) -> list[list[int]]:
+    """Columns put together as long as their bins multiply to ``most`` places at most (a wider column is alone)."""
+    out: list[list[int]] = []
+    room: list[int] = []
+    for j in sorted(range(len(sizes)), key=lambda j: -sizes[j]):
+        for i, free in enumerate(room):
+            if sizes[j] <= free:
+                out[i].append(j)
+                room[i] //= sizes[j]
+                break
+        else:
+            out.append([j])
+            room.append(most // sizes[j])
     return out
 
 
-def grow_round(p: Params, round_: int, bins: np.ndarray, n_bins: int, g: np.ndarray, h: np.ndarray, sampled: np.ndarray,
+class Counter:
+    """Histograms of one tree's columns.
+
+    Columns of few bins are counted together, by a code of all their bins; sums over the places of a code with the
+    same bin are the column's histogram.  Values are whole numbers, so these sums are exact."""
+
+    def __init__(self, bins: np.ndarray, columns: np.ndarray, sizes: np.ndarray):
+        self.sizes = [int(sizes[f]) for f in columns]
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        self.bundles = bundles_of(self.sizes, min(BUNDLE, len(bins) // 512))        # few rows: more places cost more than they spare
+        self.codes, self.places, self.held = [], [], []
+        for cols in self.bundles:
+            of = [self.sizes[j] for j in cols]
+            self.places.append(int(np.prod(of)))
+            # [place of the code, bins of the columns in a row]: 1 where the code holds the bin
+            self.held.append(np.concatenate([(b[:, None] == np.arange(x)).astype(float) for b, x in
+                                             zip(np.unravel_index(np.arange(self.places[-1]), of), of)], axis=1))
+            code = bins[:, columns[cols[0]]].astype(np.uint16)
+            for j in cols[1:]:
+                code *= np.uint16(self.sizes[j])
+                code += bins[:, columns[j]]
+            self.codes.append(code)
+
+    def add(self, out: list[np.ndarray], rows: np.ndarray, node: np.ndarray, values: Sequence[np.ndarray]) -> None:
+        """Add the values of some rows to ``out``: per bundle [value, node * place of the code]."""
+        for code, places, o in zip(self.codes, self.places, out):
+            at = node * places
+            at += code.take(rows)
+            for k, x in enumerate(values):
+                o[k] += np.bincount(at, x, o.shape[1])
+
+    def empty(self, n_values: int, n_nodes: int) -> list[np.ndarray]:
+        return [np.zeros((n_values, n_nodes * places)) for places in self.places]
+
+    def by_column(self, counted: list[np.ndarray], n_nodes: int) -> np.ndarray:
+        """[value, node, bins of all columns in a row]"""
+        out = np.zeros((len(counted[0]), n_nodes, int(self.starts[-1])))
+        for cols, held, c in zip(self.bundles, self.held, counted):
+            if len(cols) == 1:
+                out[:, :, self.starts[cols[0]]:self.starts[cols[0] + 1]] = c.reshape(len(out), n_nodes, -1)
+                continue
+            sums, begin = c.reshape(len(out) * n_nodes, -1) @ held, 0
+            for j in cols:
+                size = self.sizes[j]
+                out[:, :, self.starts[j]:self.starts[j + 1]] = sums[:, begin:begin + size].reshape(len(out), n_nodes, size)
+                begin += size
+        return out
+
+
+def grow_round(p: Params, round_: int, bins: np.ndarray, sizes: np.ndarray, g: np.ndarray, h: np.ndarray, sampled: np.ndarray,
                scale: float, add: Callable[[np.ndarray], np.ndarray]) -> tuple[Trees, np.ndarray]:
     """The trees of one round, level by level and all at once, and every row's leaf value in each.
 
-    ``g`` and ``h`` are whole numbers (times ``scale``); ``add`` sums an array over all tasks."""
-    k_trees, n_features = len(g), bins.shape[1]
+    ``g`` and ``h`` are whole numbers (times ``scale``); ``sizes`` are the numbers of bins by feature; ``add`` sums an
+    array over all tasks.  Rows are taken in blocks, so what is made of them on the way stays small."""
+    k_trees, (n, n_features) = len(g), bins.shape
     trees = Trees.empty(k_trees, p.depth)
-    at = np.zeros((k_trees, len(bins)), np.int64)
+    slots_all = trees.cover.shape[1]
+    at = np.zeros((k_trees, n), np.min_scalar_type(slots_all))
     flat_bins = bins.ravel(order="F")           # a view of column-wise bins
     columns = [columns_of_tree(p, n_features, round_, k) for k in range(k_trees)]
-    sums = add(np.stack([g[:, sampled].sum(axis=1), h[:, sampled].sum(axis=1)]))
+    sums = add(np.stack([g @ sampled, h @ sampled]))
     total_g, total_h = np.zeros_like(trees.cover), np.zeros_like(trees.cover)
     total_g[:, 0], total_h[:, 0] = sums
     open_ = [np.zeros(1, np.int64) for _ in range(k_trees)]     # slots of the level that may split
     kept: list[dict[int, np.ndarray]] = [{} for _ in range(k_trees)]       # the parents' histograms
+    moves: list[tuple[np.ndarray, ...] | None] = [None] * k_trees   # of rows to the children, not made yet
+    counters = [Counter(bins, c, sizes) for c in columns]
+    alike = [n > 0 and x.min() == x.max() for x in h]           # a count of rows gives the sums of h
     for _ in range(p.depth):
+        if not any(len(o) for o in open_):
+            break
         counted = []
         for k in range(k_trees):
             # of two siblings the one of less weight is counted (the left one in a tie), the other is the rest
@@ -186,16 +268,31 @@ def grow_round(p: Params, round_: int, bins: np.ndarray, n_bins: int, g: np.ndar
                      or (total_h[k, s] == total_h[k, s + 1 if s % 2 else s - 1] and s % 2)]
             # a light sibling that is closed itself must be counted for the open one
             light = sorted({*light, *(s + 1 if s % 2 else s - 1 for s in open_[k] if s and s not in light)})
-            place = np.full(trees.cover.shape[1], -1)
+            place = np.full(slots_all, -1)
             place[light] = np.arange(len(light))
-            node = place[at[k]]
-            rows = np.flatnonzero(sampled & (node >= 0))
-            counted.append((light, histograms(bins[rows], columns[k], node[rows], len(light), n_bins, g[k, rows], h[k, rows])))
-        if not any(len(o) for o in open_):
-            break
-        flat = add(np.concatenate([c.ravel() for _, c in counted]))
+            counter, same = counters[k], alike[k]
+            if not light:
+                counted.append((light, np.zeros((2, 0, counter.starts[-1])), counter.starts))
+                continue
+            c = counter.empty(2, len(light))
+            for begin in range(0, n, BLOCK):
+                span = slice(begin, min(begin + BLOCK, n))
+                slot = at[k, span].astype(np.int64)
+                if moves[k] is not None:
+                    slot = _moved(slot, moves[k], flat_bins, begin)
+                    at[k, span] = slot
+                node = place.take(slot)
+                rows = np.flatnonzero((node >= 0) & sampled[span])
+                node, rows = node.take(rows), rows + begin
+                counter.add(c, rows, node, [g[k].take(rows), None if same else h[k].take(rows)])
+            moves[k] = None
+            c = counter.by_column(c, len(light))
+            if same:
+                c[1] *= h[k, 0]
+            counted.append((light, c, counter.starts))
+        flat = add(np.concatenate([c.ravel() for _, c, _ in counted]))
         opened, begin = [], 0
-        for k, (light, c) in enumerate(counted):
+        for k, (light, c, starts) in enumerate(counted):
             whole = flat[begin:begin + c.size].reshape(c.shape)
             begin += c.size
             hist = {s: whole[:, i] for i, s in enumerate(light)}
@@ -206,20 +303,15 @@ def grow_round(p: Params, round_: int, bins: np.ndarray, n_bins: int, g: np.ndar
             children: list[int] = []
             if len(slots):
                 both = np.stack([hist[s] for s in slots], axis=1) / scale
-                gain, f, b, missing, lg, lh = best_splits(p, both[0], both[1], total_g[k, slots] / scale, total_h[k, slots] / scale)
+                gain, f, b, missing, lg, lh = best_splits(p, both[0], both[1], starts, total_g[k, slots] / scale, total_h[k, slots] / scale)
                 for i in np.flatnonzero(gain > EPSILON):
                     s = slots[i]
                     trees.feature[k, s], trees.bin[k, s], trees.missing_left[k, s], trees.gain[k, s] = columns[k][f[i]], b[i], missing[i], gain[i]
                     total_g[k, 2 * s + 1], total_h[k, 2 * s + 1] = lg[i] * scale, lh[i] * scale
                     total_g[k, 2 * s + 2], total_h[k, 2 * s + 2] = total_g[k, s] - lg[i] * scale, total_h[k, s] - lh[i] * scale
                     children += [2 * s + 1, 2 * s + 2]
-                parted = np.zeros(trees.cover.shape[1], bool)
-                parted[slots[gain > EPSILON]] = True
-                going = np.flatnonzero(parted.take(at[k]))
-                slot = at[k].take(going)
-                value = flat_bins.take(trees.feature[k].astype(np.int64).take(slot) * len(bins) + going)
-                right = np.where(value == 0, ~trees.missing_left[k].take(slot), value > trees.bin[k].take(slot))
-                at[k, going] = 2 * slot + 1 + right
+                if children:
+                    moves[k] = _moves(trees, k, slots[gain > EPSILON], n)
             kept[k] = {s: hist[s] for s in slots}
             # a child too light to be parted is a leaf
             opened.append(np.array([s for s in children if total_h[k, s] / scale >= 2 * p.min_child_weight], np.int64))
@@ -227,21 +319,57 @@ def grow_round(p: Params, round_: int, bins: np.ndarray, n_bins: int, g: np.ndar
     trees.cover[:] = total_h / scale
     made = (trees.cover > 0) | (total_g != 0)
     trees.value[made] = -rate_of(p, round_) * (total_g[made] / scale) / (trees.cover[made] + p.l2)
-    return trees, np.stack([trees.value[k, at[k]] for k in range(k_trees)])
+    step = np.empty((k_trees, n))
+    for k in range(k_trees):
+        for begin in range(0, n, BLOCK):
+            span = slice(begin, min(begin + BLOCK, n))
+            slot = at[k, span].astype(np.int64)
+            if moves[k] is not None:
+                slot = _moved(slot, moves[k], flat_bins, begin)
+            step[k, span] = trees.value[k].take(slot)
+    return trees, step
+
+
+def _moves(trees: Trees, k: int, parted: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Per slot: the place of its feature's bins in the column-wise bins of ``n`` rows, the left child, what is taken off
+    a bin, and the last bin that goes left.  Rows of slots that are not parted stay."""
+    slots = trees.cover.shape[1]
+    first, child = np.zeros(slots, np.int64), np.arange(slots)
+    first[parted] = trees.feature[k, parted].astype(np.int64) * n
+    child[parted] = 2 * parted + 1
+    # where missing values (0) go right, all bins are taken down by 1, so missing ones become 255
+    down, most = np.zeros(slots, np.uint8), np.full(slots, 255, np.uint8)
+    down[parted] = ~trees.missing_left[k, parted]
+    most[parted] = trees.bin[k, parted] - down[parted]
+    return first, child, down, most
+
+
+def _moved(slot: np.ndarray, moves: tuple[np.ndarray, ...], flat_bins: np.ndarray, begin: int) -> np.ndarray:
+    first, child, down, most = moves
+    place = first.take(slot)
+    place += np.arange(begin, begin + len(slot))
+    right = flat_bins.take(place) - down.take(slot) > most.take(slot)
+    out = child.take(slot)
+    out += right
+    return out
 
 
-def boost(p: Params, first_round: int, rounds: int, trees: Trees, base: np.ndarray, bins: np.ndarray, n_bins: int, y: np.ndarray,
-          w: np.ndarray, key: np.ndarray, scale: float, add: Callable[[np.ndarray], np.ndarray]) -> Trees:
-    """The trees of ``rounds`` more rounds over this task's rows."""
+def boost(p: Params, first_round: int, rounds: int, trees: Trees, base: np.ndarray, bins: np.ndarray, n_bins: int | Sequence[int],
+          y: np.ndarray, w: np.ndarray, key: np.ndarray, scale: float, add: Callable[[np.ndarray], np.ndarray]) -> Trees:
+    """The trees of ``rounds`` more rounds over this task's rows; ``n_bins`` for all features or by feature."""
+    sizes, bins = np.broadcast_to(n_bins, bins.shape[1:]), np.asfortranarray(bins)
     margin = np.repeat(np.asarray(base, float)[:, None], len(y), axis=1)
     for t in range(len(trees)):
         margin[t % len(base)] += trees.value[t, trees.leaf(t, bins)]
-    made = []
+    made, g, h, sampled = [], np.empty_like(margin), np.empty_like(margin), np.empty(len(y), bool)
     limit = np.uint64(min(int(p.row_share * 2.0 ** 64), (1 << 64) - 1))
     for r in range(first_round, first_round + rounds):
-        sampled = mix(key, p.seed * 1_000_003 + r) <= limit
-        g, h = gradients(p, y, w, margin)
-        new, step = grow_round(p, r, bins, n_bins, np.rint(g * scale), np.rint(h * scale), sampled, scale, add)
+        for begin in range(0, len(y), SLICE):
+            span = slice(begin, begin + SLICE)
+            sampled[span] = mix(key[span], p.seed * 1_000_003 + r) <= limit
+            for out, x in zip((g, h), gradients(p, y[span], w[span], margin[:, span])):
+                np.rint(x * scale, out=out[:, span])
+        new, step = grow_round(p, r, bins, sizes, g, h, sampled, scale, add)
         margin += step
         made.append(new)
     return Trees(*(np.concatenate(x) for x in zip(*(t.arrays() for t in made)))) if made else Trees.empty(0, p.depth)
@@ -342,7 +470,7 @@ def _columns(table: pa.Table) -> Iterator[tuple[pa.Field, pa.ChunkedArray]]:
 
 def to_bins(edges: Sequence[Sequence[float]], columns: Sequence[np.ndarray]) -> np.ndarray:
     """Rows by features, one byte each: 0 for missing, else 1 + the number of edges below the value."""
-    out = np.empty((len(columns[0]) if columns else 0, len(columns)), np.uint8)
+    out = np.empty((len(columns[0]) if columns else 0, len(columns)), np.uint8, order="F")
     for j, (e, x) in enumerate(zip(edges, columns)):
         x = np.asarray(x, float)
         out[:, j] = np.where(np.isnan(x), 0, np.searchsorted(np.asarray(e, float), x, side="left") + 1)
@@ -356,12 +484,17 @@ def bin_edges(df: DataFrame, features: Sequence[str], accuracy: int = 10_000) ->
     return [sorted(set(row[c] or [])) for c in features]
 
 
+def row_bytes(p: Params, n_features: int) -> int:
+    """About what a row takes in training: bins, label, weight, key and places; margin, derivatives and codes of each tree of a round."""
+    return n_features + 64 + 48 * p.classes
+
+
 def train(df: DataFrame, features: Sequence[str], label_col: str, weight: str | None, params: Params,
-          rows_per_task: int = ROWS_PER_TASK, rounds_per_job: int = ROUNDS_PER_JOB, tasks: int | None = None) -> BoostedModel:
+          rows_per_task: int | None = None, rounds_per_job: int = ROUNDS_PER_JOB, tasks: int | None = None) -> BoostedModel:
     """Train on all rows of ``df`` that have a label (rows without a weight weigh 0).
 
-    ``tasks`` fixes the number of tasks; by default it is rows / ``rows_per_task``, at most the session's slots.  No
-    row, or equal labels everywhere, gives a model of its base margin."""
+    ``tasks`` fixes the number of tasks; by default it is rows / ``rows_per_task`` (as many as take ``TASK_BYTES``), at
+    most the session's slots.  No row, or equal labels everywhere, gives a model of its base margin."""
     spark, features = df.sparkSession, list(features)
     w = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
     cols = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"f{j}") for j, c in enumerate(features)]
@@ -388,23 +521,23 @@ def train(df: DataFrame, features: Sequence[str], label_col: str, weight: str |
         return model
     model.edges = [list(map(float, e)) for e in bin_edges(data, numbered)]
     slots = spark.sparkContext.defaultParallelism
-    n_tasks = tasks or max(1, min(slots, -(-s.n // rows_per_task)))
+    n_tasks = tasks or max(1, min(slots, -(-s.n // (rows_per_task or TASK_BYTES // row_bytes(p, len(features))))))
     data = cut_lineage(data.repartition(n_tasks, "key")) if n_tasks > 1 else data.coalesce(1)
     # whole numbers below 2^53 in every sum, with room for a margin beyond the labels
     reach = 4.0 * max(1.0, float(s.high - s.low))
     scale = 2.0 ** min(40, int(np.floor(52 - np.log2(max(1.0, s.w) * reach))))
     for first in range(0, p.rounds, rounds_per_job):
-        step = _job(model, first, min(rounds_per_job, p.rounds - first), scale, n_tasks)
+        step = _job(spark, model, first, min(rounds_per_job, p.rounds - first), scale, n_tasks)
         got = data.mapInArrow(step, "part int, body binary", barrier=n_tasks > 1).toArrow()     # the trees of one task, bounded
         body = got.column("body").to_pylist()[0]
         model.trees = model.trees.joined(_from_bytes(body, p.depth))
     return model
 
 
-def _job(model: BoostedModel, first: int, rounds: int, scale: float, n_tasks: int):
+def _job(spark: SparkSession, model: BoostedModel, first: int, rounds: int, scale: float, n_tasks: int):
     p, edges, base, so_far = model.params, model.edges, model.base, model.trees
-    n_bins = max(len(e) for e in edges) + 2
-    shared = SparkSession.active().sparkContext.broadcast(so_far.arrays())
+    n_bins = [len(e) + 2 for e in edges]
+    shared = spark.sparkContext.broadcast(so_far.arrays())
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, y, w, key = [np.empty((0, len(edges)), np.uint8)], [np.empty(0)], [np.empty(0)], [np.empty(0, np.uint64)]
